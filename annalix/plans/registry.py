@@ -1,4 +1,4 @@
-"""All queries of the journal engine and their SQL."""
+"""All queries of the journal engine by operator id, and SQL that says the same."""
 
 from __future__ import annotations
 
@@ -6,10 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.prelude import PRELUDE
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query; sql may use the tables of ``sources.prelude``."""
+
+    def wrap(f):
+        if name in _queries:
+            raise ValueError(f"{name} is registered twice")
+        _queries[name] = f
+        if sql is not None:
+            _sql[name] = PRELUDE + sql
+        return f
+
+    return wrap
+
+
+def _load() -> None:
+    from . import (  # noqa: F401
+        aggregation_queries,
+        composite_queries,
+        graph_queries,
+        join_queries,
+        mutation_queries,
+        packing_queries,
+        predicate_queries,
+        scalar_queries,
+        scan_queries,
+        window_queries,
+    )
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_sql)

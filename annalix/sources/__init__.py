@@ -1,0 +1,5 @@
+"""Tables of the journal engine."""
+
+from .journal import Store, activity_journal, conversation_journal, read
+
+__all__ = ["Store", "activity_journal", "conversation_journal", "read"]
