@@ -1,11 +1,12 @@
 """Benchmark items inside documents: size-partitioned MinHash containment search, then exact check.
 
 Items are partitioned by their number of five-word shingles, each class at most ``growth`` times as
-wide as the one below. For a class that ends at u shingles, documents are read in windows of 2u
-shingles that start every u, so a passage of an item lies in one window, and the Jaccard similarity of
-item and window stays above about least / (2 * growth) however long the document is. A window
-and an item that share a MinHash value are a candidate; with ``hashes`` values a contained item is
-missed with a probability under 1e-6. Candidates are decided by exact containment in the whole document.
+wide as the one below. For a class that ends at u shingles, documents are read in windows of about 2u
+shingles that start at least every u, so a passage of an item lies in one window, and the Jaccard
+similarity of item and window stays above about least / (2 * growth) however long the document is. All
+classes build their windows from one set of minima over blocks of ``block`` shingles. A window and an
+item that share a MinHash value are a candidate; with ``hashes`` values a contained item is missed with
+a probability under 1e-6. Candidates are decided by exact containment in the whole document.
 
 Defined cases: a text or item without five words has no shingle and matches nothing; null counts as
 empty. Items with equal text each match. A repeated document matches as often as it occurs. The items
@@ -31,6 +32,7 @@ class Settings:
     least: float = 0.8
     growth: float = 1.5
     hashes: int = 56
+    block: int = 8
     part_bytes: int = 32 << 20
 
 
@@ -58,34 +60,65 @@ class Index:
             key = self._keys(sig).ravel()
             owner = np.repeat(which, s.hashes)
             order = np.argsort(key, kind="stable")
-            self.classes.append((int(size[which].max()), key[order], owner[order]))
+            table = np.zeros(1 << 20, bool)
+            table[self._place(sig.T).ravel()] = True
+            self.classes.append((int(size[which].max()), table, key[order], owner[order]))
 
     @staticmethod
     def _keys(sig: np.ndarray) -> np.ndarray:
         return sig.astype(np.uint64) * np.uint64(256) + np.arange(sig.shape[1], dtype=np.uint64)
 
+    @staticmethod
+    def _place(sig: np.ndarray) -> np.ndarray:
+        """Where the (hashes, n) values are in a table of 2**20 flags; most windows end there."""
+        return (sig ^ (np.arange(len(sig), dtype=np.uint32) * np.uint32(0x9E3779B1))[:, None]) & np.uint32(0xFFFFF)
+
+    def _minima(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, blocks) of minima, and the rows' n+1 offsets into the blocks. The last block of a row repeats its last shingle."""
+        g = self.settings.block
+        n = np.diff(at)
+        first = np.concatenate([[0], np.cumsum(-(-n // g))])
+        row = np.repeat(np.arange(len(n)), np.diff(first))
+        start = at[row] + (np.arange(first[-1]) - first[row]) * g
+        out = np.empty((self.settings.hashes, first[-1]), np.uint32)
+        for lo in range(0, first[-1], 2048):
+            s = start[lo : lo + 2048]
+            x = flat[np.minimum(s + np.arange(g)[:, None], at[row[lo : lo + 2048] + 1] - 1)]
+            h = np.empty_like(x)
+            for k, (mult, add) in enumerate(zip(*self.params)):
+                np.multiply(x, mult, out=h)
+                h += add
+                out[k, lo : lo + 2048] = h.min(0) >> np.uint64(32)
+        return out, first
+
     def candidates(self, flat: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
         """(row, item) that share a MinHash value in a window."""
         found: set[tuple[int, int]] = set()
-        n = np.diff(at)
-        for u, keys, owner in self.classes:
-            blocks = -(-n // u)
-            first = np.concatenate([[0], np.cumsum(blocks)])
-            row = np.repeat(np.arange(len(n)), blocks)
-            start = at[row] + (np.arange(first[-1]) - first[row]) * u
-            cuts = np.append(start, at[-1])
-            sig = minhash(flat, cuts, *self.params)
-            window = sig.copy()
-            joined = np.flatnonzero(row[1:] == row[:-1])
-            window[joined] = np.minimum(sig[joined], sig[joined + 1])
-            probe = self._keys(window)
-            at_key = np.searchsorted(keys, probe)
-            hit = keys[np.minimum(at_key, len(keys) - 1)] == probe
-            for w, k in zip(*np.nonzero(hit)):
-                i, value = at_key[w, k], probe[w, k]
-                while i < len(keys) and keys[i] == value:
-                    found.add((int(row[w]), int(owner[i])))
-                    i += 1
+        minima, first = self._minima(flat, at)
+        blocks, g = np.diff(first), self.settings.block
+        for u, table, keys, owner in self.classes:
+            step = max(1, u // g)
+            long = step + -(-u // g)  # a passage that starts within the step ends inside
+            many = -(-blocks // step)
+            upto = np.concatenate([[0], np.cumsum(many)])
+            row = np.repeat(np.arange(len(blocks)), many)
+            start = first[row] + (np.arange(upto[-1]) - upto[row]) * step
+            end = first[row + 1] - 1
+            for lo in range(0, len(row), 4096):
+                s, e = start[lo : lo + 4096], end[lo : lo + 4096]
+                window = minima[:, s]
+                for t in range(1, long):
+                    np.minimum(window, minima[:, np.minimum(s + t, e)], out=window)
+                k, w = np.nonzero(table[self._place(window)])
+                if not len(k):
+                    continue
+                probe = window[k, w].astype(np.uint64) * np.uint64(256) + k.astype(np.uint64)
+                at_key = np.searchsorted(keys, probe)
+                hit = keys[np.minimum(at_key, len(keys) - 1)] == probe
+                for i, value, r in zip(at_key[hit].tolist(), probe[hit], row[lo + w[hit]].tolist()):
+                    while i < len(keys) and keys[i] == value:
+                        found.add((r, int(owner[i])))
+                        i += 1
         return found
 
     def matches(self, flat: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
