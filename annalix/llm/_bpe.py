@@ -14,9 +14,13 @@ from functools import lru_cache
 
 import numpy as np
 
+from ._text import as_bytes, word_hashes, words
+
 #: Characters that always end a run of letters and occur in no special token or contraction.
 _TAIL = b".,;:!?%*#$&)]}"
-MEMO = 300_000
+_IS_TAIL = np.zeros(256, bool)
+_IS_TAIL[list(_TAIL)] = True
+_IS_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
 
 
 def splits_at_space(spec: dict) -> bool:
@@ -31,6 +35,58 @@ def splits_at_space(spec: dict) -> bool:
     return known and removed and byte and added and model and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
 
 
+class Memo:
+    """Ids of pieces by their 64-bit hash: an open-addressing table over one pool of ids. Emptied when full."""
+
+    def __init__(self, bits: int = 22):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.entry = np.zeros(1 << self.bits, np.int32)
+        self.start = np.zeros(1, np.int64)  # entry 0: no ids
+        self.length = np.zeros(1, np.int32)
+        self.pool = np.zeros(0, np.uint32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 if unknown; hash 0 is entry 0."""
+        out = np.zeros(len(h), np.int32)
+        at = np.flatnonzero(h)
+        slot = (h[at] >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(at):
+            k = self.keys[slot]
+            hit, free = k == h[at], k == 0
+            out[at[hit]] = self.entry[slot[hit]]
+            out[at[free]] = -1
+            go = ~(hit | free)
+            at, slot = at[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Distinct unknown hashes and their ids."""
+        first = len(self.start)
+        n = np.array([len(x) for x in ids], np.int32)
+        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(n) - n])
+        self.length = np.concatenate([self.length, n])
+        self.pool = np.concatenate([self.pool, *ids])
+        left = np.arange(len(h))
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]] = h[left[put]]
+            self.entry[slot[put]] = first + left[put]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left, slot = left[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    @property
+    def full(self) -> bool:
+        return len(self.start) > 1 << (self.bits - 1)
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -41,56 +97,81 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.by_piece = splits_at_space(spec)
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """Ids, as little-endian 32-bit bytes, of pieces that aren't remembered."""
-        heads: dict[bytes, bytes] = {}
-        for p in pieces:
-            h = p.rstrip(_TAIL)
-            # only after an ASCII letter or digit: a pre-token then surely ends there
-            heads[p] = h if h and h != p and (h[-1:].isalnum()) else p
-        wanted = {x for p, h in heads.items() for x in ((h, p[len(h) :]) if h != p else (p,))}
-        wanted = [x for x in wanted if x not in self.new and x not in self.old]
-        known = {w: np.array(ids, np.uint32).tobytes() for w, ids in zip(wanted, self._encode([w.decode("utf-8", "surrogatepass") for w in wanted]))}
-        get = lambda x: known[x] if x in known else self.new.get(x) or self.old.get(x, b"")
-        out = {p: get(p) if h == p else get(h) + get(p[len(h) :]) for p, h in heads.items()}
-        if len(self.new) > MEMO // 2:
-            self.old, self.new = self.new, {}
-        self.new.update(known)
-        self.new.update(out)
+        suffix = spec["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.memo = Memo()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> list[np.ndarray]:
+        """Runs of letters are encoded in one line and cut at the ends of words, others one by one."""
+        plain = [k for k, p in enumerate(pieces) if p.isalpha()]
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = self._encode([" ".join(pieces[k] for k in some)])[0]
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                for k, x in zip(some, np.split(ids, cuts[:-1])):
+                    out[k] = x
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self._encode([pieces[k] for k in rest])):
+            out[k] = x
         return out
 
-    def ids(self, text: bytes) -> np.ndarray:
-        """uint32 ids of one UTF-8 text, without added special tokens."""
+    def _entries(self, col) -> tuple[np.ndarray, np.ndarray]:
+        """Memo entries of the pieces of all rows, and the rows' n+1 offsets into them."""
+        data, offsets = as_bytes(col)
+        starts, ends, rows = words(data, offsets)
+        cut = ends.copy()
+        for _ in range(4):
+            more = _IS_TAIL[data[cut - 1]] & (cut - 1 > starts)
+            if not more.any():
+                break
+            cut -= more
+        # the tail is cut off only after an ASCII letter or digit: a pre-token surely ends there
+        cut = np.where(_IS_ALNUM[data[cut - 1]], cut, ends)
+        h = np.zeros(2 * len(starts), np.uint64)
+        h[0::2] = word_hashes(data, starts, cut, fold=False) | np.uint64(1)
+        tailed = np.flatnonzero(cut < ends)
+        h[2 * tailed + 1] = word_hashes(data, cut[tailed], ends[tailed], fold=False) | np.uint64(1)
+        got = self.memo.find(h)
+        new = np.flatnonzero(got < 0)
+        if len(new):
+            if self.memo.full:
+                self.memo.clear()
+                new = np.flatnonzero(h)
+            known, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            lo, hi = np.stack([starts, cut], 1).ravel(), np.stack([cut, ends], 1).ravel()
+            at = new[first]
+            self.memo.add(known, self._learn([raw[a:b].decode("utf-8") for a, b in zip(lo[at].tolist(), hi[at].tolist())]))
+            got[new] = len(self.memo.start) - len(known) + back.astype(np.int32)
+        return got, 2 * rows
+
+    def encode(self, col) -> tuple[np.ndarray, np.ndarray]:
+        """uint32 ids of all rows of an Arrow string column, without added special tokens, and the rows' n+1 offsets."""
         if not self.by_piece:
-            return np.array(self._encode([text.decode("utf-8")])[0], np.uint32)
-        return np.frombuffer(b"".join(self._parts(text.split())), np.uint32)
-
-    def _parts(self, pieces: list[bytes]) -> list[bytes]:
-        new, old = self.new, self.old
-        try:
-            return [new[p] for p in pieces]
-        except KeyError:
-            pass
-        got = list(map(new.get, pieces))
-        missing = {p for p, g in zip(pieces, got) if g is None}
-        again = {p: old[p] for p in missing if p in old}
-        if again:
-            new.update(again)
-            missing -= again.keys()
-        if missing:
-            again |= self._learn(list(missing))
-        return [again[p] if g is None else g for p, g in zip(pieces, got)]
-
-    def counts(self, texts: list[bytes]) -> list[int]:
+            ids = self._encode([t or "" for t in col.to_pylist()])
+            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        got, rows = self._entries(col)
+        n = self.memo.length[got].astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        some = n > 0
+        where = np.repeat(self.memo.start[got[some]] - upto[:-1][some], n[some])
+        where += np.arange(upto[-1])
+        return self.memo.pool[where], upto[rows]
+
+    def counts(self, col) -> np.ndarray:
         if not self.by_piece:
-            return [len(x) for x in self._encode([t.decode("utf-8") for t in texts])]
-        return [sum(map(len, self._parts(t.split()))) // 4 for t in texts]
+            return np.array([len(x) for x in self._encode([t or "" for t in col.to_pylist()])], np.int64)
+        got, rows = self._entries(col)
+        upto = np.concatenate([[0], np.cumsum(self.memo.length[got], dtype=np.int64)])
+        return np.diff(upto[rows])
 
 
 class PieceEncoder:
@@ -101,11 +182,12 @@ class PieceEncoder:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def ids(self, text: bytes) -> np.ndarray:
-        return np.array(self.model.encode(text.decode("utf-8"), num_threads=1), np.uint32)
+    def encode(self, col) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.model.encode([t or "" for t in col.to_pylist()], num_threads=1)
+        return np.array([i for x in ids for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
 
-    def counts(self, texts: list[bytes]) -> list[int]:
-        return [len(x) for x in self.model.encode([t.decode("utf-8") for t in texts], num_threads=1)]
+    def counts(self, col) -> np.ndarray:
+        return np.diff(self.encode(col)[1])
 
 
 @lru_cache(4)

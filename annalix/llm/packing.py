@@ -142,8 +142,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cap: C
         fresh: list[tuple[object, np.ndarray]] = []
         for b in batches:
             arrow = b.column("doc_id").type
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = np.append(enc.ids((text or "").encode()), np.uint32(end_id))
+            flat, at = enc.encode(b.column("text"))
+            for row, doc in enumerate(b.column("doc_id").to_pylist()):
+                ids = np.append(flat[at[row] : at[row + 1]], np.uint32(end_id))
                 fresh.append((doc, ids))
                 waiting += len(ids)
                 if len(fresh) >= window or waiting >= window_tokens:
