@@ -57,7 +57,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for b in batches:
-            n = enc.counts([(t or "").encode() for t in b.column("text").to_pylist()])
+            n = enc.counts(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("content"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
 
     fresh = texts.select("content", "text").mapInArrow(run, CACHE)
