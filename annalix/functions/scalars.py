@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: White space as Python's str.split() sees it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -23,7 +23,7 @@ def normalised(text: Column, most: int = 2048) -> Column:
     return F.btrim(F.regexp_replace(F.lower(F.substring(text, 1, most)), SPACE + "+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Full Unicode case folding, which differs from lower case."""
     for t in texts:
