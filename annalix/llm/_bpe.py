@@ -9,6 +9,7 @@ are encoded text by text.
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 
@@ -18,6 +19,8 @@ from ._text import as_bytes, word_hashes, words
 
 #: Characters that always end a run of letters and occur in no special token or contraction.
 _TAIL = b".,;:!?%*#$&)]}"
+#: Pieces learned at a time.
+LEARN = 8192
 _IS_TAIL = np.zeros(256, bool)
 _IS_TAIL[list(_TAIL)] = True
 _IS_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
@@ -38,7 +41,7 @@ def splits_at_space(spec: dict) -> bool:
 class Memo:
     """Ids of pieces by their 64-bit hash: an open-addressing table over one pool of ids. Emptied when full."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 20):
         self.bits = bits
         self.clear()
 
@@ -48,6 +51,7 @@ class Memo:
         self.start = np.zeros(1, np.int64)  # entry 0: no ids
         self.length = np.zeros(1, np.int32)
         self.pool = np.zeros(0, np.uint32)
+        self.used = 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 if unknown; hash 0 is entry 0."""
@@ -67,9 +71,13 @@ class Memo:
         """Distinct unknown hashes and their ids."""
         first = len(self.start)
         n = np.array([len(x) for x in ids], np.int32)
-        self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(n) - n])
+        self.start = np.concatenate([self.start, self.used + np.cumsum(n) - n])
         self.length = np.concatenate([self.length, n])
-        self.pool = np.concatenate([self.pool, *ids])
+        fresh = np.concatenate(ids)
+        if self.used + len(fresh) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(fresh), self.used // 2), np.uint32)])
+        self.pool[self.used : self.used + len(fresh)] = fresh
+        self.used += len(fresh)
         left = np.arange(len(h))
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(left):
@@ -89,6 +97,7 @@ class Memo:
 
 class Encoder:
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -146,11 +155,12 @@ class Encoder:
                 self.memo.clear()
                 new = np.flatnonzero(h)
             known, first, back = np.unique(h[new], return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            lo, hi = np.stack([starts, cut], 1).ravel(), np.stack([cut, ends], 1).ravel()
-            at = new[first]
-            self.memo.add(known, self._learn([raw[a:b].decode("utf-8") for a, b in zip(lo[at].tolist(), hi[at].tolist())]))
-            got[new] = len(self.memo.start) - len(known) + back.astype(np.int32)
+            before = len(self.memo.start)
+            lo, hi = np.stack([starts, cut], 1).ravel()[new[first]], np.stack([cut, ends], 1).ravel()[new[first]]
+            for k in range(0, len(known), LEARN):
+                pieces = [data[a:b].tobytes().decode("utf-8") for a, b in zip(lo[k : k + LEARN].tolist(), hi[k : k + LEARN].tolist())]
+                self.memo.add(known[k : k + LEARN], self._learn(pieces))
+            got[new] = before + back.astype(np.int32)
         return got, 2 * rows
 
     def encode(self, col) -> tuple[np.ndarray, np.ndarray]:

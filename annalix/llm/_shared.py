@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of Arrow data handed to a Python worker at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,8 +21,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/annalix/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/annalix/{name}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables; results that still read them must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -36,6 +47,45 @@ def arrow_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def _libc():
+    import ctypes
+
+    with contextlib.suppress(OSError):
+        return ctypes.CDLL("libc.so.6")
+    return None
+
+
+def steady_memory() -> None:
+    """Large arrays get memory of their own, which goes back to the system when they go (glibc only)."""
+    libc = _libc()
+    if libc is not None and hasattr(libc, "mallopt"):
+        for option, value in ((-3, 1 << 20), (-1, 4 << 20), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            libc.mallopt(option, value)
+
+
+def trim() -> None:
+    """Gives memory that Python and Arrow no longer use back to the system: workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = _libc()
+    if libc is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(run):
+    """A function for mapInArrow that keeps its worker small."""
+
+    def wrapped(batches):
+        steady_memory()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def held_out(doc_id="doc_id"):
     """crc32 of the id as text, modulo 3, is 1. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 3 == 1

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import arrow_batches
+from ._shared import arrow_batches, tidy
 from ._text import minhash, minhash_params, shingle_column
 
 
@@ -161,7 +161,7 @@ def find(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFra
                     ["doc_id", "item_id", "shared", "item_shingles", "containment"],
                 )
 
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {d}, item_id {i}, shared long, item_shingles long, containment double")
+        part = docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {d}, item_id {i}, shared long, item_shingles long, containment double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -182,5 +182,5 @@ def clean(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFr
                         free[row] = False
                 yield b.filter(pa.array(free))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(tidy(run), schema)
     return docs

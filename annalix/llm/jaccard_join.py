@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import arrow_batches, materialise
+from ._shared import arrow_batches, materialise, tidy
 from ._text import digest128, minhash, minhash_params, mix, shingle_column
 from .components import components
 
@@ -256,14 +256,14 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row for each row of docs: (doc_id, key, node, class_id, first, n_links).
 
     key is xxhash64 of the text and node the digest of the shingles (null: none). class_id is the least
-    id in the row's component of links (its own id if it has no link). first is true for the rows whose
+    id in the row's component of links (its own id if it has no link; a null id is least of all). first is true for the rows whose
     (doc_id, key) is the least of the class. n_links counts the other rows it is linked to.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    rows = materialise(keyed.mapInArrow(_profile(s), f"doc_id {kind}, key long, node binary, n long, buckets array<long>, sig binary"), "profiles")
+    rows = materialise(keyed.mapInArrow(tidy(_profile(s)), f"doc_id {kind}, key long, node binary, n long, buckets array<long>, sig binary"), "profiles")
 
     own = F.struct("doc_id", "key")
     classes = rows.filter("node is not null").groupBy("node").agg(
@@ -275,7 +275,7 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     full = met.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     met = _blocked(met.join(full, "bucket"), F.ceil(F.col("size") / s.bucket_block)).select("bucket", "bi", "bj", "block", "node", "sig")
     met = met.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    near = components(met.mapInArrow(_prune(s), "a binary, b binary"))
+    near = components(met.mapInArrow(tidy(_prune(s)), "a binary, b binary"))
 
     near = materialise(near.join(classes.drop("buckets"), "node").select("component", "node", "rep", "copies", "n", "sig"), "near")
     sizes = near.groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("weight"))
@@ -283,11 +283,11 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     if 64 * near.count() <= s.broadcast_bytes:
         reps = F.broadcast(reps)
     texts = keyed.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("node", "text").dropDuplicates(["node"])
-    sets = texts.mapInArrow(_sets, "node binary, set binary")
+    sets = texts.mapInArrow(tidy(_sets), "node binary, set binary")
     near = near.join(sizes, "component").withColumnRenamed("component", "comp").withColumn("parts", F.ceil(F.greatest(F.col("many") / s.block, F.col("weight") / s.block_shingles)))
     pairs = _blocked(near.join(sets, "node"), F.col("parts")).select("comp", "bi", "bj", "block", "node", "copies", "sig", "set")
     pairs = pairs.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "block", "node")
-    found = materialise(pairs.mapInArrow(_verify(s), "node binary, root binary, links long"), "links")
+    found = materialise(pairs.mapInArrow(tidy(_verify(s)), "node binary, root binary, links long"), "links")
 
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -304,6 +304,10 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
 
 
+#: Names that documents won't have.
+_ID, _KEY = "__near_copy_id", "__near_copy_key"
+
+
 def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of docs without all but one row of each component of links; columns as in docs.
 
@@ -311,16 +315,16 @@ def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     text come several times, one of those rows stays.
     """
     made = materialise(link(docs, s), "linked")
-    gone = made.filter("not first").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    again = made.filter("first and node is not null").groupBy("doc_id", "key").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    gone = made.filter("not first").select(F.col("doc_id").alias(_ID), F.col("key").alias(_KEY))
+    again = made.filter("first and node is not null").groupBy("doc_id", "key").count().filter("count > 1").select(F.col("doc_id").alias(_ID), F.col("key").alias(_KEY))
 
     def checked(keys: DataFrame) -> DataFrame:
         return F.broadcast(keys) if 32 * keys.count() <= s.broadcast_bytes else keys
 
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col(_ID)) & (F.xxhash64("text") == F.col(_KEY))
     kept = docs.join(checked(gone), same, "left_anti")
     again = materialise(again, "again")
     if again.isEmpty():
         return kept
-    once = kept.join(checked(again), same, "left_semi").withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    once = kept.join(checked(again), same, "left_semi").withColumn(_KEY, F.xxhash64("text")).dropDuplicates(["doc_id", _KEY]).drop(_KEY)
     return kept.join(checked(again), same, "left_anti").unionByName(once)

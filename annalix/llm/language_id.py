@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ._shared import arrow_batches
+from ._shared import arrow_batches, tidy
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = 1500, max_langs: int =
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))])
     drawn = (F.xxhash64("text") % 1_000_003 + 1_000_003) % 1_000_003 / F.lit(1_000_003.0)
     sample = known.filter(drawn < F.coalesce(F.try_element_at(share, "lang"), F.lit(-1.0))).select("lang", "text")
-    got = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = sample.mapInArrow(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(got["lang"].unique()))
     counts, prior = np.full((BUCKETS, len(langs)), alpha), np.zeros(len(langs))
     for k, lang in enumerate(langs):
@@ -139,9 +139,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             names, scores = shared.value.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores)], [*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is known with a posterior of ``least`` or more; columns as in docs."""
-    return identify(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    arrow_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, scores = shared.value.predict(b.column("text").to_pylist())
+            yield b.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores)], pa.bool_()))
+
+    return docs.mapInArrow(tidy(run), docs.schema)

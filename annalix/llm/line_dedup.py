@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import arrow_batches, materialise
+from ._shared import arrow_batches, materialise, tidy
 
 SPACES = b" \t\n\x0b\x0c\r"
 KEY = np.dtype([("hi", ">u8"), ("lo", ">u8")])
@@ -50,6 +50,7 @@ def line_keys(text: bytes, s: Settings) -> tuple[list[bytes], np.ndarray]:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
+    x = np.atleast_1d(x)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
@@ -100,7 +101,7 @@ class Cuckoo:
         for kick in range(500):
             slot = (kick * 7 + int(mark)) & 3
             mark, self.table[bucket, slot] = self.table[bucket, slot], mark
-            bucket = int(self.other(np.int64(bucket), mark))
+            bucket = int(self.other(np.int64(bucket), mark)[0])
             free = np.flatnonzero(self.table[bucket] == 0)
             if len(free):
                 self.table[bucket, free[0]] = mark
@@ -199,7 +200,7 @@ class LineStore:
 
     def _log(self, docs: DataFrame, sign: int) -> None:
         s = self.settings
-        keys = docs.select("text").mapInArrow(lambda it: _keys_of(it, s), "hi long, lo long")
+        keys = docs.select("text").mapInArrow(tidy(lambda it: _keys_of(it, s)), "hi long, lo long")
         counts = keys.groupBy("hi", "lo").agg((F.count("*") * sign).alias("n"))
         counts.write.mode("append").parquet(f"{self.path}/log")
 
@@ -250,7 +251,7 @@ class LineStore:
             for b in batches:
                 yield b.filter(pa.array(shared.value.has(_as_keys(b.column("hi"), b.column("lo")))))
 
-        wrong = counts.filter(F.col("n") < s.least_docs).select("hi", "lo").mapInArrow(errors, "hi long, lo long")
+        wrong = counts.filter(F.col("n") < s.least_docs).select("hi", "lo").mapInArrow(tidy(errors), "hi long, lo long")
         wrong = wrong.limit(s.filter_bytes // 16 + 1).toPandas()
         if 16 * len(wrong) > s.filter_bytes:
             return None
@@ -289,7 +290,7 @@ class LineStore:
                 flat = np.concatenate(own) if own else np.zeros(0, KEY)
                 yield pa.RecordBatch.from_arrays([pa.array(owner, pa.binary()), pa.array(flat["hi"].astype(np.uint64).view(np.int64)), pa.array(flat["lo"].astype(np.uint64).view(np.int64))], ["text_key", "hi", "lo"])
 
-        lines = docs.select(text_key(), "text").mapInArrow(keyed, "text_key binary, hi long, lo long")
+        lines = docs.select(text_key(), "text").mapInArrow(tidy(keyed), "text_key binary, hi long, lo long")
         hot = lines.join(self.frequent(), ["hi", "lo"], "left_semi")
         return hot.groupBy("text_key").agg(F.collect_set(F.struct("hi", "lo")).alias("keys"))  # at most the text's lines
 
@@ -307,21 +308,21 @@ class LineStore:
                         hit = shared.value.has(np.concatenate(keys))
                         yield run_on(b, lines, np.split(hit, np.cumsum([len(k) for k in keys])[:-1]))
 
-            return docs.mapInArrow(run, schema)
+            return docs.mapInArrow(tidy(run), schema)
         hot = self._texts_with(docs)
-        joined = docs.withColumn("_line_key", text_key()).join(hot.select(F.col("text_key").alias("_line_key"), F.col("keys").alias("_line_hot")), "_line_key", "left").drop("_line_key")
+        joined = docs.withColumn("__line_key", text_key()).join(hot.select(F.col("text_key").alias("__line_key"), F.col("keys").alias("__line_hot")), "__line_key", "left").drop("__line_key")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 lines, masks = [], []
-                for t, hot in zip(b.column("text").to_pylist(), b.column("_line_hot").to_pylist()):
+                for t, hot in zip(b.column("text").to_pylist(), b.column("__line_hot").to_pylist()):
                     own_lines, keys = line_keys((t or "").encode(), s)
                     own = _as_keys([k["hi"] for k in hot or ()], [k["lo"] for k in hot or ()])
                     lines.append(own_lines)
                     masks.append(np.isin(keys.view("V16"), own.view("V16")))
-                yield run_on(b.drop_columns(["_line_hot"]), lines, masks)
+                yield run_on(b.drop_columns(["__line_hot"]), lines, masks)
 
-        return joined.mapInArrow(run, schema)
+        return joined.mapInArrow(tidy(run), schema)
 
     def report(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_lines, n_dropped, kept_sha256) of every row."""

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ._bpe import encoder
-from ._shared import arrow_batches
+from ._shared import arrow_batches, tidy
 
 
 @dataclass(frozen=True)
@@ -155,4 +155,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cap: C
             load(fresh)
             yield emit(packer.pack(leave=0))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from ._shared import arrow_batches
+from ._shared import arrow_batches, tidy
 from ._text import as_bytes, shingles, word_hashes, words
 
 SYMBOLS = np.zeros(256, bool)
@@ -125,7 +125,7 @@ def measure(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
             got = figures(b, bands, packer)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, got.values())], ["doc_id", *got])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {FIGURES}")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, {FIGURES}")
 
 
 def apply_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
@@ -137,4 +137,4 @@ def apply_rules(docs: DataFrame, bands: Bands = Bands()) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(figures(b, bands, packer)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

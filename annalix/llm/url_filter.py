@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import arrow_batches
+from ._shared import arrow_batches, tidy
 
 TOKEN = re.compile(r"[a-z0-9]+")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -123,7 +123,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[HostRule | Pattern], rule_bytes
                 ["page_id", "host", "path", "rule", "verdict"],
             )
 
-    return pages.select("page_id", "url").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
+    return pages.select("page_id", "url").mapInArrow(tidy(run), f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
 #: The host and path rules of the task.
