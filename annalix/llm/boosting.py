@@ -75,10 +75,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: fl
 
 
 def threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The least score from which on held-out rows reach the precision (1.1: never)."""
+    """A score from which on held-out rows reach the precision (1.1: none). It lies halfway between the last row that is in and the next."""
     order = np.argsort(-p, kind="stable")
+    s = p[order]
     right = np.cumsum(y[order])
     ok = right / np.arange(1, len(order) + 1) >= precision
-    last = np.append(p[order][1:] != p[order][:-1], True)  # equal scores go together
+    last = np.append(s[1:] != s[:-1], True)  # equal scores go together
     ok = np.flatnonzero(ok & last)
-    return float(p[order][ok[-1]]) if len(ok) else 1.1
+    if not len(ok):
+        return 1.1
+    k = ok[-1]
+    return float(s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2

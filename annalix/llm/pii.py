@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import boosting
-from ._shared import arrow_batches
+from ._shared import arrow_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -76,7 +76,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 _AT = re.compile(r"[\[({<]\s?at\s?[\])}>]|\(@\)|\[@\]", re.I)
 _SPOKEN = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?\Z")
 _HOST = re.compile(r" ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({<]\s?dot\s?[\])}>] ?)[A-Za-z0-9-]{1,63}){1,5}", re.I)
-_NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]{0,2}[0-9](?:[ ().,/:-]{0,2}[0-9]){5,24}(?![0-9A-Za-z])")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]{0,2}[0-9](?:[ ().,/:-]{0,3}[0-9]){5,24}(?![0-9A-Za-z])")
 _GROUPS = re.compile(r"[0-9]+")
 
 
@@ -166,7 +166,7 @@ class Model:
         return out
 
 
-def train(texts: list[str], precision: float = 0.99, seed: int = 5) -> Model:
+def train(texts: list[str], precision: float = 0.98, rewrites: int = 8, seed: int = 5) -> Model:
     draw = random.Random(seed)
     x, y, kinds = [], [], []
 
@@ -179,10 +179,10 @@ def train(texts: list[str], precision: float = 0.99, seed: int = 5) -> Model:
         base = base_spans(text)
         for start, kind, end in base:
             k = KINDS.index(kind)
-            good, bad = _rewritten(k, text[start:end], draw)
             if k:
                 example(text, start, end, k, 1)
-            for form, label in ((good, 1), (bad, 0)):
+            forms = [f for _ in range(rewrites) for f in zip(_rewritten(k, text[start:end], draw), (1, 0))]
+            for form, label in forms:
                 other = text[max(0, start - 40) : start] + form + text[end : end + 40]
                 lo = min(start, 40)
                 for a, b, c in candidates(other):
@@ -234,7 +234,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
             sha = pa.array([hashlib.sha256(as_text(o).encode()).hexdigest() for o in base], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, sha, pa.array(map(as_text, both), pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
@@ -257,4 +257,4 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
                     texts[i] = "".join(parts) + whole[i][done:]
             yield b.set_column(b.schema.get_field_index("text"), b.schema.field("text"), pa.array(texts, b.schema.field("text").type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
