@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._bpe import encoder, file_digest, splits_at_space
-from ._shared import arrow_batches, materialise
+from ._shared import arrow_batches, materialise, tidy
 
 CACHE = "content binary, tokenizer string, n_tokens long"
 
@@ -34,7 +34,7 @@ def cached(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     return stored.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 2048, hot_rows: int = 32) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 2048) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of each row of docs; misses are encoded and stored first."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -49,7 +49,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     rows = materialise(keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
 
     store = cached(spark, cache_path, version)
-    missing = rows.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).join(store, "content", "left_anti")
+    missing = rows.groupBy("content").agg(F.min("doc_id").alias("rep")).join(store, "content", "left_anti")
     missing = missing.select(F.col("content").alias("want"), "rep")
     # One row a digest goes on: the text of its least id (an id that repeats is encoded that often and stored once).
     texts = keyed.join(missing, (F.col("content") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -60,8 +60,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
             n = enc.counts(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("content"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
 
-    fresh = texts.select("content", "text").mapInArrow(run, CACHE)
+    fresh = texts.select("content", "text").mapInArrow(tidy(run), CACHE)
     fresh.write.mode("append").parquet(cache_path)
 
-    found = rows.join(cached(spark, cache_path, version), "content", "left")
+    counts = materialise(cached(spark, cache_path, version), "counts")  # a plain table on either side: a hot digest's rows can be split
+    found = rows.join(counts, "content", "left")
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
