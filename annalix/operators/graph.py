@@ -127,7 +127,7 @@ def dense_solve(a: np.ndarray, b: np.ndarray, lim: Limits) -> Solved:
         x = np.linalg.solve(a, b)
     except np.linalg.LinAlgError:
         return Solved("SINGULAR", None, None)
-    error, condition = backward_error(a, x, b), float(np.linalg.cond(a, 1))
+    error, condition = backward_error(a, x, b), float(np.linalg.cond(a))
     good = np.isfinite(x).all() and error <= lim.error and condition < lim.condition
     return Solved("CONVERGED" if good else "ILL_CONDITIONED", x if condition < 100 * lim.condition else None, None, error)
 

@@ -52,3 +52,37 @@ def encrypt(text: Column, table: str, column: str, key: Column, secret: Column,
 
 def decrypt(cell: Column, table: str, column: str, key: Column, secret: Column) -> Column:
     return F.aes_decrypt(F.unbase64(cell), secret, F.lit("GCM"), F.lit("DEFAULT"), F.concat_ws("\0", F.lit(table), F.lit(column), key)).cast("string")
+
+
+def swap_pointers(pointers: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(session, snapshot_id, expected, outcome) of proposals to move pointers: of those that expect the current version the first by id wins."""
+    current = pointers.select("session", F.col("pointer_version").alias("current"))
+    joined = proposals.join(current, "session", "left").withColumn("fits", F.col("expected") == F.coalesce("current", F.lit(0)))
+    first = F.row_number().over(Window.partitionBy("session", "fits").orderBy("snapshot_id"))
+    return joined.select("session", "snapshot_id", "expected", F.when(F.col("fits") & (first == 1), "COMMITTED").otherwise("SUPERSEDED").alias("outcome"))
+
+
+def publish(pointers: DataFrame, proposals: DataFrame, reports: DataFrame) -> DataFrame:
+    """The same for audited candidates: one whose report didn't pass is REJECTED and takes no part."""
+    passed = proposals.join(reports.filter("passed").select("session"), "session", "left_semi")
+    rest = proposals.join(reports.filter("passed").select("session"), "session", "left_anti")
+    return swap_pointers(pointers, passed).unionByName(rest.select("session", "snapshot_id", "expected", F.lit("REJECTED").alias("outcome")))
+
+
+def new_snapshots(stored: DataFrame, committed: DataFrame) -> DataFrame:
+    """Committed snapshots to append: those of sessions and ends that have none."""
+    return committed.join(stored.select("session", "covered_event_end"), ["session", "covered_event_end"], "left_anti")
+
+
+def pending_migrations(known: DataFrame, applied: DataFrame) -> DataFrame:
+    """(version, state) of schema steps (version, checksum): APPLIED, PENDING, CHANGED, or UNKNOWN for one we don't know."""
+    both = known.join(applied.select("version", F.col("checksum").alias("stored")), "version", "full_outer")
+    state = F.when(F.col("checksum").isNull(), "UNKNOWN").when(F.col("stored").isNull(), "PENDING").when(F.col("stored") == F.col("checksum"), "APPLIED").otherwise("CHANGED")
+    return both.select("version", state.alias("state"))
+
+
+def rekey(cells: DataFrame, table: str, column: str, key: str, old: Column, new: Column) -> DataFrame:
+    """Every cell decrypted with the old secret and encrypted with the new, in one pass; the iv follows from key and cell."""
+    text = decrypt(F.col(column), table, column, F.col(key), old)
+    iv = F.unhex(F.substring(F.sha2(F.concat_ws("\0", F.col(key), F.col(column)), 256), 1, 24))
+    return cells.withColumn(column, encrypt(text, table, column, F.col(key), new, iv))

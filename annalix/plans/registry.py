@@ -30,6 +30,7 @@ def _load() -> None:
     from . import (  # noqa: F401
         aggregation_queries,
         composite_queries,
+        extension_queries,
         graph_queries,
         join_queries,
         mutation_queries,
