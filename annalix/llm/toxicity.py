@@ -3,7 +3,7 @@
 Words are runs of bytes other than ASCII space and punctuation, A-Z as a-z. A word's features are hashes
 of itself, of its first four and five bytes, and of its neighbours; there are two states. Only documents
 are labelled, so token labels come first: in toxic training documents a word counts as toxic if it, or
-its beginning, is far more frequent in toxic than in clean training documents. The field is fitted on
+its beginning, is significantly more frequent in toxic than in clean training documents. The field is fitted on
 those tags by gradient ascent. A text's marginals (forward-backward, in chains of ``CHAIN`` words) give
 the largest and the expected number of toxic words, from which a logistic curve, fitted on other
 training documents, makes the score; words with a marginal of 0.5 or more are reported as spans.
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import arrow_batches
+from ._shared import arrow_batches, steady_memory, tidy, trim
 from ._text import as_bytes, word_hashes, words
 
 CHAIN = 64
@@ -65,13 +65,11 @@ class Field:
         out = np.zeros((len(start), CHAIN), np.float64)
         at = start[:, None] + np.arange(CHAIN)
         inside = np.arange(CHAIN) < length[:, None]
-        word = self.own[f].sum(1) + self.bias
-        before, after = self.left[f[:, 0]], self.right[f[:, 0]]
-        out[inside] = word[at[inside]]
+        out[inside] = self.own[f[at[inside]]].sum(1) + self.bias
         later = inside & (np.arange(CHAIN) > 0)
-        out[later] += before[at[later] - 1]
+        out[later] += self.left[f[at[later] - 1, 0]]
         sooner = inside & (np.arange(CHAIN) < length[:, None] - 1)
-        out[sooner] += after[at[sooner] + 1]
+        out[sooner] += self.right[f[at[sooner] + 1, 0]]
         return out
 
     def messages(self, odds: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,58 +103,75 @@ class Field:
         return out
 
 
-def fit_field(f: np.ndarray, rows: np.ndarray, tags: np.ndarray, rounds: int = 60, rate: float = 0.3, l2: float = 1e-4, seed: int = 3) -> Field:
-    """Adam on the log-likelihood; chains without a toxic word are thinned to five times those with one."""
+def fit_field(f: np.ndarray, rows: np.ndarray, tags: np.ndarray, rounds: int = 40, rate: float = 0.3, l2: float = 2e-4, l2_near: float = 5e-3, slice_: int = 2048, most_chains: int = 40_000, seed: int = 3) -> Field:
+    """Adam on the log-likelihood; chains without a toxic word are thinned to five times those with one.
+
+    At most about ``most_chains`` chains take part, a third of them with a toxic word.
+
+    Neighbours' weights are held closer to zero (``l2_near``): most neighbours of a toxic word are there by chance.
+    """
     start, length = _chains(rows)
     hit = np.array([tags[s : s + n].any() for s, n in zip(start, length)])
     draw = np.random.default_rng(seed)
-    keep = hit | (draw.random(len(hit)) < min(1.0, (5 * hit.sum() + 200) / max(1, (~hit).sum())))
+    want = {True: most_chains // 3, False: min(2 * most_chains // 3, 5 * int(hit.sum()) + 200)}
+    chance = np.where(hit, want[True] / max(1, hit.sum()), want[False] / max(1, (~hit).sum()))
+    keep = draw.random(len(hit)) < chance
     start, length = start[keep], length[keep]
-    inside = np.arange(CHAIN) < length[:, None]
-    at = (start[:, None] + np.arange(CHAIN))[inside]
-    later = inside & (np.arange(CHAIN) > 0)
-    sooner = inside & (np.arange(CHAIN) < length[:, None] - 1)
-    y = np.zeros(inside.shape)
-    y[inside] = tags[at]
-    pairs = later.sum()
-    seen = np.array([[((y[:, :-1] == i) & (y[:, 1:] == j) & later[:, 1:]).sum() for j in (0, 1)] for i in (0, 1)], float)
+    step_ = np.arange(CHAIN)
+    parts = []  # what a slice of chains needs in every round
+    for i in range(0, len(start), slice_):
+        n, grid = length[i : i + slice_], start[i : i + slice_, None] + step_
+        inside, later, sooner = step_ < n[:, None], (step_ < n[:, None]) & (step_ > 0), step_ < n[:, None] - 1
+        y = np.zeros(inside.shape)
+        y[inside] = tags[grid[inside]]
+        parts.append((start[i : i + slice_], n, f[grid[inside]], f[grid[later] - 1, 0], f[grid[sooner] + 1, 0], inside, later, sooner, y))
+    pairs = max(1, sum(int(p[6].sum()) for p in parts))
     flat = np.zeros(3 * SIZE + 5)
     m, v = np.zeros_like(flat), np.zeros_like(flat)
-    grid = start[:, None] + np.arange(CHAIN)
+    ridge = np.full_like(flat, l2)
+    ridge[SIZE : 3 * SIZE] = l2_near
     for k in range(1, rounds + 1):
         field = Field(flat[:SIZE], flat[SIZE : 2 * SIZE], flat[2 * SIZE : 3 * SIZE], float(flat[-1]), flat[3 * SIZE : 3 * SIZE + 4].reshape(2, 2))
-        psi, a, b = field.messages(field.odds(f, start, length), length)
-        p = a * b
-        p = p[:, :, 1] / p.sum(2)
-        diff = np.where(inside, y - p, 0.0)
         t = np.exp(field.step)
-        joint = a[:, :-1, :, None] * t * (psi * b)[:, 1:, None, :]
-        joint /= joint.sum((2, 3), keepdims=True)
-        expected = (joint * later[:, 1:, None, None]).sum((0, 1))
         grad = np.zeros_like(flat)
-        for c in range(f.shape[1]):
-            grad[:SIZE] += np.bincount(f[at, c], diff[inside], SIZE)
-        grad[SIZE : 2 * SIZE] = np.bincount(f[grid[later] - 1, 0], diff[later], SIZE)
-        grad[2 * SIZE : 3 * SIZE] = np.bincount(f[grid[sooner] + 1, 0], diff[sooner], SIZE)
-        grad[3 * SIZE : 3 * SIZE + 4] = ((seen - expected) / max(1, pairs) * len(start)).ravel()
-        grad[-1] = diff.sum() / 10
-        grad = grad / max(1, len(start)) - l2 * flat
+        for s, n, own, before, after, inside, later, sooner, y in parts:
+            psi, a, b = field.messages(field.odds(f, s, n), n)
+            p = a * b
+            diff = np.where(inside, y - p[:, :, 1] / p.sum(2), 0.0)
+            joint = a[:, :-1, :, None] * t * (psi * b)[:, 1:, None, :]
+            joint /= joint.sum((2, 3), keepdims=True)
+            hot = np.stack([1 - y, y], 2)
+            seen = hot[:, :-1, :, None] * hot[:, 1:, None, :]
+            grad[3 * SIZE : 3 * SIZE + 4] += (((seen - joint) * later[:, 1:, None, None]).sum((0, 1)) / pairs * len(start)).ravel()
+            for c in range(f.shape[1]):
+                grad[:SIZE] += np.bincount(own[:, c], diff[inside], SIZE)
+            grad[SIZE : 2 * SIZE] += np.bincount(before, diff[later], SIZE)
+            grad[2 * SIZE : 3 * SIZE] += np.bincount(after, diff[sooner], SIZE)
+            grad[-1] += diff.sum() / 10
+        grad = grad / max(1, len(start)) - ridge * flat
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         flat = flat + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
     return Field(*(x.astype(np.float32) for x in (flat[:SIZE], flat[SIZE : 2 * SIZE], flat[2 * SIZE : 3 * SIZE])), float(flat[-1]), flat[3 * SIZE : 3 * SIZE + 4].reshape(2, 2))
 
 
-def tag(f: np.ndarray, rows: np.ndarray, toxic: np.ndarray, least_docs: int = 4, least_odds: float = 3.0) -> np.ndarray:
-    """Token labels from document labels: features far more frequent in toxic documents."""
+def tag(f: np.ndarray, rows: np.ndarray, toxic: np.ndarray, chance: float = 1.0) -> np.ndarray:
+    """Token labels from document labels: words with a feature that toxic documents have far more often.
+
+    Far more: by a likelihood-ratio test whose level lets about ``chance`` features in all through by chance.
+    """
     doc = np.repeat(np.arange(len(toxic)), np.diff(rows))
     out = np.zeros(len(f), bool)
-    n = np.array([max(1, (toxic == k).sum()) for k in (0, 1)], float)
+    n = [max(1, int((toxic == k).sum())) for k in (0, 1)]
+    share = n[1] / (n[0] + n[1])
     for c in range(f.shape[1]):
         pair = np.unique(doc.astype(np.int64) * SIZE + f[:, c])
         d, bucket = pair // SIZE, pair % SIZE
-        with_, without = (np.bincount(bucket[toxic[d] == k], minlength=SIZE) for k in (1, 0))
-        odds = np.log((with_ + 0.5) / (n[1] + 1)) - np.log((without + 0.5) / (n[0] + 1))
-        out |= ((with_ >= least_docs) & (odds >= least_odds))[f[:, c]]
+        a, b = (np.bincount(bucket[toxic[d] == k], minlength=SIZE) for k in (1, 0))
+        both = np.maximum(a + b, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = 2 * (np.nan_to_num(a * np.log(a / (both * share))) + np.nan_to_num(b * np.log(b / (both * (1 - share)))))
+        level = 2 * np.log(max(2, ((a + b) > 0).sum()) * f.shape[1] / chance)
+        out |= ((ratio >= level) & (a / n[1] > 4 * b / n[0]))[f[:, c]]
     return out & (toxic[doc] == 1)
 
 
@@ -187,6 +202,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     y = np.array(toxic, int)
     if not len(y) or y.min() == y.max():
         return Model(None, (0.0, 0.0, 0.0))
+    steady_memory()
     f, _, _, rows = tokens(pa.array(texts, pa.string()))
     field = fit_field(f, rows, tag(f, rows, y))
     model = Model(field, (0.0, 0.0, 0.0))
@@ -199,22 +215,23 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         grad = x.T @ (weight * (y - p)) - 0.01 * w
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(3)
         w = w + np.linalg.solve(hess, grad)
+    trim()
     return Model(field, tuple(w.tolist()))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 1200, most_bytes: int = 30_000) -> Model:
-    """On at most about ``per_label`` documents a label, drawn by a hash of the id from the usable labelled ones.
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 1000, most_bytes: int = 30_000) -> Model:
+    """On about ``per_label`` toxic and three times as many clean documents, drawn by a hash of the id from the usable labelled ones.
 
-    Texts of more than ``most_bytes`` are not learned from, which bounds the sample to 2 * per_label * most_bytes.
+    Texts of more than ``most_bytes`` are not learned from, which bounds the sample to 4 * per_label * most_bytes.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(usable)
     sizes = {r[0]: r[1] for r in known.filter("toxic in (0, 1)").groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model(None, (0.0, 0.0, 0.0))
-    share = F.when(F.col("toxic") == 1, per_label / sizes[1]).otherwise(per_label / sizes[0])
+    share = F.when(F.col("toxic") == 1, per_label / sizes[1]).otherwise(3 * per_label / sizes[0])
     known = known.filter("toxic in (0, 1)").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003 < share)
     short = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id", "text")
-    rows = short.join(F.broadcast(known), "doc_id").limit(4 * per_label).collect()  # known has about 2 * per_label ids
+    rows = short.join(F.broadcast(known), "doc_id").limit(6 * per_label).collect()  # known has about 4 * per_label ids
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
@@ -238,4 +255,4 @@ def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
                     out[row].append(f"{lead[starts[k]] - base}:{lead[ends[k]] - base}")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got), pa.array(map(",".join, out), pa.string())], ["doc_id", "score", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double, spans string")
