@@ -20,7 +20,7 @@ from ._text import as_bytes, word_hashes, words
 #: Characters that always end a run of letters and occur in no special token or contraction.
 _TAIL = b".,;:!?%*#$&)]}"
 #: Pieces learned at a time.
-LEARN = 8192
+LEARN = 16384
 _IS_TAIL = np.zeros(256, bool)
 _IS_TAIL[list(_TAIL)] = True
 _IS_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
@@ -41,7 +41,7 @@ def splits_at_space(spec: dict) -> bool:
 class Memo:
     """Ids of pieces by their 64-bit hash: an open-addressing table over one pool of ids. Emptied when full."""
 
-    def __init__(self, bits: int = 20):
+    def __init__(self, bits: int = 21):
         self.bits = bits
         self.clear()
 
