@@ -13,9 +13,11 @@ BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share; a temporary one only where a local session names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("annalix.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="annalix-")
         spark.conf.set("annalix.shared.dir", where)
     return where.rstrip("/")

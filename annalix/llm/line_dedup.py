@@ -222,11 +222,11 @@ class LineStore:
         return self.counts().filter(F.col("n") >= self.settings.least_docs).select("hi", "lo")
 
     def filters(self) -> Filters | None:
-        """None if they are larger than ``filter_bytes`` (8 bytes a key, checked before anything is gathered)."""
+        """None if they are larger than ``filter_bytes`` (10 bytes a key at most, checked before anything is gathered)."""
         s = self.settings
         counts = materialise(self.counts(), "line-counts")
         keys = counts.filter(F.col("n") >= s.least_docs).select("hi", "lo")
-        if 8 * keys.count() > s.filter_bytes:
+        if 10 * keys.count() > s.filter_bytes:
             return None
         n = s.shards
 
@@ -266,7 +266,7 @@ class LineStore:
         after = materialise(self.counts(), "line-counts")
         was, now = (x.filter(F.col("n") >= s.least_docs).select("hi", "lo") for x in (before, after))
         come, go = now.join(was, ["hi", "lo"], "left_anti"), was.join(now, ["hi", "lo"], "left_anti")
-        if 16 * (come.count() + go.count()) > s.filter_bytes or 8 * now.count() > s.filter_bytes:
+        if 16 * (come.count() + go.count()) > s.filter_bytes or 10 * now.count() > s.filter_bytes:
             return self.filters()
         try:
             for keys, take_out in ((go.toPandas(), True), (come.toPandas(), False)):
