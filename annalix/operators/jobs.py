@@ -39,8 +39,8 @@ def claim(jobs: DataFrame, worker: str, now: str, until: str) -> DataFrame:
     """The oldest eligible job whose intent is not yet covered is leased; covered ones that are older are cancelled."""
     can = eligible(now)
     ranked = jobs.filter(can).select("job_id", "created_at", (F.col("intent") > F.col("base_coverage")).alias("due"))
-    winner = ranked.filter("due").orderBy("created_at", "job_id").limit(1).select(F.col("job_id").alias("won"), F.col("created_at").alias("won_at"))
-    rows = jobs.join(F.broadcast(winner), F.lit(True), "left")  # the winner is one row
+    winner = ranked.filter("due").orderBy("created_at", "job_id").limit(1).select(F.col("job_id").alias("won"), F.col("created_at").alias("won_at"), "due")
+    rows = jobs.withColumn("can", can).join(F.broadcast(winner), F.col("can") == F.col("due"), "left")  # the winner is one row
     take = F.col("job_id") == F.col("won")
     older = F.col("won").isNull() | (F.struct("created_at", "job_id") < F.struct(F.col("won_at"), F.col("won")))
     cancel = can & (F.col("intent") <= F.col("base_coverage")) & older
