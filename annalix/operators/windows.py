@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -268,7 +267,3 @@ def fold_segments(events: DataFrame, max_events: int, max_tokens: int) -> DataFr
 
     folded = rows.select("session", F.explode(F.aggregate("e", zero, step)["out"]).alias("r"))
     return folded.select("session", "r.sequence", "r.segment")
-
-
-def iter_batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    yield from table.to_batches()
