@@ -40,7 +40,7 @@ class Settings:
     tolerance: float = 1e-6
     #: Classes in a block of a bucket; classes and shingles in a block of a component.
     bucket_block: int = 256
-    block: int = 128
+    block: int = 64
     block_shingles: int = 1 << 20
     #: Bytes of keys up to which the classes to verify are broadcast; beyond, a shuffled join.
     broadcast_bytes: int = 32 << 20
