@@ -51,70 +51,88 @@ def slot_rank(slot: str | Column = "slot") -> Column:
     return F.array_position(F.array(*map(F.lit, SLOTS)), F.col(slot) if isinstance(slot, str) else slot)
 
 
+def _task_text(lists: str | Column, c: Retrieval) -> Column:
+    """The sections of a task from its structured claims, an array of (kind, sequence, text); null without any."""
+    of = lambda kind: F.transform(F.slice(F.array_sort(F.filter(lists, lambda x: x["kind"] == kind)), 1, c.max_items_per_field), lambda x: x["text"])
+    lines = F.array(*[F.when(F.size(of(k)) > 0, F.concat(F.lit(f"{label}: "), F.array_join(of(k), " | "))) for k, label in TASK_LABELS.items()])
+    return F.nullif(F.array_join(F.array_compact(lines), "\n"), F.lit(""))
+
+
+def by_capsule(items: DataFrame, c: Retrieval = Retrieval()) -> DataFrame:
+    """(capsule_id, all_sources, task_text, dep_text, dep_sources): what blocks need of a whole capsule, in one aggregate."""
+    claim = F.when(F.col("kind").isin(*TASK_LABELS), F.struct("kind", "sequence", "text"))
+    dep = F.when(F.col("kind") == "dependency", F.struct("sequence", "item_id", "text", "source"))
+    rows = items.groupBy("capsule_id").agg(F.array_sort(F.collect_set("source")).alias("all_sources"), F.collect_list(claim).alias("claims"), F.array_sort(F.collect_list(dep)).alias("all_deps"))
+    rows = rows.withColumn("deps", F.slice("all_deps", 1, c.max_items_per_field))
+    return rows.select(
+        "capsule_id", "all_sources", _task_text("claims", c).alias("task_text"), F.array_join(F.transform("deps", lambda x: F.concat(x["item_id"], F.lit(":follows->"), x["text"])), " | ").alias("dep_text"),
+        F.transform("deps", lambda x: x["source"]).alias("dep_sources"),
+    )
+
+
 def task_texts(capsules: DataFrame, items: DataFrame, c: Retrieval = Retrieval()) -> DataFrame:
     """(capsule_id, task_text) of task capsules that have a structured claim."""
-    kinds = list(TASK_LABELS)
-    ranked = items.filter(F.col("kind").isin(*kinds)).join(capsules.filter("level = 'task'").select("capsule_id"), "capsule_id", "left_semi")
-    texts = ranked.groupBy("capsule_id", "kind").agg(F.array_sort(F.collect_list(F.struct("sequence", "text"))).alias("t"))
-    line = F.concat(F.element_at(F.create_map(*[F.lit(x) for kv in TASK_LABELS.items() for x in kv]), F.col("kind")), F.lit(": "), F.array_join(F.transform(F.slice("t", 1, c.max_items_per_field), lambda x: x["text"]), " | "))
-    rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
-    lines = texts.groupBy("capsule_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), line.alias("line")))).alias("l"))
-    return lines.select("capsule_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("task_text"))
+    tasks = capsules.filter("level = 'task'").select("capsule_id")
+    return by_capsule(items, c).filter("task_text IS NOT NULL").join(tasks, "capsule_id", "left_semi").select("capsule_id", "task_text")
 
 
 def candidates(capsules: DataFrame, items: DataFrame, delta: DataFrame, query: str, c: Retrieval = Retrieval()) -> DataFrame:
     """Blocks of every session: block_id, slot, kind, text, sources, score, reason, required, capsule_id, event_sequence, position.
 
     position counts from 0 in retrieval order. The delta has no tool events here: each is one unit.
+    Items give their blocks in one projection, capsules theirs in another; both need one aggregate by capsule.
     """
-    caps = capsules.filter(F.col("segment") < c.max_capsules)
-    rank_in_field = F.row_number().over(Window.partitionBy("capsule_id", "kind").orderBy("sequence"))
-    own = items.filter(F.col("segment") < c.max_capsules).withColumn("ordinal", rank_in_field).filter(F.col("ordinal") <= c.max_items_per_field)
+    kind, text, one = F.col("kind"), F.col("text"), F.array("source")
+    few = F.row_number().over(Window.partitionBy("capsule_id", "kind").orderBy("sequence"))
+    own = items.filter(F.col("segment") < c.max_capsules).withColumn("ordinal", few).filter(F.col("ordinal") <= c.max_items_per_field)
+    whole = by_capsule(items, c)
 
-    def block(rows: DataFrame, phase: int, sub, slot, kind, block_id, text, sources, required: bool, weight, sequence=F.lit(None).cast("long"), capsule=F.col("capsule_id")) -> DataFrame:
+    def block(when: Column, phase: int, sub: int, slot, name, block_id: Column, text: Column, sources: Column, required: bool, weight: Column) -> Column:
         lit = lambda v: F.lit(v) if isinstance(v, str) else v
-        return rows.select(
-            "session", F.lit(phase).alias("phase"), F.col("segment").alias("major") if phase != 1 else F.lit(0).cast("long").alias("major"), sub.cast("int").alias("sub"), F.col("sequence").alias("minor"),
-            block_id.alias("block_id"), lit(slot).alias("slot"), lit(kind).alias("kind"), text.alias("text"), sources.alias("sources"), F.lit(required).alias("required"),
-            weight.alias("weight"), capsule.alias("capsule_id"), sequence.alias("event_sequence"),
+        made = F.struct(
+            F.lit(phase).alias("phase"), F.lit(sub).alias("sub"), block_id.alias("block_id"), lit(slot).alias("slot"), lit(name).alias("kind"), text.alias("text"),
+            sources.alias("sources"), F.lit(required).alias("required"), weight.cast("double").alias("weight"),
         )
+        return F.when(when, made)
+
+    def named(prefix: str, last: str | None = "item_id") -> Column:
+        return F.concat_ws(":", F.lit(prefix), "capsule_id", *([last] if last else []))
+
+    active = F.col("status") == "active"
+    decision = F.concat(F.lit("Decision: "), text, F.lit("\nRationale: \nAlternatives: \nSupersedes: \nRejected because: \nDependencies: "), F.col("dep_text"))
+    from_items = F.coalesce(
+        block(active & (kind == "goal"), 0, 0, "active_goal", "goal", named("goal"), text, one, True, F.lit(100.0)),
+        block(active & (kind == "constraint"), 0, 1, "hard_constraint", "constraint", named("constraint"), text, one, True, F.lit(100.0)),
+        block(active & (kind == "anchor"), 2, 0, "exact_anchor", "exact_anchor", named("anchor"), text, one, True, F.col("importance") * 80.0),
+        block(kind == "decision", 4, 0, "relevant_evidence", "decision", named("decision"), decision, F.array_distinct(F.concat(one, "dep_sources")), False, F.lit(40.0)),
+        block(kind == "entity", 4, 1, "relevant_evidence", "entity", named("entity"), F.concat(F.lit("Entity: "), text, F.lit("\nKind: topic\nAliases: ")), one, False, F.lit(30.0)),
+        block(kind == "dependency", 4, 2, "relevant_evidence", "dependency", named("dependency"), F.concat(F.lit("Dependency: "), "item_id", F.lit("\nKind: follows\nTarget: "), text), one, False, F.lit(30.0)),
+    )
+    back, level = F.concat("level", F.lit("_background")), F.col("level")
+    from_capsules = F.array_compact(F.array(
+        block((level == "task") & F.col("task_text").isNotNull(), 3, 0, "active_task", "task_context", named("task", None), F.col("task_text"), F.col("all_sources"), False, F.lit(50.0)),
+        block(level.isin("episode", "global"), 5, 0, back, back, named("background", None), F.concat(F.lit("Summary of "), "capsule_id"), F.col("all_sources"), False, F.lit(10.0)),
+    ))
+    latest = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("sequence")))
+    raw = delta.withColumn("back", latest).filter(F.col("back") <= max(c.max_delta_events, 0))
+    from_events = block(F.lit(True), 1, 0, "raw_delta", "raw_event", F.concat(F.lit("event:"), "event_id"), render.raw_event(), F.array("event_id"), True, F.lit(90.0))
+
+    rows = own.join(whole.select("capsule_id", "dep_text", "dep_sources"), "capsule_id").select("session", F.col("segment").alias("major"), F.col("sequence").alias("minor"), "capsule_id", F.lit(None).cast("long").alias("event_sequence"), from_items.alias("b")).filter("b IS NOT NULL")
+    rows = rows.unionByName(raw.select("session", F.lit(0).cast("long").alias("major"), F.col("sequence").alias("minor"), F.lit(None).cast("string").alias("capsule_id"), F.col("sequence").alias("event_sequence"), from_events.alias("b")))
+    made = capsules.filter(F.col("segment") < c.max_capsules).join(whole, "capsule_id")
+    rows = rows.unionByName(made.select("session", F.col("segment").alias("major"), F.col("covered_event_start").alias("minor"), "capsule_id", F.lit(None).cast("long").alias("event_sequence"), F.explode(from_capsules).alias("b")))
+    rows = rows.select("session", "major", "minor", "capsule_id", "event_sequence", "b.*")
 
-    name = lambda prefix, last: F.concat_ws(":", F.lit(prefix), "capsule_id", last)
-    active = own.filter("status = 'active'")
-    goal = F.col("kind") == "goal"
-    parts = [
-        block(active.filter("kind IN ('goal', 'constraint')"), 0, F.when(goal, 0).otherwise(1), F.when(goal, "active_goal").otherwise("hard_constraint"), F.col("kind"), F.concat_ws(":", "kind", "capsule_id", "item_id"), F.col("text"), F.array("source"), True, F.lit(100.0)),
-        block(
-            delta.withColumn("back", F.row_number().over(Window.partitionBy("session").orderBy(F.desc("sequence")))).filter(F.col("back") <= max(c.max_delta_events, 0)),
-            1, F.lit(0), "raw_delta", "raw_event", F.concat(F.lit("event:"), "event_id"), render.raw_event(), F.array("event_id"), True, F.lit(90.0), F.col("sequence"), F.lit(None).cast("string"),
-        ),
-        block(active.filter("kind = 'anchor'"), 2, F.lit(0), "exact_anchor", "exact_anchor", name("anchor", "item_id"), F.col("text"), F.array("source"), True, F.col("importance") * 80.0),
-    ]
-    sources = items.groupBy("capsule_id").agg(F.array_sort(F.collect_set("source")).alias("all_sources"))
-    with_sources = caps.join(sources, "capsule_id").withColumn("sequence", F.col("covered_event_start"))
-    parts.append(block(with_sources.join(task_texts(caps, own, c), "capsule_id"), 3, F.lit(0), "active_task", "task_context", F.concat(F.lit("task:"), "capsule_id"), F.col("task_text"), F.col("all_sources"), False, F.lit(50.0)))
-    deps = own.filter("kind = 'dependency'").groupBy("capsule_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "item_id", "text", "source"))).alias("deps"))
-    deps = deps.select("capsule_id", F.array_join(F.transform("deps", lambda x: F.concat(x["item_id"], F.lit(":follows->"), x["text"])), " | ").alias("dep_text"), F.transform("deps", lambda x: x["source"]).alias("dep_sources"))
-    decided = own.filter("kind = 'decision'").join(deps, "capsule_id", "left")
-    text = F.concat(F.lit("Decision: "), "text", F.lit("\nRationale: \nAlternatives: \nSupersedes: \nRejected because: \nDependencies: "), F.coalesce("dep_text", F.lit("")))
-    parts += [
-        block(decided, 4, F.lit(0), "relevant_evidence", "decision", name("decision", "item_id"), text, F.array_distinct(F.concat(F.array("source"), F.coalesce("dep_sources", F.array().cast("array<string>")))), False, F.lit(40.0)),
-        block(own.filter("kind = 'entity'"), 4, F.lit(1), "relevant_evidence", "entity", name("entity", "item_id"), F.concat(F.lit("Entity: "), "text", F.lit("\nKind: topic\nAliases: ")), F.array("source"), False, F.lit(30.0)),
-        block(own.filter("kind = 'dependency'"), 4, F.lit(2), "relevant_evidence", "dependency", name("dependency", "item_id"), F.concat(F.lit("Dependency: "), "item_id", F.lit("\nKind: follows\nTarget: "), "text"), F.array("source"), False, F.lit(30.0)),
-        block(with_sources.filter("level IN ('episode', 'global')"), 5, F.lit(0), F.concat("level", F.lit("_background")), F.concat("level", F.lit("_background")), F.concat(F.lit("background:"), "capsule_id"), F.concat(F.lit("Summary of "), "capsule_id"), F.col("all_sources"), False, F.lit(10.0)),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
     built = Window.partitionBy("session").orderBy("phase", "major", "sub", "minor", "block_id")
     rows = rows.withColumn("built", F.row_number().over(built)).filter(F.col("built") <= c.max_candidates)
-    fraction = lexical_fraction(query, F.col("text"), c)
-    fallback = F.when(fraction > 0, "LEXICAL_MATCH").otherwise("STRUCTURED_FALLBACK")
+    rows = rows.withColumn("fraction", lexical_fraction(query, F.col("text"), c))
+    fallback = F.when(F.col("fraction") > 0, "LEXICAL_MATCH").otherwise("STRUCTURED_FALLBACK")
     reason = F.when(F.col("phase") == 0, "ACTIVE_REQUIRED").when(F.col("phase") == 1, "UNCOMPACTED_DELTA").when(F.col("phase") == 2, "ACTIVE_EXACT_ANCHOR").otherwise(fallback)
-    rows = rows.withColumn("score", F.col("weight") + F.lit(c.lexical_weight) * fraction).withColumn("reason", reason)
-    raw = F.col("slot") == "raw_delta"
-    order = Window.partitionBy("session").orderBy(slot_rank(), F.when(raw, 0.0).otherwise(-F.col("score")), F.when(raw, F.col("event_sequence")).otherwise(0), "block_id")
-    return rows.withColumn("position", F.row_number().over(order).cast("long") - 1).drop("phase", "major", "sub", "minor", "built", "weight")
+    rows = rows.withColumn("score", F.col("weight") + F.lit(c.lexical_weight) * F.col("fraction")).withColumn("reason", reason)
+    is_raw = F.col("slot") == "raw_delta"
+    order = Window.partitionBy("session").orderBy(slot_rank(), F.when(is_raw, 0.0).otherwise(-F.col("score")), F.when(is_raw, F.col("event_sequence")).otherwise(0), "block_id")
+    rows = rows.withColumn("position", F.row_number().over(order).cast("long") - 1)
+    return rows.select("session", "block_id", "slot", "kind", "text", "sources", "required", "capsule_id", "event_sequence", "score", "reason", "position")
 
 
 def session_blocks(store, query: str, c: Retrieval = Retrieval()) -> DataFrame:

@@ -93,7 +93,7 @@ class Store:
     def capsules(self) -> DataFrame:
         return self.covered.groupBy("capsule_id", "session", "segment").agg(
             F.min("sequence").alias("covered_event_start"), F.max("sequence").alias("covered_event_end"), F.sum("token_count").alias("token_cost")
-        ).withColumn("level", of(LEVELS, F.col("segment") % 4))
+        ).withColumn("level", of(LEVELS, (F.col("segment") + F.col("session")) % 4))
 
     @cached_property
     def memberships(self) -> DataFrame:

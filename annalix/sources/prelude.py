@@ -33,7 +33,7 @@ WITH RECURSIVE journal AS (
   SELECT j.*, (sequence - 1) // 2 AS segment, 'cap-' || session || '-' || ((sequence - 1) // 2) AS capsule_id
   FROM journal j JOIN marks USING (session) WHERE sequence <= marks.covered
 ), capsules AS (
-  SELECT capsule_id, session, segment, {_list(LEVELS)}[segment % 4 + 1] AS level,
+  SELECT capsule_id, session, segment, {_list(LEVELS)}[(segment + session) % 4 + 1] AS level,
          min(sequence) AS covered_event_start, max(sequence) AS covered_event_end, sum(token_count)::BIGINT AS token_cost
   FROM covered GROUP BY capsule_id, session, segment
 ), memberships AS (
