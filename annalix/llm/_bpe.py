@@ -39,13 +39,17 @@ def splits_at_space(spec: dict) -> bool:
 
 
 class Memo:
-    """Ids of pieces by their 64-bit hash: an open-addressing table over one pool of ids. Emptied when full."""
+    """Ids of pieces by their 64-bit hash: an open-addressing table over one pool of ids.
+
+    Emptied between batches when full; it grows only where one batch has more new pieces than there is room for.
+    """
 
     def __init__(self, bits: int = 20):
-        self.bits = bits
+        self.least = bits
         self.clear()
 
     def clear(self) -> None:
+        self.bits = self.least
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.entry = np.zeros(1 << self.bits, np.int32)
         self.start = np.zeros(1, np.int64)  # entry 0: no ids
@@ -78,6 +82,16 @@ class Memo:
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(fresh), self.used // 2), np.uint32)])
         self.pool[self.used : self.used + len(fresh)] = fresh
         self.used += len(fresh)
+        if len(self.start) > (7 << self.bits) >> 3:
+            old = np.flatnonzero(self.keys)
+            keys, entry = self.keys[old], self.entry[old]
+            while len(self.start) > (3 << self.bits) >> 2:
+                self.bits += 1
+            self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._put(keys, entry)
+        self._put(h, np.arange(first, first + len(h), dtype=np.int32))
+
+    def _put(self, h: np.ndarray, entry: np.ndarray) -> None:
         left = np.arange(len(h))
         slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(left):
@@ -85,14 +99,14 @@ class Memo:
             _, one = np.unique(slot[free], return_index=True)
             put = free[one]
             self.keys[slot[put]] = h[left[put]]
-            self.entry[slot[put]] = first + left[put]
+            self.entry[slot[put]] = entry[left[put]]
             rest = np.ones(len(left), bool)
             rest[put] = False
             left, slot = left[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
 
     @property
     def full(self) -> bool:
-        return len(self.start) > 1 << (self.bits - 1)
+        return len(self.start) > 3 << (self.least - 2)
 
 
 class Encoder:

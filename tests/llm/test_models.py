@@ -169,8 +169,9 @@ def test_piece_table_equals_the_library():
         for i, t in enumerate(ODD * 2):
             assert flat[at[i] : at[i + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
         assert (enc.counts(col) == np.diff(at)).all()
-    small = _bpe.Memo(4)
-    enc.memo = small
+    enc.memo = _bpe.Memo(4)
+    many = " ".join(f"q{n}x" for n in range(500))  # far more pieces than slots, in one batch
+    assert enc.encode(pa.array([many]))[0].tolist() == tok.encode(many, add_special_tokens=False).ids and enc.memo.bits > 9
     flat, at = enc.encode(pa.array(["a b c d e f g h i j k l m n o p"[:15]]))
     flat, at = enc.encode(pa.array(["a b q r"]))
     assert flat.tolist() == tok.encode("a b q r", add_special_tokens=False).ids
