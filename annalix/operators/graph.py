@@ -252,10 +252,10 @@ def live_selection(blocks: list[Block], query: str, opaque: int, fixed: int, bud
     blocks, _ = packing.dedupe(blocks)
     fallback = packing.assemble(blocks, query, opaque, fixed, budget)
     degraded = lambda code: (fallback, Outcome("DEGRADED_RAW", code, {}, []))
-    if fallback.error != "NONE":
-        return degraded(fallback.error)
     if not complete:
         return degraded("LIVE_REQUIRED_CANDIDATE_TRUNCATED")
+    if fallback.error != "NONE":
+        return degraded(fallback.error)
     relations, scores, kept, provenance = build(blocks, query, lim)
     got = solve_graph(blocks, relations, scores, kept, provenance, lim)
     if got.outcome != "ACTIVE" and len(kept) < len(blocks):
@@ -304,10 +304,10 @@ def verify_sessions(blocks: DataFrame, probes: tuple[str, ...], tolerance: float
 
 
 def live_sessions(blocks: DataFrame, query: str, opaque: int, fixed: int, budget: packing.Budget) -> DataFrame:
-    """(session, outcome, error_code, mode, n_selected, used) of the live path."""
+    """(session, outcome, error_code, mode, n_selected, used) of the live path; a session that lost a required block keeps the plain packing."""
 
     def run(table: pa.Table) -> pa.Table:
-        a, got = live_selection(packing.rows_to_blocks(table), query, opaque, fixed, budget)
+        a, got = live_selection(packing.rows_to_blocks(table), query, opaque, fixed, budget, all(table["required_selection_complete"].to_pylist()))
         return pa.table({"session": pa.array([table["session"][0].as_py()], pa.int64()), "outcome": [got.outcome], "error_code": [got.error_code], "mode": [a.mode], "n_selected": pa.array([len(a.selected)], pa.int64()), "used": pa.array([a.used], pa.int64())})
 
     return blocks.groupBy("session").applyInArrow(run, "session long, outcome string, error_code string, mode string, n_selected long, used long")

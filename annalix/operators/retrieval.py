@@ -77,14 +77,16 @@ def task_texts(capsules: DataFrame, items: DataFrame, c: Retrieval = Retrieval()
 
 
 def candidates(capsules: DataFrame, items: DataFrame, delta: DataFrame, query: str, c: Retrieval = Retrieval()) -> DataFrame:
-    """Blocks of every session: block_id, slot, kind, text, sources, score, reason, required, capsule_id, event_sequence, position.
+    """Blocks of every session: block_id, slot, kind, text, sources, score, reason, required, capsule_id, event_sequence, position, required_selection_complete.
 
-    position counts from 0 in retrieval order. The delta has no tool events here: each is one unit.
+    position counts from 0 in retrieval order. required_selection_complete is false in all blocks of a session of which
+    a limit cut a required block; such rows stay, marked as cut, until that is known. The delta has no tool events here: each is one unit.
     Items give their blocks in one projection, capsules theirs in another; both need one aggregate by capsule.
     """
     kind, text, one = F.col("kind"), F.col("text"), F.array("source")
     few = F.row_number().over(Window.partitionBy("capsule_id", "kind").orderBy("sequence"))
-    own = items.filter(F.col("segment") < c.max_capsules).withColumn("ordinal", few).filter(F.col("ordinal") <= c.max_items_per_field)
+    active = F.col("status") == "active"
+    own = items.withColumn("cut", (F.col("segment") >= c.max_capsules) | (few > c.max_items_per_field)).filter(~F.col("cut") | (active & kind.isin("goal", "constraint", "anchor")))
     whole = by_capsule(items, c)
 
     def block(when: Column, phase: int, sub: int, slot, name, block_id: Column, text: Column, sources: Column, required: bool, weight: Column) -> Column:
@@ -98,7 +100,6 @@ def candidates(capsules: DataFrame, items: DataFrame, delta: DataFrame, query: s
     def named(prefix: str, last: str | None = "item_id") -> Column:
         return F.concat_ws(":", F.lit(prefix), "capsule_id", *([last] if last else []))
 
-    active = F.col("status") == "active"
     decision = F.concat(F.lit("Decision: "), text, F.lit("\nRationale: \nAlternatives: \nSupersedes: \nRejected because: \nDependencies: "), F.col("dep_text"))
     from_items = F.coalesce(
         block(active & (kind == "goal"), 0, 0, "active_goal", "goal", named("goal"), text, one, True, F.lit(100.0)),
@@ -114,17 +115,19 @@ def candidates(capsules: DataFrame, items: DataFrame, delta: DataFrame, query: s
         block(level.isin("episode", "global"), 5, 0, back, back, named("background", None), F.concat(F.lit("Summary of "), "capsule_id"), F.col("all_sources"), False, F.lit(10.0)),
     ))
     latest = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("sequence")))
-    raw = delta.withColumn("back", latest).filter(F.col("back") <= max(c.max_delta_events, 0))
+    raw = delta.withColumn("cut", latest > max(c.max_delta_events, 0))
     from_events = block(F.lit(True), 1, 0, "raw_delta", "raw_event", F.concat(F.lit("event:"), "event_id"), render.raw_event(), F.array("event_id"), True, F.lit(90.0))
 
-    rows = own.join(whole.select("capsule_id", "dep_text", "dep_sources"), "capsule_id").select("session", F.col("segment").alias("major"), F.col("sequence").alias("minor"), "capsule_id", F.lit(None).cast("long").alias("event_sequence"), from_items.alias("b")).filter("b IS NOT NULL")
-    rows = rows.unionByName(raw.select("session", F.lit(0).cast("long").alias("major"), F.col("sequence").alias("minor"), F.lit(None).cast("string").alias("capsule_id"), F.col("sequence").alias("event_sequence"), from_events.alias("b")))
+    rows = own.join(whole.select("capsule_id", "dep_text", "dep_sources"), "capsule_id").select("session", F.col("segment").alias("major"), F.col("sequence").alias("minor"), "capsule_id", F.lit(None).cast("long").alias("event_sequence"), "cut", from_items.alias("b")).filter("b IS NOT NULL")
+    rows = rows.unionByName(raw.select("session", F.lit(0).cast("long").alias("major"), F.col("sequence").alias("minor"), F.lit(None).cast("string").alias("capsule_id"), F.col("sequence").alias("event_sequence"), "cut", from_events.alias("b")))
     made = capsules.filter(F.col("segment") < c.max_capsules).join(whole, "capsule_id")
-    rows = rows.unionByName(made.select("session", F.col("segment").alias("major"), F.col("covered_event_start").alias("minor"), "capsule_id", F.lit(None).cast("long").alias("event_sequence"), F.explode(from_capsules).alias("b")))
-    rows = rows.select("session", "major", "minor", "capsule_id", "event_sequence", "b.*")
+    rows = rows.unionByName(made.select("session", F.col("segment").alias("major"), F.col("covered_event_start").alias("minor"), "capsule_id", F.lit(None).cast("long").alias("event_sequence"), F.lit(False).alias("cut"), F.explode(from_capsules).alias("b")))
+    rows = rows.select("session", "major", "minor", "capsule_id", "event_sequence", "cut", "b.*")
 
-    built = Window.partitionBy("session").orderBy("phase", "major", "sub", "minor", "block_id")
-    rows = rows.withColumn("built", F.row_number().over(built)).filter(F.col("built") <= c.max_candidates)
+    built = Window.partitionBy("session").orderBy("cut", "phase", "major", "sub", "minor", "block_id")
+    rows = rows.withColumn("cut", F.col("cut") | (F.row_number().over(built) > c.max_candidates))
+    rows = rows.withColumn("lost", F.col("required") & F.bool_and("cut").over(Window.partitionBy("session", "block_id")))
+    rows = rows.withColumn("required_selection_complete", ~F.bool_or("lost").over(Window.partitionBy("session"))).filter(~F.col("cut"))
     rows = rows.withColumn("fraction", lexical_fraction(query, F.col("text"), c))
     fallback = F.when(F.col("fraction") > 0, "LEXICAL_MATCH").otherwise("STRUCTURED_FALLBACK")
     reason = F.when(F.col("phase") == 0, "ACTIVE_REQUIRED").when(F.col("phase") == 1, "UNCOMPACTED_DELTA").when(F.col("phase") == 2, "ACTIVE_EXACT_ANCHOR").otherwise(fallback)
@@ -132,7 +135,7 @@ def candidates(capsules: DataFrame, items: DataFrame, delta: DataFrame, query: s
     is_raw = F.col("slot") == "raw_delta"
     order = Window.partitionBy("session").orderBy(slot_rank(), F.when(is_raw, 0.0).otherwise(-F.col("score")), F.when(is_raw, F.col("event_sequence")).otherwise(0), "block_id")
     rows = rows.withColumn("position", F.row_number().over(order).cast("long") - 1)
-    return rows.select("session", "block_id", "slot", "kind", "text", "sources", "required", "capsule_id", "event_sequence", "score", "reason", "position")
+    return rows.select("session", "block_id", "slot", "kind", "text", "sources", "required", "capsule_id", "event_sequence", "score", "reason", "position", "required_selection_complete")
 
 
 def session_blocks(store, query: str, c: Retrieval = Retrieval()) -> DataFrame:

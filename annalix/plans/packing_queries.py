@@ -186,7 +186,7 @@ def fold_sessions(s: Store, budget: int):
 
 @query("retr_01", BLOCKS + "SELECT session, block_id, slot, kind, text, array_to_string(list_sort(sources), ',') AS sources, score, reason, required, capsule_id, event_sequence, position FROM ordered")
 def retr_01(spark, sf_dir):
-    return _blocks(spark, sf_dir).withColumn("sources", F.array_join(F.array_sort("sources"), ","))
+    return _blocks(spark, sf_dir).withColumn("sources", F.array_join(F.array_sort("sources"), ",")).drop("required_selection_complete")
 
 
 @query("retr_02", BLOCKS + "SELECT o.session, block_id FROM ordered o JOIN (SELECT session, max(sequence) AS s FROM journal GROUP BY session) m USING (session) JOIN journal j ON j.session = o.session AND j.sequence = m.s WHERE NOT list_contains(sources, j.event_id)")
