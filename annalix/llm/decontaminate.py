@@ -5,8 +5,10 @@ wide as the one below. For a class that ends at u shingles, documents are read i
 shingles that start at least every u, so a passage of an item lies in one window, and the Jaccard
 similarity of item and window stays above about least / (2 * growth) however long the document is. All
 classes build their windows from one set of minima over blocks of ``block`` shingles. A window and an
-item that share a MinHash value are a candidate; with ``hashes`` values a contained item is missed with
-a probability under 1e-6. Candidates are decided by exact containment in the whole document.
+item that share a MinHash value are a candidate; with ``hashes`` values a passage of an item is missed with
+a probability under 1e-6. A window has two blocks at least, which is too wide for items of up to
+``direct`` shingles: those are looked up by the shingles themselves, of which a text that contains the
+item has one for sure. Candidates are decided by exact containment in the whole document.
 
 Defined cases: a text or item without five words has no shingle and matches nothing; null counts as
 empty. Items with equal text each match. A repeated document matches as often as it occurs. The items
@@ -33,11 +35,12 @@ class Settings:
     growth: float = 1.5
     hashes: int = 56
     block: int = 8
+    direct: int = 3
     part_bytes: int = 32 << 20
 
 
 class Index:
-    """Items of one part: distinct shingles, and a sorted list of MinHash values for each size class."""
+    """Items of one part: distinct shingles, a sorted list of MinHash values for each size class, and one of shingles for the shortest."""
 
     def __init__(self, ids: list, texts: list, s: Settings):
         self.settings = s
@@ -52,8 +55,10 @@ class Index:
         self.classes = []
         size = np.array([len(x) for x in self.sets], np.int64)
         level = np.ceil(np.log(np.maximum(size, 1)) / math.log(s.growth) - 1e-9).astype(int)
-        for k in sorted(set(level.tolist())):
-            which = np.flatnonzero(level == k)
+        short = size <= s.direct
+        self._file_short(np.flatnonzero(short))
+        for k in sorted(set(level[~short].tolist())):
+            which = np.flatnonzero((level == k) & ~short)
             flat = np.concatenate([self.sets[i] for i in which])
             at = np.concatenate([[0], np.cumsum(size[which])])
             sig = minhash(flat, at, *self.params)
@@ -64,6 +69,31 @@ class Index:
             table[self._place(sig.T).ravel()] = True
             self.classes.append((int(size[which].max()), table, key[order], owner[order]))
 
+    def _file_short(self, which: np.ndarray) -> None:
+        """Of n shingles of which m must be found, any n - m + 1 have one that is."""
+        key, owner = [], []
+        for i in which.tolist():
+            n = len(self.sets[i])
+            need = next((m for m in range(1, n) if m / n >= self.settings.least), n)
+            key.append(self.sets[i][: n - need + 1])
+            owner += [i] * (n - need + 1)
+        key = np.concatenate(key) if key else np.zeros(0, np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.short, self.short_owner = key[order], np.array(owner, np.int64)[order]
+        self.short_table = np.zeros(1 << 20, bool)
+        self.short_table[(key & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def _short_candidates(self, flat: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
+        found: set[tuple[int, int]] = set()
+        for lo in range(0, len(flat) if len(self.short) else 0, 1 << 18):
+            x = flat[lo : lo + (1 << 18)]
+            maybe = np.flatnonzero(self.short_table[(x & np.uint64(0xFFFFF)).astype(np.int64)])
+            first, last = (np.searchsorted(self.short, x[maybe], side) for side in ("left", "right"))
+            rows = np.searchsorted(at, lo + maybe, "right") - 1
+            for k in np.flatnonzero(last > first):
+                found.update((int(rows[k]), int(i)) for i in self.short_owner[first[k] : last[k]])
+        return found
+
     @staticmethod
     def _keys(sig: np.ndarray) -> np.ndarray:
         return sig.astype(np.uint64) * np.uint64(256) + np.arange(sig.shape[1], dtype=np.uint64)
@@ -92,8 +122,10 @@ class Index:
         return out, first
 
     def candidates(self, flat: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
-        """(row, item) that share a MinHash value in a window."""
-        found: set[tuple[int, int]] = set()
+        """(row, item) that share a MinHash value in a window, or a shingle that a short item is filed under."""
+        found = self._short_candidates(flat, at)
+        if not self.classes:
+            return found
         minima, first = self._minima(flat, at)
         blocks, g = np.diff(first), self.settings.block
         for u, table, keys, owner in self.classes:

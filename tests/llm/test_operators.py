@@ -8,12 +8,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import MID, SMALL
 from oracle import connect, rows
 
 from annalix.llm import decontaminate, jaccard_join, line_dedup, packing, queries, token_counts
 from annalix.llm._shared import scratch, table
+from annalix.llm._text import shingle_column
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -253,6 +255,17 @@ def test_op8_short_items_in_long_documents(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, bench).orderBy("doc_id").collect()] == [2, 3]
 
 
+def test_op8_no_item_of_few_words_is_missed():
+    items = [" ".join(f"i{k}x{j}" for j in range(5 + k % 3)) for k in range(3000)]
+    texts = pa.array([" ".join([*(f"a{k}x{j}" for j in range(k % 37)), t, *(f"b{k}x{j}" for j in range(40))]) for k, t in enumerate(items)])
+    for least in (0.8, 0.5):
+        index = decontaminate.Index(list(range(len(items))), items, decontaminate.Settings(least=least))
+        got = {(row, item) for row, item, *_ in index.matches(*shingle_column(texts, short=False))}
+        assert got == {(k, k) for k in range(len(items))}
+    index = decontaminate.Index([7, 8], ["a b c d e f", "a b c d e f"], decontaminate.Settings(least=0.5))
+    assert sorted(index.matches(*shingle_column(pa.array(["q q b c d e f q", "a b c d x", None, "a b c d e f"]), short=False))) == [(0, 0, 1, 2), (0, 1, 1, 2), (3, 0, 2, 2), (3, 1, 2, 2)]
+
+
 def test_op10_counts(spark, docs):
     for r in run(spark, "op10_quality_rules").itertuples():
         t = docs[r.doc_id]
