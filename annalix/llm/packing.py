@@ -5,11 +5,13 @@ capacity in each. The dot-product heuristic fills one sequence at a time: of the
 with the largest sum of demand times remaining capacity, both as shares of the capacity, comes next. When
 none fits, or only one segment is left, the longest item is cut to what remains, and its rest returns to
 the pool; so sequences are full but for the last of a task, which is cut into sequences whose lengths
-are powers of two and need no padding.
+are powers of two and need no padding. A sequence also ends early once what is left would exceed its
+loss-bearing tokens; where all tokens bear loss and the capacities are equal, that never happens.
 
 Tasks pack what they read, in windows of ``window`` documents, so there is no shuffle, memory is bounded
 and lost tasks are simply run again. Defined cases: a null text is empty and has the end id alone; rows
-that repeat an id are packed apart; an empty table gives none; more columns are not read.
+that repeat an id are packed apart; an empty table gives none; more columns are not read. A null count of
+loss-bearing tokens stands for all, as does one beyond the document's tokens; a negative one for none.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ._bpe import encoder
 from ._shared import arrow_batches, tidy
@@ -102,11 +104,11 @@ class Packer:
         self.owner, self.start, self.tokens, self.loss = self.owner[left], self.start[left], self.tokens[left], self.loss[left]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cap: Capacity = Capacity(), window: int = 512, window_tokens: int = 1 << 20) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cap: Capacity = Capacity(), window: int = 512, window_tokens: int = 1 << 20, loss: str | None = None) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece.
 
-    A document's ids are the tokenizer's and end_id; all bear loss. sequence_id is the task's number
-    times 2**33 plus a count.
+    A document's ids are the tokenizer's and end_id. ``loss`` names the column that says how many of them bear
+    loss, the leading ones; without it all do. sequence_id is the task's number times 2**33 plus a count.
     """
     arrow_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
@@ -115,7 +117,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cap: C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, packer, base = encoder(tokenizer_path), Packer(cap), TaskContext.get().partitionId() << 33
-        open_: dict[int, tuple[object, np.ndarray]] = {}
+        open_: dict[int, tuple[object, np.ndarray, int]] = {}
         arrow = None
         n = waiting = 0
 
@@ -131,21 +133,22 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cap: C
                 del open_[o]
             return out
 
-        def load(fresh: list[tuple[object, np.ndarray]]) -> None:
+        def load(fresh: list[tuple[object, np.ndarray, int]]) -> None:
             nonlocal n
             for item in fresh:
                 open_[n] = item
                 n += 1
-            sizes = np.array([len(x) for _, x in fresh], np.int64)
-            packer.add(np.arange(n - len(fresh), n), sizes, sizes.copy())
+            sizes = np.array([len(x) for _, x, _ in fresh], np.int64)
+            packer.add(np.arange(n - len(fresh), n), sizes, np.array([bear for _, _, bear in fresh], np.int64))
 
-        fresh: list[tuple[object, np.ndarray]] = []
+        fresh: list[tuple[object, np.ndarray, int]] = []
         for b in batches:
             arrow = b.column("doc_id").type
             flat, at = enc.encode(b.column("text"))
-            for row, doc in enumerate(b.column("doc_id").to_pylist()):
+            bears = b.column("loss").to_pylist() if loss else [None] * b.num_rows
+            for row, (doc, bear) in enumerate(zip(b.column("doc_id").to_pylist(), bears)):
                 ids = np.append(flat[at[row] : at[row + 1]], np.uint32(end_id))
-                fresh.append((doc, ids))
+                fresh.append((doc, ids, len(ids) if bear is None else min(max(bear, 0), len(ids))))
                 waiting += len(ids)
                 if len(fresh) >= window or waiting >= window_tokens:
                     load(fresh)
@@ -155,4 +158,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, cap: C
             load(fresh)
             yield emit(packer.pack(leave=0))
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
+    counts = [F.col(loss).cast("long").alias("loss")] if loss else []
+    return docs.select("doc_id", "text", *counts).mapInArrow(tidy(run), schema)
