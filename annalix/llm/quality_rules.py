@@ -1,7 +1,8 @@
 """Quality rules: counts over words and lines, and bands of zstandard compression ratios.
 
 The ratio is compressed by plain bytes. Whole texts are held to a band that depends on their length;
-long ones are also cut into fixed chunks, and the share of chunks outside the chunk band is limited.
+those of a chunk or more are also cut into fixed chunks, the last of which ends where the text ends and
+may overlap the one before, and the share of chunks outside the chunk band is limited.
 Repetitive text compresses too well, random or encoded text too little.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept. Repeated rows
@@ -37,18 +38,18 @@ class Bands:
 
 
 def ratios(piece: memoryview, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """Ratio of the whole, and the share of full chunks outside the chunk band."""
+    """Ratio of the whole, and the share of chunks outside the chunk band."""
     n = len(piece)
     if not n:
         return 1.0, 0.0
     whole = len(packer.compress(piece)) / n
-    full = n // bands.chunk_bytes
-    if full < 2:
+    size = bands.chunk_bytes
+    if n < size:
         return whole, 0.0
     low, high = bands.chunk
-    size = bands.chunk_bytes
-    bad = sum(not low <= len(packer.compress(piece[i * size : (i + 1) * size])) / size <= high for i in range(full))
-    return whole, bad / full
+    starts = [*range(0, n - size + 1, size), *([n - size] if n % size else [])]
+    bad = sum(not low <= len(packer.compress(piece[i : i + size])) / size <= high for i in starts)
+    return whole, bad / len(starts)
 
 
 def verdict(n: int, whole: float, outside: float, bands: Bands) -> bool:

@@ -125,6 +125,26 @@ def test_op10_bands_reject_repetitive_and_random_text(spark):
     assert [r["doc_id"] for r in quality_rules.apply_rules(d).collect()] == [1]
 
 
+def test_op10_chunks_cover_the_whole_text():
+    draw = random.Random(5)
+    words = ["".join(draw.choice(string.ascii_lowercase) for _ in range(draw.randint(2, 9))) for _ in range(500)]
+    prose = " ".join(draw.choice(words) for _ in range(4000)).encode()
+    loop, noise = b"a b c d " * 2000, bytes(draw.randrange(33, 127) for _ in range(16_000))
+    bands = quality_rules.Bands()
+    size, packer = bands.chunk_bytes, zstandard.ZstdCompressor(level=bands.level)
+
+    def judged(text: bytes) -> tuple[float, bool, bool]:
+        whole, outside = quality_rules.ratios(memoryview(text), bands, packer)
+        return outside, quality_rules.verdict(len(text), whole, 0.0, bands), quality_rules.verdict(len(text), whole, outside, bands)
+
+    assert judged(prose[:3000] + loop[:4000]) == (0.5, True, False)
+    assert judged(loop[: size + 1] + prose[:2500])[0] == 0.5 and judged(loop[:size])[0] == 1
+    assert judged(prose[: 2 * size] + loop[: size - 1]) == (1 / 3, True, False)
+    assert judged(prose[: 2 * size] + noise[: size - 1])[0] == 1 / 3
+    for n in (size - 1, size, size + 1, 7000, 2 * size - 1, 2 * size, 3 * size + 5):
+        assert judged(prose[:n]) == (0.0, True, True)
+
+
 URLS = [None, "", "no scheme", "http://", "http://A.Org", "http://x.org/", "https://example.ORG/es/1", "http://a.example.org/en/12?x", "http://b.com/fr/", "http://b.com/de/#x", "http://notexample.org/es/", "http://u@h:80/p?q#f", "x://y://z", "http://www.spam-farm.net/a", "http://spamfarm.net/a", "http://q.net/Login", "http://q.net/login/x", "http://casino.q.net", "http://mycasino.net/"]
 
 
