@@ -4,8 +4,8 @@ Words are runs of bytes other than ASCII space and punctuation, A-Z as a-z. A wo
 of itself, of its first four and five bytes, and of its neighbours; there are two states. Only documents
 are labelled, so token labels come first: in toxic training documents a word counts as toxic if it, or
 its beginning, is significantly more frequent in toxic than in clean training documents. The field is fitted on
-those tags by gradient ascent. A text's marginals (forward-backward, in chains of ``CHAIN`` words) give
-the largest and the expected number of toxic words, from which a logistic curve, fitted on other
+those tags by gradient ascent, on pieces of ``CHAIN`` words. A text is one chain: its marginals
+(forward-backward, where pieces of ``CHAIN`` words pass on their messages and neighbours) give the largest and the expected number of toxic words, from which a logistic curve, fitted on other
 training documents, makes the score; words with a marginal of 0.5 or more are reported as spans.
 
 Defined cases: a null or empty text has no words and gets the curve's value for none, under the
@@ -60,46 +60,96 @@ class Field:
     bias: float
     step: np.ndarray  # (2, 2)
 
-    def odds(self, f: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """(chains, CHAIN), zero beyond the length."""
+    def odds(self, f: np.ndarray, start: np.ndarray, length: np.ndarray, before: np.ndarray | bool = False, after: np.ndarray | bool = False) -> np.ndarray:
+        """(chains, CHAIN), zero beyond the length. before, after: whether the chain's text has a word there."""
         out = np.zeros((len(start), CHAIN), np.float64)
         at = start[:, None] + np.arange(CHAIN)
         inside = np.arange(CHAIN) < length[:, None]
         out[inside] = self.own[f[at[inside]]].sum(1) + self.bias
-        later = inside & (np.arange(CHAIN) > 0)
+        later = inside & ((np.arange(CHAIN) > 0) | np.reshape(before, (-1, 1)))
         out[later] += self.left[f[at[later] - 1, 0]]
-        sooner = inside & (np.arange(CHAIN) < length[:, None] - 1)
+        sooner = inside & ((np.arange(CHAIN) < length[:, None] - 1) | np.reshape(after, (-1, 1)))
         out[sooner] += self.right[f[at[sooner] + 1, 0]]
         return out
 
-    def messages(self, odds: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Potentials, and normalised forward and backward messages, (chains, CHAIN, 2) each."""
+    @staticmethod
+    def potentials(odds: np.ndarray) -> np.ndarray:
         psi = np.stack([np.ones_like(odds), np.exp(np.clip(odds, -30, 30))], 2)
         psi /= psi.sum(2, keepdims=True)
+        return psi
+
+    def messages(self, odds: np.ndarray, length: np.ndarray, ahead: np.ndarray | None = None, behind: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Potentials, and normalised forward and backward messages, (chains, CHAIN, 2) each.
+
+        ahead, behind: the messages (chains, 2) that come into a chain from the one before and the one after.
+        """
+        psi = self.potentials(odds)
         t = np.exp(self.step)
         a, b = np.empty_like(psi), np.ones_like(psi)
         a[:, 0] = psi[:, 0]
+        if ahead is not None:
+            a[:, 0] *= ahead
+            a[:, 0] /= a[:, 0].sum(1, keepdims=True)
+        b[:, CHAIN - 1] = behind
         for k in range(1, CHAIN):
             a[:, k] = (a[:, k - 1] @ t) * psi[:, k]
             a[:, k] /= a[:, k].sum(1, keepdims=True)
         for k in range(CHAIN - 2, -1, -1):
             m = (b[:, k + 1] * psi[:, k + 1]) @ t.T
             m /= m.sum(1, keepdims=True)
-            b[:, k] = np.where((length > k + 1)[:, None], m, 1.0)
+            b[:, k] = np.where((length > k + 1)[:, None], m, behind)
         return psi, a, b
 
+    def transfer(self, odds: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """(chains, 2, 2): what a chain makes of the message ahead of it, up to a factor; its transpose does so backward."""
+        psi = self.potentials(odds)
+        t = np.exp(self.step)
+        out = np.eye(2) * psi[:, 0, None, :]
+        for k in range(1, CHAIN):
+            live = np.flatnonzero(length > k)
+            if not len(live):
+                break
+            m = (out[live].reshape(-1, 2) @ t).reshape(-1, 2, 2) * psi[live, k, None, :]
+            out[live] = m / m.sum((1, 2), keepdims=True)
+        return out
+
+    def between(self, many: np.ndarray, through: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Messages (chains, 2) that come into each chain from before and from after; many: chains of each row."""
+        t = np.exp(self.step)
+        first = np.cumsum(many) - many
+        ahead, behind = np.ones((2, len(through), 2))
+        steps, live = [], np.flatnonzero(many > 1)
+        while len(live):  # the next chain of every row that has one
+            at = first[live] + len(steps)
+            steps.append(at)
+            m = np.einsum("ci,cij->cj", ahead[at], through[at]) @ t
+            ahead[at + 1] = m / m.sum(1, keepdims=True)
+            live = live[many[live] > len(steps) + 1]
+        for at in reversed(steps):
+            m = np.einsum("cij,cj->ci", through[at + 1], behind[at + 1]) @ t.T
+            behind[at] = m / m.sum(1, keepdims=True)
+        return ahead, behind
+
     def marginals(self, f: np.ndarray, rows: np.ndarray, slice_: int = 2048) -> np.ndarray:
-        """P(toxic) of every word."""
+        """P(toxic) of every word, each row being one chain however long it is."""
         out = np.zeros(len(f))
         start, length = _chains(rows)
-        for i in range(0, len(start), slice_):
-            s, n = start[i : i + slice_], length[i : i + slice_]
-            base = s[0]
-            odds = self.odds(f[base : s[-1] + n[-1]], s - base, n)
-            _, a, b = self.messages(odds, n)
+        many = -(-np.diff(rows) // CHAIN)
+        before, after = ~np.isin(start, rows), ~np.isin(start + length, rows)
+        slices = [slice(i, i + slice_) for i in range(0, len(start), slice_)]
+        odds = [self.odds(f, start[i], length[i], before[i], after[i]) for i in slices]
+        through = np.ones((len(start), 2, 2))
+        for i, o in zip(slices, odds):
+            part = np.flatnonzero(before[i] | after[i])
+            if len(part):
+                through[i.start + part] = self.transfer(o[part], length[i][part])
+        ahead, behind = self.between(many, through)
+        for i, o in zip(slices, odds):
+            s, n = start[i], length[i]
+            _, a, b = self.messages(o, n, ahead[i], behind[i])
             p = a * b
             inside = np.arange(CHAIN) < n[:, None]
-            out[base : s[-1] + n[-1]] = (p[:, :, 1] / p.sum(2))[inside]
+            out[s[0] : s[-1] + n[-1]] = (p[:, :, 1] / p.sum(2))[inside]
         return out
 
 

@@ -99,6 +99,31 @@ def test_op9_marginals_are_those_of_all_taggings():
     assert np.allclose(got, hot / weight)
 
 
+def test_op9_a_text_is_one_chain_however_long():
+    draw = np.random.default_rng(6)
+    sizes = [0, 1, 63, 64, 65, 0, 128, 129, 1000, 5]
+    rows = np.concatenate([[0], np.cumsum(sizes)])
+    f = draw.integers(0, toxicity.SIZE, (rows[-1], 3)).astype(np.int32)
+    field = toxicity.Field(*(draw.normal(0, 1, toxicity.SIZE) for _ in range(3)), 0.3, draw.normal(0, 1, (2, 2)))
+    want = []
+    for lo, hi in zip(rows[:-1], rows[1:]):
+        odds = field.own[f[lo:hi]].sum(1) + field.bias
+        odds[1:] += field.left[f[lo : hi - 1, 0]] if hi > lo else 0
+        odds[:-1] += field.right[f[lo + 1 : hi, 0]] if hi > lo else 0
+        psi = np.stack([np.ones(hi - lo), np.exp(odds)], 1)
+        ahead, behind = np.ones((2, hi - lo, 2))
+        for k in range(hi - lo):
+            a = psi[k] * (ahead[k - 1] @ np.exp(field.step) if k else 1)
+            ahead[k] = a / a.sum()
+        for k in range(hi - lo - 2, -1, -1):
+            b = np.exp(field.step) @ (psi[k + 1] * behind[k + 1])
+            behind[k] = b / b.sum()
+        p = ahead * behind
+        want.append(p[:, 1] / p.sum(1))
+    for slice_ in (1, 3, 2048):
+        assert np.allclose(field.marginals(f, rows, slice_), np.concatenate(want))
+
+
 def test_op9_spans_are_the_words(spark):
     texts = [f"a fine day number {n} with é words" for n in range(60)] + [f"you idiot number {n} are é vile" for n in range(60)]
     model = toxicity.train(texts, [0] * 60 + [1] * 60)
