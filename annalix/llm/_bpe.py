@@ -2,8 +2,8 @@
 
 Only for a tokenizer whose pre-tokens never hold white space (``splits_at_space`` checks the file):
 then a text's ids are those of its pieces, one after the other, and frequent pieces need no second
-encoding. Trailing ASCII punctuation is a pre-token of its own and is looked up apart. Other files
-are encoded text by text.
+encoding. Trailing ASCII punctuation is a pre-token of its own and is looked up apart. Pieces of more
+than ``SHORT`` bytes are not remembered: the library encodes each of them. Other files are encoded text by text.
 """
 
 from __future__ import annotations
@@ -15,12 +15,16 @@ from functools import lru_cache
 
 import numpy as np
 
-from ._text import as_bytes, word_hashes, words
+from ._text import _KEEP, as_bytes, eights, mix, words
 
 #: Characters that always end a run of letters and occur in no special token or contraction.
 _TAIL = b".,;:!?%*#$&)]}"
 #: Pieces learned at a time.
 LEARN = 16384
+#: Most bytes of a piece in the memo: a key is all of them, and their number.
+SHORT = 23
+#: Pieces looked at together.
+PIECES = 1 << 18
 _IS_TAIL = np.zeros(256, bool)
 _IS_TAIL[list(_TAIL)] = True
 _IS_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
@@ -38,8 +42,26 @@ def splits_at_space(spec: dict) -> bool:
     return known and removed and byte and added and model and not spec.get("post_processor") and not spec.get("truncation") and not spec.get("padding")
 
 
+def piece_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(3, pieces): the bytes of pieces of at most ``SHORT`` bytes, the last being their number; all zero for an empty piece."""
+    n = ends - starts
+    lo, hi = int(starts[0]) if len(starts) else 0, int(ends.max()) if len(ends) else 0
+    at, s = eights(data[lo:hi]), starts - lo
+    out = np.zeros((3, len(starts)), np.uint64)
+    out[0] = at[s] & _KEEP[np.minimum(n, 8)]
+    for k in (1, 2):
+        live = np.flatnonzero(n > 8 * k)
+        out[k, live] = at[s[live] + 8 * k] & _KEEP[np.minimum(n[live] - 8 * k, 8)]
+    out[2] |= n.astype(np.uint64) << np.uint64(56)
+    return out
+
+
+def _spread(keys: np.ndarray) -> np.ndarray:
+    return mix(keys[0] + keys[1] * np.uint64(0xD6E8FEB86659FD93) + keys[2] * np.uint64(0xCA5A826395121157))
+
+
 class Memo:
-    """Ids of pieces by their 64-bit hash: an open-addressing table over one pool of ids.
+    """Ids of pieces by their bytes: an open-addressing table over one pool of ids. Keys are compared whole.
 
     Emptied between batches when full; it grows only where one batch has more new pieces than there is room for.
     """
@@ -50,59 +72,57 @@ class Memo:
 
     def clear(self) -> None:
         self.bits = self.least
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.entry = np.zeros(1 << self.bits, np.int32)
-        self.start = np.zeros(1, np.int64)  # entry 0: no ids
+        self.entry = np.zeros(1 << self.bits, np.int32)  # 0: free
+        self.keys = np.zeros((3, 1), np.uint64)  # entry 0: the empty piece, no ids
+        self.start = np.zeros(1, np.int64)
         self.length = np.zeros(1, np.int32)
         self.pool = np.zeros(0, np.uint32)
         self.used = 0
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Entry of each hash, -1 if unknown; hash 0 is entry 0."""
-        out = np.zeros(len(h), np.int32)
-        at = np.flatnonzero(h)
-        slot = (h[at] >> np.uint64(64 - self.bits)).astype(np.int64)
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, -1 if unknown."""
+        out = np.zeros(keys.shape[1], np.int32)
+        at = np.flatnonzero(keys[2])
+        slot = (_spread(keys[:, at]) >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(at):
-            k = self.keys[slot]
-            hit, free = k == h[at], k == 0
-            out[at[hit]] = self.entry[slot[hit]]
+            got = self.entry[slot]
+            free = got == 0
+            hit = ~free & (self.keys[0, got] == keys[0, at]) & (self.keys[1, got] == keys[1, at]) & (self.keys[2, got] == keys[2, at])
+            out[at[hit]] = got[hit]
             out[at[free]] = -1
             go = ~(hit | free)
             at, slot = at[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Distinct unknown hashes and their ids."""
+    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Distinct unknown keys and their ids."""
         first = len(self.start)
         n = np.array([len(x) for x in ids], np.int32)
         self.start = np.concatenate([self.start, self.used + np.cumsum(n) - n])
         self.length = np.concatenate([self.length, n])
+        self.keys = np.concatenate([self.keys, keys], 1)
         fresh = np.concatenate(ids)
         if self.used + len(fresh) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(fresh), self.used // 2), np.uint32)])
         self.pool[self.used : self.used + len(fresh)] = fresh
         self.used += len(fresh)
         if len(self.start) > (7 << self.bits) >> 3:
-            old = np.flatnonzero(self.keys)
-            keys, entry = self.keys[old], self.entry[old]
             while len(self.start) > (3 << self.bits) >> 2:
                 self.bits += 1
-            self.keys, self.entry = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-            self._put(keys, entry)
-        self._put(h, np.arange(first, first + len(h), dtype=np.int32))
-
-    def _put(self, h: np.ndarray, entry: np.ndarray) -> None:
-        left = np.arange(len(h))
-        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(left):
-            free = np.flatnonzero(self.keys[slot] == 0)
+            self.entry = np.zeros(1 << self.bits, np.int32)
+            first = 1
+        self._put(np.arange(first, len(self.start), dtype=np.int32))
+
+    def _put(self, entry: np.ndarray) -> None:
+        slot = (_spread(self.keys[:, entry]) >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(entry):
+            free = np.flatnonzero(self.entry[slot] == 0)
             _, one = np.unique(slot[free], return_index=True)
             put = free[one]
-            self.keys[slot[put]] = h[left[put]]
-            self.entry[slot[put]] = entry[left[put]]
-            rest = np.ones(len(left), bool)
+            self.entry[slot[put]] = entry[put]
+            rest = np.ones(len(entry), bool)
             rest[put] = False
-            left, slot = left[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+            entry, slot = entry[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
 
     @property
     def full(self) -> bool:
@@ -146,8 +166,8 @@ class Encoder:
             out[k] = x
         return out
 
-    def _entries(self, col) -> tuple[np.ndarray, np.ndarray]:
-        """Memo entries of the pieces of all rows, and the rows' n+1 offsets into them."""
+    def _pieces(self, col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, start and end of two pieces a word (the second, its tail, mostly empty), and the rows' n+1 offsets into them."""
         data, offsets = as_bytes(col)
         starts, ends, rows = words(data, offsets)
         cut = ends.copy()
@@ -158,44 +178,78 @@ class Encoder:
             cut -= more
         # the tail is cut off only after an ASCII letter or digit: a pre-token surely ends there
         cut = np.where(_IS_ALNUM[data[cut - 1]], cut, ends)
-        h = np.zeros(2 * len(starts), np.uint64)
-        h[0::2] = word_hashes(data, starts, cut, fold=False) | np.uint64(1)
-        tailed = np.flatnonzero(cut < ends)
-        h[2 * tailed + 1] = word_hashes(data, cut[tailed], ends[tailed], fold=False) | np.uint64(1)
-        got = self.memo.find(h)
+        return data, np.stack([starts, cut], 1).ravel(), np.stack([cut, ends], 1).ravel(), 2 * rows
+
+    def _entries(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Memo entries of pieces, and which of them are too long to have one (their entry is that of the empty piece)."""
+        text = lambda k: data[lo[k] : hi[k]].tobytes().decode("utf-8")
+        long = np.flatnonzero(hi - lo > SHORT)
+        end = hi.copy()
+        end[long] = lo[long]
+        keys = piece_keys(data, lo, end)
+        got = self.memo.find(keys)
         new = np.flatnonzero(got < 0)
         if len(new):
             if self.memo.full:
                 self.memo.clear()
-                new = np.flatnonzero(h)
-            known, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+                got[:] = 0
+                new = np.flatnonzero(keys[2])
+            order = new[np.lexsort(keys[:, new])]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(0)
+            first = order[fresh]
             before = len(self.memo.start)
-            lo, hi = np.stack([starts, cut], 1).ravel()[new[first]], np.stack([cut, ends], 1).ravel()[new[first]]
-            for k in range(0, len(known), LEARN):
-                pieces = [data[a:b].tobytes().decode("utf-8") for a, b in zip(lo[k : k + LEARN].tolist(), hi[k : k + LEARN].tolist())]
-                self.memo.add(known[k : k + LEARN], self._learn(pieces))
-            got[new] = before + back.astype(np.int32)
-        return got, 2 * rows
+            for k in range(0, len(first), LEARN):
+                some = first[k : k + LEARN]
+                self.memo.add(keys[:, some], self._learn([text(x) for x in some.tolist()]))
+            got[order] = before + np.cumsum(fresh).astype(np.int32) - 1
+        return got, long
+
+    def _long(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+        """Ids of the pieces without an entry, some megabytes of text at a time."""
+        out: list[np.ndarray] = []
+        size = np.cumsum(hi - lo) // (4 << 20)
+        for part in np.split(np.arange(len(lo)), np.flatnonzero(size[1:] != size[:-1]) + 1):
+            out += self._encode([data[lo[k] : hi[k]].tobytes().decode("utf-8") for k in part])
+        return out
 
     def encode(self, col) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all rows of an Arrow string column, without added special tokens, and the rows' n+1 offsets."""
         if not self.by_piece:
             ids = self._encode([t or "" for t in col.to_pylist()])
             return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        got, rows = self._entries(col)
-        n = self.memo.length[got].astype(np.int64)
-        upto = np.concatenate([[0], np.cumsum(n)])
-        some = n > 0
-        where = np.repeat(self.memo.start[got[some]] - upto[:-1][some], n[some])
-        where += np.arange(upto[-1])
-        return self.memo.pool[where], upto[rows]
+        data, lo, hi, rows = self._pieces(col)
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(lo), PIECES):
+            a, b = lo[k : k + PIECES], hi[k : k + PIECES]
+            got, long = self._entries(data, a, b)
+            own = self._long(data, a[long], b[long])
+            n = self.memo.length[got].astype(np.int64)
+            n[long] = [len(x) for x in own]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            known = n > 0
+            known[long] = False
+            out = np.empty(upto[-1], np.uint32)
+            where = np.arange(n[known].sum()) + np.repeat(self.memo.start[got[known]] - np.cumsum(n[known]) + n[known], n[known])
+            out[np.repeat(known, n) if own else slice(None)] = self.memo.pool[where]
+            for i, x in zip(long.tolist(), own):
+                out[upto[i] : upto[i + 1]] = x
+            ids.append(out)
+            sizes.append(n)
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])[rows]
 
     def counts(self, col) -> np.ndarray:
         if not self.by_piece:
             return np.array([len(x) for x in self._encode([t or "" for t in col.to_pylist()])], np.int64)
-        got, rows = self._entries(col)
-        upto = np.concatenate([[0], np.cumsum(self.memo.length[got], dtype=np.int64)])
-        return np.diff(upto[rows])
+        data, lo, hi, rows = self._pieces(col)
+        sizes = [np.zeros(0, np.int64)]
+        for k in range(0, len(lo), PIECES):
+            a, b = lo[k : k + PIECES], hi[k : k + PIECES]
+            got, long = self._entries(data, a, b)
+            n = self.memo.length[got].astype(np.int64)
+            n[long] = [len(x) for x in self._long(data, a[long], b[long])]
+            sizes.append(n)
+        return np.diff(np.concatenate([[0], np.cumsum(np.concatenate(sizes))])[rows])
 
 
 class PieceEncoder:

@@ -25,20 +25,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_byte = mix(np.arange(1, 257, dtype=np.uint64) * _MULT) | np.uint64(1)
-_folded = _byte.copy()
-_folded[65:91] = _byte[97:123]
-_powers: list[np.ndarray] = []
-
-
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    if not _powers:
-        p = int(_MULT) | 1
-        for base in (p, pow(p, -1, 1 << 64)):
-            x = np.full(SLICE + 1, base, np.uint64)
-            x[0] = 1
-            _powers.append(np.multiply.accumulate(x))
-    return _powers[0], _powers[1]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: What is left of eight bytes of which only the first 0 to 8 belong to a word.
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+#: A longer word is hashed whole by xxh3.
+LONG_WORD = 256
 
 
 def as_bytes(col) -> tuple[np.ndarray, np.ndarray]:
@@ -72,38 +64,34 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _long_hash(piece: np.ndarray, table: np.ndarray) -> int:
-    """One word longer than a slice."""
-    up, _ = _tables()
-    total, p = 0, int(_MULT) | 1
-    for at in range(0, len(piece), SLICE):
-        part = table[piece[at : at + SLICE]]
-        total += int(np.sum(part * up[: len(part)], dtype=np.uint64)) * pow(p, at, 1 << 64)
-    return total & _MASK
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each byte, as one number; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, np.dtype("<u8"), padded, 0, (1,))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """64 bits a word: a polynomial in a random table of bytes. fold: A-Z count as a-z."""
-    up, down = _tables()
-    table = _folded if fold else _byte
+    """64 bits a word, mixed anew after every eight bytes; fold: A-Z count as a-z. Words of more than ``LONG_WORD`` bytes by xxh3."""
     out = np.empty(len(starts), np.uint64)
     i = 0
-    while i < len(starts):
-        base = starts[i]
-        j = max(int(np.searchsorted(ends, base + SLICE, "right")), i + 1)
-        if ends[i] - base > SLICE:
-            out[i] = _long_hash(data[base : ends[i]], table)
-            i += 1
-            continue
-        part = table[data[base : ends[j - 1]]]
-        part *= up[: len(part)]
-        sums = np.empty(len(part) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(part, out=sums[1:])
-        s = starts[i:j] - base
-        out[i:j] = (sums[ends[i:j] - base] - sums[s]) * down[s]
+    while i < len(starts):  # slices of about a megabyte, or one longer word
+        j = max(int(np.searchsorted(ends, starts[i] + SLICE, "right")), i + 1)
+        part = data[starts[i] : ends[j - 1]]
+        if fold:
+            part = _LOWER[part]
+        s, n = starts[i:j] - starts[i], ends[i:j] - starts[i:j]
+        h, at = n.astype(np.uint64) * _MULT, eights(part)
+        live = np.flatnonzero(n <= LONG_WORD)
+        for done in range(0, LONG_WORD, 8):
+            live = live[n[live] > done]
+            if not len(live):
+                break
+            h[live] = mix((h[live] ^ (at[s[live] + done] & _KEEP[np.minimum(n[live] - done, 8)])) * _MULT)
+        for k in np.flatnonzero(n > LONG_WORD).tolist():
+            h[k] = xxhash.xxh3_64_intdigest(part[s[k] : s[k] + n[k]])
+        out[i:j] = h
         i = j
-    return mix(out + (ends - starts).astype(np.uint64) * _MULT)
+    return out
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, width: int = 5, short: bool = True) -> tuple[np.ndarray, np.ndarray]:

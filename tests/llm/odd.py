@@ -23,3 +23,9 @@ def docs(spark, texts=TEXTS):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def balanced_words(n: int) -> list[str]:
+    """Pairs of words of n letters that differ everywhere, yet have equal sums of any polynomial in the letters."""
+    side = [bin(k).count("1") & 1 for k in range(n)]
+    return [w for a, b in ("ab", "qz", "in", "th", "1x") for w in ("".join((a, b)[k] for k in side), "".join((b, a)[k] for k in side))]

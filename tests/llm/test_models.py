@@ -14,7 +14,7 @@ import zstandard
 from conftest import MID, SMALL
 
 import corpus_pipeline
-from annalix.llm import _bpe, boosting, decontaminate, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, queries, token_counts, toxicity, url_filter
+from annalix.llm import _bpe, _text, boosting, decontaminate, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, queries, token_counts, toxicity, url_filter
 from annalix.llm._shared import held_out, scratch, table
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -222,6 +222,38 @@ def test_piece_table_equals_the_library():
     assert flat.tolist() == tok.encode("a b q r", add_special_tokens=False).ids
 
 
+def test_words_that_sums_cannot_tell_apart(spark):
+    """Token ids, links, items found and repeated windows of words whose polynomial hashes collide in every base."""
+    from test_operators import brute_links, check_packing
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    for n in (16, 23, 24, 256, 257, 1024, 2048, 4096):
+        words = odd.balanced_words(n)
+        data, offsets = _text.as_bytes(pa.array([" ".join(words)]))
+        hashes = _text.word_hashes(data, *_text.words(data, offsets)[:2])
+        assert len(set(hashes.tolist())) == len(set(words))
+    texts = odd.balanced_words(2048) + [" ".join(odd.balanced_words(1024)), "a\0 a a\0\0 \0"]
+    want = {k: tok.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
+    enc = _bpe.Encoder(queries.tokenizer_path())
+    for _ in range(2):
+        flat, at = enc.encode(pa.array(texts))
+        assert [flat[at[k] : at[k + 1]].tolist() for k in want] == list(want.values())
+        assert enc.counts(pa.array(texts)).tolist() == [len(x) for x in want.values()]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert check_packing(packing.pack_documents(d, queries.tokenizer_path()).toPandas(), {k: [*x, 1] for k, x in want.items()}) == 0
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(d, queries.tokenizer_path(), scratch(spark, "sums")).collect()}
+    assert counts == {k: len(x) for k, x in want.items()}
+    links = {r["doc_id"]: r["n_links"] for r in jaccard_join.link(d).collect()}
+    assert [links[k] for k in want] == brute_links(texts)[0] and not any(links.values())
+    a, b = odd.balanced_words(2048)[:2]
+    items = spark.createDataFrame([(1, f"w x y z {a}")], "item_id long, text string")
+    found = decontaminate.find(spark.createDataFrame([(1, f"q w x y z {a} q"), (2, f"q w x y z {b} q")], "doc_id long, text string"), items)
+    assert [r["doc_id"] for r in found.collect()] == [1]
+    d = spark.createDataFrame([(1, f"{a} x y {b} x y"), (2, f"{a} x y {a} x y")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.measure(d).collect()} == {1: 0, 2: 6}
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers(spark, name, tmp_path):
     d = odd.docs(spark).filter("length(text) < 1000 OR text IS NULL")
