@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of Arrow data handed to a Python worker at a time.
 BATCH_BYTES = 2 << 20
+#: Rows that a Parquet reader unpacks at a time.
+READ_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,9 +46,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(rows: int, each: int = 1 << 16) -> int:
+    """Tasks for a table of so many narrow rows, to be given to ``coalesce``."""
+    return max(1, -(-rows // each))
+
+
 def arrow_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of an Arrow batch, so that rows of very long texts don't pile up in one."""
+    """Bounds the bytes of an Arrow batch, and the rows that a reader unpacks at a time, so that very long texts don't pile up."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 def _libc():

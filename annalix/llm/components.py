@@ -2,37 +2,43 @@
 
 In a round every node takes the label with the least hash among itself and its neighbours, edges move
 to the labels, and inner edges go. The hash differs by round, so chains shrink by a constant factor
-however they are numbered. All steps are aggregates with partial sums and joins that can be split.
+however they are numbered. All steps are aggregates with partial sums and joins that can be split. A
+round's tables are written by as many tasks as its edges need, so that small ones don't make many files.
+Joins are merge joins: both sides grow with the edges, and executors keep every broadcast table for long.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import materialise
+from ._shared import materialise, tasks_for
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges: (a, b) of one orderable type, no nulls. Returns (node, component) for each node of an edge between two."""
+    """edges: a written table (a, b) of one orderable type, no nulls. A written table (node, component) of the nodes of an edge between two."""
     maps: list[DataFrame] = []
-    left = materialise(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    left = edges.select("a", "b").filter("a <> b")
     for r in range(rounds):
-        if left.isEmpty():
+        n = left.count()
+        if not n:
             break
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(r)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
         label = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least("m", rank("a"))["id"].alias("to"))
-        label = materialise(label, f"labels{r}")
+        label = materialise(label.coalesce(tasks_for(2 * n)), f"labels{r}")
         maps.append(label)
-        x = left.join(label.select("a", F.col("to").alias("na")), "a").select("b", "na")
-        x = x.join(label.select(F.col("a").alias("b"), F.col("to").alias("nb")), "b").filter("na <> nb")
-        left = materialise(x.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct(), f"edges{r}")
+        x = left.join(label.select("a", F.col("to").alias("na")).hint("merge"), "a").select("b", "na")
+        x = x.join(label.select(F.col("a").alias("b"), F.col("to").alias("nb")).hint("merge"), "b").filter("na <> nb")
+        x = x.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+        left = materialise(x.coalesce(tasks_for(n)), f"edges{r}")
     else:
         raise RuntimeError("components did not settle")
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
     out = maps[0].select(F.col("a").alias("node"), F.col("to").alias("component"))
+    if len(maps) == 1:
+        return out
     for m in maps[1:]:
         hop = m.select(F.col("a").alias("component"), "to")
-        out = out.join(hop, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return out
+        out = out.join(hop.hint("merge"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialise(out.coalesce(tasks_for(maps[0].count())), "components")

@@ -4,12 +4,14 @@
 2. Classes that agree in a band of MinHash values meet. Inside a bucket, values are compared in steps
    of 16, and a pair is dropped once the posterior probability of reaching the threshold (uniform
    prior) falls below ``tolerance``. Only a spanning forest of the surviving pairs leaves the task.
-3. Survivors' components are small, and hold every link. Within them each pair is pruned the same way
-   once more and then decided by exact set intersection; tasks return each class's number of linked
-   texts and a spanning forest, never the pairs.
+3. Survivors' components hold every link. Within them each pair is pruned the same way once more and
+   then decided by exact set intersection; tasks return each class's number of linked texts and a
+   spanning forest, never the pairs.
 
-Large buckets and components are cut into blocks; a task gets two blocks. A link is missed only if no
-band agrees: with 24 bands of 4 values that is 3e-6 at a similarity of 0.8, and less above.
+Large buckets and components are cut into blocks, and a task gets two. A component's blocks hold classes
+whose least bucket is the same, as far as they fit, and only blocks that have a bucket in common meet: so
+a long chain of texts costs what its links cost, and not the square of its length. A link is missed only
+if no band agrees: with 24 bands of 4 values that is 3e-6 at a similarity of 0.8, and less above.
 
 Defined cases: words are runs of non-space bytes, A-Z as a-z. A text of one to four words has one
 shingle of all its words; one without words (null, empty, blank) has none, links to nothing and is its
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import arrow_batches, materialise, tidy
+from ._shared import arrow_batches, materialise, tasks_for, tidy
 from ._text import digest128, minhash, minhash_params, mix, shingle_column
 from .components import components
 
@@ -40,10 +42,11 @@ class Settings:
     tolerance: float = 1e-6
     #: Classes in a block of a bucket; classes and shingles in a block of a component.
     bucket_block: int = 256
-    block: int = 64
-    block_shingles: int = 1 << 20
-    #: Bytes of keys up to which the classes to verify are broadcast; beyond, a shuffled join.
+    block: int = 256
+    block_shingles: int = 1 << 19
+    #: Bytes up to which a side is broadcast, at ``row_bytes`` a row as hashed in memory; beyond, a shuffled join.
     broadcast_bytes: int = 32 << 20
+    row_bytes: int = 192
 
     @property
     def hashes(self) -> int:
@@ -195,9 +198,10 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     order = np.argsort(cols, kind="stable")
     rows, cols = rows[order], cols[order]
     total = np.zeros((len(sets), len(sets)), np.float64)
-    for lo in range(0, int(cols[-1]) + 1, 8192):
-        a, b = np.searchsorted(cols, [lo, lo + 8192])
-        part = np.zeros((len(sets), 8192), np.float32)
+    width = max(256, (1 << 20) // len(sets))
+    for lo in range(0, int(cols[-1]) + 1, width):
+        a, b = np.searchsorted(cols, [lo, lo + width])
+        part = np.zeros((len(sets), width), np.float32)
         part[rows[a:b], cols[a:b] - lo] = 1
         total += part @ part.T
     return total[i, j].round().astype(np.int64)
@@ -245,13 +249,39 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "set"])
 
 
-def _blocked(df: DataFrame, blocks, node: str = "node") -> DataFrame:
+def _blocked(df: DataFrame, blocks) -> DataFrame:
     """Each row once for every pair of blocks that its block is part of: (bi, bj), bi <= bj."""
-    df = df.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
+    df = df.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return df.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other")).drop("blocks", "other")
 
 
+def _fill(count, weight, s: Settings):
+    """Blocks that so many classes with so many shingles need."""
+    return F.ceil(F.greatest(F.col(count) / s.block, F.col(weight) / s.block_shingles))
+
+
+def _component_blocks(near: DataFrame, live: DataFrame, s: Settings) -> DataFrame:
+    """(node, comp, block, bi, bj): the pairs of blocks in which a class of a component is compared."""
+    sizes = near.groupBy("comp").agg(F.count("*").alias("many"), F.sum("n").alias("weight")).withColumn("parts", _fill("many", "weight", s))
+    sizes = materialise(sizes.filter("parts > 1").select("comp", "parts").coalesce(tasks_for(near.count())), "large")
+    zero = F.lit(0).cast("long")
+    small = near.join(sizes.hint("merge"), "comp", "left_anti").select("node", "comp", zero.alias("block"), zero.alias("bi"), zero.alias("bj"))
+    if sizes.isEmpty():
+        return small
+    large = near.join(sizes.hint("merge"), "comp").select("node", "comp", "n", "parts")
+    met = live.join(large.select("node", "comp").hint("merge"), "node").select("node", "comp", "bucket")
+    home = met.groupBy("node").agg(F.min("bucket").alias("least")).join(large.hint("merge"), "node")
+    home = home.select("node", "comp", "n", F.pmod(F.xxhash64("least"), F.col("parts")).alias("home"))
+    fit = home.groupBy("comp", "home").agg(F.count("*").alias("many"), F.sum("n").alias("weight")).select("comp", "home", _fill("many", "weight", s).alias("subs"))
+    placed = home.join(fit.hint("merge"), ["comp", "home"]).select("node", "comp", F.shiftleft("home", 24).bitwiseOR(F.pmod(F.xxhash64("node"), F.col("subs"))).alias("block"))
+    placed = materialise(placed, "blocks")
+    there = met.join(placed.hint("merge"), ["node", "comp"]).select("comp", "bucket", "block").distinct()
+    two = there.withColumnRenamed("block", "bi").join(there.withColumnRenamed("block", "bj").hint("merge"), ["comp", "bucket"]).filter("bi <= bj").select("comp", "bi", "bj").distinct()
+    two = two.select("comp", "bi", "bj", F.explode(F.array_distinct(F.array("bi", "bj"))).alias("block"))
+    return small.unionByName(placed.join(two.hint("merge"), ["comp", "block"]).select("node", "comp", "block", "bi", "bj"))
+
+
 def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row for each row of docs: (doc_id, key, node, class_id, first, n_links).
 
@@ -271,31 +301,33 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     )
     classes = materialise(classes, "classes")
 
-    met = classes.select("node", "sig", F.explode("buckets").alias("bucket"))
-    full = met.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    met = _blocked(met.join(full, "bucket"), F.ceil(F.col("size") / s.bucket_block)).select("bucket", "bi", "bj", "block", "node", "sig")
+    placed = classes.select("node", F.explode("buckets").alias("bucket"))
+    full = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    live = materialise(placed.join(full.hint("merge"), "bucket"), "buckets")
+    met = _blocked(live.join(classes.select("node", "sig").hint("merge"), "node"), F.ceil(F.col("size") / s.bucket_block)).select("bucket", "bi", "bj", "block", "node", "sig")
     met = met.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    near = components(met.mapInArrow(tidy(_prune(s)), "a binary, b binary"))
+    near = components(materialise(met.mapInArrow(tidy(_prune(s)), "a binary, b binary"), "forest"))
 
-    near = materialise(near.join(classes.drop("buckets"), "node").select("component", "node", "rep", "copies", "n", "sig"), "near")
-    sizes = near.groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("weight"))
+    many = near.count()
+    near = near.withColumnRenamed("component", "comp").join(classes.drop("buckets").hint("merge"), "node").select("comp", "node", "rep", "copies", "n", "sig")
+    near = materialise(near.coalesce(tasks_for(many)), "near")
     reps = near.select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.key").alias("rep_key"), "node")
-    if 64 * near.count() <= s.broadcast_bytes:
+    if s.row_bytes * many <= s.broadcast_bytes:
         reps = F.broadcast(reps)
     texts = keyed.join(reps, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))).select("node", "text").dropDuplicates(["node"])
     sets = texts.mapInArrow(tidy(_sets), "node binary, set binary")
-    near = near.join(sizes, "component").withColumnRenamed("component", "comp").withColumn("parts", F.ceil(F.greatest(F.col("many") / s.block, F.col("weight") / s.block_shingles)))
-    pairs = _blocked(near.join(sets, "node"), F.col("parts")).select("comp", "bi", "bj", "block", "node", "copies", "sig", "set")
+    pairs = _component_blocks(near, live, s).join(near.select("node", "copies", "sig").hint("merge"), "node").join(sets.hint("merge"), "node").select("comp", "bi", "bj", "block", "node", "copies", "sig", "set")
     pairs = pairs.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "block", "node")
     found = materialise(pairs.mapInArrow(tidy(_verify(s)), "node binary, root binary, links long"), "links")
 
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    info = classes.select("node", "rep", "copies").join(linked, "node", "left").join(links, "node", "left")
-    info = materialise(info.select("node", "rep", "copies", F.coalesce("component", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")), "nodes")
-    firsts = info.groupBy("comp").agg(F.min("rep").alias("head"))
-    info = info.join(firsts, "comp").select("node", "head", (F.col("copies") - 1 + F.col("links")).alias("n_links"))
-    out = rows.select("doc_id", "key", "node").join(info, "node", "left")
+    ends = linked.join(near.select("node", "rep").hint("merge"), "node").join(links.hint("merge"), "node")
+    heads = ends.groupBy("component").agg(F.min("rep").alias("head"))
+    ends = materialise(ends.join(heads.hint("merge"), "component").select("node", "head", "links").coalesce(tasks_for(linked.count())), "ends")
+    info = classes.select("node", "rep", "copies").join(ends.hint("merge"), "node", "left")
+    info = info.select("node", F.coalesce("head", "rep").alias("head"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = rows.select("doc_id", "key", "node").join(info.hint("merge"), "node", "left")
     return out.select(
         "doc_id", "key", "node",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
@@ -319,7 +351,7 @@ def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     again = made.filter("first and node is not null").groupBy("doc_id", "key").count().filter("count > 1").select(F.col("doc_id").alias(_ID), F.col("key").alias(_KEY))
 
     def checked(keys: DataFrame) -> DataFrame:
-        return F.broadcast(keys) if 32 * keys.count() <= s.broadcast_bytes else keys
+        return F.broadcast(keys) if s.row_bytes * keys.count() <= s.broadcast_bytes else keys
 
     same = F.col("doc_id").eqNullSafe(F.col(_ID)) & (F.xxhash64("text") == F.col(_KEY))
     kept = docs.join(checked(gone), same, "left_anti")
