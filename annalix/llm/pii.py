@@ -2,13 +2,15 @@
 
 High-recall generators propose overlapping spans of four kinds (obfuscated addresses, numbers in odd
 groupings, addresses with more or fewer parts). A candidate's format and the characters and words around
-it are its features. The trees are fitted on a bounded sample of texts: base matches and rewritten
-forms of them are positive; broken forms (wrong check digit, parts out of range, too few digits) and
-candidates of no known form are negative. Each kind has its own threshold, the least score that keeps
-``precision`` on a held-out half. Of overlapping spans the likelier stays; base spans always stay.
+it are its features. The trees are fitted on a bounded sample of distinct texts: base matches and rewritten
+forms of them, with other names and hosts, are positive; broken forms (wrong check digit, parts out of
+range, too few digits) and candidates of no known form are negative, but not parts of numbers that run together. Half of the texts, with all that was
+made of them, are kept from the trees; there each kind gets its own threshold, the least score that keeps
+``precision``. Of overlapping spans the likelier stays; base spans always stay.
 
 Defined cases: null counts as empty, with no spans. Without any base match in the sample nothing is
-added. Offsets are code points. Repeated rows get equal spans.
+added. Offsets are code points. Repeated rows get equal spans. An address part of any length is read as
+a number, leading zeros included.
 """
 
 from __future__ import annotations
@@ -43,6 +45,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    short = digits.lstrip("0") or "0"
+    return len(short) <= 3 and int(short) <= 255
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """As the expression finds them: a run of local characters up to each @, not before the last match."""
     done, at = 0, text.find("@")
@@ -62,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end), by start and then kind as listed."""
     out = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(map(_octet, m[0].split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -73,30 +80,54 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(out)]
 
 
-_AT = re.compile(r"[\[({<]\s?at\s?[\])}>]|\(@\)|\[@\]", re.I)
-_SPOKEN = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?\Z")
-_HOST = re.compile(r" ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({<]\s?dot\s?[\])}>] ?)[A-Za-z0-9-]{1,63}){1,5}", re.I)
-_NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]{0,2}[0-9](?:[ ().,/:-]{0,3}[0-9]){5,24}(?![0-9A-Za-z])")
+#: Signs and words for @, and for a dot of the host; fixed values: a local part has 64 characters at most, a label 63.
+_AT = re.compile(r"[\[({<]\s?at\s?[\])}>]|\(@\)|\[@\]| @ ?|(?<=[A-Za-z0-9])[ _-]at[ _-](?=[A-Za-z0-9])", re.I)
+_MAYBE_AT = re.compile("at[ _\\-\\])}>]", re.I)
+_LOCAL_PART = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?\Z")
+_HOST = re.compile(r" ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({<]\s?dot\s?[\])}>] ?|[ _-]dot[ _-])[A-Za-z0-9]{1,63}(?:-[A-Za-z0-9]+)*)+", re.I)
+_SPELLED = re.compile(r"[^A-Za-z]dot[^A-Za-z]", re.I)
+_NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]{0,2}[0-9](?:[ ().,/:_-]{0,3}[0-9])*(?![0-9A-Za-z])")
 _GROUPS = re.compile(r"[0-9]+")
+#: Fewest and most digits of a candidate.
+_CARD_DIGITS, _PHONE_DIGITS = range(12, 21), range(7, 17)
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digits) of runs of numbers; of a run with
+    more digits than any kind has, all windows that fit of whole groups, those after the first of two digits or more."""
+    for m in _NUMBER.finditer(text):
+        n = sum(c.isdigit() for c in m[0])
+        if n < _CARD_DIGITS.stop:
+            yield m.start(), m.end(), n
+            continue
+        groups = [(g.start(), g.end()) for g in _GROUPS.finditer(text, m.start(), m.end())]
+        for i, (start, _) in enumerate(groups):
+            n = 0
+            for k in range(i, min(i + _CARD_DIGITS.stop, len(groups))):
+                a, b = groups[k]
+                n += b - a
+                if n >= _CARD_DIGITS.stop or k > i and b - a < 2:
+                    break
+                yield start, b, n
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of all that might be personal data; spans overlap, and one span may have several kinds."""
     out = []
-    if "at" in text or "@" in text:
+    if "@" in text or _MAYBE_AT.search(text):
         for m in _AT.finditer(text):
-            left, right = _SPOKEN.search(text, max(0, m.start() - 66), m.start()), _HOST.match(text, m.end())
-            if left and right:
+            left, right = _LOCAL_PART.search(text, max(0, m.start() - 66), m.start()), _HOST.match(text, m.end())
+            bare = m[0][0] in " _-" and "@" not in m[0]  # a plain word: the dots must be words as well
+            if left and right and (not bare or _SPELLED.search(text, m.end(), right.end())):
                 out.append((left.start(), right.end(), 0))
     if _DIGIT.search(text):
-        for m in _NUMBER.finditer(text):
-            n = sum(c.isdigit() for c in m[0])
-            if m[0].count(".") >= 3 or m[0].count(":") >= 3:
-                out.append((m.start(), m.end(), 1))
-            if 12 <= n <= 20:
-                out.append((m.start(), m.end(), 2))
-            if 7 <= n <= 16:
-                out.append((m.start(), m.end(), 3))
+        for a, b, n in _numbers(text):
+            if n >= 4 and (text.count(".", a, b) >= 3 or text.count(":", a, b) >= 3):
+                out.append((a, b, 1))
+            if n in _CARD_DIGITS:
+                out.append((a, b, 2))
+            if n in _PHONE_DIGITS:
+                out.append((a, b, 3))
     return out
 
 
@@ -114,32 +145,64 @@ def features(text: str, start: int, end: int, kind: int) -> list[float]:
     return [
         *(float(kind == k) for k in range(4)), *(float(bool(h.search(around))) for h in _HINTS),
         len(span), len(digits), len(groups), max(sizes), min(sizes), float(len(set(sizes)) == 1), len(seps), len(set(seps)),
-        float(luhn(digits)) if digits else 0.0, max(map(int, groups[:8]), default=0) if max(sizes) < 10 else 1e10, seps.count("."), seps.count(":"), seps.count(" "), seps.count("-"), seps.count("("), seps.count("/"), seps.count(","),
-        float(span[:1] == "+"), float(digits[:2] == "00"), float(int(digits[0]) if digits else -1), float("dot" in span), float("@" in span), float("at" in span),
+        float(luhn(digits)) if digits else 0.0, max(map(int, groups), default=0) if max(sizes) < 10 else 1e10, seps.count("."), seps.count(":"), seps.count(" "), seps.count("-"), seps.count("("), seps.count("/"), seps.count(","),
+        float(span[:1] == "+"), float(digits[:2] == "00"), float(int(digits[0]) if digits else -1), float(bool(_SPELLED.search(span))), float("@" in span), float("at" in span.lower()), float(seps.count("_")),
         float(before.isalnum()), float(after.isalnum()), float(before in ".,:/#=-_$€£"), float(after in ":/#=-_%$€£"), sum(c.isalpha() for c in span),
     ]
 
 
+#: Syllables and endings of made-up names and hosts.
+_SYLLABLES = ("ka", "mer", "lo", "tin", "ba", "sol", "pre", "vi", "dan", "ry", "ne", "cho", "ul", "gra", "win", "ost")
+_ENDINGS = ("com", "org", "net", "de", "fr", "es", "io", "edu", "info", "co.uk", "com.br", "ac.jp")
+
+
+def _word(draw: random.Random) -> str:
+    return "".join(draw.choice(_SYLLABLES) for _ in range(draw.randint(1, 4)))
+
+
+def _address(draw: random.Random) -> tuple[str, str]:
+    name = _word(draw) + draw.choice(["", ".", "_", "-", "+"]).join(["", _word(draw)]) * draw.randint(0, 1) + draw.choice(["", "", str(draw.randint(1, 99))])
+    host = ".".join([*(_word(draw) + draw.choice(["", "-" + _word(draw), str(draw.randint(1, 9))]) for _ in range(draw.randint(1, 3))), draw.choice(_ENDINGS)])
+    return name, host
+
+
+def _cased(s: str, draw: random.Random) -> str:
+    return draw.choice([s, s, s.upper(), s.title()])
+
+
+def _grouped(digits: str, sizes: list[int], sep: str) -> str:
+    at = [sum(sizes[:k]) for k in range(len(sizes))]
+    return sep.join(digits[a : a + n] for a, n in zip(at, sizes))
+
+
+def run_together(text: str) -> list[tuple[int, int]]:
+    """Matches with too many digits: several numbers in one, of which any may be personal data, so that none is a negative example."""
+    out = [(m.start(), m.end()) for m in _PHONE.finditer(text) if sum(c.isdigit() for c in m[0]) > 15]
+    return out + [(m.start(), m.end()) for m in _CARD.finditer(text) if sum(c.isdigit() for c in m[0]) > 19]
+
+
 def _rewritten(kind: int, span: str, draw: random.Random) -> tuple[str, str]:
     """A form of a base match that the base expressions miss, and a broken form."""
     digits = re.sub(r"[^0-9]", "", span)
     if kind == 0:
         name, _, host = span.partition("@")
-        a, d = draw.choice([("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), ("[@]", ".")])
-        return name + a + host.replace(".", d), f"{name} {a} {draw.choice(['the', 'last', 'noon'])}"
+        if draw.random() < 0.8:
+            name, host = _address(draw)
+        a, d = draw.choice([("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), ("[@]", "."), (" at ", " dot "), ("_at_", "_dot_"), (" [at] ", "."), ("{at}", "{dot}"), (" @ ", ".")])
+        return _cased(name + a + host.replace(".", d), draw), f"{name} {a} {draw.choice(['the', 'last', 'noon'])}"
     if kind == 1:
-        parts = span.split(".")
+        parts = span.split(".") if draw.random() < 0.3 else [str(draw.randint(0, 255)) for _ in range(4)]
         bad = parts[:]
         bad[draw.randrange(4)] = str(draw.randint(256, 999))
-        return draw.choice([" . ", ". "]).join(parts), draw.choice([".".join(bad), ".".join([*parts, "7"])])
+        return draw.choice([" . ", ". ", " .", ":"]).join(parts), draw.choice([".".join(bad), ".".join([*parts, "7"])])
     if kind == 2:
-        sep = draw.choice([".", "/", " - ", "  "])
-        quads = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        sep = draw.choice([".", "/", " - ", "  ", "_", ","])
+        quads = [4] * (len(digits) // 4) + [len(digits) % 4] * (len(digits) % 4 > 0)
         bad = digits[:-1] + str((int(digits[-1]) + draw.randint(1, 9)) % 10)
-        return sep.join(quads), draw.choice([bad, sep.join([bad[i : i + 4] for i in range(0, len(bad), 4)])])
-    local = digits[-10:]
-    good = draw.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "00" + digits[:-10] + " {} {} {}"]).format(local[:3], local[3:6], local[6:])
-    return good, draw.choice([f"{draw.randint(1900, 2030)}-{draw.randint(10, 12)}-{draw.randint(10, 28)}", f"{draw.randint(1, 999)},{digits[:3]},{digits[3:6]}", digits[:8]])
+        return _grouped(digits, quads, sep), draw.choice([bad, _grouped(bad, quads, sep), _grouped(bad, quads, " ")])
+    local = "".join(draw.choice("23456789") if k in (0, 3) else draw.choice("0123456789") for k in range(10))
+    good = draw.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "00" + digits[:-10] + " {} {} {}", "{} {} {}", "({}) {} {}", "1-{}-{}-{}", "+1_{}_{}_{}"]).format(local[:3], local[3:6], local[6:])
+    return good, draw.choice([f"{draw.randint(1900, 2030)}-{draw.randint(10, 12)}-{draw.randint(10, 28)}", f"{draw.randint(1, 999)},{digits[:3]},{digits[3:6]}", digits[:8], f"{local[:2]}:{local[2:4]}:{local[4:6]}"])
 
 
 @dataclass(frozen=True)
@@ -167,15 +230,18 @@ class Model:
 
 
 def train(texts: list[str], precision: float = 0.98, rewrites: int = 8, seed: int = 5) -> Model:
+    """Equal texts count once. A text's examples are all on one side: the trees', or the thresholds'."""
     draw = random.Random(seed)
-    x, y, kinds = [], [], []
+    x, y, kinds, fold = [], [], [], []
 
     def example(text: str, a: int, b: int, k: int, label: int) -> None:
         x.append(features(text, a, b, k))
         y.append(label)
         kinds.append(k)
+        fold.append(held)
 
-    for text in texts:
+    for text in sorted(set(texts)):
+        held = draw.random() < 0.5
         base = base_spans(text)
         for start, kind, end in base:
             k = KINDS.index(kind)
@@ -186,16 +252,15 @@ def train(texts: list[str], precision: float = 0.98, rewrites: int = 8, seed: in
                 other = text[max(0, start - 40) : start] + form + text[end : end + 40]
                 lo = min(start, 40)
                 for a, b, c in candidates(other):
-                    if a < lo + len(form) and lo < b:
+                    if lo <= a and b <= lo + len(form):  # those that reach further are partly of what stands beside it
                         example(other, a, b, c, label if c == k else 0)
+        known = [(start, end) for start, _, end in base] + run_together(text)
         for a, b, k in candidates(text):
-            if not any(a < end and start < b for start, _, end in base):
+            if not any(a < end and start < b for start, end in known):
                 example(text, a, b, k, 0)
-    y, kinds = np.array(y), np.array(kinds)
-    if not len(y) or y.min() == y.max():
+    x, y, kinds, fold = np.array(x), np.array(y), np.array(kinds), np.array(fold, bool)
+    if not len(y) or y.min() == y.max() or fold.all():
         return Model(None, (1.1,) * 4)
-    x = np.array(x)
-    fold = np.array([draw.random() < 0.5 for _ in y])
     trees = boosting.fit(x[~fold], y[~fold])
     p = trees.predict(x)
     cut = []
@@ -206,12 +271,13 @@ def train(texts: list[str], precision: float = 0.98, rewrites: int = 8, seed: in
 
 
 def fit(docs: DataFrame, most_texts: int = 3000, most_bytes: int = 20_000) -> Model:
-    """On a sample by a hash of the text: at most ``most_texts`` texts with a digit or an @, of at most ``most_bytes``."""
-    some = docs.filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= most_bytes)).select("text")
+    """On at most ``most_texts`` distinct texts with a digit or an @, of at most ``most_bytes``: those with the least hashes."""
+    some = docs.filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= most_bytes)).select("text", F.pmod(F.xxhash64("text"), F.lit(1_000_003)).alias("h"))
     n = some.count()
-    if n > most_texts:
-        some = some.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < F.lit(int(1_000_003 * most_texts / n)))
-    return train(sorted(r[0] for r in some.limit(2 * most_texts).collect()))
+    if n > 2 * most_texts:  # a part that leaves enough, so that few texts are compared
+        some = some.filter(F.col("h") < F.lit(int(1_000_003 * 2 * most_texts / n)))
+    rows = some.dropDuplicates(["h", "text"]).orderBy("h", "text").limit(most_texts).collect()
+    return train([r["text"] for r in rows])
 
 
 def as_text(spans: list[tuple[int, str, int]]) -> str:

@@ -7,7 +7,7 @@ PROSE = " ".join(f"word{n % 97} and{n % 13} other{n % 31}" for n in range(400))
 LONG = "\n".join(f"line {n} of a very long text with several words" for n in range(20_000))
 TEXTS = [
     None, "", " \t\n ", "x", "one two three four", PROSE, PROSE, PROSE.replace("word5 ", "changed "), LONG, "z" * 300_000, "12345 67890", "Ünïcödé ñandú 日本語 🎉 é",
-    "a@b.co +1 (555) 555-0100 4111 1111 1111 1111 10.0.0.1", "\n\n\n", "same line\nsame line\nother", "<|endoftext|> 'S don't",
+    "a@b.co +1 (555) 555-0100 4111 1111 1111 1111 10.0.0.1", "\n\n\n", "same line\nsame line\nother", "<|endoftext|> 'S don't", "0" * 5000 + ".1.1.1",
 ]
 
 
