@@ -5,8 +5,9 @@ capacity in each. The dot-product heuristic fills one sequence at a time: of the
 with the largest sum of demand times remaining capacity, both as shares of the capacity, comes next. When
 none fits, or only one segment is left, the longest item is cut to what remains, and its rest returns to
 the pool; so sequences are full but for the last of a task, which is cut into sequences whose lengths
-are powers of two and need no padding. A sequence also ends early once what is left would exceed its
-loss-bearing tokens; where all tokens bear loss and the capacities are equal, that never happens.
+are powers of two and need no padding. A sequence that its segments or its loss-bearing tokens end early
+is cut back to a power of two as well, and what was cut off returns to the pool. Where all tokens bear
+loss and the capacities are equal, the loss-bearing tokens end none.
 
 Tasks pack what they read, in windows of ``window`` documents, so there is no shuffle, memory is bounded
 and lost tasks are simply run again. Defined cases: a null text is empty and has the end id alone; rows
@@ -65,12 +66,25 @@ class Packer:
         self.loss[k] -= bear
         return bear
 
+    def _give_back(self, taken: list[tuple[int, int, int]], out: list, n: int) -> None:
+        """Returns the last n tokens of the open sequence; taken has (item, tokens, loss-bearing ones) of its pieces."""
+        while n:
+            k, size, bear = taken.pop()
+            owner, start, _, sequence, offset = out.pop()
+            back = min(n, size)
+            self.start[k] -= back
+            self.tokens[k] += back
+            self.loss[k] += bear - min(bear, size - back)
+            if size > back:
+                out.append((owner, start, size - back, sequence, offset))
+            n -= back
+
     def pack(self, leave: int) -> list[tuple[int, int, int, int, int]]:
         """(owner, start, length, sequence, offset) of full sequences, until at most ``leave`` tokens are open."""
         cap, out = self.cap, []
         total = int(self.tokens.sum())
         while total > leave:
-            room, segments, loss, offset = min(cap.tokens, total), cap.segments, cap.loss, 0
+            room, segments, loss, offset, taken = min(cap.tokens, total), cap.segments, cap.loss, 0, []
             if total < cap.tokens:
                 room = 1 << (total.bit_length() - 1)
             size = room
@@ -87,10 +101,16 @@ class Packer:
                     n = int(min(room, self.tokens[k], loss if self.loss[k] > loss else room))
                 else:
                     n = int(self.tokens[k])
-                loss -= self._take(k, n, out, offset)
+                bear = self._take(k, n, out, offset)
+                taken.append((k, n, bear))
+                loss -= bear
                 offset += n
                 room -= n
                 segments -= 1
+            if offset & (offset - 1):
+                over = offset - (1 << (offset.bit_length() - 1))
+                self._give_back(taken, out, over)
+                offset -= over
             total -= offset
             self.sequence += 1
             assert offset and offset <= size

@@ -29,7 +29,11 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 @dataclass(frozen=True)
 class Bands:
     #: (from bytes, least ratio, most ratio) of whole texts, by length; the last that starts at or below counts.
-    whole: tuple[tuple[int, float, float], ...] = ((0, 0.0, 9.0), (256, 0.12, 0.95), (1024, 0.08, 0.85), (4096, 0.06, 0.75), (16384, 0.05, 0.70), (65536, 0.04, 0.66))
+    #: Below a hundred bytes or so no text gets smaller, and only what does is repetitive.
+    whole: tuple[tuple[int, float, float], ...] = (
+        (0, 1.2, 10.0), (16, 1.1, 1.6), (24, 0.75, 1.4), (32, 0.58, 1.3), (48, 0.38, 1.2), (64, 0.28, 1.145), (96, 0.2, 1.05), (128, 0.15, 1.0), (192, 0.11, 0.97),
+        (256, 0.12, 0.95), (1024, 0.08, 0.85), (4096, 0.06, 0.75), (16384, 0.05, 0.70), (65536, 0.04, 0.66),
+    )
     chunk_bytes: int = 4096
     chunk: tuple[float, float] = (0.06, 0.80)
     #: Most chunks outside the band, as a share.

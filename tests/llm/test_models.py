@@ -188,6 +188,33 @@ def test_op10_bands_reject_repetitive_and_random_text(spark):
     assert [r["doc_id"] for r in quality_rules.apply_rules(d).collect()] == [1]
 
 
+def test_op10_short_texts_have_bands():
+    bands = quality_rules.Bands()
+    packer = zstandard.ZstdCompressor(level=bands.level)
+    prose = b"The river rose in the night and by morning the lower road was gone, so the school bus took the long way round past the mill and we were all late for the test that nobody had read for anyway."
+    for n in (1, 8, 16, 31, 48, 64, 100, 128, 190):
+        assert quality_rules.verdict(n, *quality_rules.ratios(memoryview(prose[:n]), bands, packer), bands), n
+    for n in (16, 24, 32, 48, 64, 96, 128, 192, 255):
+        assert not quality_rules.verdict(n, *quality_rules.ratios(memoryview(b"z" * n), bands, packer), bands), n
+    assert not quality_rules.verdict(250, 0.01, 0, bands) and not quality_rules.verdict(250, 5.0, 0, bands)
+    noise = bytes(random.Random(1).randrange(256) for _ in range(250))
+    assert not quality_rules.verdict(250, *quality_rules.ratios(memoryview(noise), bands, packer), bands)
+
+
+def test_op10_kept_is_the_rules_and_the_bands(spark):
+    """kept of every document against the bands written out again."""
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in table(spark, SMALL, "documents").collect()}
+    bands, packer = quality_rules.Bands(), zstandard.ZstdCompressor(level=3)
+    for r in queries.op10_quality_rules(spark, SMALL).collect():
+        t = text[r["doc_id"]]
+        low, high = next((lo, hi) for at, lo, hi in reversed(bands.whole) if len(t) >= at)
+        good = bool(t) and low <= len(packer.compress(t)) / len(t) <= high
+        if len(t) >= 4096:
+            cut = [t[k : k + 4096] for k in range(0, len(t) - 4095, 4096)] + ([t[-4096:]] if len(t) % 4096 else [])
+            good &= sum(not 0.06 <= len(packer.compress(c)) / 4096 <= 0.80 for c in cut) <= 0.25 * len(cut)
+        assert r["kept"] == (good and not r["base_failed"])
+
+
 def test_op10_chunks_cover_the_whole_text():
     draw = random.Random(5)
     words = ["".join(draw.choice(string.ascii_lowercase) for _ in range(draw.randint(2, 9))) for _ in range(500)]

@@ -171,13 +171,22 @@ def test_packer_respects_every_limit():
     assert dict(seen) == dict(enumerate(tokens))
 
 
+def test_op4_tiny_documents_need_no_padding(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    texts = [(None, "", "a", "the", "the end")[n % 5] for n in range(3000)]
+    got = packing.pack_documents(lines_of(spark, texts).coalesce(2), queries.tokenizer_path()).toPandas()
+    assert check_packing(got, {n: [*tok.encode(t or "", add_special_tokens=False).ids, 1] for n, t in enumerate(texts)}) == 0
+
+
 def test_op4_loss_bearing_tokens_of_documents(spark, docs, ids):
     cap = packing.Capacity(256, 64, 96)
     bears = {k: (None, 0, -3, 10**9, len(ids[k]) // 2, len(ids[k]) // 7)[n % 6] for n, k in enumerate(sorted(docs))}
     d = spark.createDataFrame([(k, docs[k], b) for k, b in bears.items()], "doc_id long, text string, bearing int").coalesce(2)
     got = packing.pack_documents(d, queries.tokenizer_path(), cap=cap, loss="bearing").toPandas()
     want = {k: [*x, 1] for k, x in ids.items()}
-    check_packing(got, want, cap)
+    assert check_packing(got, want, cap) == 0
     most = {k: len(want[k]) if b is None else min(max(b, 0), len(want[k])) for k, b in bears.items()}
     got["loss"] = [max(0, min(r.length, most[r.doc_id] - r.start)) for r in got.itertuples()]
     used = got.groupby("sequence_id")["loss"].sum()
