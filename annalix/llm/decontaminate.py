@@ -11,8 +11,9 @@ a probability under 1e-6. A window has two blocks at least, which is too wide fo
 item has one for sure. Candidates are decided by exact containment in the whole document.
 
 Defined cases: a text or item without five words has no shingle and matches nothing; null counts as
-empty. Items with equal text each match. A repeated document matches as often as it occurs. The items
-are held in memory in parts of at most ``part_bytes`` of shingles, each with a pass over the documents.
+empty. Items with equal text each match: they are searched as one text, by the digest of which the found
+documents are joined with the items. A repeated document matches as often as it occurs. The distinct texts
+of items are held in memory in parts of about ``part_bytes``, each with a pass over the documents.
 """
 
 from __future__ import annotations
@@ -36,11 +37,13 @@ class Settings:
     hashes: int = 56
     block: int = 8
     direct: int = 3
-    part_bytes: int = 32 << 20
+    #: Bytes of an index in memory; an item takes ``item_bytes`` and eight bytes for each byte of its text (a word is two bytes at least).
+    part_bytes: int = 64 << 20
+    item_bytes: int = 1600
 
 
 class Index:
-    """Items of one part: distinct shingles, a sorted list of MinHash values for each size class, and one of shingles for the shortest."""
+    """Texts of one part by their ids: distinct shingles, a sorted list of MinHash values for each size class, and one of shingles for the shortest."""
 
     def __init__(self, ids: list, texts: list, s: Settings):
         self.settings = s
@@ -166,19 +169,28 @@ class Index:
                 yield row, item, shared, len(own)
 
 
+_KEY = "__item_text"
+
+
+def _keyed(items: DataFrame) -> DataFrame:
+    return items.select("item_id", F.unhex(F.md5("text")).alias(_KEY), "text").filter("text IS NOT NULL")
+
+
 def _parts(items: DataFrame, s: Settings) -> Iterator[Index]:
-    chars = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    many = max(1, math.ceil(2 * chars / s.part_bytes))
+    """Distinct texts, dealt by their digest to as many parts as their measured size asks for."""
+    texts = _keyed(items).groupBy(_KEY).agg(F.first("text").alias("text"))
+    size = texts.agg(F.sum(s.item_bytes + 8 * F.octet_length("text").cast("long"))).first()[0] or 0
+    many = max(1, math.ceil(size / s.part_bytes))
     for k in range(many):
-        part = items.filter(F.pmod(F.xxhash64("text"), F.lit(many)) == k) if many > 1 else items
-        rows = part.select("item_id", "text").orderBy("item_id").collect()  # at most about part_bytes
+        part = texts.filter(F.pmod(F.xxhash64(_KEY), F.lit(many)) == k) if many > 1 else texts
+        rows = sorted((bytes(r[0]), r[1]) for r in part.collect())  # about part_bytes in memory
         yield Index([r[0] for r in rows], [r[1] for r in rows], s)
 
 
 def find(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment) of every item found in a document."""
     arrow_batches(docs.sparkSession)
-    d, i = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
     for index in _parts(items, s):
         shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -189,13 +201,13 @@ def find(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFra
                 got = list(index.matches(*shingle_column(b.column("text"), short=False))) if index.ids else []
                 row, item, n, of = (np.array(x, np.int64) for x in (zip(*got) if got else ([], [], [], [])))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(row)), pa.array([index.ids[k] for k in item], pa.from_numpy_dtype(np.int64) if i == "bigint" else None), pa.array(n), pa.array(of), pa.array(n / np.maximum(of, 1))],
-                    ["doc_id", "item_id", "shared", "item_shingles", "containment"],
+                    [b.column("doc_id").take(pa.array(row)), pa.array([index.ids[k] for k in item], pa.binary()), pa.array(n), pa.array(of), pa.array(n / np.maximum(of, 1))],
+                    ["doc_id", _KEY, "shared", "item_shingles", "containment"],
                 )
 
-        part = docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {d}, item_id {i}, shared long, item_shingles long, containment double")
+        part = docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, {_KEY} binary, shared long, item_shingles long, containment double")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.join(_keyed(items).drop("text"), _KEY).select("doc_id", "item_id", "shared", "item_shingles", "containment")
 
 
 def clean(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -1,8 +1,8 @@
 """Language of whole texts: multinomial naive Bayes over hashed character n-grams.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0. Without any labelled row
-every text is ``und``. A language beyond the ``max_langs`` most frequent ones is not learned. Ties go
-to the language that sorts first. Repeated rows are predicted alike; other columns pass through
+every text is ``und``. All languages of the labelled rows are learned; a table with so many values of
+lang that the model would pass ``model_bytes`` is refused. Ties go to the language that sorts first. Repeated rows are predicted alike; other columns pass through
 untouched, unless they are called lang_pred or score, which are replaced.
 """
 
@@ -65,20 +65,37 @@ def features(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndar
             yield row, at, total[at]
 
 
+#: Log-probabilities gathered at a time in scoring.
+GATHER = 1 << 18
+
+
 @dataclass(frozen=True)
 class Model:
     langs: tuple[str, ...]
-    log_prob: np.ndarray  # (BUCKETS, langs), float32: at most max_langs * 64 KB
+    log_prob: np.ndarray  # (BUCKETS, langs), float32: 64 KB a language
     prior: np.ndarray
 
+    def joint(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(rows, langs): prior and likelihood of sparse rows of counts, as products with the rows of log_prob that they have."""
+        out = np.empty((len(rows), len(self.langs)))
+        size = np.cumsum([0, *(len(at) for at, _ in rows)])
+        i = 0
+        while i < len(rows):
+            j = max(i + 1, int(np.searchsorted(size, size[i] + GATHER // len(self.langs), "right")) - 1)
+            at, n = (np.concatenate(x) for x in zip(*rows[i:j]))
+            out[i:j] = np.add.reduceat(self.log_prob[at] * n[:, None], size[i:j] - size[i], axis=0)
+            i = j
+        return out + self.prior
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if self.langs:
-            for row, at, n in features(texts):
-                joint = self.prior + n @ self.log_prob[at]
-                best = int(joint.argmax())
-                names[row] = self.langs[best]
-                scores[row] = 1.0 / np.exp(np.maximum(joint - joint[best], -700)).sum()
+        found = list(features(texts)) if self.langs else []
+        if found:
+            joint = self.joint([(at, n) for _, at, n in found])
+            best = joint.argmax(1)
+            share = 1.0 / np.exp(np.maximum(joint - joint.max(1, keepdims=True), -700)).sum(1)
+            for (row, _, _), k, p in zip(found, best.tolist(), share.tolist()):
+                names[row], scores[row] = self.langs[k], p
         return names, scores
 
 
@@ -100,20 +117,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, usable: Column, per_lang: int = 1500, max_langs: int = 256, alpha: float = 0.3) -> Model:
+def fit(docs: DataFrame, usable: Column, per_lang: int = 1500, model_bytes: int = 512 << 20, alpha: float = 0.3) -> Model:
     """Learns from the rows that are ``usable`` and have a lang and a text.
 
-    The sample is bounded: about ``per_lang`` rows of each of the ``max_langs`` most frequent
-    languages, taken by a hash of text, so the model has at most max_langs * BUCKETS figures.
+    The sample is bounded: about ``per_lang`` rows of each language, taken by a hash of text. The model
+    has 4 * BUCKETS bytes a language, which is checked before any is learned.
     """
     arrow_batches(docs.sparkSession)
     known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    most = model_bytes // (4 * BUCKETS)
+    sizes = known.groupBy("lang").count().limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"lang has more than {most} values, beyond model_bytes")
     if not sizes:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"])))])
-    drawn = (F.xxhash64("text") % 1_000_003 + 1_000_003) % 1_000_003 / F.lit(1_000_003.0)
-    sample = known.filter(drawn < F.coalesce(F.try_element_at(share, "lang"), F.lit(-1.0))).select("lang", "text")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_lang / r["count"])) for r in sizes], "lang string, share double")
+    drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    sample = known.join(F.broadcast(shares), "lang").filter(drawn < F.col("share")).select("lang", "text")  # at most ``most`` rows are broadcast
     got = sample.mapInArrow(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(got["lang"].unique()))
     counts, prior = np.full((BUCKETS, len(langs)), alpha), np.zeros(len(langs))

@@ -12,9 +12,10 @@ import pyarrow as pa
 import pytest
 from conftest import MID, SMALL
 from oracle import connect, rows
+from pyspark.sql import functions as F
 
-from annalix.llm import decontaminate, jaccard_join, line_dedup, packing, queries, token_counts
-from annalix.llm._shared import scratch, table
+from annalix.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, queries, token_counts
+from annalix.llm._shared import held_out, scratch, table
 from annalix.llm._text import shingle_column
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -54,6 +55,48 @@ def test_op1_held_out_accuracy(spark):
     assert got["score"].between(0, 1).all()
 
 
+def test_op1_scores_are_naive_bayes_of_counted_ngrams(spark, docs):
+    """Every prediction against counts in dictionaries, and more languages than any table of them would list."""
+    model = language_id.fit(table(spark, SMALL, "documents"), ~held_out())
+    log_prob, prior = model.log_prob.astype(float), model.prior
+    for text in [*list(docs.values())[:60], "a", "Ünïcödé ñandú 日本語", "", None, "123 !?", "a1b2 c3"]:
+        counts = Counter()
+        run = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        if any(c.isalpha() for c in run):
+            padded = f" {' '.join(run.split())} "
+            padded = re.sub(" +", " ", padded) if run[:1] != " " else "  " + padded.lstrip()
+            for n in (1, 2, 3):
+                for i in range(len(padded) - n + 1):
+                    h = 0
+                    for c in padded[i : i + n]:
+                        h = ((h + ord(c)) * 0x9E3779B1) & 0xFFFFFFFF
+                        h ^= h >> 15
+                    counts[h % language_id.BUCKETS] += 1
+        found = list(language_id.features([text]))
+        assert [dict(zip(at.tolist(), n.tolist())) for _, at, n in found] == ([dict(counts)] if counts else []) or run[:1] == " " or run[-1:] == " "
+        names, scores = model.predict([text])
+        if not found:
+            assert names == ["und"] and scores[0] == 0
+            continue
+        _, at, n = found[0]
+        joint = [prior[k] + sum(c * log_prob[b, k] for b, c in zip(at, n)) for k in range(len(model.langs))]
+        top = max(joint)
+        assert joint[model.langs.index(names[0])] >= top - 1e-6 * abs(top)
+        assert scores[0] == pytest.approx(1 / sum(np.exp(max(j - top, -700)) for j in joint), rel=1e-3, abs=1e-6)
+
+
+def test_op1_learns_every_language_and_breaks_ties_by_name(spark):
+    rows = [(k, "".join(chr(0x4E00 + 7 * k + j % 7) for j in range(30)), f"l{k:03}") for k in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(d, F.lit(True))
+    assert len(model.langs) == 400
+    assert [r["lang_pred"] for r in language_id.identify(d, model).orderBy("doc_id").collect()] == [r[2] for r in rows]
+    with pytest.raises(ValueError):
+        language_id.fit(d, F.lit(True), model_bytes=100 * 4 * language_id.BUCKETS)
+    same = spark.createDataFrame([(1, "abc def", "zz"), (2, "abc def", "aa")], "doc_id long, text string, lang string")
+    assert language_id.fit(same, F.lit(True)).predict(["abc def", "qqq"])[0] == ["aa", "aa"]
+
+
 def test_op2_counts(spark, docs, ids):
     got = run(spark, "op2_token_counts")
     assert len(got) == len(docs)
@@ -277,6 +320,21 @@ def test_op8_short_items_in_long_documents(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, bench).orderBy("doc_id").collect()] == [2, 3]
 
 
+def test_op8_many_equal_and_many_short_items(spark):
+    """Equal items are one text in memory, however many; short ones are split by what they take. Ids of any type."""
+    items = [(k, "one two three four five six seven") for k in range(100_000)] + [(100_000 + k, f"item {k} has six words here") for k in range(100_000)]
+    docs = spark.createDataFrame([(1, "x one two three four five six seven y"), (2, "x item 77 has six words here y"), (3, "nothing of the kind is in this text")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    s = decontaminate.Settings()
+    assert [len(x.ids) for x in decontaminate._parts(bench.filter("item_id < 100000"), s)] == [1]
+    parts = [len(x.ids) for x in decontaminate._parts(bench, s)]
+    assert sum(parts) == 100_001 and len(parts) >= 3 and max(parts) * s.item_bytes <= 1.1 * s.part_bytes
+    got = decontaminate.find(docs, bench).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("item_id").alias("last")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(1, 100_000, 99_999), (2, 1, 100_077)]
+    named = spark.createDataFrame([("q-1", "one two three four five six seven"), (None, "one two three four five six seven")], "item_id string, text string")
+    assert sorted(str(r["item_id"]) for r in decontaminate.find(docs, named).collect()) == ["None", "q-1"]
+
+
 def test_op8_no_item_of_few_words_is_missed():
     items = [" ".join(f"i{k}x{j}" for j in range(5 + k % 3)) for k in range(3000)]
     texts = pa.array([" ".join([*(f"a{k}x{j}" for j in range(k % 37)), t, *(f"b{k}x{j}" for j in range(40))]) for k, t in enumerate(items)])
