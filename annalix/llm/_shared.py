@@ -29,14 +29,47 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/annalix/{spark.sparkContext.applicationId}"
 
 
+#: What the innermost open ``scope`` has been asked for: paths and broadcast values.
+_scopes: list[tuple[list[str], list]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1][0].append(path)
+    return path
+
+
+def share(spark: SparkSession, value):
+    """A broadcast variable. The caller has checked its size."""
+    out = spark.sparkContext.broadcast(value)
+    if _scopes:
+        _scopes[-1][1].append(out)
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Intermediate tables and broadcast values made within go at its end; results that need them must have been written by then."""
+    _scopes.append(([], []))
+    try:
+        yield
+    finally:
+        paths, values = _scopes.pop()
+        for v in values:
+            v.destroy()
+        for p in paths:
+            delete(spark, p)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes this application's intermediate tables; results that still read them must have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, _own(spark))
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import arrow_batches, tidy
+from ._shared import arrow_batches, share, tidy
 from ._text import minhash, minhash_params, shingle_column
 
 
@@ -193,7 +193,7 @@ def find(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFra
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
     for index in _parts(items, s):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = share(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -215,7 +215,7 @@ def clean(docs: DataFrame, items: DataFrame, s: Settings = Settings()) -> DataFr
     arrow_batches(docs.sparkSession)
     schema = docs.schema
     for index in _parts(items, s):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = share(docs.sparkSession, index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value

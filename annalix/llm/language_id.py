@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ._shared import arrow_batches, tidy
+from ._shared import arrow_batches, share, tidy
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs, and lang_pred and score (posterior, 0 to 1)."""
     arrow_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs whose language is known with a posterior of ``least`` or more; columns as in docs."""
     arrow_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -3,17 +3,21 @@
 A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-cased, hashed to 128 bits;
 a document counts once for each of its keys. ``LineStore`` keeps the counts as an append-only Parquet
 log of differences, so a document is taken out by appending its negated counts. Frequent keys (found in
-``least_docs`` documents or more) go into cuckoo filters, one a shard of the key space. A filter takes
-insertions and deletions of single keys, so an increment touches the filters only where a key crosses
-the threshold. Keys of the counts that a filter reports in error are found by probing all counts once,
-and kept as exceptions: for counted keys the filter with its exceptions is exact.
+``least_docs`` documents or more) go into cuckoo filters, one a shard of the key space; there are as many
+shards as keep a filter small. A filter takes insertions and deletions of single keys, so an increment
+touches the filters only where a key crosses the threshold. Keys of the counts that a filter reports in
+error are found by probing all counts once, and kept as exceptions: for counted keys the filter with its
+exceptions is exact.
 
-If the filters fit ``filter_bytes`` they are broadcast, and documents are cleaned where they are read.
-Else the frequent lines are found by a join on the key, and documents get theirs by a join on the text.
+The filters are used in one of two ways. Up to ``filter_bytes`` they are broadcast, and documents are
+cleaned where they are read. Beyond, each stays in its row of a table: lines are dealt by shard (a shard
+with many lines to several tasks), the task probes them with the shard's filter, and documents get the
+keys found by a join on the text.
 
 Defined cases: null and empty text are one empty line. Keys shorter than ``least_chars`` code points are
 never dropped. Rows that repeat an id are separate documents. A document of which all lines go has
 the empty text. Documents that were never counted are cleaned too, with the filter's error of 2**-29.
+Taking out what was never put in leaves counts below zero, which ``below_zero`` shows and no line is dropped for.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import arrow_batches, materialise, tidy
+from ._shared import arrow_batches, materialise, share, tidy
 
 SPACES = b" \t\n\x0b\x0c\r"
 KEY = np.dtype([("hi", ">u8"), ("lo", ">u8")])
@@ -37,8 +41,12 @@ KEY = np.dtype([("hi", ">u8"), ("lo", ">u8")])
 class Settings:
     least_docs: int = 10
     least_chars: int = 1
+    #: Fewest shards, and frequent keys in a shard: about 2.6 MB of filter.
     shards: int = 64
+    shard_keys: int = 1 << 18
     filter_bytes: int = 32 << 20
+    #: Lines that are probed by one task.
+    probe_lines: int = 4 << 20
 
 
 def line_keys(text: bytes, s: Settings) -> tuple[list[bytes], np.ndarray]:
@@ -49,6 +57,16 @@ def line_keys(text: bytes, s: Settings) -> tuple[list[bytes], np.ndarray]:
     return lines, np.frombuffer(raw, KEY)
 
 
+def among(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which keys are among the others; both halves are compared."""
+    out = np.isin(keys["hi"], others["hi"])
+    at = np.flatnonzero(out)
+    if len(at):
+        known = set(zip(others["hi"].tolist(), others["lo"].tolist()))
+        out[at] = [k in known for k in zip(keys["hi"][at].tolist(), keys["lo"][at].tolist())]
+    return out
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = np.atleast_1d(x)
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -162,7 +180,7 @@ class Filters:
         out &= (hi != 0) | (lo != 0)
         if len(self.wrong) and out.any():
             at = np.flatnonzero(out)
-            out[at] = ~np.isin(np.ascontiguousarray(keys[at]).view("V16"), self.wrong.view("V16"))
+            out[at] = ~among(keys[at], self.wrong)
         return out
 
     def change(self, hi: np.ndarray, lo: np.ndarray, take_out: bool) -> None:
@@ -175,6 +193,52 @@ class Filters:
         self.__dict__.pop("_flat", None)
 
 
+@dataclass(frozen=True)
+class Sharded:
+    """Filters beyond what is broadcast: (shard, buckets, data), and (shard, hi, lo) of the exceptions."""
+
+    table: DataFrame
+    wrong: DataFrame
+    shards: int
+
+
+def _shard(shards: int):
+    return F.pmod(F.shiftrightunsigned("hi", 40), F.lit(shards))
+
+
+_PROBE = "shard long, salt long, kind int, buckets long, data binary, text_key binary, hi long, lo long"
+
+
+def _as_probe(df: DataFrame, kind: int) -> DataFrame:
+    """df with the columns of ``_PROBE``, null where it has none; within a shard filters (0) come before exceptions (1) and lines (2)."""
+    have = {"kind": F.lit(kind)} | {c: F.col(c) for c in df.columns}
+    return df.select(*(have.get(c, F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in _PROBE.split(", "))))
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shard, salt and kind, the lines that are in their shard's filter and no exceptions."""
+    own, f, wrong = None, None, []
+    for b in batches:
+        at = np.stack([b.column("shard").to_numpy(), b.column("salt").to_numpy(), b.column("kind").to_numpy()], 1)
+        cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), b.num_rows] if b.num_rows else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            shard, salt, kind = at[lo].tolist()
+            if own != (shard, salt):
+                own, f, wrong = (shard, salt), None, []
+            part = b.slice(lo, hi - lo)
+            if kind == 0:
+                f = Cuckoo(part.column("buckets")[0].as_py(), np.frombuffer(part.column("data")[0].as_py(), np.uint32).reshape(-1, 4))
+            elif f is not None:
+                keys = _as_keys(part.column("hi"), part.column("lo"))
+                if kind == 1:
+                    wrong.append(keys)
+                    continue
+                hit = f.has(keys["hi"].astype(np.uint64), keys["lo"].astype(np.uint64))
+                if wrong:
+                    hit &= ~among(keys, np.concatenate(wrong))
+                yield part.filter(pa.array(hit)).select(["text_key", "hi", "lo"])
+
+
 def _keys_of(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     for b in batches:
         own = []
@@ -221,14 +285,16 @@ class LineStore:
     def frequent(self) -> DataFrame:
         return self.counts().filter(F.col("n") >= self.settings.least_docs).select("hi", "lo")
 
-    def filters(self) -> Filters | None:
-        """None if they are larger than ``filter_bytes`` (10 bytes a key at most, checked before anything is gathered)."""
+    def below_zero(self) -> DataFrame:
+        """(hi, lo, n) of the keys that were taken out more often than put in."""
+        return self.counts().filter("n < 0")
+
+    def filters(self) -> Filters | Sharded:
+        """In memory if they fit ``filter_bytes`` with their exceptions, which is checked before anything is gathered."""
         s = self.settings
         counts = materialise(self.counts(), "line-counts")
         keys = counts.filter(F.col("n") >= s.least_docs).select("hi", "lo")
-        if 10 * keys.count() > s.filter_bytes:
-            return None
-        n = s.shards
+        n = max(s.shards, -(-keys.count() // s.shard_keys))
 
         def build(pdf):
             import pandas as pd
@@ -236,16 +302,35 @@ class LineStore:
             f = build_filter(pdf["hi"].to_numpy(np.int64).view(np.uint64), pdf["lo"].to_numpy(np.int64).view(np.uint64))
             return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "buckets": [f.buckets], "data": [f.table.tobytes()]})
 
-        shard = F.pmod(F.shiftrightunsigned("hi", 40), F.lit(n))
-        made = keys.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard long, buckets long, data binary").collect()
-        out = Filters({r["shard"]: Cuckoo(r["buckets"], np.frombuffer(bytes(r["data"]), np.uint32).reshape(-1, 4).copy()) for r in made}, n)
-        return self._with_errors(out, counts)
+        made = keys.withColumn("shard", _shard(n)).groupBy("shard").applyInPandas(build, "shard long, buckets long, data binary")
+        made = materialise(made.coalesce(max(1, n // 16)), "filters")
+        if (made.agg(F.sum(16 * F.col("buckets"))).first()[0] or 0) <= s.filter_bytes:
+            out = Filters({r["shard"]: Cuckoo(r["buckets"], np.frombuffer(bytes(r["data"]), np.uint32).reshape(-1, 4).copy()) for r in made.collect()}, n)
+            out = self._with_errors(out, counts)
+            if out is not None:
+                return out
+        rare = counts.filter(F.col("n") < s.least_docs).select("hi", "lo").withColumn("shard", _shard(n))
+        wrong = self._in_shards(rare, Sharded(made, None, n)).select("hi", "lo").withColumn("shard", _shard(n))
+        return Sharded(made, materialise(wrong, "wrong"), n)
+
+    def _in_shards(self, lines: DataFrame, filters: Sharded) -> DataFrame:
+        """(text_key, hi, lo) of the lines that their shard's filter reports. A shard goes to as many tasks as its lines ask for."""
+        salts = lines.groupBy("shard").agg(F.ceil(F.count("*") / self.settings.probe_lines).alias("salts"))
+        salts = materialise(salts.coalesce(1), "salts")  # one row a shard
+        draw = F.pmod(F.xxhash64("hi", "lo", *[c for c in ("text_key",) if c in lines.columns]), F.col("salts"))
+        lines = lines.join(salts, "shard").withColumn("salt", draw)
+        each = lambda df: df.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        rows = _as_probe(each(filters.table), 0).unionByName(_as_probe(lines, 2))
+        if filters.wrong is not None:
+            rows = rows.unionByName(_as_probe(each(filters.wrong), 1))
+        rows = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+        return rows.mapInArrow(tidy(_probe), "text_key binary, hi long, lo long")
 
     def _with_errors(self, out: Filters, counts: DataFrame) -> Filters | None:
         """Sets the exceptions; None if they are too many."""
         s = self.settings
         out.wrong = np.zeros(0, KEY)
-        shared = self.spark.sparkContext.broadcast(out)
+        shared = share(self.spark, out)
 
         def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -258,7 +343,7 @@ class LineStore:
         out.wrong = np.sort(_as_keys(wrong["hi"], wrong["lo"]))
         return out
 
-    def advance(self, filters: Filters, docs: DataFrame, remove: bool = False) -> Filters | None:
+    def advance(self, filters: Filters | Sharded, docs: DataFrame, remove: bool = False) -> Filters | Sharded:
         """Inserts (or removes) documents and brings the filters up to date: only keys that cross the threshold change."""
         s = self.settings
         before = materialise(self.counts(), "line-counts")
@@ -266,17 +351,17 @@ class LineStore:
         after = materialise(self.counts(), "line-counts")
         was, now = (x.filter(F.col("n") >= s.least_docs).select("hi", "lo") for x in (before, after))
         come, go = now.join(was, ["hi", "lo"], "left_anti"), was.join(now, ["hi", "lo"], "left_anti")
-        if 16 * (come.count() + go.count()) > s.filter_bytes or 10 * now.count() > s.filter_bytes:
+        if isinstance(filters, Sharded) or 16 * (come.count() + go.count()) > s.filter_bytes or 10 * now.count() > s.filter_bytes:
             return self.filters()
         try:
             for keys, take_out in ((go.toPandas(), True), (come.toPandas(), False)):
                 filters.change(keys["hi"].to_numpy(np.int64).view(np.uint64), keys["lo"].to_numpy(np.int64).view(np.uint64), take_out)
         except OverflowError:
             return self.filters()
-        return self._with_errors(filters, after)
+        return self._with_errors(filters, after) or self.filters()
 
-    def _texts_with(self, docs: DataFrame) -> DataFrame:
-        """(text_key, keys): the frequent keys of each text that has some, by shuffled joins."""
+    def _texts_with(self, docs: DataFrame, filters: Sharded) -> DataFrame:
+        """(text_key, keys): the frequent keys of each text that has some, each found by the filter of its shard."""
         s = self.settings
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,15 +376,15 @@ class LineStore:
                 yield pa.RecordBatch.from_arrays([pa.array(owner, pa.binary()), pa.array(flat["hi"].astype(np.uint64).view(np.int64)), pa.array(flat["lo"].astype(np.uint64).view(np.int64))], ["text_key", "hi", "lo"])
 
         lines = docs.select(text_key(), "text").mapInArrow(tidy(keyed), "text_key binary, hi long, lo long")
-        hot = lines.join(self.frequent(), ["hi", "lo"], "left_semi")
+        hot = self._in_shards(lines.withColumn("shard", _shard(filters.shards)), filters)
         return hot.groupBy("text_key").agg(F.collect_set(F.struct("hi", "lo")).alias("keys"))  # at most the text's lines
 
     def map_texts(self, docs: DataFrame, run_on, schema) -> DataFrame:
         """run_on(batch, lines, masks) -> batch on docs; lines and masks (true: dropped) have a list for each row."""
         s = self.settings
         filters = self.filters()
-        if filters is not None:
-            shared = self.spark.sparkContext.broadcast(filters)
+        if isinstance(filters, Filters):
+            shared = share(self.spark, filters)
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for b in batches:
@@ -309,7 +394,7 @@ class LineStore:
                         yield run_on(b, lines, np.split(hit, np.cumsum([len(k) for k in keys])[:-1]))
 
             return docs.mapInArrow(tidy(run), schema)
-        hot = self._texts_with(docs)
+        hot = self._texts_with(docs, filters)
         joined = docs.withColumn("__line_key", text_key()).join(hot.select(F.col("text_key").alias("__line_key"), F.col("keys").alias("__line_hot")), "__line_key", "left").drop("__line_key")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +404,7 @@ class LineStore:
                     own_lines, keys = line_keys((t or "").encode(), s)
                     own = _as_keys([k["hi"] for k in hot or ()], [k["lo"] for k in hot or ()])
                     lines.append(own_lines)
-                    masks.append(np.isin(keys.view("V16"), own.view("V16")))
+                    masks.append(among(keys, own))
                 yield run_on(b.drop_columns(["__line_hot"]), lines, masks)
 
         return joined.mapInArrow(tidy(run), schema)

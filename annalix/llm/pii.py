@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import boosting
-from ._shared import arrow_batches, tidy
+from ._shared import arrow_batches, share, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -287,7 +287,7 @@ def as_text(spans: list[tuple[int, str, int]]) -> str:
 def find(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every text. Counts are of base spans."""
     arrow_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """docs with every span replaced by its kind in brackets; null stays null."""
     arrow_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

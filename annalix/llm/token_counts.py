@@ -33,21 +33,20 @@ def cached(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     return stored.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 2048) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of each row of docs; misses are encoded and stored first."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    version = file_digest(tokenizer_path)
+def _keyed(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(doc_id, text, content): the text, never null, and the digest of its normalised content."""
     trims = False
     if tokenizer_path.endswith(".json"):
         with open(tokenizer_path, encoding="utf-8") as f:
             trims = splits_at_space(json.load(f))
     text = F.coalesce("text", F.lit(""))
     content = F.btrim(text, F.lit(" \t\n\x0b\f\r")) if trims else text
-    keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(content, 256)).alias("content"))
-    rows = materialise(keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    return docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(content, 256)).alias("content"))
 
-    store = cached(spark, cache_path, version)
+
+def _store_missing(keyed: DataFrame, rows: DataFrame, tokenizer_path: str, cache_path: str, version: str) -> None:
+    """Encodes one text of each digest of rows that the cache lacks, and appends the counts."""
+    store = cached(keyed.sparkSession, cache_path, version)
     missing = rows.groupBy("content").agg(F.min("doc_id").alias("rep")).join(store, "content", "left_anti")
     missing = missing.select(F.col("content").alias("want"), "rep")
     # One row a digest goes on: the text of its least id (an id that repeats is encoded that often and stored once).
@@ -59,9 +58,24 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
             n = enc.counts(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("content"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "tokenizer", "n_tokens"])
 
-    fresh = texts.select("content", "text").mapInArrow(tidy(run), CACHE)
-    fresh.write.mode("append").parquet(cache_path)
+    texts.select("content", "text").mapInArrow(tidy(run), CACHE).write.mode("append").parquet(cache_path)
+
 
+def store_counts(docs: DataFrame, tokenizer_path: str, cache_path: str) -> None:
+    """Brings the cache up to date with docs, without a result."""
+    arrow_batches(docs.sparkSession)
+    keyed = _keyed(docs, tokenizer_path)
+    _store_missing(keyed, keyed.select("doc_id", "content"), tokenizer_path, cache_path, file_digest(tokenizer_path))
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = 2048) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit) of each row of docs; misses are encoded and stored first."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    version = file_digest(tokenizer_path)
+    keyed = _keyed(docs, tokenizer_path)
+    rows = materialise(keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    _store_missing(keyed, rows, tokenizer_path, cache_path, version)
     counts = materialise(cached(spark, cache_path, version), "counts")  # a plain table on either side: a hot digest's rows can be split
     found = rows.join(counts, "content", "left")
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

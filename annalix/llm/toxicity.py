@@ -3,10 +3,11 @@
 Words are runs of bytes other than ASCII space and punctuation, A-Z as a-z. A word's features are hashes
 of itself, of its first four and five bytes, and of its neighbours; there are two states. Only documents
 are labelled, so token labels come first: in toxic training documents a word counts as toxic if it, or
-its beginning, is significantly more frequent in toxic than in clean training documents. The field is fitted on
-those tags by gradient ascent, on pieces of ``CHAIN`` words. A text is one chain: its marginals
-(forward-backward, where pieces of ``CHAIN`` words pass on their messages and neighbours) give the largest and the expected number of toxic words, from which a logistic curve, fitted on other
-training documents, makes the score; words with a marginal of 0.5 or more are reported as spans.
+its beginning, is significantly more frequent in toxic than in clean training documents. The field is
+fitted on those tags by gradient ascent, on pieces of ``CHAIN`` words, until its likelihood hardly gains.
+A text is one chain: its marginals (forward-backward, where pieces of ``CHAIN`` words pass on their messages
+and neighbours) give the largest and the expected number of toxic words, from which a logistic curve, fitted
+on the same training documents, makes the score; words with a marginal of 0.5 or more are reported as spans.
 
 Defined cases: a null or empty text has no words and gets the curve's value for none, under the
 threshold. Without toxic or without clean training documents every score is 0. Repeated rows score alike.
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import arrow_batches, steady_memory, tidy, trim
+from ._shared import arrow_batches, share, steady_memory, tidy, trim
 from ._text import as_bytes, word_hashes, words
 
 CHAIN = 64
@@ -158,6 +159,7 @@ def fit_field(f: np.ndarray, rows: np.ndarray, tags: np.ndarray, rounds: int = 4
 
     At most about ``most_chains`` chains take part, a third of them with a toxic word.
 
+    Stops after two rounds in a row that lower the words' log loss by less than a hundredth.
     Neighbours' weights are held closer to zero (``l2_near``): most neighbours of a toxic word are there by chance.
     """
     start, length = _chains(rows)
@@ -180,14 +182,18 @@ def fit_field(f: np.ndarray, rows: np.ndarray, tags: np.ndarray, rounds: int = 4
     m, v = np.zeros_like(flat), np.zeros_like(flat)
     ridge = np.full_like(flat, l2)
     ridge[SIZE : 3 * SIZE] = l2_near
+    words, last, still = max(1, int(length.sum())), np.inf, 0
     for k in range(1, rounds + 1):
+        loss = 0.0
         field = Field(flat[:SIZE], flat[SIZE : 2 * SIZE], flat[2 * SIZE : 3 * SIZE], float(flat[-1]), flat[3 * SIZE : 3 * SIZE + 4].reshape(2, 2))
         t = np.exp(field.step)
         grad = np.zeros_like(flat)
         for s, n, own, before, after, inside, later, sooner, y in parts:
             psi, a, b = field.messages(field.odds(f, s, n), n)
             p = a * b
-            diff = np.where(inside, y - p[:, :, 1] / p.sum(2), 0.0)
+            q = p[:, :, 1] / p.sum(2)
+            diff = np.where(inside, y - q, 0.0)
+            loss -= float(np.log(np.maximum(1 - np.abs(diff[inside]), 1e-12)).sum()) / words
             joint = a[:, :-1, :, None] * t * (psi * b)[:, 1:, None, :]
             joint /= joint.sum((2, 3), keepdims=True)
             hot = np.stack([1 - y, y], 2)
@@ -199,6 +205,10 @@ def fit_field(f: np.ndarray, rows: np.ndarray, tags: np.ndarray, rounds: int = 4
             grad[2 * SIZE : 3 * SIZE] += np.bincount(after, diff[sooner], SIZE)
             grad[-1] += diff.sum() / 10
         grad = grad / max(1, len(start)) - ridge * flat
+        still = still + 1 if loss > 0.99 * last else 0
+        last = loss
+        if still == 2:
+            break
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         flat = flat + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
     return Field(*(x.astype(np.float32) for x in (flat[:SIZE], flat[SIZE : 2 * SIZE], flat[2 * SIZE : 3 * SIZE])), float(flat[-1]), flat[3 * SIZE : 3 * SIZE + 4].reshape(2, 2))
@@ -270,18 +280,19 @@ def train(texts: list[str], toxic: list[int]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 1000, most_bytes: int = 30_000) -> Model:
-    """On about ``per_label`` toxic and three times as many clean documents, drawn by a hash of the id from the usable labelled ones.
+    """On documents with the least hashes of the id among the usable labelled ones: ``per_label`` toxic and three times as many clean ids.
 
-    Texts of more than ``most_bytes`` are not learned from, which bounds the sample to 4 * per_label * most_bytes.
+    Texts of more than ``most_bytes`` are not learned from, which bounds the sample to 6 * per_label * most_bytes.
     """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(usable)
-    sizes = {r[0]: r[1] for r in known.filter("toxic in (0, 1)").groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
+    drawn = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).toPandas() for k, n in ((1, per_label), (0, 3 * per_label))]
+    if any(d.empty for d in drawn):
         return Model(None, (0.0, 0.0, 0.0))
-    share = F.when(F.col("toxic") == 1, per_label / sizes[1]).otherwise(3 * per_label / sizes[0])
-    known = known.filter("toxic in (0, 1)").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003 < share)
+    schema = f"doc_id {known.schema['doc_id'].dataType.simpleString()}, toxic int"
+    ids = docs.sparkSession.createDataFrame([(i, k) for d, k in zip(drawn, (1, 0)) for i in d["doc_id"].tolist()], schema)
     short = docs.filter(F.octet_length("text") <= most_bytes).select("doc_id", "text")
-    rows = short.join(F.broadcast(known), "doc_id").limit(6 * per_label).collect()  # known has about 4 * per_label ids
+    rows = short.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id", "text"])  # 4 * per_label ids are broadcast
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(6 * per_label).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
@@ -289,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 100
 def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
     """(doc_id, score, spans) of every text; spans are start:end of toxic words, in code points."""
     arrow_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import arrow_batches, tidy
+from ._shared import arrow_batches, share, tidy
 
 TOKEN = re.compile(r"[a-z0-9]+")
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -109,7 +109,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[HostRule | Pattern], rule_bytes
     if sum(len(r.regex() if isinstance(r, HostRule) else r.regex) for r in rules) > rule_bytes:
         raise ValueError("rules exceed rule_bytes")
     arrow_batches(pages.sparkSession)
-    shared = pages.sparkSession.sparkContext.broadcast((tuple(rules), rule_token_counts(pages.select("url"), rules)))
+    shared = share(pages.sparkSession, (tuple(rules), rule_token_counts(pages.select("url"), rules)))
     kind = pages.schema["page_id"].dataType.simpleString()
     text = lambda x: pa.array(x, pa.string())
 

@@ -18,6 +18,7 @@ import corpus_pipeline
 from annalix.llm import _bpe, _text, boosting, decontaminate, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, queries, token_counts, toxicity, url_filter
 from annalix.llm._shared import held_out, scratch, table
 
+LARGE = "/root/testdata/sf0.1"
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -111,14 +112,16 @@ def test_op7_query(spark):
         assert set(pii.as_text(base).split(",")) <= set(r["spans"].split(",")) or not base
 
 
-def test_op9_held_out(spark):
-    got = queries.op9_toxicity(spark, MID).toPandas().set_index("doc_id")
-    labels = {r["doc_id"]: r["toxic"] for r in table(spark, MID, "labels").collect()}
+@pytest.mark.parametrize("sf_dir, least", [(MID, 0.6), (LARGE, 0.9)])
+def test_op9_held_out(spark, sf_dir, least):
+    """MID has about forty toxic documents to learn from and eighteen held out, the larger table ten times as many."""
+    got = queries.op9_toxicity(spark, sf_dir).toPandas().set_index("doc_id")
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, sf_dir, "labels").collect()}
     assert got["score"].between(0, 1).all() and ((got["score"] >= 0.7) == (got["predicted"] == 1)).all()
     held = [(labels[k], r.predicted) for k, r in got.iterrows() if r.held_out and k in labels]
     clean = [p for y, p in held if y == 0]
     toxic = [p for y, p in held if y == 1]
-    assert np.mean(clean) <= 0.02 and np.mean(toxic) >= 0.6
+    assert np.mean(clean) <= 0.02 and np.mean(toxic) >= least
 
 
 def test_op9_marginals_are_those_of_all_taggings():
@@ -162,6 +165,41 @@ def test_op9_a_text_is_one_chain_however_long():
         assert np.allclose(field.marginals(f, rows, slice_), np.concatenate(want))
 
 
+def test_op9_scores_against_enumeration():
+    """Score of short texts from all taggings of their words, without any of the field's own message passing."""
+    texts = [f"a fine day number {n} with words" for n in range(60)] + [f"you idiot number {n} are vile" for n in range(60)]
+    model = toxicity.train(texts, [0] * 60 + [1] * 60)
+    some = ["you idiot", "a fine day with you", "vile vile day", "", None, "  ...", "number 7 are you", "IDIOT, you!"]
+    got, marginals, *_, rows = model.score(pa.array(some))
+    buckets, _, _, rows = toxicity.tokens(pa.array(some))
+    field = model.field
+    for k, (lo, hi) in enumerate(zip(rows[:-1], rows[1:])):
+        n, own = hi - lo, buckets[lo:hi]
+        odds = [float(field.own[own[i]].sum() + field.bias + (field.left[own[i - 1, 0]] if i else 0) + (field.right[own[i + 1, 0]] if i + 1 < n else 0)) for i in range(n)]
+        total, hot = 0.0, np.zeros(n)
+        for code in range(2**n):
+            y = [(code >> i) & 1 for i in range(n)]
+            w = np.exp(sum(o for o, v in zip(odds, y) if v) + sum(field.step[a, b] for a, b in zip(y, y[1:])))
+            total, hot = total + w, hot + w * np.array(y)
+        p = hot / total
+        assert np.allclose(marginals[lo:hi], p, atol=1e-5)
+        x = model.curve[0] * (p.max() if n else 0.0) + model.curve[1] * np.log1p(p.sum()) + model.curve[2]
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-4)
+
+
+def test_op9_sample_is_bounded_where_one_id_repeats(spark):
+    d = spark.createDataFrame([(1, f"you idiot {k}") for k in range(500)] + [(k, f"a fine day {k}") for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(k == 1)) for k in range(1, 40)], "doc_id long, quality int, toxic int")
+    seen = []
+    old, toxicity.train = toxicity.train, lambda texts, y: seen.append(list(zip(texts, y))) or toxicity.Model(None, (0.0, 0.0, 0.0))
+    try:
+        toxicity.fit(d, labels, F.lit(True), per_label=10)
+        toxicity.fit(d.orderBy(F.desc("text")).repartition(5), labels.orderBy(F.desc("doc_id")), F.lit(True), per_label=10)
+    finally:
+        toxicity.train = old
+    assert seen[0] == seen[1] and len(seen[0]) <= 60
+
+
 def test_op9_spans_are_the_words(spark):
     texts = [f"a fine day number {n} with é words" for n in range(60)] + [f"you idiot number {n} are é vile" for n in range(60)]
     model = toxicity.train(texts, [0] * 60 + [1] * 60)
@@ -406,6 +444,20 @@ def test_pipeline_stages_keep_the_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "jaccard_join", "decontamination", "packing"]
 
 
+def test_a_scope_lets_go_of_tables_and_values(spark):
+    from annalix.llm import _shared
+
+    kept = _shared.scratch(spark, "kept")
+    with _shared.scope(spark):
+        inner, value = _shared.materialise(spark.range(5), "inner"), _shared.share(spark, [1, 2])
+        inner.write.parquet(kept)
+    assert spark.read.parquet(kept).count() == 5 and not _shared._scopes
+    with pytest.raises(Exception, match="(?i)not.exist|FAILED_READ_FILE|No such|PATH_NOT_FOUND"):
+        spark.read.parquet(inner.inputFiles()[0]).count()
+    with pytest.raises(Exception, match="(?i)destroy"):
+        value.destroy(), value.unpersist()
+
+
 def test_intermediate_tables_can_be_cleared(spark):
     from annalix.llm import _shared
 

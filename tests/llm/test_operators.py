@@ -139,16 +139,51 @@ TWELVE = [f"own {i}\n  Shared LINE\t\nrest {i}" for i in range(12)] + ["shared l
 
 @pytest.mark.parametrize("filter_bytes", [32 << 20, 0])
 def test_op3_both_paths(spark, filter_bytes):
-    s = line_dedup.Settings(filter_bytes=filter_bytes)
+    s = line_dedup.Settings(filter_bytes=filter_bytes, shards=3, shard_keys=1, probe_lines=5)
     d = lines_of(spark, TWELVE)
     store = line_dedup.LineStore(spark, scratch(spark, "t"), s).insert(d)
-    assert (store.filters() is None) == (filter_bytes == 0)
+    assert isinstance(store.filters(), line_dedup.Sharded if filter_bytes == 0 else line_dedup.Filters)
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in store.report(d).collect()}
     assert [got[i] for i in range(len(TWELVE))] == dropped(TWELVE)
     clean = {r["doc_id"]: r["text"] for r in store.clean(d).collect()}
     assert clean[0] == "own 0\nrest 0" and clean[13] is None and clean[12] == ""
 
 
+def test_op3_exceptions_are_not_reported():
+    draw = np.random.default_rng(4)
+    for n in (1, 3, 50):
+        keys = np.zeros(60, line_dedup.KEY)
+        keys["hi"], keys["lo"] = draw.integers(1, 2**62, (2, 60))
+        f = line_dedup.Filters({0: line_dedup.build_filter(keys["hi"].astype(np.uint64), keys["lo"].astype(np.uint64))}, 1, np.sort(keys[:n]))
+        assert f.has(keys).tolist() == [False] * n + [True] * (60 - n)
+        assert line_dedup.among(keys, keys[:n]).tolist() == [True] * n + [False] * (60 - n) and not line_dedup.among(keys, keys[:0]).any()
+
+
+def test_op3_probe_of_a_shard_leaves_exceptions_out():
+    draw = np.random.default_rng(3)
+    hi, lo = draw.integers(1, 2**62, (2, 60)).astype(np.int64)
+    f = line_dedup.build_filter(hi[:40].view(np.uint64), lo[:40].view(np.uint64))
+    schema = pa.schema([("shard", pa.int64()), ("salt", pa.int64()), ("kind", pa.int32()), ("buckets", pa.int64()), ("data", pa.binary()), ("text_key", pa.binary()), ("hi", pa.int64()), ("lo", pa.int64())])
+    rows = [(1, 0, 0, f.buckets, f.table.tobytes(), None, None, None)]
+    rows += [(1, 0, 1, None, None, None, hi[k], lo[k]) for k in range(5)]
+    rows += [(1, 0, 2, None, None, b"t", hi[k], lo[k]) for k in range(60)]
+    rows += [(2, 0, 2, None, None, b"t", hi[k], lo[k]) for k in range(60)]  # a shard without a filter
+    batch = pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+    for step in (1, 7, 1000):
+        parts = [batch.slice(k, step) for k in range(0, len(rows), step)]
+        got = [(r["hi"], r["lo"]) for b in line_dedup._probe(iter(parts)) for r in b.to_pylist()]
+        assert got == list(zip(hi[5:40].tolist(), lo[5:40].tolist()))
+
+
+def test_op3_shards_without_a_limit(spark):
+    """Filters beyond what is broadcast give what brute force gives, also where a line is in all documents."""
+    texts = [f"everywhere\nline {k % 30}\n{'x' * (k % 7)}\nown {k}" for k in range(400)]
+    store = line_dedup.LineStore(spark, scratch(spark, "t"), line_dedup.Settings(filter_bytes=0, shards=2, shard_keys=8, probe_lines=50)).insert(lines_of(spark, texts))
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in store.report(lines_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == dropped(texts)
+    assert store.below_zero().isEmpty() and store.delete(lines_of(spark, ["never there"])).below_zero().count() == 1
+
+
 def test_op3_is_reversible(spark):
     d = lines_of(spark, TWELVE)
     store = line_dedup.LineStore(spark, scratch(spark, "t")).insert(d)
