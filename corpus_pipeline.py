@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from annalix.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from annalix.llm._shared import held_out, materialise, scratch, table
+from annalix.llm._shared import delete, held_out, scope, scratch, table
 from annalix.llm.queries import tokenizer_path
 
 
@@ -46,7 +46,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """A stage's own tables and broadcast values go once its result is written, and that result once the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch(spark, f"stage-{name}")
+        with scope(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before is not None:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
