@@ -59,7 +59,7 @@ def line_keys(text: bytes, s: Settings) -> tuple[list[bytes], np.ndarray]:
 
 def among(keys: np.ndarray, others: np.ndarray) -> np.ndarray:
     """Which keys are among the others; both halves are compared."""
-    out = np.isin(keys["hi"], others["hi"])
+    out = np.isin(keys["hi"].astype(np.uint64), others["hi"].astype(np.uint64), kind="sort")
     at = np.flatnonzero(out)
     if len(at):
         known = set(zip(others["hi"].tolist(), others["lo"].tolist()))
