@@ -1,13 +1,14 @@
 """Order-dependent scans of a session: allocation, gaps, suffixes, units and segments.
 
-The fold over a session (units, then segments) is one grouped function, so the journal is shuffled
-once. Its groups are sessions, whose length the callers bound.
+What depends on all earlier events (tool loop, segmenter, splits) is a sequential machine with a small
+state, run over sessions that come sorted: the journal is shuffled once, and no task holds a session.
 """
 
 from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -143,127 +144,235 @@ def preferred_ends(first: int, last: int, wanted: list[int], limit: int) -> set[
     return {x for x in wanted[:limit] if first <= x < last}
 
 
-def segments(units: list[tuple[int, int, int]], caps: Caps, wanted: list[int] = ()) -> list[tuple[int, int, int, str]]:
-    """(first, last, tokens, reason) of runs of units; units are (first, last, tokens).
+def _size(run: tuple[int, int, int]) -> int:
+    return run[1] - run[0] + 1
 
-    A segment closes before a unit that would exceed a cap, and after a unit that reaches one, is too
-    large by itself, holds a preferred end, or is the last.
+
+class Segmenter:
+    """Segments of units as they come; a unit is decided once it is known whether another follows.
+
+    A segment closes before a unit that would take it over a cap, and after a unit that reaches one, is too
+    large by itself, is the last or holds a preferred end.
     """
-    out: list[tuple[int, int, int, str]] = []
-    if not units:
+
+    def __init__(self, caps: Caps, wanted: list[int] = ()):
+        self.caps, self.ends = caps, set(list(wanted)[: caps.max_preferred])
+        self.run: tuple[int, int, int] | None = None
+        self.waiting: tuple[int, int, int] | None = None
+
+    def _over(self, run: tuple[int, int, int], events: int, tokens: int) -> str | None:
+        return "MAX_EVENTS" if _size(run) > events else "MAX_TOKENS" if run[2] > tokens else None
+
+    def _place(self, unit: tuple[int, int, int], last: bool) -> Iterator[tuple[int, int, int, str]]:
+        caps, joined = self.caps, unit
+        if self.run is not None:
+            joined = (self.run[0], unit[1], self.run[2] + unit[2])
+            if why := self._over(joined, caps.max_events, caps.max_tokens):
+                yield (*self.run, why)
+                joined = unit
+        why = "OVERSIZED_EVENT" if self._over(unit, caps.max_events, caps.max_tokens) else "END_OF_INPUT" if last else self._over(joined, caps.max_events - 1, caps.max_tokens - 1)
+        if why is None and any(unit[0] <= x <= unit[1] for x in self.ends):
+            why = "PREFERRED"
+        self.run = None if why else joined
+        if why:
+            yield (*joined, why)
+
+    def step(self, unit: tuple[int, int, int]) -> Iterator[tuple[int, int, int, str]]:
+        if self.waiting is not None:
+            yield from self._place(self.waiting, False)
+        self.waiting = unit
+
+    def finish(self) -> Iterator[tuple[int, int, int, str]]:
+        if self.waiting is not None:
+            yield from self._place(self.waiting, True)
+
+
+def segments(units: Iterable[tuple[int, int, int]], caps: Caps, wanted: list[int] = ()) -> list[tuple[int, int, int, str]]:
+    """(first, last, tokens, reason) of runs of units; units are (first, last, tokens)."""
+    segmenter = Segmenter(caps, wanted)
+    return [s for u in units for s in segmenter.step(u)] + list(segmenter.finish())
+
+
+class UnitLoop:
+    """The tool loop over events, with the tokens of the open unit only."""
+
+    def __init__(self):
+        self.loop, self.open, self.n_units = ToolLoop(), {}, 0
+
+    def step(self, sequence: int, kind: str, content: str | None, tokens: int) -> tuple[int, int, int] | None:
+        self.open[sequence] = tokens
+        unit = self.loop.step(sequence, kind, content)
+        if unit is None:
+            if self.loop.state == "invalid":
+                self.open.clear()
+            return None
+        self.n_units += 1
+        out = (*unit, sum(self.open[x] for x in range(unit[0], unit[1] + 1)))
+        self.open.clear()
         return out
-    ends = preferred_ends(units[0][0], units[-1][1], list(wanted), caps.max_preferred)
-    start, tokens, end = None, 0, None
-
-    def close(reason: str) -> None:
-        nonlocal start, tokens
-        out.append((start, end, tokens, reason))
-        start, tokens = None, 0
-
-    for k, (first, last, cost) in enumerate(units):
-        size = last - first + 1
-        if start is not None:
-            if end - start + 1 + size > caps.max_events:
-                close("MAX_EVENTS")
-            elif tokens + cost > caps.max_tokens:
-                close("MAX_TOKENS")
-        start = first if start is None else start
-        end, tokens = last, tokens + cost
-        tests = (
-            (size > caps.max_events or cost > caps.max_tokens, "OVERSIZED_EVENT"), (k == len(units) - 1, "END_OF_INPUT"), (end - start + 1 >= caps.max_events, "MAX_EVENTS"),
-            (tokens >= caps.max_tokens, "MAX_TOKENS"), (any(first <= x <= last for x in ends), "PREFERRED"),
-        )
-        reason = next((r for hit, r in tests if hit), None)
-        if reason:
-            close(reason)
-    return out
 
 
-def session_units(rows: list[tuple[int, str, str | None, int]]) -> tuple[ToolLoop, list[tuple[int, int, int]]]:
+def session_units(rows: Iterable[tuple[int, str, str | None, int]]) -> tuple[ToolLoop, list[tuple[int, int, int]]]:
     """The loop after all events (sequence, type, content, tokens), and its units with their tokens."""
-    loop, units, cost, first = ToolLoop(), [], {}, None
-    for sequence, kind, content, tokens in rows:
-        cost[sequence] = tokens
-        unit = loop.step(sequence, kind, content)
-        if unit:
-            units.append((*unit, sum(cost[x] for x in range(unit[0], unit[1] + 1))))
-    return loop, units if loop.state == "stable" else []
+    loop = UnitLoop()
+    got = [u for u in (loop.step(*r) for r in rows) if u]
+    return loop.loop, got if loop.loop.state == "stable" else []
+
+
+def by_session(events: DataFrame, columns: list[str], machine: Callable, schema: str) -> DataFrame:
+    """Rows of sequential machines, one a session: ``step(*columns)`` for each event in order, then ``finish()``; both give rows without the session.
+
+    Sessions come sorted, batch by batch; a task holds the state of one machine and never a whole session.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        types = None
+
+        def table(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+        for b in batches:
+            types = types or [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[f.split()[1]] for f in schema.split(", ")]
+            out: list[tuple] = []
+            for session, *values in zip(b.column("session").to_pylist(), *(b.column(c).to_pylist() for c in columns)):
+                if now is None or now[0] != session:
+                    if now is not None:
+                        out += [(now[0], *r) for r in now[1].finish()]
+                    now = session, machine()
+                out += [(session, *r) for r in now[1].step(*values)]
+            yield table(out)
+        if now is not None:
+            yield table([(now[0], *r) for r in now[1].finish()])
 
+    rows = events.select("session", *columns).repartition("session").sortWithinPartitions("session", "sequence")
+    return rows.mapInArrow(run, schema)
 
-def _by_session(table: pa.Table) -> tuple[int, list]:
-    t = table.sort_by("sequence")
-    return t["session"][0].as_py(), list(zip(*(t[c].to_pylist() for c in ("sequence", "event_type", "content", "token_count"))))
+
+EVENT = ["sequence", "event_type", "content", "token_count"]
+
+
+class _Assessor(UnitLoop):
+    def step(self, *event) -> tuple:
+        super().step(*event)
+        return ()
+
+    def finish(self) -> Iterator[tuple]:
+        loop = self.loop
+        pending = "\n".join(f"{t}|{a}|{n}" for (t, a), n in sorted(loop.pending.items()))
+        yield loop.state, pending, self.n_units if loop.state == "stable" else 0
 
 
 def assess(events: DataFrame) -> DataFrame:
     """(session, state, pending, n_units): pending as tool|arguments|count lines, sorted."""
+    return by_session(events, EVENT, _Assessor, "session long, state string, pending string, n_units long")
 
-    def run(table: pa.Table) -> pa.Table:
-        session, rows = _by_session(table)
-        loop, units = session_units(rows)
-        pending = "\n".join(f"{t}|{a}|{n}" for (t, a), n in sorted(loop.pending.items()))
-        return pa.table({"session": [session], "state": [loop.state], "pending": [pending], "n_units": pa.array([len(units)], pa.int64())})
 
-    return events.select("session", "sequence", "event_type", "content", "token_count").groupBy("session").applyInArrow(run, "session long, state string, pending string, n_units long")
+class _Units(UnitLoop):
+    """Units as they close, and last the state, without which they don't count."""
 
+    def step(self, *event) -> Iterator[tuple]:
+        if unit := super().step(*event):
+            yield "unit", unit[0], unit[1], _size(unit), unit[2]
 
-def units(events: DataFrame) -> DataFrame:
-    """(session, start, end, size, tokens) of each durable unit; none for a session that isn't stable."""
+    def finish(self) -> Iterator[tuple]:
+        yield self.loop.state, None, None, None, None
 
-    def run(table: pa.Table) -> pa.Table:
-        session, rows = _by_session(table)
-        _, got = session_units(rows)
-        cols = list(zip(*got)) or [(), (), ()]
-        long = lambda x: pa.array(x, pa.int64())
-        return pa.table({"session": long([session] * len(got)), "start": long(cols[0]), "end": long(cols[1]), "size": long([b - a + 1 for a, b, _ in got]), "tokens": long(cols[2])})
 
-    return events.select("session", "sequence", "event_type", "content", "token_count").groupBy("session").applyInArrow(run, "session long, start long, end long, size long, tokens long")
+def units(events: DataFrame) -> DataFrame:
+    """(session, start, end, size, tokens) of each durable unit; none for a session that isn't stable."""
+    rows = by_session(events, EVENT, _Units, "session long, what string, start long, end long, size long, tokens long")
+    stable = rows.filter("what = 'stable'").select("session")
+    return rows.filter("what = 'unit'").drop("what").join(stable, "session", "left_semi")
 
 
 def segment_sessions(events: DataFrame, caps: Caps, wanted: list[int] = ()) -> DataFrame:
-    """(session, segment, start, end, tokens, reason), units and segments in one pass over a session."""
-
-    def run(table: pa.Table) -> pa.Table:
-        session, rows = _by_session(table)
-        got = segments(session_units(rows)[1], caps, wanted)
-        cols = list(zip(*got)) or [(), (), (), ()]
-        long = lambda x: pa.array(x, pa.int64())
-        return pa.table({"session": long([session] * len(got)), "segment": long(range(len(got))), "start": long(cols[0]), "end": long(cols[1]), "tokens": long(cols[2]), "reason": pa.array(cols[3], pa.string())})
-
-    return events.select("session", "sequence", "event_type", "content", "token_count").groupBy("session").applyInArrow(run, "session long, segment long, start long, end long, tokens long, reason string")
-
-
-def split_by_cost(rows: list[tuple[int, str]], limit: int, cost) -> tuple[list[list[tuple[int, str]]], list[tuple[int, str]]]:
-    """Runs of (sequence, content) whose ``cost`` (of the whole run: it need not be additive) is within the limit, and the rows that exceed it alone."""
-    runs: list[list[tuple[int, str]]] = []
-    deferred: list[tuple[int, str]] = []
-    current: list[tuple[int, str]] = []
-    for row in rows:
-        if current and cost([*current, row]) > limit:
-            runs.append(current)
-            current = []
-        if cost([row]) > limit:
-            deferred.append(row)
+    """(session, segment, start, end, tokens, reason) of the units of every stable session."""
+
+    class Cutter(UnitLoop):
+        def __init__(self):
+            super().__init__()
+            self.segmenter, self.n = Segmenter(caps, wanted), 0
+
+        def _rows(self, got: Iterator) -> Iterator[tuple]:
+            for first, last, tokens, reason in got:
+                yield "segment", self.n, first, last, tokens, reason
+                self.n += 1
+
+        def step(self, *event) -> Iterator[tuple]:
+            if unit := super().step(*event):
+                yield from self._rows(self.segmenter.step(unit))
+
+        def finish(self) -> Iterator[tuple]:
+            yield from self._rows(self.segmenter.finish())
+            yield self.loop.state, None, None, None, None, None
+
+    rows = by_session(events, EVENT, Cutter, "session long, what string, segment long, start long, end long, tokens long, reason string")
+    stable = rows.filter("what = 'stable'").select("session")
+    return rows.filter("what = 'segment'").drop("what").join(stable, "session", "left_semi")
+
+
+class Splitter:
+    """Runs of (sequence, content) whose ``cost`` (of the whole run: it need not be additive) is within the limit; rows that exceed it alone are deferred (run -1)."""
+
+    def __init__(self, limit: int, cost: Callable):
+        self.limit, self.cost = limit, cost
+        self.current: list[tuple[int, str]] = []
+        self.n = 0
+
+    def _close(self) -> Iterator[tuple[int, int]]:
+        if self.current:
+            yield from ((seq, self.n) for seq, _ in self.current)
+            self.current, self.n = [], self.n + 1
+
+    def step(self, sequence: int, content: str) -> Iterator[tuple[int, int]]:
+        row = (sequence, content)
+        if self.current and self.cost([*self.current, row]) > self.limit:
+            yield from self._close()
+        if self.cost([row]) > self.limit:
+            yield sequence, -1
         else:
-            current.append(row)
-    return runs + ([current] if current else []), deferred
+            self.current.append(row)
+
+    def finish(self) -> Iterator[tuple[int, int]]:
+        return self._close()
+
+
+def split_by_cost(rows: Iterable[tuple[int, str]], limit: int, cost: Callable) -> tuple[list[list[tuple[int, str]]], list[tuple[int, str]]]:
+    """The runs of a ``Splitter``, and the deferred rows."""
+    rows, splitter = dict(rows), Splitter(limit, cost)
+    runs: dict[int, list[tuple[int, str]]] = {}
+    for sequence, n in [x for r in rows.items() for x in splitter.step(*r)] + list(splitter.finish()):
+        runs.setdefault(n, []).append((sequence, rows[sequence]))
+    deferred = runs.pop(-1, [])
+    return list(runs.values()), deferred
+
+
+def split_sessions(events: DataFrame, limit: int, cost: Callable) -> DataFrame:
+    """(session, sequence, run) of every event; a task holds one run."""
+    return by_session(events, ["sequence", "content"], lambda: Splitter(limit, cost), "session long, sequence long, run long")
+
+
+class _Fold:
+    def __init__(self, max_events: int, max_tokens: int):
+        self.most, self.n, self.tokens, self.segment = (max_events, max_tokens), 0, 0, -1
+
+    def step(self, sequence: int, tokens: int) -> tuple:
+        events, most = self.most
+        if self.segment < 0 or self.n >= events or self.tokens >= most or self.tokens + tokens > most:
+            self.n, self.tokens, self.segment = 0, 0, self.segment + 1
+        self.n, self.tokens = self.n + 1, self.tokens + tokens
+        return ((sequence, self.segment),)
+
+    def finish(self) -> tuple:
+        return ()
 
 
 def fold_segments(events: DataFrame, max_events: int, max_tokens: int) -> DataFrame:
-    """(session, sequence, segment) for journals without tool events, as a JVM fold over the sorted session.
+    """(session, sequence, segment) for journals without tool events, in one pass over the sorted session.
 
     Closes both before a row that would exceed a cap and after one that reaches it.
     """
-    rows = events.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("sequence", "token_count"))).alias("e"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("tokens"), F.lit(-1).cast("long").alias("segment"), F.array().cast("array<struct<sequence:bigint,segment:bigint>>").alias("out"))
-
-    def step(a, x):
-        full = (a["segment"] < 0) | (a["n"] >= max_events) | (a["tokens"] >= max_tokens) | (a["n"] + 1 > max_events) | (a["tokens"] + x["token_count"] > max_tokens)
-        segment = F.when(full, a["segment"] + 1).otherwise(a["segment"])
-        return F.struct(
-            F.when(full, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"), F.when(full, x["token_count"]).otherwise(a["tokens"] + x["token_count"]).alias("tokens"), segment.alias("segment"),
-            F.concat(a["out"], F.array(F.struct(x["sequence"].alias("sequence"), segment.alias("segment")))).alias("out"),
-        )
-
-    folded = rows.select("session", F.explode(F.aggregate("e", zero, step)["out"]).alias("r"))
-    return folded.select("session", "r.sequence", "r.segment")
+    return by_session(events, ["sequence", "token_count"], lambda: _Fold(max_events, max_tokens), "session long, sequence long, segment long")

@@ -92,9 +92,9 @@ def win_09(spark, sf_dir):
     return windows.assess(tooled(Store(spark, sf_dir))).select("session", "state", "n_units")
 
 
-@query("win_10", f"SELECT session, sum(size)::BIGINT AS events, count(*) AS n_units FROM (SELECT s.session, u.size FROM {_N} s, (SELECT unnest(range(0, 400)) AS k) r, (VALUES (1, 0), (5, 1)) u(size, odd) WHERE session % 7 <> 0 AND n % 6 IN (0, 1) AND r.k * 6 + CASE odd WHEN 0 THEN 1 ELSE 6 END <= n) GROUP BY session")
+@query("win_10", f"SELECT session, sum(size)::BIGINT AS events, count(*) AS n_units FROM (SELECT s.session, u.size FROM {_N} s, (SELECT unnest(range(0, 400)) AS k) r, (VALUES (1, 0), (5, 1)) u(size, odd) WHERE (session % 7 <> 0 OR n < 5) AND n % 6 IN (0, 1) AND r.k * 6 + CASE odd WHEN 0 THEN 1 ELSE 6 END <= n) GROUP BY session")
 def win_10(spark, sf_dir):
-    return windows.units(tooled(Store(spark, sf_dir)).filter("session % 7 <> 0")).groupBy("session").agg(F.sum("size").alias("events"), F.count("*").alias("n_units"))
+    return windows.units(tooled(Store(spark, sf_dir))).groupBy("session").agg(F.sum("size").alias("events"), F.count("*").alias("n_units"))
 
 
 @query("win_11")
@@ -108,14 +108,4 @@ def win_12(spark, sf_dir):
     """Runs of events whose serialised form stays within a limit; rows too large alone are deferred (run -1)."""
     import json
 
-    import pyarrow as pa
-
-    def run(table: pa.Table) -> pa.Table:
-        t = table.sort_by("sequence")
-        rows = list(zip(t["sequence"].to_pylist(), t["content"].to_pylist()))
-        runs, deferred = windows.split_by_cost(rows, 1500, lambda r: len(json.dumps(r, ensure_ascii=False).encode()))
-        flat = [(seq, k) for k, part in enumerate(runs) for seq, _ in part] + [(seq, -1) for seq, _ in deferred]
-        long = lambda x: pa.array(x, pa.int64())
-        return pa.table({"session": long([t["session"][0].as_py()] * len(flat)), "sequence": long([a for a, _ in flat]), "run": long([b for _, b in flat])})
-
-    return Store(spark, sf_dir).journal.select("session", "sequence", "content").groupBy("session").applyInArrow(run, "session long, sequence long, run long")
+    return windows.split_sessions(Store(spark, sf_dir).journal, 1500, lambda rows: len(json.dumps(rows, ensure_ascii=False).encode()))

@@ -71,6 +71,12 @@ class Store:
         top = F.max("sequence")
         return self.journal.groupBy("session").agg(top.alias("high_water"), F.floor(top / 2).alias("covered"))
 
+    @cached_property
+    def _marked(self) -> DataFrame:
+        """Events with their session's marks: the journal is already dealt by session, so a window needs no second scan."""
+        top = F.max("sequence").over(Window.partitionBy("session"))
+        return self.journal.withColumn("high_water", top).withColumn("covered", F.floor(F.col("high_water") / 2))
+
     @cached_property
     def snapshots(self) -> DataFrame:
         return self.marks.filter("covered >= 1").select(
@@ -85,7 +91,7 @@ class Store:
     def covered(self) -> DataFrame:
         segment = F.floor((F.col("sequence") - 1) / 2)
         return (
-            self.journal.join(self.marks, "session").filter("sequence <= covered").drop("high_water", "covered")
+            self._marked.filter("sequence <= covered").drop("high_water", "covered")
             .withColumn("segment", segment).withColumn("capsule_id", F.concat(F.lit("cap-"), "session", F.lit("-"), segment))
         )
 
@@ -120,7 +126,7 @@ class Store:
 
     @cached_property
     def delta(self) -> DataFrame:
-        return self.journal.join(self.marks, "session").filter("sequence > covered").drop("high_water", "covered")
+        return self._marked.filter("sequence > covered").drop("high_water", "covered")
 
     @cached_property
     def metrics(self) -> DataFrame:
