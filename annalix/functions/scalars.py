@@ -31,8 +31,8 @@ def casefold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def character_set(text: Column) -> Column:
-    """Distinct letters and digits of the lower-cased text."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), ""), lambda c: c.rlike(r"^[\p{L}\p{N}]$")))
+    """Distinct letters and digits of the lower-cased text. Others go in one replacement; an empty rest has none."""
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", ""), ""), lambda c: c != ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -78,8 +78,9 @@ def stable_id(prefix: str, *parts: Column, digits: int = 64) -> Column:
 
 
 def strict_json(text: Column) -> Column:
-    """True for JSON without repeated keys."""
-    return F.try_parse_json(text).isNotNull()
+    """True for JSON without repeated keys and without numbers that JSON lacks."""
+    quoted = F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', '""')  # names of numbers inside texts don't count
+    return F.try_parse_json(text).isNotNull() & ~quoted.rlike("NaN|Infinity|INF")
 
 
 def pressure(trusted: Column, estimated: Column, current: Column, limit: int, reserved: int, compact: float, project: float) -> dict[str, Column]:

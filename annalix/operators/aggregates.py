@@ -56,3 +56,8 @@ def reduction_text(candidates: Column, reduced: Column) -> Column:
     h = F.floor(F.least(candidates, reduced) * 10000 / candidates)
     text = F.format_string("%d.%02d%%", F.floor(h / 100), h % 100)
     return F.when((candidates < 0) | (reduced < 0), "INVALID").when(candidates == 0, F.when(reduced == 0, "0.00%").otherwise("INVALID")).otherwise(text)
+
+
+def most_recent(accesses: DataFrame, key: str, at: str, most: int) -> DataFrame:
+    """(key, latest) of the keys that a map of ``most`` entries holds after all accesses: the ones used last, ties by key."""
+    return accesses.groupBy(key).agg(F.max(at).alias("latest")).orderBy(F.desc("latest"), key).limit(most)

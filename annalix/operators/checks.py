@@ -101,3 +101,28 @@ def ledger_errors(records: DataFrame) -> DataFrame:
     n = F.count("*").over(Window.partitionBy(*key))
     empty = any_of([F.length(F.trim(F.col(k))) == 0 for k in key])
     return records.withColumn("copies", n).filter((F.col("required") & (F.col("status") != "retained")) | empty | (F.col("before_tokens") < 0) | (F.col("after_tokens") < 0) | (F.col("copies") > 1))
+
+
+#: Fixed value: larger numbers in a trace are shown as this with a plus.
+TRACE_LIMIT = 1_000_000
+
+
+def trace_labels(trace: Column, configured: str) -> dict[str, Column]:
+    """What is shown of an engine's trace (a struct; null: no trace): labels that carry no content."""
+    mode, outcome, retries = trace["mode"], trace["outcome"], trace["adaptive_retry_count"]
+    passed = trace["required_passed"].eqNullSafe(True) & trace["provenance_passed"].eqNullSafe(True)
+    state = (
+        F.when(trace.isNull(), "NONE").when(~mode.eqNullSafe(configured), "UNVERIFIED").when((mode == "OFF") | (outcome == "OFF"), "NONE").when(outcome == "DEGRADED_RAW", "DEGRADED_RAW")
+        .when((mode == "SHADOW") | ~outcome.eqNullSafe("ACTIVE") | ~passed | retries.isNull(), "UNVERIFIED").when(retries > 0, "REFINED").otherwise("VERIFIED")
+    )
+    missing = lambda c: F.when(trace.isNull(), "UNAVAILABLE").otherwise(c)
+    number = lambda k: missing(F.when(trace[k].isNull() | (trace[k] < 0), "INVALID").when(trace[k] > TRACE_LIMIT, f"{TRACE_LIMIT}+").otherwise(trace[k].cast("string")))
+    share = lambda k: F.when(trace[k], "PASS").when(~trace[k], "FAIL").otherwise("UNKNOWN")
+    n, less = trace["candidate_count"], F.least(trace["candidate_count"], trace["reduced_count"])
+    parts = F.floor(less * 10_000 / n)
+    ratio = F.when(n.isNull() | (n < 0) | trace["reduced_count"].isNull() | (trace["reduced_count"] < 0), "INVALID").when(n == 0, F.when(trace["reduced_count"] == 0, "0.00%").otherwise("INVALID"))
+    ratio = ratio.otherwise(F.format_string("%d.%02d%%", F.floor(parts / 100), parts % 100))
+    return {
+        "state": state, "stable_code": F.when(trace.isNull(), "CONTEXT_TRACE_UNAVAILABLE").otherwise(F.coalesce(trace["error_code"], F.lit("NONE"))), "candidate_count": number("candidate_count"),
+        "reduced_count": number("reduced_count"), "recovery_count": number("adaptive_retry_count"), "reduction_ratio": missing(ratio), "required_coverage": share("required_passed"), "provenance_coverage": share("provenance_passed"),
+    }

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import packing
 from .packing import Block
@@ -26,6 +26,7 @@ class Limits:
     threshold: float = 0.5
     error: float = 1e-10
     condition: float = 1e12
+    condition_failure: float = 1e14
 
 
 class GraphError(ValueError):
@@ -62,6 +63,8 @@ class Constraints:
     given: np.ndarray
     given_rhs: np.ndarray
     support: set[int] = field(default_factory=set)
+    #: The first coordinate of each coordinate's group.
+    label: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
 
 def kind_of(terms: list[tuple[int, float]], rhs: float) -> str:
@@ -72,6 +75,14 @@ def kind_of(terms: list[tuple[int, float]], rhs: float) -> str:
     return "unsupported"
 
 
+def constraint_kind(terms: Column, rhs: Column) -> Column:
+    """``kind_of`` as a column; terms is an array of (at, coefficient)."""
+    c = lambda k: F.get(terms, F.lit(k))["coefficient"]
+    fix = (F.size(terms) == 1) & (c(0) == 1.0) & rhs.isin(0.0, 1.0)
+    equality = (F.size(terms) == 2) & (rhs == 0.0) & (F.abs(c(0)) == 1.0) & (c(0) == -c(1))
+    return F.when(fix, "fix").when(equality, "equality").otherwise("unsupported")
+
+
 def compile_constraints(n: int, given: list[tuple[list[tuple[int, float]], float]]) -> Constraints:
     """Fixes to 0 or 1 and equalities. Equal coordinates form groups; a group fixed to two values is an error."""
     label = np.arange(n)
@@ -95,7 +106,7 @@ def compile_constraints(n: int, given: list[tuple[list[tuple[int, float]], float
             rows.append({g: 1.0})
             values.append(fixed[g])
     dense = lambda rs: np.array([[r.get(k, 0.0) for k in range(n)] for r in rs], float).reshape(len(rs), n)
-    return Constraints(dense(rows), np.array(values), dense([dict(t) for t, _ in given]), np.array([r for _, r in given], float), {i for t, _ in given for i, _ in t})
+    return Constraints(dense(rows), np.array(values), dense([dict(t) for t, _ in given]), np.array([r for _, r in given], float), {i for t, _ in given for i, _ in t}, label)
 
 
 def norm(m: np.ndarray) -> float:
@@ -120,6 +131,14 @@ class Solved:
     error: float = float("inf")
 
 
+def classified(x: np.ndarray, error: float, condition: float, lim: Limits) -> Solved:
+    """A direct solution by its backward error and condition number; one whose condition fails altogether isn't given."""
+    if not np.isfinite(x).all() or not np.isfinite(error):
+        return Solved("NONFINITE_OUTPUT", None, None)
+    good = error <= lim.error and condition < lim.condition
+    return Solved("CONVERGED" if good else "ILL_CONDITIONED", x if condition < lim.condition_failure else None, None, error)
+
+
 def dense_solve(a: np.ndarray, b: np.ndarray, lim: Limits) -> Solved:
     if not len(a):
         return Solved("CONVERGED", np.zeros(0), np.zeros(0), 0.0)
@@ -127,9 +146,7 @@ def dense_solve(a: np.ndarray, b: np.ndarray, lim: Limits) -> Solved:
         x = np.linalg.solve(a, b)
     except np.linalg.LinAlgError:
         return Solved("SINGULAR", None, None)
-    error, condition = backward_error(a, x, b), float(np.linalg.cond(a))
-    good = np.isfinite(x).all() and error <= lim.error and condition < lim.condition
-    return Solved("CONVERGED" if good else "ILL_CONDITIONED", x if condition < 100 * lim.condition else None, None, error)
+    return classified(x, backward_error(a, x, b), float(np.linalg.cond(a)), lim)
 
 
 def constrained_solve(q: np.ndarray, rhs: np.ndarray, rows: np.ndarray, values: np.ndarray, lim: Limits) -> Solved:
@@ -303,6 +320,63 @@ def verify_sessions(blocks: DataFrame, probes: tuple[str, ...], tolerance: float
     return blocks.groupBy("session").applyInArrow(run, "session long, probe string, verified boolean")
 
 
+def constraint_sessions(blocks: DataFrame, contradict: bool = False) -> DataFrame:
+    """(session, code, given, independent, block_id, first): blocks of a slot made equal and the first fixed to 1.
+
+    first is the block that stands for a block's group. contradict: a slot's last block is fixed to 0 as well.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("position")
+        slots, ids = table["slot"].to_pylist(), table["block_id"].to_pylist()
+        first, last = {s: slots.index(s) for s in slots}, {s: i for i, s in enumerate(slots)}
+        given = [([(i, 1.0), (first[s], -1.0)], 0.0) for i, s in enumerate(slots) if first[s] != i] + [([(i, 1.0)], 1.0) for i in first.values()]
+        if contradict:
+            given += [([(i, 1.0)], 0.0) for i in last.values()]
+        code, rows, label = "NONE", 0, [None] * len(slots)
+        try:
+            c = compile_constraints(len(slots), given)
+            rows, label = len(c.rows), [ids[k] for k in c.label]
+        except GraphError as e:
+            code = str(e)
+        n = len(slots)
+        long = lambda x: pa.array([x] * n, pa.int64())
+        return pa.table({"session": long(table["session"][0].as_py()), "code": [code] * n, "given": long(len(given)), "independent": long(rows), "block_id": ids, "first": pa.array(label, pa.string())})
+
+    return blocks.select("session", "block_id", "position", "slot").groupBy("session").applyInArrow(run, "session long, code string, given long, independent long, block_id string, first string")
+
+
+def reduction_sessions(blocks: DataFrame, query: str, tolerance: float = 1e-8) -> DataFrame:
+    """(session, n, eliminated, rebuilt, agrees): a session's reduced solve, its eliminated rows' error, and whether it gives the full solve."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = packing.rows_to_blocks(table.sort_by("position"))
+        relations, scores, kept, _ = build(own, query)
+        q = operator(len(own), np.ones(len(own)), relations, Limits().epsilon)
+        c = compile_constraints(len(own), [([(i, 1.0)], 1.0) for i, b in enumerate(own) if b.required])
+        keep = kept or list(range(len(own)))
+        got, error = reduced_solve(q, scores, c, keep, Limits())
+        full = constrained_solve(q, scores, c.rows, c.rhs, Limits())
+        near = got.x is not None and full.x is not None and float(np.abs(got.x - full.x).max()) <= tolerance
+        long = lambda x: pa.array([x], pa.int64())
+        return pa.table({"session": long(table["session"][0].as_py()), "n": long(len(own)), "eliminated": long(len(own) - len(keep)), "rebuilt": [error <= Limits().error], "agrees": [near]})
+
+    return blocks.groupBy("session").applyInArrow(run, "session long, n long, eliminated long, rebuilt boolean, agrees boolean")
+
+
+def closure_sessions(blocks: DataFrame, selected_kind: str = "decision") -> DataFrame:
+    """(session, block_id, place, again): the closure of one kind in the blocks' order, and whether closing it again leaves it as it is."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = packing.rows_to_blocks(table.sort_by("position"))
+        closed = packing.closure([b.block_id for b in own if b.kind == selected_kind], own, Limits().coordinates)
+        same = packing.closure([b.block_id for b in closed], own, Limits().coordinates) == closed
+        n = len(closed)
+        return pa.table({"session": pa.array([table["session"][0].as_py()] * n, pa.int64()), "block_id": pa.array([b.block_id for b in closed], pa.string()), "place": pa.array(range(n), pa.int64()), "again": pa.array([same] * n, pa.bool_())})
+
+    return blocks.groupBy("session").applyInArrow(run, "session long, block_id string, place long, again boolean")
+
+
 def live_sessions(blocks: DataFrame, query: str, opaque: int, fixed: int, budget: packing.Budget) -> DataFrame:
     """(session, outcome, error_code, mode, n_selected, used) of the live path; a session that lost a required block keeps the plain packing."""
 

@@ -90,6 +90,14 @@ def recover(jobs: DataFrame, now: str) -> DataFrame:
     return jobs.withColumns({"state": F.when(ok, "PENDING").otherwise(F.col("state")), "lease_owner": F.when(ok, None).otherwise(F.col("lease_owner")), "lease_expires_at": F.when(ok, None).otherwise(F.col("lease_expires_at"))})
 
 
+def finish(jobs: DataFrame, outcomes: DataFrame, now: str) -> DataFrame:
+    """Jobs that are ready and hold a live lease end as their proposals did (job_id, outcome); a lease that has run out changes nothing."""
+    rows = jobs.join(outcomes.select("job_id", F.col("outcome").alias("_outcome")), "job_id", "left")
+    ok = (F.col("state") == "READY_TO_COMMIT") & F.coalesce(F.col("lease_expires_at") > now, F.lit(False)) & F.col("_outcome").isin("COMMITTED", "SUPERSEDED")
+    put = lambda k, v: F.when(F.coalesce(ok, F.lit(False)), v).otherwise(F.col(k))
+    return rows.withColumns({"lease_owner": put("lease_owner", F.lit(None)), "lease_expires_at": put("lease_expires_at", F.lit(None)), "state": put("state", F.col("_outcome"))}).drop("_outcome")
+
+
 def follow_ups(finished: DataFrame) -> DataFrame:
     """(job_id, session, target) of jobs to add: (session, job_id, snapshot_id, pointer_version, intent, covered) whose intent exceeds what was covered."""
     parts = F.concat_ws("\0", "job_id", "snapshot_id", F.col("pointer_version").cast("string"), F.col("intent").cast("string"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .checks import TRIPLES
+
 KEY = ["session", "source_hook", "idempotency_key"]
 
 
@@ -19,6 +21,16 @@ def capture(journal: DataFrame, incoming: DataFrame) -> DataFrame:
     return fresh.join(marks, "session", "left").withColumn("sequence", F.coalesce("_mark", F.lit(0)) + n).drop("_mark")
 
 
+#: What each typed entry point writes as event type, role and hook.
+ENTRY_POINTS = dict(zip(("user", "assistant", "tool_call", "tool_result"), TRIPLES))
+
+
+def typed(incoming: DataFrame, entry_point: str) -> DataFrame:
+    """A batch as it comes through one entry point: type, role and hook follow from it, whatever the batch says."""
+    names = zip(("event_type", "role", "source_hook"), ENTRY_POINTS[entry_point])
+    return incoming.withColumns({n: F.lit(v) for n, v in names})
+
+
 def replay_conflicts(rows: DataFrame, key: list[str], content: list[str]) -> DataFrame:
     """Keys under which different contents were sent."""
     return rows.groupBy(*key).agg(F.count_distinct(F.struct(*content)).alias("versions")).filter("versions > 1")

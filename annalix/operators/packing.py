@@ -186,6 +186,14 @@ class Budget:
         return min(self.target, self.ceiling, self.limit - self.reserved)
 
 
+def budget_columns(budget: Budget, current: Column, opaque: Column, fixed: Column, reserved: Column | None = None) -> dict[str, Column]:
+    """b_input, b_required and b_ac of requests as columns: token counts of the current message, the opaque and the fixed parts."""
+    room = F.lit(budget.limit).cast("long") - (F.lit(budget.reserved) if reserved is None else reserved)
+    b_input = F.least(F.lit(budget.target).cast("long"), F.lit(budget.ceiling).cast("long"), room)
+    b_required = (current + fixed + F.lit(budget.margin)).cast("long")
+    return {"b_input": b_input, "b_required": b_required, "b_ac": F.greatest(F.lit(0).cast("long"), b_input - opaque - b_required)}
+
+
 @dataclass(frozen=True)
 class Assembly:
     mode: str
@@ -247,6 +255,11 @@ def per_token(blocks: list[Block], scores: dict[str, float], cost: dict[str, int
     return [b if b.required else replace(b, score=max(0.0, scores.get(b.block_id, 0.0)) / max(1, cost[b.block_id]), reason="verified_activation_per_token") for b in blocks]
 
 
+def pack_score(required: Column, score: Column, activation: Column, cost: Column) -> Column:
+    """``per_token`` as a column."""
+    return F.when(required, score).otherwise(F.greatest(F.lit(0.0), F.coalesce(activation, F.lit(0.0))) / F.greatest(F.lit(1), cost))
+
+
 def rows_to_blocks(table: pa.Table) -> list[Block]:
     cols = ("block_id", "slot", "kind", "text", "sources", "score", "reason", "required", "capsule_id", "event_sequence")
     return [Block(*r[:4], tuple(r[4]), *r[5:]) for r in zip(*(table[c].to_pylist() for c in cols))]

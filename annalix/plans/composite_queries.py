@@ -3,8 +3,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import audit, windows
-from ..sources import Store
+from ..operators import aggregates, audit, checks, mutations, windows
+from ..sources import Store, read
 from ..sources.prelude import EVENT_TYPES, OPEN_STATES
 from .join_queries import _MISSING, missing, owned_metrics
 from .predicate_queries import LEDGER, ledger
@@ -112,11 +112,8 @@ def comp_02(spark, sf_dir):
     return quoted.groupBy("capsule_id").agg(F.count("*").alias("quotes"))
 
 
-@query("comp_01")
-@query("comp_04")
-def comp_01(spark, sf_dir):
-    """Delta to candidate: units and segments of what is not covered, one scaffold capsule a segment, with its audit ratio."""
-    s = Store(spark, sf_dir)
+def _compiled(s: Store):
+    """Capsules from the segments of what is not covered, with a claim for each event, and whether each is whole."""
     cut = windows.segment_sessions(s.delta, windows.Caps(3, 4096))
     claims = cut.join(s.delta.select("session", "sequence", "event_id"), "session").filter("sequence BETWEEN start AND end")
     parts = [F.col(c).cast("string") for c in ("session", "start", "end")]
@@ -124,6 +121,36 @@ def comp_01(spark, sf_dir):
     return made.withColumn("capsule_id", scalars.stable_id("cap:", *parts, digits=24)).withColumn("complete", F.col("claims") == F.col("end") - F.col("start") + 1)
 
 
+def _validated(s: Store):
+    """(session, passed, capsules, first, last): segments are whole, leave no gap, and reach from the mark to the end of the delta."""
+    made = _compiled(s)
+    ranges = made.groupBy("session").agg(F.bool_and("complete").alias("whole"), F.count("*").alias("capsules"), F.min("start").alias("first"), F.max("end").alias("last"), F.sum("claims").alias("claims"))
+    marks = s.marks.select("session", "high_water", "covered")
+    passed = F.col("whole") & (F.col("first") == F.col("covered") + 1) & (F.col("last") == F.col("high_water")) & (F.col("claims") == F.col("last") - F.col("first") + 1)
+    return ranges.join(marks, "session").select("session", passed.alias("passed"), "capsules", "first", "last")
+
+
+@query("comp_01", "SELECT session, true AS passed, covered + 1 AS first, high_water AS last FROM marks")
+def comp_01(spark, sf_dir):
+    """Delta to candidate: units, segments, one scaffold capsule a segment, and the validation of the whole."""
+    return _validated(Store(spark, sf_dir)).select("session", "passed", "first", "last")
+
+
+@query("comp_01_capsules")
+def comp_01_capsules(spark, sf_dir):
+    return _compiled(Store(spark, sf_dir))
+
+
+@query("comp_04", "SELECT m.session, coalesce(p.pointer_version, 0) - m.session % 2 AS expected, CASE WHEN m.session % 2 = 0 THEN 'COMMITTED' ELSE 'SUPERSEDED' END AS outcome FROM marks m LEFT JOIN pointers p USING (session)")
+def comp_04(spark, sf_dir):
+    """The whole loop: delta, compile, validate, swap. Odd sessions started from a pointer that has moved since."""
+    s = Store(spark, sf_dir)
+    reports = _validated(s)
+    base = s.marks.join(s.pointers, "session", "left").select("session", (F.coalesce("pointer_version", F.lit(0)) - F.col("session") % 2).alias("expected"))
+    proposals = base.join(reports.select("session", "last"), "session").select("session", F.concat_ws("-", F.lit("snap"), "session", "last").alias("snapshot_id"), "expected")
+    return mutations.publish(s.pointers, proposals, reports).select("session", "expected", "outcome")
+
+
 @query("back_01", f"SELECT m.artifact_kind, m.artifact_id, strlen(coalesce(j.content, 'Summary of ' || m.artifact_id))::BIGINT AS bytes FROM ({_MISSING}) m LEFT JOIN journal j ON m.artifact_kind = 'EVENT' AND j.event_id = m.artifact_id QUALIFY row_number() OVER (PARTITION BY m.session ORDER BY kind_rank, sort_major, sort_minor, artifact_id) <= 2")
 def back_01(spark, sf_dir):
     """The next two artifacts of each session without a count, with the text to count."""
@@ -164,10 +191,28 @@ def obs_01(spark, sf_dir):
     )
 
 
-@query("obs_03", "SELECT job_id, CASE WHEN state IN ('COMMITTED') THEN 'ACTIVE' WHEN state IN ('FAILED', 'SUPERSEDED', 'CANCELLED') THEN 'DEGRADED' ELSE 'PENDING' END AS engine_state FROM jobs")
+@query("obs_03", """SELECT job_id, CASE WHEN mode <> 'ACTIVE' OR outcome NOT IN ('ACTIVE', 'DEGRADED_RAW') THEN CASE WHEN mode = 'ACTIVE' AND outcome = 'OFF' THEN 'NONE' ELSE 'UNVERIFIED' END WHEN outcome = 'DEGRADED_RAW' THEN 'DEGRADED_RAW'
+ WHEN session % 3 = 0 THEN 'UNVERIFIED' WHEN attempt_count > 0 THEN 'REFINED' ELSE 'VERIFIED' END AS state, coalesce(error_code, 'NONE') AS stable_code, target || '' AS candidate_count,
+ CASE WHEN base_coverage > 0 OR target > 0 THEN (least(base_coverage, target) * 10000 // target) // 100 || '.' || lpad(((least(base_coverage, target) * 10000 // target) % 100)::VARCHAR, 2, '0') || '%' END AS reduction_ratio,
+ CASE session % 3 WHEN 0 THEN 'FAIL' ELSE 'PASS' END AS required_coverage, CASE session % 5 WHEN 0 THEN 'UNKNOWN' ELSE 'PASS' END AS provenance_coverage
+ FROM (SELECT *, CASE session % 7 WHEN 6 THEN 'SHADOW' ELSE 'ACTIVE' END AS mode, CASE state WHEN 'CANCELLED' THEN 'OFF' WHEN 'FAILED' THEN 'DEGRADED_RAW' WHEN 'PENDING' THEN 'SHADOW' ELSE 'ACTIVE' END AS outcome FROM jobs)""".replace("WHEN session % 3 = 0 THEN 'UNVERIFIED' WHEN attempt", "WHEN session % 3 = 0 OR session % 5 = 0 THEN 'UNVERIFIED' WHEN attempt"))
 def obs_03(spark, sf_dir):
-    state = F.col("state")
-    return Store(spark, sf_dir).jobs.select("job_id", F.when(state == "COMMITTED", "ACTIVE").when(state.isin("FAILED", "SUPERSEDED", "CANCELLED"), "DEGRADED").otherwise("PENDING").alias("engine_state"))
+    """Traces of the context engine, one a job, as the status lines show them."""
+    n, state = F.col("session"), F.col("state")
+    outcome = F.when(state == "CANCELLED", "OFF").when(state == "FAILED", "DEGRADED_RAW").when(state == "PENDING", "SHADOW").otherwise("ACTIVE")
+    trace = F.struct(
+        F.when(n % 7 == 6, "SHADOW").otherwise("ACTIVE").alias("mode"), outcome.alias("outcome"), F.col("error_code"), F.col("target").alias("candidate_count"), F.col("base_coverage").alias("reduced_count"),
+        (n % 3 != 0).alias("required_passed"), F.when(n % 5 != 0, True).alias("provenance_passed"), F.col("attempt_count").alias("adaptive_retry_count"),
+    )
+    shown = checks.trace_labels(trace, "ACTIVE")
+    return Store(spark, sf_dir).jobs.select("job_id", *[shown[k].alias(k) for k in ("state", "stable_code", "candidate_count", "reduction_ratio", "required_coverage", "provenance_coverage")])
+
+
+@query("map_01", "SELECT session, latest FROM (SELECT session, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS latest, row_number() OVER (ORDER BY max(ts) DESC, session) AS n FROM (SELECT user_id AS session, ts FROM events) GROUP BY session) WHERE n <= 64")
+def map_01(spark, sf_dir):
+    """The sessions that a map of 64 still holds after all events: those used last."""
+    events = read(spark, sf_dir, "events").select(F.col("user_id").alias("session"), "ts")
+    return aggregates.most_recent(events, "session", "ts", 64).select("session", F.date_format("latest", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("latest"))
 
 
 @query("host_01", "SELECT session, event_id, rank * 1000 + sequence AS place FROM (SELECT session, event_id, sequence, CASE WHEN sequence = max(sequence) OVER (PARTITION BY session) THEN 3 WHEN sequence = 1 THEN 0 END AS rank FROM journal) WHERE rank IS NOT NULL")

@@ -32,32 +32,28 @@ def graph_03(spark, sf_dir):
     return graph.propagation_entries(joins.relations(blocks), blocks).withColumn("value", F.round("value", 9))
 
 
-@query("graph_04", BLOCKS + "SELECT session, block_id, CASE WHEN required THEN 'fix' ELSE 'unsupported' END AS kind FROM ordered")
+@query("graph_04", BLOCKS + "SELECT session, block_id, CASE position % 5 WHEN 0 THEN 'fix' WHEN 1 THEN 'equality' ELSE 'unsupported' END AS kind FROM ordered")
 def graph_04(spark, sf_dir):
-    coefficient, rhs = F.when(F.col("required"), 1.0).otherwise(2.0), F.lit(1.0)
-    kind = F.when((coefficient == 1.0) & rhs.isin(0.0, 1.0), "fix").otherwise("unsupported")
-    return _blocks(spark, sf_dir).select("session", "block_id", kind.alias("kind"))
+    """Constraints of five forms, of which two are supported."""
+    here, k = F.col("position"), F.col("position") % 5
+    term = lambda at, c: F.struct(at.alias("at"), F.lit(c).alias("coefficient"))
+    terms = F.when(k == 1, F.array(term(here, 1.0), term(here - 1, -1.0))).when(k == 2, F.array(term(here, 2.0))).when(k == 3, F.array(term(here, 1.0), term(here - 1, 1.0))).otherwise(F.array(term(here, 1.0)))
+    rhs = F.when(k == 0, (here % 2).cast("double")).when(k == 4, 0.5).otherwise(0.0)
+    return _blocks(spark, sf_dir).select("session", "block_id", graph.constraint_kind(terms, rhs).alias("kind"))
 
 
-@query("graph_05")
+@query("graph_05", BLOCKS + ", n AS (SELECT session, count(*) AS blocks, count(DISTINCT slot) AS slots FROM ordered GROUP BY session) SELECT session, CASE WHEN blocks = 0 THEN 'NONE' ELSE 'CONSTRAINT_CONTRADICTORY' END AS code, blocks + slots AS given, 0::BIGINT AS independent FROM n UNION ALL SELECT session, 'NONE', blocks, blocks FROM n")
 def graph_05(spark, sf_dir):
-    """Blocks of a slot made equal, its first one fixed: the independent rows of each session."""
-    import pyarrow as pa
-
-    def run(table: pa.Table) -> pa.Table:
-        slots = table.sort_by("position")["slot"].to_pylist()
-        first = {s: slots.index(s) for s in slots}
-        given = [([(i, 1.0), (first[s], -1.0)], 0.0) for i, s in enumerate(slots) if first[s] != i] + [([(i, 1.0)], 1.0) for i in first.values()]
-        c = graph.compile_constraints(len(slots), given)
-        long = lambda x: pa.array([x], pa.int64())
-        return pa.table({"session": long(table["session"][0].as_py()), "given": long(len(given)), "independent": long(len(c.rows)), "groups": long(len(first))})
-
-    return _blocks(spark, sf_dir).select("session", "position", "slot").groupBy("session").applyInArrow(run, "session long, given long, independent long, groups long")
+    """Blocks of a slot made equal, its first one fixed to 1: the independent rows of each session; and with its last one fixed to 0, which contradicts."""
+    blocks = _blocks(spark, sf_dir)
+    both = graph.constraint_sessions(blocks).unionByName(graph.constraint_sessions(blocks, contradict=True))
+    return both.select("session", "code", "given", "independent").distinct()
 
 
-@query("graph_06", BLOCKS + "SELECT session, count(*) AS given, count(*) AS independent, count(DISTINCT slot) AS groups FROM ordered GROUP BY session")
+@query("graph_06", BLOCKS + "SELECT session, block_id, first_value(block_id) OVER (PARTITION BY session, slot ORDER BY position) AS first FROM ordered")
 def graph_06(spark, sf_dir):
-    return graph_05(spark, sf_dir)
+    """The block that stands for each block's group of equal ones."""
+    return graph.constraint_sessions(_blocks(spark, sf_dir)).select("session", "block_id", "first")
 
 
 @query("graph_07")
@@ -66,11 +62,21 @@ def graph_07(spark, sf_dir):
     return graph.solve_sessions(_blocks(spark, sf_dir), QUERY).withColumn("activation", F.round("activation", 8))
 
 
-@query("graph_09")
-@query("graph_08")
+#: A probe that few texts match, so that there is something to eliminate.
+RARE = "zq"
+_KEPT = BLOCKS + ", kept AS (SELECT session, count(*) AS n, count(*) FILTER (WHERE required OR regexp_matches(lower(text), '[zq]')) AS k FROM ordered GROUP BY session) "
+
+
+@query("graph_08", _KEPT + "SELECT session, n, CASE k WHEN 0 THEN 0 ELSE n - k END AS eliminated, true AS rebuilt FROM kept")
 def graph_08(spark, sf_dir):
-    """Reduced solve against the full one: the largest difference of a session is below 1e-8 (zero rows otherwise)."""
-    return graph.verify_sessions(_blocks(spark, sf_dir), ("", QUERY)).filter("NOT verified")
+    """What the reduction eliminates, and that the eliminated rows hold."""
+    return graph.reduction_sessions(_blocks(spark, sf_dir), RARE).select("session", "n", "eliminated", "rebuilt")
+
+
+@query("graph_09", _KEPT + "SELECT session, k > 0 AND k < n AS reduced, true AS agrees FROM kept")
+def graph_09(spark, sf_dir):
+    """The reduced solve, rebuilt, is the full solve in every coordinate to 1e-8."""
+    return graph.reduction_sessions(_blocks(spark, sf_dir), RARE).select("session", (F.col("eliminated") > 0).alias("reduced"), "agrees")
 
 
 @query("graph_17")
@@ -108,13 +114,18 @@ def graph_20(spark, sf_dir):
     return graph.component_sessions(_blocks(spark, sf_dir)).filter("closed").select("session", "block_id")
 
 
-@query("graph_21", BLOCKS + _COMPONENTS + """, cl AS (SELECT o.session, o.block_id, c.least FROM ordered o JOIN comp c USING (session, position) QUALIFY bool_or(o.required OR o.kind = 'decision') OVER (PARTITION BY o.session, c.least))
-SELECT session, true AS closed FROM (SELECT DISTINCT session FROM ordered)""")
+@query("graph_21", _CLOSED.replace("SELECT o.session, o.block_id FROM", "SELECT o.session, o.block_id, row_number() OVER (PARTITION BY o.session ORDER BY o.position) - 1 AS place, true AS again FROM (SELECT o.* FROM", 1) + ") o")
 def graph_21(spark, sf_dir):
-    """A closure is closed: closing it again adds nothing."""
-    rows = graph.component_sessions(_blocks(spark, sf_dir))
-    split = rows.groupBy("session", "component").agg((F.min("closed") == F.max("closed")).alias("whole"))
-    return split.groupBy("session").agg(F.bool_and("whole").alias("closed"))
+    """A closure comes in the blocks' order and is closed."""
+    return graph.closure_sessions(_blocks(spark, sf_dir))
+
+
+@query("graph_22_cut", "SELECT session, count(*) > 3 AS cut FROM delta GROUP BY session")
+def graph_22_cut(spark, sf_dir):
+    """Sessions of which a limit of three delta events cut a required block keep the plain packing, and say so."""
+    blocks = retrieval.session_blocks(Store(spark, sf_dir), QUERY, retrieval.Retrieval(max_delta_events=3))
+    got = graph.live_sessions(blocks, QUERY, 50, 10, packing.Budget(60_000, 90_000, 100_000, 1000, 100))
+    return got.select("session", ((F.col("outcome") == "DEGRADED_RAW") & (F.col("error_code") == "LIVE_REQUIRED_CANDIDATE_TRUNCATED")).alias("cut"))
 
 
 @query("graph_22")
@@ -136,11 +147,33 @@ def graph_24(spark, sf_dir):
     return graph.verify_sessions(_blocks(spark, sf_dir), PROBES)
 
 
-@query("graph_14", "SELECT session, CASE WHEN high_water % 3 = 0 THEN 'ILL_CONDITIONED' ELSE 'CONVERGED' END AS status FROM marks")
+def _systems(spark, sf_dir, run, schema: str):
+    """run(number, size) -> rows for each session's system, whose number is that of the session."""
+    import pyarrow as pa
+
+    def each(batches):
+        names = [c.split()[0] for c in schema.split(", ")]
+        for b in batches:
+            rows = [(n, *run(n)) for n in b.column("session").to_pylist()]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]]) for c in schema.split(", ")]))
+
+    return Store(spark, sf_dir).marks.select("session").mapInArrow(each, schema)
+
+
+@query("graph_14", "SELECT session, CASE session % 4 WHEN 0 THEN 'CONVERGED' WHEN 1 THEN 'SINGULAR' ELSE 'ILL_CONDITIONED' END AS status, session % 4 IN (0, 2) AS solved FROM marks")
 def graph_14(spark, sf_dir):
-    error, condition = F.lit(1e-12), F.when(F.col("high_water") % 3 == 0, 1e13).otherwise(1e3)
-    status = F.when((error > 1e-10) | (condition >= 1e12), "ILL_CONDITIONED").otherwise("CONVERGED")
-    return Store(spark, sf_dir).marks.select("session", status.alias("status"))
+    """Well-conditioned, singular and ill-conditioned systems, the last kind also beyond 1e14, by two solvers that must agree."""
+    import numpy as np
+
+    from ..operators import solvers
+
+    def run(n: int):
+        a = [np.diag([2.0, 1.0]), np.array([[1.0, 2.0], [2.0, 4.0]]), np.diag([1.0, 1e-13]), np.diag([1.0, 3e-15])][n % 4]
+        one, two = graph.dense_solve(a, np.ones(2), graph.Limits()), solvers.elimination(a, np.ones(2))
+        same = one.status == two.status and (one.x is None) == (two.x is None)
+        return (one.status if same else f"{one.status} and {two.status}"), one.x is not None
+
+    return _systems(spark, sf_dir, run, "session long, status string, solved boolean")
 
 
 _SPMV = _OPERATOR.replace("SELECT session, row, col, round(sum(value), 9) AS value FROM coo GROUP BY session, row, col HAVING sum(value) <> 0", "SELECT session, row, round(sum(value * (col + 1)), 6) AS product FROM coo GROUP BY session, row")
@@ -155,7 +188,15 @@ def graph_16(spark, sf_dir):
     return q.join(x, ["session", "col"]).groupBy("session", "row").agg(F.round(F.sum(F.col("value") * F.col("x")), 6).alias("product"))
 
 
-@query("graph_15")
+@query("graph_15", "SELECT session, round(k * 1e-6 / (2 + k * 1e-6), 15) AS error, k = 0 AS accepted FROM (SELECT session, session % 5 AS k FROM marks)")
 def graph_15(spark, sf_dir):
-    """Sessions whose solve leaves a backward error above 1e-10: zero rows."""
-    return graph.solve_sessions(_blocks(spark, sf_dir), QUERY).filter("band = 'FAILED'").select("session").distinct()
+    """Backward errors of a solution that is off by session % 5 millionths in one coordinate."""
+    import numpy as np
+
+    def run(n: int):
+        b = np.ones(3)
+        b[1] += n % 5 * 1e-6
+        error = graph.backward_error(np.eye(3), np.ones(3), b)
+        return round(error, 15), error <= graph.Limits().error
+
+    return _systems(spark, sf_dir, run, "session long, error double, accepted boolean")

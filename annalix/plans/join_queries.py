@@ -15,10 +15,10 @@ def join_01(spark, sf_dir):
     return s.pointers.join(s.snapshots.select("snapshot_id", "covered_event_end"), "snapshot_id").select("session", "snapshot_id", "pointer_version", "covered_event_end")
 
 
-@query("join_02", "SELECT p.session, s.snapshot_id AS base_snapshot_id, covered_event_end AS base_coverage FROM pointers p JOIN snapshots s USING (snapshot_id) WHERE p.session % 2 = 0")
+@query("join_02", "SELECT p.session, s.snapshot_id AS base_snapshot_id, covered_event_end AS base_coverage FROM pointers p JOIN snapshots s USING (snapshot_id)")
 def join_02(spark, sf_dir):
     s = Store(spark, sf_dir)
-    base = s.pointers.filter("session % 2 = 0").select("session", "snapshot_id").join(s.snapshots.select("snapshot_id", "covered_event_end"), "snapshot_id")
+    base = s.pointers.select("session", "snapshot_id").join(s.snapshots.select("snapshot_id", "covered_event_end"), "snapshot_id")
     return base.select("session", F.col("snapshot_id").alias("base_snapshot_id"), F.col("covered_event_end").alias("base_coverage"))
 
 

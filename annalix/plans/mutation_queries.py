@@ -22,8 +22,20 @@ def _arrivals(s: Store):
 _CAPTURE = "SELECT session, 'new-' || k || '-' || session AS idempotency_key, high_water + k AS sequence FROM marks, (VALUES (1), (2)) t(k)"
 
 
+@query("sink_02", """SELECT session, event_type, role, source_hook, high_water + n AS sequence FROM marks,
+ (VALUES ('USER_MESSAGE', 'USER', 'ON_LLM_REQUEST', 1), ('TOOL_CALL', 'TOOL', 'ON_USING_LLM_TOOL', 2), ('TOOL_RESULT', 'TOOL', 'ON_LLM_TOOL_RESPOND', 3), ('ASSISTANT_MESSAGE', 'ASSISTANT', 'ON_AGENT_DONE', 4)) t(event_type, role, source_hook, n)""")
+def sink_02(spark, sf_dir):
+    """A turn through the four typed entry points, each event sent twice: one event each, in order of arrival."""
+    s = Store(spark, sf_dir)
+    batch = None
+    for n, point in enumerate(("user", "tool_call", "tool_result", "assistant")):
+        sent = s.marks.select("session", F.concat(F.lit(f"turn-{point}-"), "session").alias("idempotency_key"), F.explode(F.array(F.lit(10 + n), F.lit(20 + n))).alias("arrival"))
+        sent = mutations.typed(sent, point)
+        batch = sent if batch is None else batch.unionByName(sent)
+    return mutations.capture(s.journal, batch).select("session", "event_type", "role", "source_hook", F.col("sequence").cast("long").alias("sequence"))
+
+
 @query("sink_01", _CAPTURE)
-@query("sink_02", _CAPTURE)
 def sink_01(spark, sf_dir):
     s = Store(spark, sf_dir)
     return mutations.capture(s.journal, _arrivals(s)).select("session", "idempotency_key", F.col("sequence").cast("long").alias("sequence"))
@@ -118,10 +130,15 @@ def sink_17(spark, sf_dir):
     return mutations.insert_or_verify(stored, c, "capsule_id", F.to_json(F.struct("capsule_id", "level", "token_cost")))
 
 
-@query("sink_19", "SELECT job_id, CASE WHEN state = 'READY_TO_COMMIT' THEN CASE WHEN session % 2 = 0 THEN 'COMMITTED' ELSE 'SUPERSEDED' END ELSE state END AS state FROM jobs")
+@query("sink_19", f"""SELECT job_id, CASE WHEN state = 'READY_TO_COMMIT' AND lease_expires_at > '{NOW}' THEN CASE WHEN p.pointer_version = lease_epoch THEN 'COMMITTED' ELSE 'SUPERSEDED' END ELSE state END AS state,
+ CASE WHEN state = 'READY_TO_COMMIT' AND lease_expires_at > '{NOW}' THEN NULL ELSE lease_owner END AS lease_owner FROM jobs LEFT JOIN pointers p USING (session)""")
 def sink_19(spark, sf_dir):
-    won = F.when(F.col("session") % 2 == 0, "COMMITTED").otherwise("SUPERSEDED")
-    return Store(spark, sf_dir).jobs.select("job_id", F.when(F.col("state") == "READY_TO_COMMIT", won).otherwise(F.col("state")).alias("state"))
+    """Ready jobs propose the version after that of their lease's epoch; the swap decides, and only live leases end."""
+    s = Store(spark, sf_dir)
+    ready = s.jobs.filter("state = 'READY_TO_COMMIT'")
+    proposals = ready.select("session", F.concat(F.lit("by-"), "job_id").alias("snapshot_id"), F.col("lease_epoch").alias("expected"))
+    outcomes = mutations.swap_pointers(s.pointers, proposals).select(F.substring("snapshot_id", 4, 1 << 20).alias("job_id"), "outcome")
+    return jobs.finish(s.jobs, outcomes, NOW).select("job_id", "state", "lease_owner")
 
 
 @query("sink_20", "SELECT 'followup-' || left(sha256(job_id || chr(0) || 'snap-' || session || chr(0) || (session % 3 + 1) || chr(0) || intent), 32) AS job_id, session, intent AS target FROM jobs WHERE intent > target")

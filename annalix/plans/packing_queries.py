@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, packing, retrieval
+from ..operators import aggregates, graph, packing, retrieval
 from ..sources import Store
 from ..sources.prelude import OPEN_STATES
 from .blocks_sql import BLOCKS, QUERY
@@ -110,9 +110,18 @@ def pack_05(spark, sf_dir):
 
 @query("pack_06", BLOCKS + "SELECT session, block_id, CASE WHEN required THEN score ELSE greatest(0.0, score / 100 - 0.35) / greatest(1, strlen(text)) END::DOUBLE AS pack_score FROM ordered")
 def pack_06(spark, sf_dir):
-    activation = F.col("score") / 100 - F.lit(0.35)
-    score = F.when(F.col("required"), F.col("score")).otherwise(F.greatest(F.lit(0.0), activation) / F.greatest(F.lit(1), F.octet_length("text")))
-    return _blocks(spark, sf_dir).select("session", "block_id", score.alias("pack_score"))
+    """Scores for each token of cost from given activations."""
+    given = F.col("score") / 100 - F.lit(0.35)
+    return _blocks(spark, sf_dir).select("session", "block_id", packing.pack_score(F.col("required"), F.col("score"), given, F.octet_length("text")).alias("pack_score"))
+
+
+@query("pack_06_solved")
+def pack_06_solved(spark, sf_dir):
+    """The same from the solver's activations."""
+    blocks = _blocks(spark, sf_dir)
+    solved = graph.solve_sessions(blocks, QUERY).select("session", "block_id", "activation")
+    rows = blocks.select("session", "block_id", "required", "score", F.octet_length("text").alias("cost")).join(solved, ["session", "block_id"])
+    return rows.select("session", "block_id", F.round(packing.pack_score(F.col("required"), F.col("score"), F.col("activation"), F.col("cost")), 10).alias("pack_score"))
 
 
 @query("pack_07", BLOCKS + """, costs AS (SELECT session, block_id, row_number() OVER (PARTITION BY session ORDER BY score DESC, position) AS n, greatest(1, length(text) // 4) AS cost FROM ordered),
@@ -189,6 +198,13 @@ def retr_01(spark, sf_dir):
     return _blocks(spark, sf_dir).withColumn("sources", F.array_join(F.array_sort("sources"), ",")).drop("required_selection_complete")
 
 
+@query("retr_03", "SELECT session, count(*) <= 3 AS complete FROM delta GROUP BY session")
+def retr_03(spark, sf_dir):
+    """Whether a limit of three delta events leaves a session all its required blocks."""
+    blocks = retrieval.session_blocks(Store(spark, sf_dir), QUERY, retrieval.Retrieval(max_delta_events=3))
+    return blocks.groupBy("session").agg(F.bool_and("required_selection_complete").alias("complete"))
+
+
 @query("retr_02", BLOCKS + "SELECT o.session, block_id FROM ordered o JOIN (SELECT session, max(sequence) AS s FROM journal GROUP BY session) m USING (session) JOIN journal j ON j.session = o.session AND j.sequence = m.s WHERE NOT list_contains(sources, j.event_id)")
 def retr_02(spark, sf_dir):
     s = Store(spark, sf_dir)

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import retrieval
+from ..operators import packing, retrieval
 from ..sources import Store, read
 from .registry import query
 
@@ -20,9 +20,9 @@ def str_01(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", S.utf8_bytes("text").alias("bytes"))
 
 
-@query("str_02", r"SELECT doc_id, trim(regexp_replace(lower(left(text, 200)), '[\s\x1c-\x1f\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' ') AS normalised FROM documents")
+@query("str_02", r"SELECT doc_id, trim(regexp_replace(lower(left(text, 2048)), '[\s\x1c-\x1f\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' ') AS normalised FROM documents")
 def str_02(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", S.normalised(F.col("text"), 200).alias("normalised"))
+    return _docs(spark, sf_dir).select("doc_id", S.normalised(F.col("text")).alias("normalised"))
 
 
 _FRACTION = "CASE WHEN contains(lower(left(text, 4096)), 'the ou and thnt') THEN 1.0 ELSE ((contains(lower(left(text, 4096)), 'the'))::INT + (contains(lower(left(text, 4096)), 'ou'))::INT + (contains(lower(left(text, 4096)), 'and'))::INT + (contains(lower(left(text, 4096)), 'thnt'))::INT) / 4.0::DOUBLE END::DOUBLE"
@@ -75,10 +75,10 @@ def str_09(spark, sf_dir):
     return rows.select("session", F.array_join(F.transform("e", lambda x: x["content"]), "\n\n").alias("projection"))
 
 
-@query("str_10", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN right(sha256(text), 12) ELSE 'REDACTED' END AS suffix FROM documents")
+@query("str_10", "SELECT doc_id, CASE WHEN regexp_full_match(tail, '[0-9a-f]{12}') THEN tail ELSE 'REDACTED' END AS suffix FROM (SELECT doc_id, right(CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE upper(sha256(text)) END, 12) AS tail FROM documents)")
 def str_10(spark, sf_dir):
     digest = F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise(F.upper(F.sha2("text", 256)))
-    return _docs(spark, sf_dir).select("doc_id", F.when((F.col("doc_id") % 2 == 1) & ~digest.rlike("[A-F].{0,11}$"), "REDACTED").otherwise(S.snapshot_suffix(digest)).alias("suffix"))
+    return _docs(spark, sf_dir).select("doc_id", S.snapshot_suffix(digest).alias("suffix"))
 
 
 @query("str_11", "SELECT conv_id, turn, trim(text) AS inner_text FROM conversations")
@@ -108,9 +108,10 @@ def json_02(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.to_json(value, {"ignoreNullFields": "false"}).alias("canonical"))
 
 
-@query("json_03", "SELECT event_id, event_id % 3 <> 0 AS strict FROM events")
+@query("json_03", "SELECT event_id, event_id % 4 = 3 AS strict FROM events")
 def json_03(spark, sf_dir):
-    text = F.when(F.col("event_id") % 3 == 0, F.lit('{"k":1,"k":2}')).otherwise(F.col("props"))
+    n = F.col("event_id") % 4
+    text = F.when(n == 0, F.lit('{"k":1,"k":2}')).when(n == 1, F.lit('{"k":{"j":[1,NaN]}}')).when(n == 2, F.lit('{"k":-Infinity}')).otherwise(F.col("props"))
     return read(spark, sf_dir, "events").select("event_id", S.strict_json(text).alias("strict"))
 
 
@@ -149,11 +150,11 @@ def math_02(spark, sf_dir):
     return Store(spark, sf_dir).journal.select("event_id", S.multiplied(F.col("token_count"), 11_000).alias("scaled"))
 
 
-@query("math_03", "SELECT session, least(9000, 8500, 10000 - total) AS b_input, 50 + 10 + 5 AS b_required, greatest(0, least(9000, 8500, 10000 - total) - 100 - 65) AS b_ac FROM (SELECT session, sum(token_count)::BIGINT AS total FROM journal GROUP BY session)")
+@query("math_03", "SELECT session, least(9000, 8500, 10000 - total) AS b_input, (50 + 10 + 5)::BIGINT AS b_required, greatest(0, least(9000, 8500, 10000 - total) - 100 - 65) AS b_ac FROM (SELECT session, sum(token_count)::BIGINT AS total FROM journal GROUP BY session)")
 def math_03(spark, sf_dir):
     total = Store(spark, sf_dir).journal.groupBy("session").agg(F.sum("token_count").alias("total"))
-    b_input = F.least(F.lit(9000), F.lit(8500), F.lit(10000) - F.col("total"))
-    return total.select("session", b_input.alias("b_input"), F.lit(65).alias("b_required"), F.greatest(F.lit(0), b_input - 165).alias("b_ac"))
+    got = packing.budget_columns(packing.Budget(9000, 8500, 10000, 0, 5), F.lit(50), F.lit(100), F.lit(10), reserved=F.col("total"))
+    return total.select("session", *[c.alias(k) for k, c in got.items()])
 
 
 @query("math_04", "SELECT job_id, least(30 * pow(2, attempt_count), 90)::BIGINT AS wait FROM jobs")
@@ -229,9 +230,10 @@ def arr_03(spark, sf_dir):
 
 @query("set_02", "SELECT a.item_id AS a, b.item_id AS b FROM items a JOIN items b ON a.session = b.session AND a.source = b.source AND a.item_id < b.item_id")
 def set_02(spark, sf_dir):
-    items = Store(spark, sf_dir).items.select("session", "item_id", F.array("source").alias("s"))
-    pairs = items.alias("a").join(items.alias("b"), (F.col("a.session") == F.col("b.session")) & (F.col("a.item_id") < F.col("b.item_id")) & F.arrays_overlap("a.s", "b.s"))
-    return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"))
+    """Items that share a source, which is the join's key: an event has a handful of items, however long its session."""
+    items = Store(spark, sf_dir).items.select("session", "item_id", F.explode(F.array("source")).alias("source"))
+    pairs = items.alias("a").join(items.alias("b"), ["session", "source"]).filter(F.col("a.item_id") < F.col("b.item_id"))
+    return pairs.select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b")).distinct()
 
 
 @query("set_04", "SELECT session, count(*) FILTER (WHERE sequence % 3 = 0) = 0 AS complete FROM covered GROUP BY session")
@@ -256,9 +258,9 @@ def set_06(spark, sf_dir):
     return base.unionByName(new)
 
 
-@query("tok_02", "SELECT 'id-' || session % 5 AS request_id, count(DISTINCT content) > 1 AS conflict FROM journal WHERE sequence = 1 GROUP BY 1")
+@query("tok_02", "SELECT 'id-' || session % 5 AS request_id, count(DISTINCT content) > 1 AS conflict FROM journal GROUP BY 1")
 def tok_02(spark, sf_dir):
-    rows = Store(spark, sf_dir).journal.filter("sequence = 1").withColumn("request_id", F.concat(F.lit("id-"), F.col("session") % 5))
+    rows = Store(spark, sf_dir).journal.withColumn("request_id", F.concat(F.lit("id-"), F.col("session") % 5))
     return rows.groupBy("request_id").agg((F.count_distinct(F.sha2("content", 256)) > 1).alias("conflict"))
 
 

@@ -59,10 +59,10 @@ def scan_10(spark, sf_dir):
     return scans.page(Store(spark, sf_dir).metrics, "artifact_id", "3")
 
 
-@query("scan_11", f"SELECT j.event_id, m.token_count AS stored_count FROM journal j JOIN metrics m ON m.artifact_kind = 'EVENT' AND m.artifact_id = j.event_id AND m.profile = '{PROFILE}' WHERE j.sequence <= 3")
+@query("scan_11", f"SELECT j.event_id, m.token_count AS stored_count FROM journal j JOIN metrics m ON m.artifact_kind = 'EVENT' AND m.artifact_id = j.event_id AND m.profile = '{PROFILE}'")
 def scan_11(spark, sf_dir):
     s = Store(spark, sf_dir)
-    return scans.metric_counts(s.journal.filter("sequence <= 3").select("event_id"), s.metrics, "EVENT", PROFILE)
+    return scans.metric_counts(s.journal.select("event_id"), s.metrics, "EVENT", PROFILE)
 
 
 @query("scan_12", "SELECT session, max(sequence) AS latest, count(*) FILTER (WHERE sequence > 2) AS later, count(*) FILTER (WHERE sequence BETWEEN 2 AND 4) AS inside FROM journal GROUP BY session")

@@ -1,5 +1,6 @@
 """The journal's tables as SQL over the driver's tables, for the oracles."""
 
+#: Levels, claim kinds, event types and job states, in order.
 LEVELS = ("micro", "episode", "task", "global")
 CLAIM_KINDS = ("goal", "constraint", "progress", "open_loop", "preference", "emotional_context")
 EVENT_TYPES = ("USER_MESSAGE", "ASSISTANT_MESSAGE", "TOOL_CALL", "TOOL_RESULT")
@@ -7,6 +8,7 @@ JOB_STATES = ("PENDING", "LEASED", "COMPILING", "AUDITING", "READY_TO_COMMIT", "
 OPEN_STATES = JOB_STATES[:6]
 WORKING_STATES = JOB_STATES[1:5]
 CANDIDATE_STATES = ("READY_TO_COMMIT", "COMMITTED", "SUPERSEDED")
+#: The oracles' time and token profile.
 NOW = "2026-01-02T00:00:00.000000Z"
 PROFILE = "utf8-bytes"
 
