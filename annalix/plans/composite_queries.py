@@ -47,10 +47,28 @@ def candidates(s: Store) -> audit.Candidates:
     return audit.Candidates(heads, made, now, caps.filter("segment = 0").select("session", "sources"), prior_items, events)
 
 
-@query("aud_01")
-@query("aud_04")
+_CODES = """CASE session % 19 WHEN 1 THEN 'EMPTY_COMPILER_OUTPUT,MISSING_PRIOR_SEMANTIC,MISSING_REQUIRED_ANCHOR,SOURCE_COVERAGE_NOT_FULL,ANCHOR_RECALL_NOT_FULL' WHEN 2 THEN 'BASE_SNAPSHOT_MISMATCH' WHEN 3 THEN 'TARGET_MISMATCH'
+ WHEN 4 THEN 'COVERAGE_GAP,UNSUPPORTED_ACTIVE_SEMANTIC,SOURCE_COVERAGE_NOT_FULL,UNSUPPORTED_CRITICAL_CLAIMS' WHEN 5 THEN 'CAPSULE_MEMBERSHIP_MISMATCH' WHEN 6 THEN 'SNAPSHOT_ANCHOR_MISMATCH' WHEN 7 THEN 'INVALID_CAPSULE_COVERAGE'
+ WHEN 8 THEN 'UNSUPPORTED_ACTIVE_SEMANTIC,SOURCE_COVERAGE_NOT_FULL,UNSUPPORTED_CRITICAL_CLAIMS' WHEN 9 THEN 'MISSING_PRIOR_SEMANTIC' WHEN 10 THEN 'MISSING_REQUIRED_ANCHOR,ANCHOR_RECALL_NOT_FULL' WHEN 11 THEN 'MECHANICAL_NOT_PASSED'
+ WHEN 12 THEN 'SOURCE_COVERAGE_NOT_FULL' WHEN 13 THEN 'ANCHOR_RECALL_NOT_FULL' WHEN 14 THEN 'UNSUPPORTED_CRITICAL_CLAIMS' WHEN 15 THEN 'QUALITY_COVERAGE_GAP' WHEN 16 THEN 'TOKEN_CEILING_EXCEEDED' WHEN 17 THEN 'SESSION_KEY_MISMATCH' ELSE '' END"""
+#: Of every candidate: its active items, those of its third event and of its second capsule, and its capsules.
+_CANDIDATES = """(SELECT m.session, i.*, c.capsules FROM marks m JOIN (SELECT session, count(*) AS claims, count(*) FILTER (WHERE sequence = 3) AS third, count(*) FILTER (WHERE segment = 1) AS second FROM items WHERE status = 'active' GROUP BY session) i USING (session)
+ JOIN (SELECT session, count(*) AS capsules FROM capsules GROUP BY session) c USING (session) WHERE m.covered >= 3)"""
+
+
+@query("aud_01", f"SELECT session, session % 19 IN (0, 18) AS passed, {_CODES} AS failure_codes FROM marks WHERE covered >= 3")
 def aud_01(spark, sf_dir):
-    return audit.validate(candidates(Store(spark, sf_dir))).withColumn("failure_codes", F.array_join("failure_codes", ","))
+    """All codes of every candidate."""
+    return audit.validate(candidates(Store(spark, sf_dir))).select("session", "passed", F.array_join("failure_codes", ",").alias("failure_codes"))
+
+
+@query("aud_04", f"""SELECT session, CASE session % 19 WHEN 1 THEN 0.0::DOUBLE WHEN 4 THEN (claims - third) / claims WHEN 8 THEN (claims - second) / claims WHEN 12 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END::DOUBLE AS source_coverage,
+ CASE session % 19 WHEN 1 THEN 0.0 WHEN 10 THEN 0.0 WHEN 13 THEN 0.5 ELSE 1.0 END::DOUBLE AS anchor_recall, CASE session % 19 WHEN 4 THEN 1 WHEN 15 THEN capsules ELSE 0 END::BIGINT AS coverage_gap,
+ CASE session % 19 WHEN 4 THEN third WHEN 8 THEN second WHEN 14 THEN capsules ELSE 0 END::BIGINT AS unsupported_critical_claims FROM {_CANDIDATES}""")
+def aud_04(spark, sf_dir):
+    """The figures of the report: the worse of what a candidate declares and what is found."""
+    report = audit.validate(candidates(Store(spark, sf_dir)))
+    return report.select("session", "source_coverage", "anchor_recall", "coverage_gap", "unsupported_critical_claims")
 
 
 #: The first code that each fault alone brings about, in the order of the codes.

@@ -45,12 +45,16 @@ def json_08(spark, sf_dir):
     return Store(spark, sf_dir).journal.select("event_id", metadata.call_metadata(F.col("event_type"), _arguments()).alias("metadata"))
 
 
-@query("scan_14")
-def scan_14(spark, sf_dir):
-    """Ranks of a public vocabulary file."""
+def _ranks_path() -> str:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("scan_14", lambda: f"SELECT hex(from_base64(token)) AS token, rank FROM read_csv('{_ranks_path()}', delim=' ', header=false, quote='', escape='', auto_detect=false, columns={{'token': 'VARCHAR', 'rank': 'BIGINT'}})")
+def scan_14(spark, sf_dir):
+    """Ranks of a public vocabulary file."""
+    path = _ranks_path()
     return metadata.mergeable_ranks(spark, "file://" + path, *metadata.file_facts(path)).select(F.hex("token").alias("token"), "rank")
 
 

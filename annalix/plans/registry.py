@@ -9,18 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.prelude import PRELUDE
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_sql: dict[str, str] = {}
+_sql: dict[str, str | Callable[[], str]] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a query; sql may use the tables of ``sources.prelude``."""
+def query(name: str, sql: str | Callable[[], str] | None = None):
+    """Registers a query; sql may use the tables of ``sources.prelude``. A function is called when the SQL is asked for."""
 
     def wrap(f):
         if name in _queries:
             raise ValueError(f"{name} is registered twice")
         _queries[name] = f
         if sql is not None:
-            _sql[name] = PRELUDE + sql
+            _sql[name] = sql
         return f
 
     return wrap
@@ -49,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_sql)
+    return {name: PRELUDE + (sql if isinstance(sql, str) else sql()) for name, sql in _sql.items()}

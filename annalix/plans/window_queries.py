@@ -97,13 +97,38 @@ def win_10(spark, sf_dir):
     return windows.units(tooled(Store(spark, sf_dir))).groupBy("session").agg(F.sum("size").alias("events"), F.count("*").alias("n_units"))
 
 
-@query("win_11")
+#: Units of stable sessions of ``tooled``: one event, then five, in turn; and the segments that they make, cut greedily.
+_SEGMENTS = f""", sized AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events),
+parts AS (SELECT user_id AS session, sequence, {{tokens}} AS tokens, ((sequence - 1) // 6) * 2 + ((sequence - 1) % 6 > 0)::INT AS unit FROM sized),
+u AS (SELECT p.session, unit + 1 AS k, min(sequence) AS first, max(sequence) AS last, sum(tokens)::BIGINT AS cost, unit + 1 = max(unit + 1) OVER (PARTITION BY p.session) AS final FROM parts p JOIN {_N} s USING (session) WHERE (session % 7 <> 0 OR n < 5) AND n % 6 IN (0, 1) GROUP BY p.session, unit),
+walk AS (
+  SELECT session, 0::BIGINT AS k, NULL::BIGINT AS start, NULL::BIGINT AS stop, NULL::BIGINT AS tokens, NULL::BIGINT[] AS before, NULL::VARCHAR AS over, NULL::BIGINT[] AS after, NULL::VARCHAR AS why FROM u WHERE k = 1
+  UNION ALL
+  SELECT session, k, CASE WHEN why IS NULL THEN start END, CASE WHEN why IS NULL THEN last END, CASE WHEN why IS NULL THEN tokens END, before, over, CASE WHEN why IS NOT NULL THEN [start, last, tokens] END, why FROM (
+    SELECT *, CASE WHEN last - first + 1 > 8 OR cost > 100 THEN 'OVERSIZED_EVENT' WHEN final THEN 'END_OF_INPUT' WHEN last - start + 1 >= 8 THEN 'MAX_EVENTS' WHEN tokens >= 100 THEN 'MAX_TOKENS' WHEN 7 BETWEEN first AND last OR 13 BETWEEN first AND last THEN 'PREFERRED' END AS why FROM (
+      SELECT session, k, first, last, cost, final, over, CASE WHEN over IS NOT NULL THEN [prior, stop, held] END AS before, CASE WHEN over IS NULL THEN coalesce(prior, first) ELSE first END AS start, CASE WHEN over IS NULL THEN coalesce(held, 0) + cost ELSE cost END AS tokens FROM (
+        SELECT u.session, u.k, u.first, u.last, u.cost, u.final, w.start AS prior, w.stop, w.tokens AS held, CASE WHEN u.last - w.start + 1 > 8 THEN 'MAX_EVENTS' WHEN w.tokens + u.cost > 100 THEN 'MAX_TOKENS' END AS over
+        FROM walk w JOIN u ON u.session = w.session AND u.k = w.k + 1)))
+), made AS (SELECT session, before AS part, over AS reason FROM walk WHERE before IS NOT NULL UNION ALL SELECT session, after, why FROM walk WHERE after IS NOT NULL)
+SELECT session, row_number() OVER (PARTITION BY session ORDER BY part[1]) - 1 AS segment, part[1] AS start, part[2] AS "end", part[3] AS tokens, reason FROM made"""
+
+
+@query("win_11", _SEGMENTS.replace("{tokens}", "strlen(props)::BIGINT"))
 def win_11(spark, sf_dir):
     """Segments never split a unit: their ends are unit ends."""
     return windows.segment_sessions(tooled(Store(spark, sf_dir)), windows.Caps(8, 100), [7, 13])
 
 
-@query("win_12")
+_RUNS = """, sized AS (SELECT session, sequence, strlen('[' || sequence || ', ' || to_json(content)::VARCHAR || ']') AS size FROM journal),
+walk AS (
+  SELECT session, sequence, 0::BIGINT AS n, CASE WHEN size + 2 <= 1500 THEN size + 2 END AS held, CASE WHEN size + 2 <= 1500 THEN 0 ELSE -1 END::BIGINT AS run FROM sized WHERE sequence = 1
+  UNION ALL
+  SELECT session, sequence, n, CASE WHEN size + 2 > 1500 THEN held WHEN held IS NULL THEN size + 2 ELSE held + 2 + size END, CASE WHEN size + 2 > 1500 THEN -1 ELSE n END FROM (
+    SELECT s.session, s.sequence, s.size, CASE WHEN w.held + 2 + s.size > 1500 THEN w.n + 1 ELSE w.n END AS n, CASE WHEN w.held + 2 + s.size <= 1500 THEN w.held END AS held FROM walk w JOIN sized s ON s.session = w.session AND s.sequence = w.sequence + 1)
+) SELECT session, sequence, run FROM walk"""
+
+
+@query("win_12", _RUNS)
 def win_12(spark, sf_dir):
     """Runs of events whose serialised form stays within a limit; rows too large alone are deferred (run -1)."""
     import json
