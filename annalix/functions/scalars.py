@@ -77,6 +77,12 @@ def stable_id(prefix: str, *parts: Column, digits: int = 64) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, digits))
 
 
+def payload_id(prefix: str, **fields: Column) -> Column:
+    """Prefix and SHA-256 of the compact JSON of the fields, by name."""
+    made = F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+    return F.concat(F.lit(prefix + ":"), F.sha2(made, 256))
+
+
 def strict_json(text: Column) -> Column:
     """True for JSON without repeated keys and without numbers that JSON lacks."""
     quoted = F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', '""')  # names of numbers inside texts don't count

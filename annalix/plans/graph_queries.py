@@ -56,12 +56,37 @@ def graph_06(spark, sf_dir):
     return graph.constraint_sessions(_blocks(spark, sf_dir)).select("session", "block_id", "first")
 
 
-@query("graph_07")
-def graph_07(spark, sf_dir):
+@query("graph_07_blocks")
+def graph_07_blocks(spark, sf_dir):
     """Activation of every block under the constraint that required ones are 1."""
     return graph.solve_sessions(_blocks(spark, sf_dir), QUERY).withColumn("activation", F.round("activation", 8))
 
 
+def _pairs(spark, sf_dir):
+    """(session, outcome, error_code, band, block_id, activation): a required block and an optional one, related with a weight; scores and weights follow from the session.
+
+    With the required one fixed to 1 the optional one's activation is (score + weight) / (1 + weight), up to the diagonal's epsilon. Every third session lacks its source.
+    """
+    import numpy as np
+
+    def run(n: int):
+        own = [packing.Block("must", "active_goal", "goal", "x", ("e1",), 1.0, "r", True), packing.Block("may", "relevant_evidence", "decision", "x", ("e2",), 1.0, "r", False)]
+        score, weight = n % 10 / 10, 0.25 * (1 + n % 4)
+        got = graph.solve_graph(own, [([(0, 1.0), (1, -1.0)], weight)], np.array([1.0, score]), None, {"e1"} if n % 3 == 0 else {"e1", "e2"})
+        return got.outcome, got.error_code, got.residual_band, round(got.scores["may"], 8), "may" in got.selected
+
+    return _systems(spark, sf_dir, run, "session long, outcome string, error_code string, band string, activation double, selected boolean")
+
+
+_ACTIVE = "(SELECT session, (session % 10 / 10.0::DOUBLE + 0.25::DOUBLE * (1 + session % 4)) / (1 + 0.25::DOUBLE * (1 + session % 4) + 1e-9::DOUBLE) AS a FROM marks)"
+
+
+@query("graph_07", f"SELECT session, round(a, 8) AS activation, a >= 0.5 AND session % 3 <> 0 AS selected FROM {_ACTIVE}")
+def graph_07(spark, sf_dir):
+    """The constrained solve of systems whose solution is known in closed form."""
+    return _pairs(spark, sf_dir).select("session", "activation", "selected")
+
+
 #: A probe that few texts match, so that there is something to eliminate.
 RARE = "zq"
 _KEPT = BLOCKS + ", kept AS (SELECT session, count(*) AS n, count(*) FILTER (WHERE required OR regexp_matches(lower(text), '[zq]')) AS k FROM ordered GROUP BY session) "
@@ -79,14 +104,20 @@ def graph_09(spark, sf_dir):
     return graph.reduction_sessions(_blocks(spark, sf_dir), RARE).select("session", (F.col("eliminated") > 0).alias("reduced"), "agrees")
 
 
-@query("graph_17")
+@query("graph_17", f"SELECT session, CASE WHEN a >= 0.5 AND session % 3 = 0 THEN 'DEGRADED_RAW' ELSE 'ACTIVE' END AS outcome, CASE WHEN a >= 0.5 AND session % 3 = 0 THEN 'CERTIFICATE_PROVENANCE_FAILED' ELSE 'NONE' END AS error_code FROM {_ACTIVE}")
 def graph_17(spark, sf_dir):
-    return graph.solve_sessions(_blocks(spark, sf_dir), QUERY).select("session", "outcome", "error_code").distinct()
+    """The certificate's verdict: a chosen block without provenance fails it."""
+    return _pairs(spark, sf_dir).select("session", "outcome", "error_code")
 
 
-@query("graph_23")
+@query("graph_23", f"SELECT session, CASE WHEN a >= 0.5 AND session % 3 = 0 THEN 'FAILED' ELSE 'VERIFIED' END AS band FROM {_ACTIVE}")
 def graph_23(spark, sf_dir):
-    return graph.solve_sessions(_blocks(spark, sf_dir), QUERY).select("session", "band").distinct()
+    return _pairs(spark, sf_dir).select("session", "band")
+
+
+@query("graph_17_blocks")
+def graph_17_blocks(spark, sf_dir):
+    return graph.solve_sessions(_blocks(spark, sf_dir), QUERY).select("session", "outcome", "error_code", "band").distinct()
 
 
 _COMPONENTS = """, keyed AS (SELECT session, block_id, position, kind, 'c:' || capsule_id AS key FROM ordered WHERE capsule_id IS NOT NULL UNION ALL SELECT session, block_id, position, kind, 's:' || unnest(sources) FROM ordered),

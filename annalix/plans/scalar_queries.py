@@ -123,12 +123,21 @@ def json_06(spark, sf_dir):
 
 
 @query("json_09", "SELECT event_id, 'evt:' || sha256(session || chr(0) || source_hook || chr(0) || sequence) AS stable FROM journal")
-@query("json_10", "SELECT event_id, 'evt:' || sha256(session || chr(0) || source_hook || chr(0) || sequence) AS stable FROM journal")
 def json_09(spark, sf_dir):
     parts = [F.col(c).cast("string") for c in ("session", "source_hook", "sequence")]
     return Store(spark, sf_dir).journal.select("event_id", S.stable_id("evt:", *parts).alias("stable"))
 
 
+@query("json_10", """SELECT item_id, 'item:' || sha256('{"kind":"' || kind || '","name":"' || item_id || '","session":' || session || ',"sources":["' || source || '"]}') AS item,
+ 'capsule:' || sha256('{"base":null,"ordinal":' || segment || ',"session":' || session || '}') AS capsule FROM items""")
+def json_10(spark, sf_dir):
+    """Ids of items and capsules from canonical JSON of what identifies them, nulls shown."""
+    c = F.col
+    item = S.payload_id("item", session=c("session"), kind=c("kind"), name=c("item_id"), sources=F.array("source"))
+    capsule = S.payload_id("capsule", session=c("session"), ordinal=c("segment"), base=F.lit(None).cast("string"))
+    return Store(spark, sf_dir).items.select("item_id", item.alias("item"), capsule.alias("capsule"))
+
+
 @query("json_11", "SELECT event_id, json_valid(props) AS valid, (props->>'k')::BIGINT AS k FROM events")
 def json_11(spark, sf_dir):
     v = F.try_parse_json("props")
