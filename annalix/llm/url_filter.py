@@ -137,7 +137,8 @@ HOST_RULES = (
 #: Hosts and paths of link farms, adult and gambling sites, and of pages without prose.
 PATTERNS = (
     Pattern("host", r"(^|[^a-z0-9])spam-farm($|[^a-z0-9])", ("spam", "farm")),
-    Pattern("host", r"link-?farm"),
+    Pattern("host", r"(^|[^a-z0-9])link-farm($|[^a-z0-9])", ("link", "farm")),
+    Pattern("host", r"(^|[^a-z0-9])linkfarm($|[^a-z0-9])", ("linkfarm",)),
     *(Pattern("host", rf"(^|[^a-z0-9]){w}($|[^a-z0-9])", (w,)) for w in ("casino", "porn", "xxx", "viagra", "warez", "escort")),
     *(Pattern("path", rf"(^|[^a-zA-Z0-9]){w}($|[^a-zA-Z0-9])", (w,)) for w in ("login", "logout", "signup", "cart", "checkout")),
 )

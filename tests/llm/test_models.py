@@ -288,6 +288,16 @@ def test_op5_index_equals_all_rules(spark):
     assert got[13][3] == "block" and got[14][3] == "allow" and got[16][3] == "block" and got[15][3] == "allow" and got[17][3] == "block" and got[18][3] == "allow"
 
 
+def test_op5_every_rule_has_a_token_and_ties_go_to_block(spark):
+    rules = url_filter.HOST_RULES + url_filter.PATTERNS
+    assert not url_filter.Index(rules, {}).always
+    index = url_filter.Index([url_filter.HostRule("allow", "a.org", "/xx/"), url_filter.HostRule("block", "a.org", "/xx/"), url_filter.HostRule("allow", "b.org", "/"), url_filter.HostRule("block", "b.org", "/x")], {})
+    assert index.judge("a.org", "/xx/1") == ("a.org/xx/", "block") and index.judge("b.org", "/x") == ("b.org/x", "block") and index.judge("b.org", "/y") == ("b.org/", "allow")
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(["http://x.link-farm.net/", "http://linkfarm.net/", "http://mylinkfarms.net/", "http://link.net/farm"])], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow"}
+
+
 def test_op5_files_a_rule_under_its_rarest_token():
     index = url_filter.Index([url_filter.HostRule("block", "example.org", "/es/")], {"example": 50, "org": 80, "es": 3})
     assert list(index.by_token) == ["es"]
@@ -391,6 +401,31 @@ def test_odd_documents(spark, tmp_path):
     assert quality_rules.measure(d).count() == n and quality_rules.apply_rules(d).columns == d.columns
 
 
+def test_odd_documents_have_the_defined_values(spark):
+    d = odd.docs(spark)
+    blank = [k for k, t in enumerate(odd.TEXTS) if not (t or "").strip()]
+    by_id = lambda df: {r["doc_id"]: r for r in df.filter("doc_id IS NOT NULL").collect()}
+    rules = by_id(quality_rules.measure(d))
+    assert all((rules[k]["n_words"], rules[k]["word_chars"], rules[k]["n_repeat_words"], rules[k]["base_failed"], rules[k]["kept"]) == (0, 0, 0, True, False) for k in blank)
+    long = odd.TEXTS.index(odd.LONG)
+    assert (rules[long]["n_words"], rules[long]["n_dup_lines"], rules[long]["n_symbols"]) == (len(odd.LONG.split()), 0, 0)
+    found = by_id(pii.find(d, pii.fit(d)))
+    assert all((found[k]["spans"], found[k]["n_ip"]) == ("", 0) for k in blank)
+    # the numbers of the mixed text run together: base expressions find the address parts alone
+    mixed, digits = odd.TEXTS.index(next(t for t in odd.TEXTS if t and t.startswith("a@b.co"))), odd.TEXTS.index("0" * 5000 + ".1.1.1")
+    assert [found[mixed][f"n_{k}"] for k in pii.KINDS] == [1, 1, 0, 0] and found[digits]["n_ip"] == 1 and found[digits]["spans"].startswith("ip:0:5006")
+    model = language_id.fit(d, ~held_out())
+    named = by_id(language_id.identify(d, model))
+    assert all((named[k]["lang_pred"], named[k]["score"]) == ("und", 0.0) for k in (*blank, odd.TEXTS.index("12345 67890")))
+    same = [r["lang_pred"] for r in language_id.identify(d, model).filter(F.col("text") == odd.PROSE).collect()]
+    assert len(set(same)) == 1 and len(same) == 5
+    texts = [f"a fine day number {n} with é words" for n in range(60)] + [f"you idiot number {n} are é vile" for n in range(60)]
+    scores = by_id(toxicity.score(d, toxicity.train(texts, [0] * 60 + [1] * 60)))
+    assert all(scores[k]["spans"] == "" and scores[k]["score"] < 0.7 for k in blank) and len({scores[k]["score"] for k in blank}) == 1
+    sizes = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(d, queries.tokenizer_path(), scratch(spark, "odd")).filter("doc_id IS NOT NULL").collect()}
+    assert all(sizes[k] == (len(odd.TEXTS[k] or ""), 0) for k in blank)
+
+
 def test_empty_tables(spark, tmp_path):
     d = odd.empty(spark)
     model = language_id.fit(d, ~held_out())
