@@ -94,14 +94,12 @@ class Memo:
             at, slot = at[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Distinct unknown keys and their ids."""
+    def add(self, keys: np.ndarray, fresh: np.ndarray, n: np.ndarray) -> None:
+        """Distinct unknown keys, their ids one after the other, and how many each has."""
         first = len(self.start)
-        n = np.array([len(x) for x in ids], np.int32)
         self.start = np.concatenate([self.start, self.used + np.cumsum(n) - n])
         self.length = np.concatenate([self.length, n])
         self.keys = np.concatenate([self.keys, keys], 1)
-        fresh = np.concatenate(ids)
         if self.used + len(fresh) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(fresh), self.used // 2), np.uint32)])
         self.pool[self.used : self.used + len(fresh)] = fresh
@@ -150,21 +148,27 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> list[np.ndarray]:
-        """Runs of letters are encoded in one line and cut at the ends of words, others one by one."""
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids, sizes): the ids of all pieces in another order. Runs of letters are encoded in one line and cut at the ends of words, others one by one."""
+        rest = [k for k, p in enumerate(pieces) if not p.isalpha()]
         plain = [k for k, p in enumerate(pieces) if p.isalpha()]
-        out: list[np.ndarray | None] = [None] * len(pieces)
+        order, ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
         for at in range(0, len(plain), 2000):
             some = plain[at : at + 2000]
-            ids = self._encode([" ".join(pieces[k] for k in some)])[0]
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and cuts[-1] == len(ids):
-                for k, x in zip(some, np.split(ids, cuts[:-1])):
-                    out[k] = x
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(rest, self._encode([pieces[k] for k in rest])):
-            out[k] = x
-        return out
+            own = self._encode([" ".join(pieces[k] for k in some)])[0]
+            cuts = np.flatnonzero(self.ends[own]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(own):
+                order.append(np.array(some))
+                ids.append(own)
+                sizes.append(np.diff(cuts, prepend=0).astype(np.int32))
+            else:
+                rest += some
+        if rest:
+            each = self._encode([pieces[k] for k in rest])
+            order.append(np.array(rest))
+            ids += each
+            sizes.append(np.array([len(x) for x in each], np.int32))
+        return np.concatenate(order), np.concatenate(ids), np.concatenate(sizes)
 
     def _pieces(self, col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, start and end of two pieces a word (the second, its tail, mostly empty), and the rows' n+1 offsets into them."""
@@ -198,11 +202,13 @@ class Encoder:
             fresh = np.ones(len(order), bool)
             fresh[1:] = (keys[:, order[1:]] != keys[:, order[:-1]]).any(0)
             first = order[fresh]
-            before = len(self.memo.start)
+            entry = np.empty(len(first), np.int32)
             for k in range(0, len(first), LEARN):
                 some = first[k : k + LEARN]
-                self.memo.add(keys[:, some], self._learn([text(x) for x in some.tolist()]))
-            got[order] = before + np.cumsum(fresh).astype(np.int32) - 1
+                by, ids, sizes = self._learn([text(x) for x in some.tolist()])
+                entry[k + by] = len(self.memo.start) + np.arange(len(by))
+                self.memo.add(keys[:, some[by]], ids, sizes)
+            got[order] = entry[np.cumsum(fresh) - 1]
         return got, long
 
     def _long(self, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
