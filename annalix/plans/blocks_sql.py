@@ -30,3 +30,10 @@ ordered AS (SELECT session, block_id, slot, kind, text, sources, required, capsu
     CASE WHEN slot = 'raw_delta' THEN 0.0 ELSE -(weight + 10.0 * fraction) END, CASE WHEN slot = 'raw_delta' THEN event_sequence ELSE 0 END, block_id) - 1 AS position
   FROM scored)
 """
+
+#: Dependency components of the blocks: table ``comp`` of each position's least one.
+COMPONENTS = """, keyed AS (SELECT session, block_id, position, kind, 'c:' || capsule_id AS key FROM ordered WHERE capsule_id IS NOT NULL UNION ALL SELECT session, block_id, position, kind, 's:' || unnest(sources) FROM ordered),
+link AS (SELECT DISTINCT a.session, a.position AS a, b.position AS b FROM keyed a JOIN keyed b ON a.session = b.session AND a.key = b.key WHERE a.kind = 'dependency' OR b.kind = 'dependency'),
+reach AS (SELECT session, position AS a, position AS b FROM ordered UNION SELECT r.session, r.a, l.b FROM reach r JOIN link l ON l.session = r.session AND l.a = r.b),
+comp AS (SELECT session, a AS position, min(b) AS least FROM reach GROUP BY session, a)
+"""

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, joins, packing, retrieval
 from ..sources import Store
-from .blocks_sql import BLOCKS, QUERY
+from .blocks_sql import BLOCKS, COMPONENTS as _COMPONENTS, QUERY
 from .join_queries import _CAPPED
 from .packing_queries import BUDGET
 from .registry import query
@@ -120,13 +120,6 @@ def graph_17_blocks(spark, sf_dir):
     return graph.solve_sessions(_blocks(spark, sf_dir), QUERY).select("session", "outcome", "error_code", "band").distinct()
 
 
-_COMPONENTS = """, keyed AS (SELECT session, block_id, position, kind, 'c:' || capsule_id AS key FROM ordered WHERE capsule_id IS NOT NULL UNION ALL SELECT session, block_id, position, kind, 's:' || unnest(sources) FROM ordered),
-link AS (SELECT DISTINCT a.session, a.position AS a, b.position AS b FROM keyed a JOIN keyed b ON a.session = b.session AND a.key = b.key WHERE a.kind = 'dependency' OR b.kind = 'dependency'),
-reach AS (SELECT session, position AS a, position AS b FROM ordered UNION SELECT r.session, r.a, l.b FROM reach r JOIN link l ON l.session = r.session AND l.a = r.b),
-comp AS (SELECT session, a AS position, min(b) AS least FROM reach GROUP BY session, a)
-"""
-
-
 @query("graph_18", BLOCKS + _COMPONENTS + "SELECT o.session, o.block_id, r.block_id AS component FROM ordered o JOIN comp c USING (session, position) JOIN ordered r ON r.session = o.session AND r.position = c.least")
 def graph_18(spark, sf_dir):
     return graph.component_sessions(_blocks(spark, sf_dir)).select("session", "block_id", "component")

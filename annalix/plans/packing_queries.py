@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates, graph, packing, retrieval
 from ..sources import Store
 from ..sources.prelude import OPEN_STATES
-from .blocks_sql import BLOCKS, QUERY
+from .blocks_sql import BLOCKS, COMPONENTS, QUERY
 from .join_queries import _MISSING, missing
 from .registry import query
 
@@ -88,23 +88,48 @@ def pack_02(spark, sf_dir):
     return packed.filter("mode = 'EMERGENCY_ASSEMBLY'")
 
 
-@query("pack_03")
+def _packed(b_ac: int) -> str:
+    """Components taken in order while they fit; ``picked`` has the blocks of sessions in which every required one was taken."""
+    return BLOCKS + COMPONENTS + f""", sized AS (SELECT o.*, c.least, strlen(text)::BIGINT AS cost FROM ordered o JOIN comp c USING (session, position)),
+grp AS (SELECT session, least, sum(cost)::BIGINT AS cost, count(*) AS n, row_number() OVER (PARTITION BY session ORDER BY least) AS k FROM sized GROUP BY session, least),
+walk AS (
+  SELECT session, 0::BIGINT AS k, 0::BIGINT AS used, false AS started, NULL::BIGINT AS least, NULL::BOOLEAN AS fits FROM grp WHERE k = 1
+  UNION ALL
+  SELECT session, k, CASE WHEN used + price <= {b_ac} THEN used + price ELSE used END, started OR used + price <= {b_ac}, least, used + price <= {b_ac} FROM (
+    SELECT g.session, g.k, g.least, w.used, w.started, (g.cost + 2 * (g.n - CASE WHEN w.started THEN 0 ELSE 1 END))::BIGINT AS price FROM walk w JOIN grp g ON g.session = w.session AND g.k = w.k + 1)
+), tried AS (SELECT s.*, w.fits AS selected FROM sized s JOIN walk w ON w.session = s.session AND w.least = s.least),
+picked AS (SELECT * FROM tried WHERE session IN (SELECT session FROM tried GROUP BY session HAVING bool_and(selected OR NOT required)))
+"""
+
+
+_USED = "(coalesce(sum(cost) FILTER (WHERE selected), 0) + 2 * greatest(0, count(*) FILTER (WHERE selected) - 1))::BIGINT"
+
+
+@query("pack_03", _packed(5897) + f"SELECT session, {_USED} AS used, {_USED} AS recount, 5897::BIGINT AS b_ac FROM picked GROUP BY session HAVING count(*) FILTER (WHERE selected) > 0")
 def pack_03(spark, sf_dir):
-    """Exact costs of what was packed: never above the budget."""
-    packed = packing.assemble_sessions(_blocks(spark, sf_dir), "now", 0, 0, BUDGET).filter("selected")
+    """Exact costs of what was packed in normal mode, counted twice: never above the budget."""
+    packed = packing.assemble_sessions(_blocks(spark, sf_dir), "now", 0, 0, BUDGET).filter("selected AND mode = 'NORMAL'")
     return packed.groupBy("session").agg(F.max("used").alias("used"), (F.sum("token_cost") + 2 * (F.count("*") - 1)).alias("recount"), F.max("b_ac").alias("b_ac"))
 
 
-@query("pack_04")
+@query("pack_04", _packed(5837) + f"""SELECT session, 'NORMAL' AS mode, 'NONE' AS error, block_id, selected, CASE WHEN selected THEN 'SELECTED_NORMAL' ELSE 'INSUFFICIENT_AC_BUDGET' END AS reason, cost AS token_cost, 5837::BIGINT AS b_ac, u.used
+FROM picked JOIN (SELECT session, {_USED} AS used FROM picked GROUP BY session) u USING (session)""")
 def pack_04(spark, sf_dir):
+    """Sessions whose required blocks all fit: what was selected, what not, and why."""
+    return packing.assemble_sessions(_blocks(spark, sf_dir), "now", 50, 10, BUDGET).filter("mode = 'NORMAL' AND error = 'NONE'")
+
+
+@query("pack_04_all")
+def pack_04_all(spark, sf_dir):
+    """All sessions, those in emergency mode as well."""
     return packing.assemble_sessions(_blocks(spark, sf_dir), "now", 50, 10, BUDGET)
 
 
-@query("pack_05")
+@query("pack_05", _packed(5837) + "SELECT session, slot, sum(cost)::BIGINT AS slot_tokens FROM picked WHERE selected GROUP BY session, slot")
 def pack_05(spark, sf_dir):
-    """Costs by slot of what was packed."""
+    """Costs by slot of what was packed in normal mode."""
     blocks = _blocks(spark, sf_dir)
-    packed = packing.assemble_sessions(blocks, "now", 50, 10, BUDGET).filter("selected")
+    packed = packing.assemble_sessions(blocks, "now", 50, 10, BUDGET).filter("selected AND mode = 'NORMAL'")
     return packed.join(blocks.select("session", "block_id", "slot"), ["session", "block_id"]).groupBy("session", "slot").agg(F.sum("token_cost").alias("slot_tokens"))
 
 
