@@ -371,7 +371,17 @@ def test_words_that_sums_cannot_tell_apart(spark):
 def test_other_tokenizers(spark, name, tmp_path):
     d = odd.docs(spark).filter("length(text) < 1000 OR text IS NULL")
     got = token_counts.count_tokens(d, queries.tokenizer_path(name), str(tmp_path / "c")).collect()
-    assert len(got) == d.count() and all(r["n_tokens"] is not None for r in got)
+    texts = {r["doc_id"]: r["text"] or "" for r in d.filter("doc_id IS NOT NULL").collect()}
+    if name.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path(name))
+        want = {k: len(model.encode(t)) for k, t in texts.items()}
+    else:
+        from tokenizers import Tokenizer
+
+        want = {k: len(Tokenizer.from_file(queries.tokenizer_path(name)).encode(t, add_special_tokens=False).ids) for k, t in texts.items()}
+    assert len(got) == d.count() and {r["doc_id"]: r["n_tokens"] for r in got if r["doc_id"] is not None} == want
 
 
 def test_odd_documents(spark, tmp_path):

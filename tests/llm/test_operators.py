@@ -14,7 +14,7 @@ from conftest import MID, SMALL
 from oracle import connect, rows
 from pyspark.sql import functions as F
 
-from annalix.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, queries, token_counts
+from annalix.llm import _shared, components, decontaminate, jaccard_join, language_id, line_dedup, packing, queries, token_counts
 from annalix.llm._shared import held_out, scratch, table
 from annalix.llm._text import shingle_column
 
@@ -308,6 +308,20 @@ def near_copies(n: int = 150) -> list[str]:
     return out + out[:30] + ["short one", "Short ONE", "", "lonely text with more than five words in it"]
 
 
+@pytest.mark.parametrize("local", [0, 40, 1 << 18])
+def test_components_of_chains_and_stars(spark, local):
+    draw = np.random.default_rng(5)
+    names = [f"{x:x}".encode() for x in draw.permutation(3000) + 10_000]
+    pairs = [(k, k + 1) for k in range(0, 1200) if k % 300 != 299] + [(1300, k) for k in range(1301, 1700)] + [(2000, 2000), (2001, 2002), (2002, 2001)]
+    edges = _shared.materialise(spark.createDataFrame([(names[a], names[b]) for a, b in pairs], "a binary, b binary"), "edges")
+    got = {bytes(r["node"]): bytes(r["component"]) for r in components.components(edges, local=local).collect()}
+    want = {}
+    for k in [*range(1200), *range(1300, 1700), 2001, 2002]:
+        want.setdefault(("chain", k // 300) if k < 1200 else "star" if k < 1700 else "pair", []).append(names[k])
+    assert len(got) == sum(map(len, want.values()))
+    assert sorted(sorted(n for n in got if got[n] == c) for c in set(got.values())) == sorted(map(sorted, want.values()))
+
+
 @pytest.mark.parametrize("settings", [jaccard_join.Settings(), jaccard_join.Settings(bucket_block=16, block=8, broadcast_bytes=0)])
 def test_op6_links_and_classes(spark, settings):
     texts = near_copies()
