@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ._shared import arrow_batches, materialise, tasks_for, tidy
 from ._text import digest128, minhash, minhash_params, mix, shingle_column
-from .components import components
+from .components import components, least_labels
 
 
 @dataclass(frozen=True)
@@ -53,6 +53,10 @@ class Settings:
         return self.bands * self.band_rows
 
 
+#: Rows of a class, of its buckets or of a result that one task writes: about 16 MB, so that small tables don't make many files.
+TASK_ROWS = 1 << 15
+
+
 def fewest_matches(s: Settings) -> list[tuple[int, int]]:
     """(values compared, fewest equal ones) such that P(similarity >= least | equal) >= tolerance.
 
@@ -159,19 +163,7 @@ def _survivors(gid: np.ndarray, block: np.ndarray, one: np.ndarray, sig: np.ndar
 
 def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """The least row of each row's component."""
-    label = np.arange(n)
-    if not pairs:
-        return label
-    i, j = (np.concatenate(x) for x in zip(*pairs))
-    while True:
-        m = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, label[i], m)
-        np.minimum.at(new, label[j], m)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+    return least_labels(n, *(np.concatenate(x) for x in zip(*pairs))) if pairs else np.arange(n)
 
 
 def _prune(s: Settings):
@@ -299,14 +291,16 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     classes = rows.filter("node is not null").groupBy("node").agg(
         F.min(own).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("sig").alias("sig")
     )
-    classes = materialise(classes, "classes")
+    count = rows.count()
+    classes = materialise(classes.coalesce(tasks_for(count, TASK_ROWS)), "classes")
 
     placed = classes.select("node", F.explode("buckets").alias("bucket"))
     full = placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    live = materialise(placed.join(full.hint("merge"), "bucket"), "buckets")
+    live = materialise(placed.join(full.hint("merge"), "bucket").coalesce(tasks_for(count, TASK_ROWS)), "buckets")
     met = _blocked(live.join(classes.select("node", "sig").hint("merge"), "node"), F.ceil(F.col("size") / s.bucket_block)).select("bucket", "bi", "bj", "block", "node", "sig")
     met = met.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    near = components(materialise(met.mapInArrow(tidy(_prune(s)), "a binary, b binary"), "forest"))
+    forest = met.mapInArrow(tidy(_prune(s)), "a binary, b binary").coalesce(tasks_for(live.count(), 1 << 14))
+    near = components(materialise(forest, "forest"))
 
     many = near.count()
     near = near.withColumnRenamed("component", "comp").join(classes.drop("buckets").hint("merge"), "node").select("comp", "node", "rep", "copies", "n", "sig")
@@ -318,7 +312,8 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     sets = texts.mapInArrow(tidy(_sets), "node binary, set binary")
     pairs = _component_blocks(near, live, s).join(near.select("node", "copies", "sig").hint("merge"), "node").join(sets.hint("merge"), "node").select("comp", "bi", "bj", "block", "node", "copies", "sig", "set")
     pairs = pairs.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "block", "node")
-    found = materialise(pairs.mapInArrow(tidy(_verify(s)), "node binary, root binary, links long"), "links")
+    found = pairs.mapInArrow(tidy(_verify(s)), "node binary, root binary, links long").coalesce(tasks_for(many, 1 << 10))
+    found = materialise(found, "links")
 
     linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -327,7 +322,7 @@ def link(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     ends = materialise(ends.join(heads.hint("merge"), "component").select("node", "head", "links").coalesce(tasks_for(linked.count())), "ends")
     info = classes.select("node", "rep", "copies").join(ends.hint("merge"), "node", "left")
     info = info.select("node", F.coalesce("head", "rep").alias("head"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = rows.select("doc_id", "key", "node").join(info.hint("merge"), "node", "left")
+    out = rows.select("doc_id", "key", "node").join(info.hint("merge"), "node", "left").coalesce(max(8, tasks_for(count, TASK_ROWS)))
     return out.select(
         "doc_id", "key", "node",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),

@@ -31,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import arrow_batches, materialise, share, tidy
+from ._shared import arrow_batches, materialise, share, tasks_for, tidy
 
 SPACES = b" \t\n\x0b\x0c\r"
 KEY = np.dtype([("hi", ">u8"), ("lo", ">u8")])
@@ -282,9 +282,6 @@ class LineStore:
         log = self.spark.read.schema("hi long, lo long, n long").parquet(f"{self.path}/log")
         return log.groupBy("hi", "lo").agg(F.sum("n").alias("n")).filter("n <> 0")
 
-    def frequent(self) -> DataFrame:
-        return self.counts().filter(F.col("n") >= self.settings.least_docs).select("hi", "lo")
-
     def below_zero(self) -> DataFrame:
         """(hi, lo, n) of the keys that were taken out more often than put in."""
         return self.counts().filter("n < 0")
@@ -292,7 +289,8 @@ class LineStore:
     def filters(self) -> Filters | Sharded:
         """In memory if they fit ``filter_bytes`` with their exceptions, which is checked before anything is gathered."""
         s = self.settings
-        counts = materialise(self.counts(), "line-counts")
+        logged = self.spark.read.parquet(f"{self.path}/log").count()
+        counts = materialise(self.counts().coalesce(max(8, tasks_for(logged, 1 << 18))), "line-counts")
         keys = counts.filter(F.col("n") >= s.least_docs).select("hi", "lo")
         n = max(s.shards, -(-keys.count() // s.shard_keys))
 
