@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, token_counts, toxicity, url_filter
+from . import decontaminate, filter_audit, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality_rules, token_counts, toxicity, url_filter
 from ._shared import held_out, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,8 +69,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = mixing.rates(mixing.cyclic_weights(mixing.source_sizes(docs), (1, 2, 3)))
+    return mixing.taken(docs, rated).drop("copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_line_dedup, op4_packing, op5_url_filter, op6_jaccard_join, op7_pii, op8_decontamination, op9_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_line_dedup, op4_packing, op5_url_filter, op6_jaccard_join, op7_pii, op8_decontamination, op9_toxicity, op10_quality_rules, op11_filter_audit, op13_mixing)}
 
 
 _OP3_SQL = r"""
@@ -107,5 +117,49 @@ SELECT page_id, host, path, rule, {told} AS verdict FROM r
 """
 
 
+_OP11_SQL = r"""
+WITH letter AS (SELECT * FROM (VALUES ('A', 0), ('B', 1), ('C', 2), ('D', 3), ('E', 4)) AS v(l, b)),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+m AS (SELECT doc_id, part,
+        (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+        + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text))::INT
+        + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > least, false)::INT AS mask,
+        coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good,
+        coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic FROM w),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM m GROUP BY part, mask),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+      WHERE a.l NOT IN (b.l, c.l, d.l, e.l) AND b.l NOT IN (c.l, d.l, e.l) AND c.l NOT IN (d.l, e.l) AND d.l <> e.l),
+s AS (SELECT filter_order, k AS step, b AS bit,
+        (SELECT coalesce(sum(1 << y.b), 0) FROM letter y WHERE instr(left(filter_order, k - 1), y.l) > 0)::INT AS before
+      FROM o, generate_series(1, 5) AS g(k), letter WHERE l = substr(filter_order, k, 1)),
+r AS (SELECT part, filter_order, step, bit,
+        sum(n) FILTER (WHERE mask & (before | (1 << bit)) = 0) AS kept, sum(n) FILTER (WHERE mask & (1 << bit) > 0 AND mask & before = 0) AS removed,
+        sum(n) FILTER (WHERE mask & (1 << bit) > 0 AND mask & before > 0) AS redundant, sum(n) FILTER (WHERE mask = 1 << bit) AS unique_fails,
+        sum(g) FILTER (WHERE mask & (1 << bit) > 0 AND mask & before = 0) AS good_lost, sum(x) FILTER (WHERE mask & (1 << bit) > 0 AND mask & before = 0) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley FROM r
+"""
+
+
+_OP13_SQL = r"""
+WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight FROM s),
+t AS (SELECT *, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+             coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s_before,
+             coalesce(sum(weight) OVER (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_before FROM w),
+m AS (SELECT *, 3 * source_size::DOUBLE * (weights - w_before)::DOUBLE <= (total::DOUBLE - 3 * s_before::DOUBLE) * weight::DOUBLE AS capped FROM t),
+f AS (SELECT max(total)::DOUBLE - 3 * coalesce(sum(source_size) FILTER (WHERE capped), 0)::DOUBLE AS rest, coalesce(sum(weight) FILTER (WHERE NOT capped), 0)::DOUBLE AS free FROM m),
+r AS (SELECT source, source_size, CASE WHEN capped THEN 3 * source_size::DOUBLE WHEN free > 0 THEN least(3 * source_size::DOUBLE, rest * weight::DOUBLE / free) ELSE 0 END AS target FROM m, f),
+k AS (SELECT d.doc_id, d.size, r.source_size, r.target, CASE WHEN r.source_size > 0 THEN least(r.target / r.source_size, 3.0::DOUBLE) ELSE 0 END AS rate,
+             ('0x' || left(md5('0:' || coalesce(d.doc_id::VARCHAR, '') || ':' || coalesce(d.source, '') || ':' || coalesce(md5(d.text), '')), 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS taken FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": _op3_sql(), "op5_url_filter": _op5_sql()}
+    return {"op11_filter_audit": _OP11_SQL, "op13_mixing": _OP13_SQL, "op3_line_dedup": _op3_sql(), "op5_url_filter": _op5_sql()}
