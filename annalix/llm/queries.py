@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, filter_audit, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality_rules, token_counts, toxicity, url_filter
+from . import collocations, decontaminate, filter_audit, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality_rules, token_counts, toxicity, url_filter
 from ._shared import held_out, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,6 +73,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rated = mixing.rates(mixing.cyclic_weights(mixing.source_sizes(docs), (1, 2, 3)))
@@ -80,7 +84,7 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_line_dedup, op4_packing, op5_url_filter, op6_jaccard_join, op7_pii, op8_decontamination, op9_toxicity, op10_quality_rules, op11_filter_audit, op13_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_line_dedup, op4_packing, op5_url_filter, op6_jaccard_join, op7_pii, op8_decontamination, op9_toxicity, op10_quality_rules, op11_filter_audit, op12_collocations, op13_mixing)}
 
 
 _OP3_SQL = r"""
@@ -144,6 +148,26 @@ SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept,
 """
 
 
+_OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, k AS width, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+h AS MATERIALIZED (SELECT lang, phrase, a, j, array_to_string(ws[:j], ' ') AS head, array_to_string(ws[j + 1:], ' ') AS tail FROM c, (SELECT unnest([1, 2, 3]) AS j) WHERE j < width),
+cut AS (SELECT h.lang, h.phrase, a, j, l.f AS l, r.f AS r, ((2000000::HUGEINT * a) // (l.f + r.f))::BIGINT AS score
+        FROM h JOIN f l ON l.lang = h.lang AND l.phrase = h.head JOIN f r ON r.lang = h.lang AND r.phrase = h.tail),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (SELECT lang, a, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM c, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < width AND i + m - 1 <= width),
+most AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY lang, phrase),
+kept AS (SELECT low.* FROM low LEFT JOIN most USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 _OP13_SQL = r"""
 WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -162,4 +186,4 @@ SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_filter_audit": _OP11_SQL, "op13_mixing": _OP13_SQL, "op3_line_dedup": _op3_sql(), "op5_url_filter": _op5_sql()}
+    return {"op11_filter_audit": _OP11_SQL, "op12_collocations": _OP12_SQL, "op13_mixing": _OP13_SQL, "op3_line_dedup": _op3_sql(), "op5_url_filter": _op5_sql()}
