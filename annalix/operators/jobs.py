@@ -1,18 +1,19 @@
 """Durable job state as row rewrites: each function returns the table after the step.
 
 Times are UTC ISO text of fixed width, so text order is time order. The compare-and-swap of a session's
-pointer is an exclusive file creation on the driver (``Pointers``).
+pointer is an exclusive file creation (``Pointers``), that of many sessions at once a version of the tables (``publish_all``).
 """
 
 from __future__ import annotations
 
 import json
-import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources import versions
 from ..sources.prelude import OPEN_STATES, WORKING_STATES
+from ..sources.scratch import materialise
+from . import mutations
 
 #: Steps a worker may take.
 STEPS = (("LEASED", "COMPILING"), ("COMPILING", "AUDITING"), ("COMPILING", "READY_TO_COMMIT"), ("AUDITING", "READY_TO_COMMIT"))
@@ -105,49 +106,55 @@ def follow_ups(finished: DataFrame) -> DataFrame:
 
 
 class Pointers:
-    """A session's active snapshot: one file a version, created exclusively, so of two writers one wins.
-
-    Safe for drivers that share a file system with atomic exclusive creation; an object store needs its
-    own conditional put. Readers take the largest version.
-    """
+    """A session's active snapshot: one file a version, created exclusively, so of two writers one wins. Readers take the largest version."""
 
     def __init__(self, folder: str):
-        self.folder = Path(folder)
+        self.fs, self.folder = versions.place(folder)
 
     def read(self, session: str) -> tuple[int, str | None]:
-        own = self.folder / session
-        versions = sorted(int(p.stem) for p in own.glob("*.json")) if own.is_dir() else []
-        if not versions:
-            return 0, None
-        return versions[-1], json.loads((own / f"{versions[-1]}.json").read_text())["snapshot_id"]
+        n = versions.latest(self.fs, f"{self.folder}/{session}")
+        return n, self._at(session, n)["snapshot_id"] if n else None
+
+    def _at(self, session: str, version: int) -> dict:
+        return versions.manifest(self.fs, f"{self.folder}/{session}", version)
 
     def swap(self, session: str, expected: int, snapshot: str) -> bool:
         """Moves from the expected version to the next; False if another writer was first."""
         if self.read(session)[0] != expected:
             return False
-        own = self.folder / session
-        own.mkdir(parents=True, exist_ok=True)
-        draft = own / f".{expected + 1}.{os.getpid()}.{os.urandom(4).hex()}"
-        draft.write_text(json.dumps({"snapshot_id": snapshot}))
-        try:
-            os.link(draft, own / f"{expected + 1}.json")
-        except FileExistsError:
-            return False
-        finally:
-            draft.unlink()
-        return True
+        return versions.create_new(self.fs, f"{self.folder}/{session}/versions/{expected + 1}.json", json.dumps({"snapshot_id": snapshot}).encode())
 
 
 def publish(tables: dict[str, DataFrame], folder: str, pointers: Pointers, session: str, expected: int, snapshot: str) -> str:
-    """Writes a candidate's tables to its own folder, then swaps the pointer: COMMITTED, or SUPERSEDED and nothing visible."""
-    import shutil
-
-    place = f"{folder}/snapshots/{snapshot}"
-    if Path(place).exists():
+    """Writes one candidate's tables as a snapshot of their own, then swaps the pointer: COMMITTED, or SUPERSEDED and nothing visible. Many sessions at once: ``publish_all``."""
+    spark = next(iter(tables.values())).sparkSession
+    own = versions.Versions(spark, f"{folder}/snapshots/{snapshot}")
+    if not own.commit(0, append=tables, note=session):
         return "SUPERSEDED"
-    for name, rows in tables.items():
-        rows.write.parquet(f"{place}/{name}")
     if pointers.swap(session, expected, snapshot):
         return "COMMITTED"
-    shutil.rmtree(place)
+    own.fs.delete_dir(own.root)
     return "SUPERSEDED"
+
+
+def publish_all(store: versions.Versions, proposals: DataFrame, reports: DataFrame, rows: dict[str, DataFrame]) -> tuple[int, DataFrame]:
+    """(version made, outcomes) of candidates of many sessions, published in one step.
+
+    proposals: (session, snapshot_id, expected, covered_event_end); reports: (session, passed); rows: tables with session and snapshot_id,
+    of which those of committed snapshots are appended. Outcomes follow from the pointers of the version that the commit builds on: if another
+    writer publishes first, they are decided anew against its pointers. The tables ``pointers`` and ``snapshots`` go along; a version's outcomes are its table ``outcomes``.
+    """
+    spark = store.spark
+
+    def change(base: int) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        known = store.manifest(base)["tables"]
+        now = store.read("pointers", base) if "pointers" in known else spark.createDataFrame([], "session long, snapshot_id string, pointer_version long")
+        told = materialise(mutations.publish(now, proposals.select("session", "snapshot_id", "expected"), reports), "outcomes")
+        won = told.filter("outcome = 'COMMITTED'").select("session", "snapshot_id", (F.col("expected") + 1).alias("pointer_version"))
+        kept = now.join(won.select("session"), "session", "left_anti").select("session", "snapshot_id", "pointer_version")
+        new = {t: df.join(won.select("session", "snapshot_id"), ["session", "snapshot_id"], "left_semi") for t, df in rows.items()}
+        snapshots = proposals.join(won.select("session", "snapshot_id"), ["session", "snapshot_id"], "left_semi").select("session", "snapshot_id", "covered_event_end")
+        return {**new, "snapshots": snapshots}, {"outcomes": told, "pointers": kept.unionByName(won)}
+
+    version = store.update(change)
+    return version, store.read("outcomes", version)

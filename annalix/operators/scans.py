@@ -14,13 +14,13 @@ def high_water(events: DataFrame) -> DataFrame:
     return events.groupBy("session").agg(F.max("sequence").alias("high_water"))
 
 
-def request_view(events: DataFrame, pointers: DataFrame, snapshots: DataFrame) -> DataFrame:
+def request_view(events: DataFrame, active: DataFrame) -> DataFrame:
     """Snapshot and delta of every session, from one plan and so one state of the files.
 
-    A session without a pointer has a covered end of 0 and all events as delta.
+    active: (session, snapshot_id, pointer_version, covered_event_end), one row a session. A session without one has a
+    covered end of 0 and all events as delta. Over tables that are bucketed by session nothing is shuffled.
     """
-    base = pointers.join(snapshots.select("snapshot_id", "covered_event_end"), "snapshot_id")
-    marked = high_water(events).join(base, "session", "left")
+    marked = high_water(events).join(active, "session", "left")
     marked = marked.select("session", "snapshot_id", F.coalesce("pointer_version", F.lit(0)).alias("pointer_version"), F.coalesce("covered_event_end", F.lit(0)).alias("covered_event_end"), "high_water")
     return marked.join(events, "session").filter("sequence > covered_event_end AND sequence <= high_water")
 

@@ -281,15 +281,15 @@ class _Units(UnitLoop):
 
     def step(self, *event) -> Iterator[tuple]:
         if unit := super().step(*event):
-            yield "unit", unit[0], unit[1], _size(unit), unit[2]
+            yield "unit", self.n_units - 1, unit[0], unit[1], _size(unit), unit[2]
 
     def finish(self) -> Iterator[tuple]:
-        yield self.loop.state, None, None, None, None
+        yield self.loop.state, None, None, None, None, None
 
 
 def units(events: DataFrame) -> DataFrame:
-    """(session, start, end, size, tokens) of each durable unit; none for a session that isn't stable."""
-    rows = by_session(events, EVENT, _Units, "session long, what string, start long, end long, size long, tokens long")
+    """(session, k, start, end, size, tokens) of each durable unit, k counting from 0; none for a session that isn't stable."""
+    rows = by_session(events, EVENT, _Units, "session long, what string, k long, start long, end long, size long, tokens long")
     return _of_stable(rows, "unit")
 
 

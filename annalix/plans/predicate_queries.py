@@ -59,7 +59,7 @@ def pred_05(spark, sf_dir):
 
 
 def _view(s: Store):
-    return scans.request_view(s.journal, s.pointers, s.snapshots)
+    return scans.request_view(s.journal, s.active)
 
 
 @query("pred_06", f"SELECT DISTINCT session, CASE WHEN snapshot_id IS NULL AND (covered_event_end <> 0 OR pointer_version <> 0) THEN 'BOOTSTRAP_INVALID' WHEN snapshot_id IS NOT NULL AND pointer_version < 1 THEN 'POINTER_INVALID' WHEN snapshot_id IS NOT NULL AND covered_event_end > high_water THEN 'COVERAGE_BEYOND_HIGH_WATER' ELSE 'NONE' END AS error_code FROM ({_VIEW})")

@@ -24,7 +24,7 @@ JOIN journal j ON j.session = m.session AND j.sequence > coalesce(s.covered_even
 @query("scan_03", _VIEW)
 def scan_02(spark, sf_dir):
     s = Store(spark, sf_dir)
-    view = scans.request_view(s.journal, s.pointers, s.snapshots)
+    view = scans.request_view(s.journal, s.active)
     return view.select("session", "snapshot_id", "pointer_version", "covered_event_end", "high_water", "event_id", "sequence")
 
 

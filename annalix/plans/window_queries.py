@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import checks, windows
+from ..operators import checks, greedy, prefix, windows
 from ..sources import Store
 from .registry import query
 
@@ -63,7 +63,7 @@ walk AS (
 
 @query("win_07", _FOLD + "SELECT session, sequence, segment FROM walk")
 def win_07(spark, sf_dir):
-    return windows.fold_segments(Store(spark, sf_dir).activity, 16, 120)
+    return greedy.fold(Store(spark, sf_dir).activity, 16, 120)
 
 
 @query("win_08", "SELECT session, string_agg(DISTINCT x, ',' ORDER BY x) AS preferred FROM (SELECT session, x, max_n FROM (SELECT session, max(sequence) AS max_n FROM journal GROUP BY session), (VALUES (3, 1), (9, 2), (1, 3), (3, 4), (5, 5)) t(x, pos) WHERE pos <= 4) WHERE x >= 1 AND x < max_n GROUP BY session")
@@ -116,7 +116,7 @@ SELECT session, row_number() OVER (PARTITION BY session ORDER BY part[1]) - 1 AS
 @query("win_11", _SEGMENTS.replace("{tokens}", "strlen(props)::BIGINT"))
 def win_11(spark, sf_dir):
     """Segments never split a unit: their ends are unit ends."""
-    return windows.segment_sessions(tooled(Store(spark, sf_dir)), windows.Caps(8, 100), [7, 13])
+    return greedy.segment_units(windows.units(tooled(Store(spark, sf_dir))), windows.Caps(8, 100), [7, 13])
 
 
 _RUNS = """, sized AS (SELECT session, sequence, strlen('[' || sequence || ', ' || to_json(content)::VARCHAR || ']') AS size FROM journal),

@@ -1,5 +1,6 @@
 """Tables of the journal engine."""
 
-from .journal import Store, activity_journal, conversation_journal, read
+from .journal import Store, activity_events, conversation_events, numbered, read
+from .stored import StoredJournal
 
-__all__ = ["Store", "activity_journal", "conversation_journal", "read"]
+__all__ = ["Store", "StoredJournal", "activity_events", "conversation_events", "numbered", "read"]

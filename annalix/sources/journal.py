@@ -1,6 +1,7 @@
 """The journal and what is derived from it, as typed DataFrames over ``conversations`` and ``events``.
 
-Every table is a lazy plan: callers' filters and projections reach the Parquet scan.
+The two journals are stored once an application, bucketed by session, with their sequence numbers (``stored``): what goes by
+session needs no shuffle, and filters on session or sequence reach the files. All other tables are lazy plans over them.
 """
 
 from __future__ import annotations
@@ -10,8 +11,13 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators import prefix
+from . import stored
 from .prelude import CLAIM_KINDS, JOB_STATES, LEVELS, PROFILE
 
+#: An event.
+JOURNAL = ("session", "event_id", "sequence", "event_type", "role", "content", "source_hook", "idempotency_key", "token_count")
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -21,35 +27,42 @@ def of(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index + 1).cast("int"))
 
 
-def conversation_journal(conversations: DataFrame) -> DataFrame:
-    """One row an event: sequence is dense within a session, by turn. Roles other than user and assistant are no events."""
+def conversation_events(conversations: DataFrame) -> DataFrame:
+    """Events of a session in order of ``turn``, without numbers. Roles other than user and assistant are no events."""
     user = F.col("role") == "user"
     key = F.concat_ws(":", "conv_id", "turn")
     return conversations.filter(F.col("role").isin("user", "assistant")).select(
         F.col("conv_id").alias("session"),
         key.alias("event_id"),
-        F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("sequence"),
         F.when(user, "USER_MESSAGE").otherwise("ASSISTANT_MESSAGE").alias("event_type"),
         F.when(user, "USER").otherwise("ASSISTANT").alias("role"),
         F.col("text").alias("content"),
         F.when(user, "ON_LLM_REQUEST").otherwise("ON_AGENT_DONE").alias("source_hook"),
         key.alias("idempotency_key"),
         F.octet_length("text").cast("long").alias("token_count"),
+        "turn",
     )
 
 
-def activity_journal(events: DataFrame) -> DataFrame:
-    """The ``events`` stream as a journal: session is the user, content the props."""
+def activity_events(events: DataFrame) -> DataFrame:
+    """The ``events`` stream as events in order of ``ts`` and id: session is the user, content the props."""
     return events.select(
         F.col("user_id").alias("session"),
         F.col("event_id").cast("string").alias("event_id"),
-        F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("sequence"),
         "event_type",
         F.col("props").alias("content"),
         F.octet_length("props").cast("long").alias("token_count"),
+        "ts",
+        F.col("event_id").alias("id"),
     )
 
 
+def numbered(events: DataFrame, order: list[str]) -> DataFrame:
+    """Events with a dense ``sequence`` in their session, in range blocks so that a session may have any length; the order's columns go."""
+    rows = prefix.running(events, ["session"], [F.col(c) for c in order], {"sequence": F.lit(1)})
+    return rows.withColumn("sequence", F.col("sequence").cast("long")).drop(*order)
+
+
 @dataclass(frozen=True)
 class Store:
     """All tables of one data folder."""
@@ -57,13 +70,22 @@ class Store:
     spark: SparkSession
     sf_dir: str
 
+    def _kept(self, name: str, source: str, build, sort: tuple[str, ...] = ("sequence",)) -> DataFrame:
+        return stored.kept(self.spark, name, f"{self.sf_dir}/{source}.parquet", build, list(sort))
+
     @cached_property
     def journal(self) -> DataFrame:
-        return conversation_journal(read(self.spark, self.sf_dir, "conversations"))
+        """Columns as in ``StoredJournal``."""
+        return self._kept("journal", "conversations", lambda: numbered(conversation_events(read(self.spark, self.sf_dir, "conversations")), ["turn"]).select(*JOURNAL))
 
     @cached_property
     def activity(self) -> DataFrame:
-        return activity_journal(read(self.spark, self.sf_dir, "events"))
+        return self._kept("activity", "events", lambda: numbered(activity_events(read(self.spark, self.sf_dir, "events")), ["ts", "id"]).select("session", "event_id", "sequence", "event_type", "content", "token_count"))
+
+    @cached_property
+    def active(self) -> DataFrame:
+        """(session, snapshot_id, pointer_version, covered_event_end) of the active snapshots, stored beside the journal's buckets."""
+        return self._kept("active", "conversations", lambda: self.pointers.join(self.snapshots.select("snapshot_id", "covered_event_end"), "snapshot_id").select("session", "snapshot_id", "pointer_version", "covered_event_end"), ())
 
     @cached_property
     def marks(self) -> DataFrame:
