@@ -76,17 +76,40 @@ def task_texts(capsules: DataFrame, items: DataFrame, c: Retrieval = Retrieval()
     return by_capsule(items, c).filter("task_text IS NOT NULL").join(tasks, "capsule_id", "left_semi").select("capsule_id", "task_text")
 
 
+def cut_required(items: DataFrame, delta: DataFrame, c: Retrieval = Retrieval()) -> DataFrame:
+    """(session, lost): whether a limit keeps a required block of the session out. One row a session, from counts alone.
+
+    Required are active goals, constraints and anchors, each a block by capsule and id, and all of the delta. A block is lost if all its items lie
+    behind the limits on capsules and on items of a field, or if required blocks and items that aren't lost fill more than ``max_candidates``:
+    in order of construction nothing but required blocks stands before the last anchor. An item that comes twice counts twice for that limit.
+    """
+    field = F.row_number().over(Window.partitionBy("capsule_id", "kind").orderBy("sequence"))
+    needed = F.col("kind").isin("goal", "constraint", "anchor")
+    # The rank counts all items of the field, the inactive ones too; what is ranked has no texts.
+    ranked = items.filter(needed).select("session", "capsule_id", "kind", "item_id", "segment", "sequence", "status").withColumn("few", field).filter("status = 'active'")
+    inside = (F.col("segment") < c.max_capsules) & (F.col("few") <= c.max_items_per_field)
+    blocks = ranked.groupBy("session", "capsule_id", "kind", "item_id").agg(F.count_if(inside).alias("inside"))
+    own = blocks.groupBy("session").agg(F.count_if(F.col("inside") == 0).alias("outside"), F.sum("inside").alias("rows"))
+    events = delta.groupBy("session").agg(F.count("*").alias("n"))
+    both = own.select("session", "outside", "rows", F.lit(0).cast("long").alias("n")).unionByName(events.select("session", F.lit(0).cast("long").alias("outside"), F.lit(0).cast("long").alias("rows"), "n"))
+    total = both.groupBy("session").agg(*[F.sum(k).alias(k) for k in ("outside", "rows", "n")])
+    most = max(c.max_delta_events, 0)
+    lost = (F.col("outside") > 0) | (F.col("n") > most) | (F.col("rows") + F.least("n", F.lit(most)) > c.max_candidates)
+    return total.select("session", lost.alias("lost"))
+
+
 def candidates(capsules: DataFrame, items: DataFrame, delta: DataFrame, query: str, c: Retrieval = Retrieval()) -> DataFrame:
     """Blocks of every session: block_id, slot, kind, text, sources, score, reason, required, capsule_id, event_sequence, position, required_selection_complete.
 
     position counts from 0 in retrieval order. required_selection_complete is false in all blocks of a session of which
-    a limit cut a required block; such rows stay, marked as cut, until that is known. The delta has no tool events here: each is one unit.
+    a limit cut a required block: that is known from counts (``cut_required``), so the limits are plain filters on ranks and no rows but
+    the selected ones, with their texts, go on. The delta has no tool events here: each is one unit.
     Items give their blocks in one projection, capsules theirs in another; both need one aggregate by capsule.
     """
     kind, text, one = F.col("kind"), F.col("text"), F.array("source")
     few = F.row_number().over(Window.partitionBy("capsule_id", "kind").orderBy("sequence"))
     active = F.col("status") == "active"
-    own = items.withColumn("cut", (F.col("segment") >= c.max_capsules) | (few > c.max_items_per_field)).filter(~F.col("cut") | (active & kind.isin("goal", "constraint", "anchor")))
+    own = items.filter(F.col("segment") < c.max_capsules).withColumn("few", few).filter(F.col("few") <= c.max_items_per_field)
     whole = by_capsule(items, c)
 
     def block(when: Column, phase: int, sub: int, slot, name, block_id: Column, text: Column, sources: Column, required: bool, weight: Column) -> Column:
@@ -115,19 +138,19 @@ def candidates(capsules: DataFrame, items: DataFrame, delta: DataFrame, query: s
         block(level.isin("episode", "global"), 5, 0, back, back, named("background", None), F.concat(F.lit("Summary of "), "capsule_id"), F.col("all_sources"), False, F.lit(10.0)),
     ))
     latest = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("sequence")))
-    raw = delta.withColumn("cut", latest > max(c.max_delta_events, 0))
+    raw = delta.withColumn("latest", latest).filter(F.col("latest") <= max(c.max_delta_events, 0))
     from_events = block(F.lit(True), 1, 0, "raw_delta", "raw_event", F.concat(F.lit("event:"), "event_id"), render.raw_event(), F.array("event_id"), True, F.lit(90.0))
 
-    rows = own.join(whole.select("capsule_id", "dep_text", "dep_sources"), "capsule_id").select("session", F.col("segment").alias("major"), F.col("sequence").alias("minor"), "capsule_id", F.lit(None).cast("long").alias("event_sequence"), "cut", from_items.alias("b")).filter("b IS NOT NULL")
-    rows = rows.unionByName(raw.select("session", F.lit(0).cast("long").alias("major"), F.col("sequence").alias("minor"), F.lit(None).cast("string").alias("capsule_id"), F.col("sequence").alias("event_sequence"), "cut", from_events.alias("b")))
+    rows = own.join(whole.select("capsule_id", "dep_text", "dep_sources"), "capsule_id").select("session", F.col("segment").alias("major"), F.col("sequence").alias("minor"), "capsule_id", F.lit(None).cast("long").alias("event_sequence"), from_items.alias("b")).filter("b IS NOT NULL")
+    rows = rows.unionByName(raw.select("session", F.lit(0).cast("long").alias("major"), F.col("sequence").alias("minor"), F.lit(None).cast("string").alias("capsule_id"), F.col("sequence").alias("event_sequence"), from_events.alias("b")))
     made = capsules.filter(F.col("segment") < c.max_capsules).join(whole, "capsule_id")
-    rows = rows.unionByName(made.select("session", F.col("segment").alias("major"), F.col("covered_event_start").alias("minor"), "capsule_id", F.lit(None).cast("long").alias("event_sequence"), F.lit(False).alias("cut"), F.explode(from_capsules).alias("b")))
-    rows = rows.select("session", "major", "minor", "capsule_id", "event_sequence", "cut", "b.*")
+    rows = rows.unionByName(made.select("session", F.col("segment").alias("major"), F.col("covered_event_start").alias("minor"), "capsule_id", F.lit(None).cast("long").alias("event_sequence"), F.explode(from_capsules).alias("b")))
+    rows = rows.select("session", "major", "minor", "capsule_id", "event_sequence", "b.*")
 
-    built = Window.partitionBy("session").orderBy("cut", "phase", "major", "sub", "minor", "block_id")
-    rows = rows.withColumn("cut", F.col("cut") | (F.row_number().over(built) > c.max_candidates))
-    rows = rows.withColumn("lost", F.col("required") & F.bool_and("cut").over(Window.partitionBy("session", "block_id")))
-    rows = rows.withColumn("required_selection_complete", ~F.bool_or("lost").over(Window.partitionBy("session"))).filter(~F.col("cut"))
+    built = Window.partitionBy("session").orderBy("phase", "major", "sub", "minor", "block_id")
+    rows = rows.withColumn("built", F.row_number().over(built)).filter(F.col("built") <= c.max_candidates)
+    lost = cut_required(items, delta, c)
+    rows = rows.join(lost, "session", "left").withColumn("required_selection_complete", F.coalesce(~F.col("lost"), F.lit(True)))
     rows = rows.withColumn("fraction", lexical_fraction(query, F.col("text"), c))
     fallback = F.when(F.col("fraction") > 0, "LEXICAL_MATCH").otherwise("STRUCTURED_FALLBACK")
     reason = F.when(F.col("phase") == 0, "ACTIVE_REQUIRED").when(F.col("phase") == 1, "UNCOMPACTED_DELTA").when(F.col("phase") == 2, "ACTIVE_EXACT_ANCHOR").otherwise(fallback)
