@@ -1,10 +1,11 @@
-"""Publication audits: one boolean a failure code, from anti-joins and aggregates over all candidates at once."""
+"""Publication audits: one boolean a failure code, from a few aggregates over tagged tables of all candidates at once."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .checks import any_of
 
@@ -43,48 +44,76 @@ def semantic_records(items: DataFrame) -> DataFrame:
     return items.filter(F.col("kind").isin(*SEMANTIC)).select("session", F.col("item_id").alias("stable_id"), "sources", F.when(movable, F.col("status")).otherwise("active").alias("status"), movable.alias("supports_transition"))
 
 
-def _flat_sources(rows: DataFrame, *keep: str) -> DataFrame:
-    return rows.select("session", *keep, F.explode("sources").alias("source"))
+def _tagged(parts: dict[str, DataFrame], columns: dict[str, str]) -> DataFrame:
+    """Rows of several tables under one another, with the name of each in ``what``; columns that a table lacks are null."""
+    out = [df.select(F.lit(what).alias("what"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]) for what, df in parts.items()]
+    return reduce(DataFrame.unionByName, out)
 
 
-def validate(c: Candidates) -> DataFrame:
-    """(session, passed, failure_codes, source_coverage, anchor_recall, coverage_gap, unsupported_critical_claims)."""
-    known = c.events.select("session", F.col("event_id").alias("source"), F.lit(True).alias("current")).unionByName(_flat_sources(c.prior_capsules).withColumn("current", F.lit(False)))
-    known = known.groupBy("session", "source").agg(F.max("current").alias("current"))
+def _sourced(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.select("session", *keep, F.explode_outer("sources").alias("source"))
+
 
-    prior = semantic_records(c.prior_items).filter("status = 'active'")
-    movable = prior.filter("supports_transition").select("session", "stable_id").distinct()
-    records = semantic_records(c.items)
+def _provenance(c: Candidates) -> DataFrame:
+    """(session, claims, unsupported, stray, lost): from one table of sources, what knows them and what cites them, summed by claim, by item and by session."""
+    records, prior = semantic_records(c.items), semantic_records(c.prior_items).filter("status = 'active'")
     live = records.filter("status = 'active'").withColumn("moved", F.lit(False))
-    moved = records.filter("supports_transition AND status IN ('superseded', 'retracted')").join(movable, ["session", "stable_id"], "left_semi").withColumn("moved", F.lit(True))
-    anchors = c.items.filter("kind = 'anchor' AND status = 'active'")
-    claims = live.unionByName(moved).select("session", "stable_id", "sources", "moved", F.lit(False).alias("anchor")).unionByName(
-        anchors.select("session", F.col("item_id").alias("stable_id"), "sources", F.lit(False).alias("moved"), F.lit(True).alias("anchor"))
-    ).withColumn("n_sources", F.size("sources"))
-    judged = claims.select("session", "stable_id", "moved", "anchor", "n_sources", F.explode_outer("sources").alias("source")).join(known, ["session", "source"], "left")
-    judged = judged.groupBy("session", "stable_id", "moved", "anchor", "n_sources").agg(F.count_if(F.col("current").isNull()).alias("unknown"), F.max(F.coalesce("current", F.lit(False))).alias("fresh"))
-    bad = (F.col("n_sources") == 0) | (F.col("unknown") > 0)
-    provenance = judged.groupBy("session").agg(F.count("*").alias("claims"), F.count_if(bad).alias("unsupported"))
-    kept = judged.filter(~F.col("anchor") & (~F.col("moved") | ((F.col("unknown") == 0) & F.col("fresh")))).select("session", "stable_id").distinct()
-    lost = prior.select("session", "stable_id").distinct().join(kept, ["session", "stable_id"], "left_anti").groupBy("session").agg(F.count("*").alias("lost"))
-
-    same = ["session", "item_id", "text", "sources", "status"]
-    old = c.prior_items.filter("kind = 'anchor' AND status = 'active'").select(*same)
-    gone = old.join(anchors.select(*same).distinct(), same, "left_anti").groupBy("session").agg(F.count("*").alias("anchors_lost"))
-    had = old.groupBy("session").agg(F.count("*").alias("anchors_before"))
-
-    stray = _flat_sources(c.capsules).join(known, ["session", "source"], "left_anti").groupBy("session").agg(F.count("*").alias("stray"))
+    moved = records.filter("supports_transition AND status IN ('superseded', 'retracted')").withColumn("moved", F.lit(True))
+    anchors = c.items.filter("kind = 'anchor' AND status = 'active'").select("session", F.col("item_id").alias("stable_id"), "sources", F.lit(False).alias("moved"))
+    claim = lambda rows, anchor: _sourced(rows.select("session", "stable_id", "moved", "sources", F.size("sources").alias("n_sources")), "stable_id", "moved", "n_sources").withColumn("anchor", F.lit(anchor))
+    parts = {
+        "event": c.events.select("session", F.col("event_id").alias("source")), "prior": _sourced(c.prior_capsules).filter("source IS NOT NULL"),
+        "capsule": _sourced(c.capsules).filter("source IS NOT NULL"), "claim": claim(live.unionByName(moved), False).unionByName(claim(anchors, True)),
+    }
+    rows = _tagged(parts, {"session": "long", "source": "string", "stable_id": "string", "moved": "boolean", "anchor": "boolean", "n_sources": "int"})
+    same = Window.partitionBy("session", "source")
+    known = F.col("source").isNotNull() & F.bool_or(F.col("what").isin("event", "prior")).over(same)
+    fresh = F.col("source").isNotNull() & F.bool_or(F.col("what") == "event").over(same)
+    cited = rows.withColumn("known", known).withColumn("fresh", fresh).filter("what IN ('claim', 'capsule')")
+    claims = cited.groupBy("session", "what", "stable_id", "moved", "anchor", "n_sources").agg(F.count_if(~F.col("known")).alias("unknown"), F.bool_or("fresh").alias("fresh"))
+    before = prior.select("session", F.lit("prior").alias("what"), "stable_id", "supports_transition")
+    both = claims.withColumn("supports_transition", F.lit(None).cast("boolean")).unionByName(before, allowMissingColumns=True)
+    # An item's transition counts only if the prior item may move.
+    is_claim, bad = F.col("what") == "claim", (F.col("n_sources") == 0) | (F.col("unknown") > 0)
+    stays, goes = is_claim & ~F.col("moved"), is_claim & F.col("moved")
+    items = both.groupBy("session", "stable_id").agg(
+        F.bool_or(F.coalesce("supports_transition", F.lit(False))).alias("movable"), F.bool_or(F.col("what") == "prior").alias("had"),
+        F.count_if(stays).alias("n_stays"), F.count_if(stays & bad).alias("bad_stays"), F.count_if(goes).alias("n_goes"), F.count_if(goes & bad).alias("bad_goes"),
+        F.bool_or(stays & ~F.col("anchor")).alias("kept"), F.bool_or(goes & (F.col("unknown") == 0) & F.col("fresh")).alias("kept_moved"),
+        F.sum(F.when(F.col("what") == "capsule", F.col("unknown")).otherwise(0)).alias("stray"),
+    )
+    on = F.when(F.col("movable"), 1).otherwise(0)
+    kept = F.coalesce("kept", F.lit(False)) | (F.col("movable") & F.coalesce("kept_moved", F.lit(False)))
+    return items.groupBy("session").agg(
+        F.sum(F.col("n_stays") + on * F.col("n_goes")).alias("claims"), F.sum(F.col("bad_stays") + on * F.col("bad_goes")).alias("unsupported"),
+        F.sum("stray").alias("stray"), F.count_if(F.col("had") & ~kept).alias("lost"),
+    )
+
+
+def _anchors(c: Candidates) -> DataFrame:
+    """(session, anchors_before, anchors_lost, own_anchors): prior anchors against those of now, item by item."""
+    same = {"session": "long", "item_id": "string", "text": "string", "sources": "array<string>", "status": "string", "ordinal": "long"}
+    active = lambda rows: rows.filter("kind = 'anchor' AND status = 'active'")
+    rows = _tagged({"old": active(c.prior_items), "new": active(c.items)}, same)
+    old = rows.groupBy("session", "item_id", "text", "sources", "status").agg(
+        F.count_if(F.col("what") == "old").alias("had"), F.count_if(F.col("what") == "new").alias("has"), F.collect_list(F.when(F.col("what") == "new", F.struct("ordinal", "item_id"))).alias("own"),
+    )
+    own = F.transform(F.array_sort(F.flatten(F.collect_list("own"))), lambda x: x["item_id"])
+    return old.groupBy("session").agg(F.sum("had").alias("anchors_before"), F.sum(F.when(F.col("has") == 0, F.col("had")).otherwise(0)).alias("anchors_lost"), own.alias("own_anchors"))
+
+
+def validate(c: Candidates) -> DataFrame:
+    """(session, passed, failure_codes, source_coverage, anchor_recall, coverage_gap, unsupported_critical_claims)."""
     ordered = lambda k: F.transform(F.array_sort(F.collect_list(F.struct("ordinal", k))), lambda x: x[k])
     caps = c.capsules.join(c.heads.select("session", "snapshot_session", "target"), "session").groupBy("session").agg(
         ordered("capsule_id").alias("own_capsules"), F.bool_or((F.col("end") > F.col("target")) | (F.col("start") > F.col("end"))).alias("bad_range"),
         F.bool_or(F.col("capsule_session") != F.col("snapshot_session")).alias("other_session"), F.bool_and("mechanical_passed").alias("all_mechanical"), F.min("source_coverage").alias("declared_coverage"),
         F.min("anchor_recall").alias("declared_recall"), F.sum("unsupported").alias("declared_unsupported"), F.sum("gap").alias("declared_gap"), F.sum("token_cost").alias("capsule_cost"),
     )
-    marks = anchors.groupBy("session").agg(ordered("item_id").alias("own_anchors"))
     seen = c.events.groupBy("session").agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count("*").alias("n"), F.count_distinct("sequence").alias("n_seq"), F.count_distinct("event_id").alias("n_ids"))
 
     r = c.heads
-    for part in (caps, marks, seen, provenance, lost, gone, had, stray):
+    for part in (caps, seen, _provenance(c), _anchors(c)):
         r = r.join(part, "session", "left")
     n = lambda k, d=0: F.coalesce(k, F.lit(d))
     strings = F.array().cast("array<string>")

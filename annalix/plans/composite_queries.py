@@ -19,9 +19,10 @@ def candidates(s: Store) -> audit.Candidates:
     """
     fault = F.col("session") % 19
     sessions = s.marks.filter("covered >= 3").select("session", "covered")
-    caps = s.capsules.join(sessions.drop("covered"), "session", "left_semi")
-    lists = s.items.groupBy("capsule_id").agg(F.array_sort(F.collect_set("source")).alias("sources"))
-    caps = caps.join(lists, "capsule_id")
+    sourced = s.covered.groupBy("capsule_id", "session", "segment").agg(  # each event is the source of an item
+        F.min("sequence").alias("covered_event_start"), F.max("sequence").alias("covered_event_end"), F.sum("token_count").alias("token_cost"), F.array_sort(F.collect_set("event_id")).alias("sources")
+    )
+    caps = sourced.join(sessions.drop("covered"), "session", "left_semi")
     items = s.items.join(sessions, "session", "left_semi").withColumn("sources", F.array("source")).withColumnRenamed("sequence", "ordinal")
     prior_items = items.filter("segment = 0")
     now = items.filter((fault != 1) & ~((fault == 9) & (F.col("segment") == 0) & (F.col("kind") != "anchor")) & ~((fault == 10) & (F.col("kind") == "anchor") & (F.col("segment") == 0)))
