@@ -10,9 +10,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from . import packing
+from ..sources.scratch import materialise
+from . import closure, packing
 from .packing import Block
 
 
@@ -323,27 +324,18 @@ def verify_sessions(blocks: DataFrame, probes: tuple[str, ...], tolerance: float
 def constraint_sessions(blocks: DataFrame, contradict: bool = False) -> DataFrame:
     """(session, code, given, independent, block_id, first): blocks of a slot made equal and the first fixed to 1.
 
-    first is the block that stands for a block's group. contradict: a slot's last block is fixed to 0 as well.
+    first is the block that stands for a block's group, null where the session contradicts itself. contradict: a slot's last block is fixed to 0 as well.
     """
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("position")
-        slots, ids = table["slot"].to_pylist(), table["block_id"].to_pylist()
-        first, last = {s: slots.index(s) for s in slots}, {s: i for i, s in enumerate(slots)}
-        given = [([(i, 1.0), (first[s], -1.0)], 0.0) for i, s in enumerate(slots) if first[s] != i] + [([(i, 1.0)], 1.0) for i in first.values()]
-        if contradict:
-            given += [([(i, 1.0)], 0.0) for i in last.values()]
-        code, rows, label = "NONE", 0, [None] * len(slots)
-        try:
-            c = compile_constraints(len(slots), given)
-            rows, label = len(c.rows), [ids[k] for k in c.label]
-        except GraphError as e:
-            code = str(e)
-        n = len(slots)
-        long = lambda x: pa.array([x] * n, pa.int64())
-        return pa.table({"session": long(table["session"][0].as_py()), "code": [code] * n, "given": long(len(given)), "independent": long(rows), "block_id": ids, "first": pa.array(label, pa.string())})
-
-    return blocks.select("session", "block_id", "position", "slot").groupBy("session").applyInArrow(run, "session long, code string, given long, independent long, block_id string, first string")
+    slot = Window.partitionBy("session", "slot")
+    own = materialise(blocks.select("session", "block_id", F.col("position").alias("node"), F.min("position").over(slot).alias("first"), F.max("position").over(slot).alias("last")), "constrained")
+    equal = own.filter("node <> first").select("session", F.col("node").alias("a"), F.col("first").alias("b"))
+    fixed = own.filter("node = first").select("session", "node", F.lit(1.0).alias("value"))
+    if contradict:
+        fixed = fixed.unionByName(own.filter("node = last").select("session", "node", F.lit(0.0).alias("value")))
+    labels, verdict = closure.constraints(own.select("session", "node"), equal, fixed)
+    names = own.select("session", F.col("node").alias("label"), F.col("block_id").alias("first"))
+    rows = own.select("session", "node", "block_id").join(labels.select("session", "node", "label"), ["session", "node"]).join(names, ["session", "label"]).join(verdict, "session")
+    return rows.select("session", "code", "given", "independent", "block_id", F.when(F.col("code") == "NONE", F.col("first")).alias("first"))
 
 
 def reduction_sessions(blocks: DataFrame, query: str, tolerance: float = 1e-8) -> DataFrame:
@@ -366,15 +358,9 @@ def reduction_sessions(blocks: DataFrame, query: str, tolerance: float = 1e-8) -
 
 def closure_sessions(blocks: DataFrame, selected_kind: str = "decision") -> DataFrame:
     """(session, block_id, place, again): the closure of one kind in the blocks' order, and whether closing it again leaves it as it is."""
-
-    def run(table: pa.Table) -> pa.Table:
-        own = packing.rows_to_blocks(table.sort_by("position"))
-        closed = packing.closure([b.block_id for b in own if b.kind == selected_kind], own, Limits().coordinates)
-        same = packing.closure([b.block_id for b in closed], own, Limits().coordinates) == closed
-        n = len(closed)
-        return pa.table({"session": pa.array([table["session"][0].as_py()] * n, pa.int64()), "block_id": pa.array([b.block_id for b in closed], pa.string()), "place": pa.array(range(n), pa.int64()), "again": pa.array([same] * n, pa.bool_())})
-
-    return blocks.groupBy("session").applyInArrow(run, "session long, block_id string, place long, again boolean")
+    blocks = materialise(blocks.select("session", "block_id", "position", "kind", "sources", "capsule_id", "required"), "closing")
+    closed = materialise(closure.closure(blocks, F.col("kind") == selected_kind, Limits().coordinates).select("session", "block_id", "place"), "closed")
+    return closed.join(closure.closed_packs(blocks, closed, Limits().coordinates), "session").select("session", "block_id", "place", F.col("valid").alias("again"))
 
 
 def live_sessions(blocks: DataFrame, query: str, opaque: int, fixed: int, budget: packing.Budget) -> DataFrame:
@@ -389,15 +375,7 @@ def live_sessions(blocks: DataFrame, query: str, opaque: int, fixed: int, budget
 
 def component_sessions(blocks: DataFrame, selected_kind: str = "decision") -> DataFrame:
     """(session, block_id, component, removable, closed): dependency components, and the closure of one kind and all required blocks."""
-
-    def run(table: pa.Table) -> pa.Table:
-        own = packing.rows_to_blocks(table.sort_by("position"))
-        comp = packing.components(own)
-        needed = {c for b, c in zip(own, comp) if b.required}
-        closed = {b.block_id for b in packing.closure([b.block_id for b in own if b.kind == selected_kind], own, 1024)}
-        return pa.table({
-            "session": pa.array([table["session"][0].as_py()] * len(own), pa.int64()), "block_id": [b.block_id for b in own], "component": [own[c].block_id for c in comp],
-            "removable": [c not in needed for c in comp], "closed": [b.block_id in closed for b in own],
-        })
-
-    return blocks.groupBy("session").applyInArrow(run, "session long, block_id string, component string, removable boolean, closed boolean")
+    blocks = materialise(blocks.select("session", "block_id", "position", "kind", "sources", "capsule_id", "required"), "closing")
+    rows = closure.grouped(blocks, F.col("kind") == selected_kind)
+    names = blocks.select("session", F.col("position").alias("component"), F.col("block_id").alias("name"))
+    return rows.join(names, ["session", "component"]).select("session", "block_id", F.col("name").alias("component"), "removable", "closed")
