@@ -35,6 +35,20 @@ def running(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str,
     return running_over(in_blocks(df, keys, order, blocks), keys, order, sums)
 
 
+#: Rows of a group that one task may go through.
+ONE_TASK = 1 << 22
+
+
+def cumulative(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column], most: int = ONE_TASK) -> DataFrame:
+    """``running``, by a plain window while no group has more than ``most`` rows: that needs no shuffle where the rows are dealt by the keys already. The largest group is counted first."""
+    groups = df.groupBy(*keys).count() if keys else df.groupBy().count()
+    largest = groups.agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        return running(df, keys, order, sums)
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({k: F.sum(F.coalesce(c, F.lit(0))).over(upto) for k, c in sums.items()})
+
+
 def running_over(cut: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """``running`` over a table that ``in_blocks`` made for the same keys and order."""
     sums = {k: F.coalesce(c, F.lit(0)) for k, c in sums.items()}

@@ -14,35 +14,39 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import prefix
 
-def allocate(events: DataFrame, order: list[str]) -> DataFrame:
-    """Dense sequence numbers within a session in the given arrival order."""
-    return events.withColumn("sequence", F.row_number().over(Window.partitionBy("session").orderBy(*order)).cast("long"))
 
+def allocate(events: DataFrame, order: list[str], most: int = prefix.ONE_TASK) -> DataFrame:
+    """Dense sequence numbers within a session in the given arrival order. Sessions of more than ``most`` events are numbered block by block."""
+    rows = prefix.cumulative(events, ["session"], [F.col(c) for c in order], {"sequence": F.lit(1)}, most)
+    return rows.withColumn("sequence", F.col("sequence").cast("long"))
 
-def tail_run(blocks: DataFrame) -> DataFrame:
+
+def tail_run(blocks: DataFrame, most: int = prefix.ONE_TASK) -> DataFrame:
     """The contiguous run at the end of each session's raw blocks: rows after the last break.
 
-    A block follows another if its sequence is that one's plus the number of that one's sources.
+    A block follows another if its sequence is that one's plus the number of that one's sources: then sequence less the sources so far is the same
+    for both. The last break is where that difference was last another one.
     """
-    w = Window.partitionBy("session").orderBy("event_sequence")
-    expected = F.lag(F.col("event_sequence") + F.col("n_sources")).over(w)
-    flagged = blocks.withColumn("breaks", F.when(expected.isNull() | (expected == F.col("event_sequence")), 0).otherwise(1))
-    later = F.sum("breaks").over(w.rowsBetween(1, Window.unboundedFollowing))
-    return flagged.withColumn("later", F.coalesce(later, F.lit(0))).filter("later = 0").drop("breaks", "later")
+    rows = prefix.cumulative(blocks, ["session"], [F.col("event_sequence")], {"_n": F.col("n_sources")}, most)
+    rows = rows.withColumn("_d", F.col("event_sequence") - F.col("_n") + F.col("n_sources"))
+    last = rows.groupBy("session").agg(F.max_by("_d", "event_sequence").alias("_last"))
+    marked = rows.join(last, "session")
+    breaks = marked.filter("_d <> _last").groupBy("session").agg(F.max("event_sequence").alias("_break"))
+    return marked.join(breaks, "session", "left").filter("_break IS NULL OR event_sequence > _break").select(*blocks.columns)
 
 
-def suffix_within(blocks: DataFrame, budget: int, separator: int = 2) -> DataFrame:
+def suffix_within(blocks: DataFrame, budget: int, separator: int = 2, most: int = prefix.ONE_TASK) -> DataFrame:
     """Rows of the longest suffix of each session whose cost, with separators, is within the budget."""
-    w = Window.partitionBy("session").orderBy("event_sequence").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    cost = F.sum("cost").over(w) + separator * (F.count("*").over(w) - 1)
-    return blocks.withColumn("suffix_cost", cost).filter(F.col("suffix_cost") <= budget)
+    rows = prefix.cumulative(blocks, ["session"], [F.desc("event_sequence")], {"_cost": F.col("cost"), "_n": F.lit(1)}, most)
+    return rows.withColumn("suffix_cost", F.col("_cost") + separator * (F.col("_n") - 1)).filter(F.col("suffix_cost") <= budget).drop("_cost", "_n")
 
 
-def last_units(units: DataFrame, most: int) -> DataFrame:
-    """The last whole units of each session with at most ``most`` events together; the last unit always."""
-    w = Window.partitionBy("session").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return units.withColumn("so_far", F.sum("size").over(w)).filter((F.col("so_far") <= most) | (F.col("so_far") == F.col("size"))).drop("so_far")
+def last_units(units: DataFrame, events: int, most: int = prefix.ONE_TASK) -> DataFrame:
+    """The last whole units of each session with at most ``events`` events together; the last unit always."""
+    rows = prefix.cumulative(units, ["session"], [F.desc("start")], {"so_far": F.col("size")}, most)
+    return rows.filter((F.col("so_far") <= events) | (F.col("so_far") == F.col("size"))).drop("so_far")
 
 
 # --- the tool loop -----------------------------------------------------------------------------

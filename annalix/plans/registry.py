@@ -38,6 +38,7 @@ def _load() -> None:
         predicate_queries,
         scalar_queries,
         scan_queries,
+        streaming_queries,
         window_queries,
     )
 

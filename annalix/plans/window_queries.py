@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import checks, greedy, prefix, windows
+from ..operators import checks, greedy, windows
 from ..sources import Store
 from .registry import query
 
@@ -18,14 +18,17 @@ def win_01(spark, sf_dir):
     return windows.allocate(rows, ["turn"])
 
 
-@query("win_02", "SELECT session, sequence, previous FROM (SELECT session, sequence, lag(sequence) OVER (PARTITION BY session ORDER BY sequence) AS previous FROM journal WHERE sequence % 4 <> 2) WHERE sequence <> previous + 1")
+@query("win_02", "SELECT session, sequence, previous FROM (SELECT session, sequence, lag(sequence) OVER (PARTITION BY session ORDER BY sequence) AS previous FROM (SELECT session, sequence + sequence // 4 AS sequence FROM journal)) WHERE sequence <> previous + 1")
 def win_02(spark, sf_dir):
-    return checks.gaps(Store(spark, sf_dir).journal.filter("sequence % 4 <> 2").select("session", "sequence"))
+    """Numbers that skip one after every third event."""
+    shifted = F.col("sequence") + F.floor(F.col("sequence") / 4)
+    return checks.gaps(Store(spark, sf_dir).journal.select("session", shifted.alias("sequence")))
 
 
-@query("win_03", "SELECT snapshot_id, count(*) FILTER (WHERE n <> ordinal) AS misplaced FROM (SELECT snapshot_id, ordinal, row_number() OVER (PARTITION BY snapshot_id ORDER BY ordinal) - 1 AS n FROM memberships WHERE ordinal <> 1) GROUP BY snapshot_id")
+@query("win_03", "SELECT snapshot_id, count(*) FILTER (WHERE n <> ordinal) AS misplaced FROM (SELECT snapshot_id, ordinal, row_number() OVER (PARTITION BY snapshot_id ORDER BY ordinal) - 1 AS n FROM (SELECT snapshot_id, ordinal + (ordinal >= 2)::INT AS ordinal FROM memberships)) GROUP BY snapshot_id")
 def win_03(spark, sf_dir):
-    rows = Store(spark, sf_dir).memberships.filter("ordinal <> 1")
+    """Memberships that skip an ordinal after the second."""
+    rows = Store(spark, sf_dir).memberships.withColumn("ordinal", F.col("ordinal") + F.when(F.col("ordinal") >= 2, 1).otherwise(0))
     n = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("ordinal")) - 1
     return rows.withColumn("n", n).groupBy("snapshot_id").agg(F.count_if(F.col("n") != F.col("ordinal")).alias("misplaced"))
 
@@ -39,9 +42,11 @@ def win_04(spark, sf_dir):
     return windows.suffix_within(_raw(Store(spark, sf_dir)), 3000).select("session", "event_sequence", "suffix_cost")
 
 
-@query("win_05", "SELECT session, sequence AS event_sequence FROM (SELECT *, max(CASE WHEN sequence <> p + 1 THEN sequence END) OVER (PARTITION BY session) AS brk FROM (SELECT session, sequence, lag(sequence) OVER (PARTITION BY session ORDER BY sequence) AS p FROM journal WHERE sequence % 4 <> 2)) WHERE brk IS NULL OR sequence >= brk")
+@query("win_05", "SELECT session, sequence AS event_sequence FROM (SELECT *, max(CASE WHEN sequence <> p + 1 THEN sequence END) OVER (PARTITION BY session) AS brk FROM (SELECT session, sequence, lag(sequence) OVER (PARTITION BY session ORDER BY sequence) AS p FROM (SELECT session, sequence + sequence // 4 AS sequence FROM journal))) WHERE brk IS NULL OR sequence >= brk")
 def win_05(spark, sf_dir):
-    return windows.tail_run(_raw(Store(spark, sf_dir)).filter("event_sequence % 4 <> 2")).select("session", "event_sequence")
+    """Of numbers that skip one after every third event, the run behind the last gap."""
+    shifted = F.col("event_sequence") + F.floor(F.col("event_sequence") / 4)
+    return windows.tail_run(_raw(Store(spark, sf_dir)).withColumn("event_sequence", shifted)).select("session", "event_sequence")
 
 
 @query("win_06", "SELECT session, start, size FROM (SELECT session, start, size, sum(size) OVER (PARTITION BY session ORDER BY start DESC) AS so_far FROM (SELECT session, (sequence - 1) // 3 AS unit, min(sequence) AS start, count(*) AS size FROM journal GROUP BY ALL)) WHERE so_far <= 4 OR so_far = size")
