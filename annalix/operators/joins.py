@@ -8,7 +8,47 @@ from pyspark.sql import Column, DataFrame, functions as F
 def without_metric(artifacts: DataFrame, metrics: DataFrame, kind: str, profile: str) -> DataFrame:
     """Artifacts of one kind that have no count under the profile; artifacts have (session, artifact_id, ...)."""
     known = metrics.filter((F.col("artifact_kind") == kind) & (F.col("profile") == profile)).select("artifact_id")
-    return artifacts.join(known, "artifact_id", "left_anti").withColumn("artifact_kind", F.lit(kind))
+    return anti_join(artifacts, known, "artifact_id").withColumn("artifact_kind", F.lit(kind))
+
+
+#: Bits that a stored key gets in a filter, bits that are set for it, bits of a bitmap, and most bytes of a filter.
+KEY_BITS, HASHES, MAP_BITS, FILTER_BYTES = 16, 4, 1 << 15, 32 << 20
+
+
+def key_filter(keys: DataFrame, key: str, most_bytes: int = FILTER_BYTES) -> tuple[DataFrame, int]:
+    """(map, bits) of a Bloom filter of the keys, and how many maps there are: a key sets its bits in one map, so a look-up is one join.
+
+    Tasks make partial maps and the aggregate ors them. The size follows from the number of keys and is at most ``most_bytes``, so that the filter can be broadcast.
+    """
+    n = max(1, min(-(-keys.count() * KEY_BITS // MAP_BITS), most_bytes * 8 // MAP_BITS))
+    rows = keys.filter(F.col(key).isNotNull()).select(_map_of(key, n).alias("map"), F.explode(_bits_of(key)).alias("bit"))
+    return rows.groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits")), n
+
+
+def _map_of(key: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n))
+
+
+def _bits_of(key: str) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(key, F.lit(k + 1)), F.lit(MAP_BITS)) for k in range(HASHES)])
+
+
+def may_hold(rows: DataFrame, key: str, keys: tuple[DataFrame, int]) -> DataFrame:
+    """rows with ``may_hold``: false only if their key is surely none of the filter's. A null key is held by none."""
+    maps, n = keys
+    byte = lambda p: F.conv(F.hex(F.substring(F.col("bits"), (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = F.forall(_bits_of(key), lambda p: byte(p).bitwiseAND(F.pow(F.lit(2), p % 8).cast("int")) != 0)
+    found = rows.withColumn("map", _map_of(key, n)).join(F.broadcast(maps), "map", "left")  # at most ``most_bytes``
+    return found.withColumn("may_hold", F.col(key).isNotNull() & F.col("bits").isNotNull() & F.coalesce(there, F.lit(False))).drop("map", "bits")
+
+
+def anti_join(rows: DataFrame, keys: DataFrame, key: str, most_bytes: int = FILTER_BYTES) -> DataFrame:
+    """``left_anti``, for rows of which many have no partner: those that a filter of the keys rules out are decided where they are read, and only the rest is shuffled.
+
+    Exact at every size of the filter: what it lets through is joined. rows are read twice.
+    """
+    marked = may_hold(rows, key, key_filter(keys.select(key), key, most_bytes))
+    return marked.filter(~F.col("may_hold")).unionByName(marked.filter("may_hold").join(keys.select(key), key, "left_anti").select(*marked.columns)).drop("may_hold")
 
 
 def relation_weight(a: str = "a", b: str = "b") -> Column:

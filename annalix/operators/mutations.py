@@ -37,24 +37,33 @@ def replay_conflicts(rows: DataFrame, key: list[str], content: list[str]) -> Dat
 
 
 def put_metrics(stored: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows to append, rows in conflict): an equal stored count is accepted, a different one is not."""
+    """(rows to append, rows in conflict): an equal stored count is accepted, a different one is not.
+
+    A key that a batch repeats with one count is one row; with several counts all of them are in conflict, and none is appended. A null count is a count of its own.
+    """
     key = ["artifact_kind", "artifact_id", "profile"]
-    both = new.join(stored.select(*key, F.col("token_count").alias("stored_count")), key, "left")
-    return both.filter("stored_count IS NULL").drop("stored_count"), both.filter("stored_count <> token_count")
+    once = new.dropDuplicates([*key, "token_count"]).withColumn("_versions", F.count("*").over(Window.partitionBy(*key)))
+    both = once.join(stored.select(*key, F.col("token_count").alias("stored_count"), F.lit(True).alias("_stored")), key, "left")
+    known = F.col("_stored").isNotNull()
+    fresh = both.filter(~known & (F.col("_versions") == 1)).drop("stored_count", "_stored", "_versions")
+    bad = both.filter((F.col("_versions") > 1) & ~known | known & ~F.col("stored_count").eqNullSafe(F.col("token_count"))).drop("_stored", "_versions")
+    return fresh, bad
 
 
 def observations(rows: DataFrame, stored_intents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(metrics, new intents) of counted artifacts: rows without a count become intents unless there is one."""
+    """(metrics, new intents) of counted artifacts: rows without a count become intents unless there is one, one for each artifact. Repeated counts come once; ``put_metrics`` judges different ones."""
     key = ["artifact_kind", "artifact_id", "profile"]
-    intents = rows.filter("token_count IS NULL").select(*key, "session").join(stored_intents.select(*key), key, "left_anti")
-    return rows.filter("token_count IS NOT NULL").select(*key, "token_count"), intents
+    intents = rows.filter("token_count IS NULL").select(*key, "session").dropDuplicates(key).join(stored_intents.select(*key), key, "left_anti")
+    return rows.filter("token_count IS NOT NULL").select(*key, "token_count").distinct(), intents
 
 
 def insert_or_verify(stored: DataFrame, new: DataFrame, key: str, content: Column) -> DataFrame:
-    """(key, action): INSERT, VERIFIED for equal content, or CONFLICT."""
-    old = stored.select(F.col(key).alias("_k"), F.sha2(content, 256).alias("_old"))
-    both = new.withColumn("_new", F.sha2(content, 256)).join(old, F.col(key) == F.col("_k"), "left")
-    return both.select(key, F.when(F.col("_old").isNull(), "INSERT").when(F.col("_old") == F.col("_new"), "VERIFIED").otherwise("CONFLICT").alias("action"))
+    """(key, action), one row a key: INSERT, VERIFIED for equal content, or CONFLICT, also where the new rows of a key differ."""
+    old = stored.select(F.col(key).alias("_k"), F.sha2(content, 256).alias("_old"), F.lit(True).alias("_there"))
+    told = new.select(F.col(key), F.sha2(content, 256).alias("_new")).groupBy(key).agg(F.min("_new").alias("_new"), (F.count_distinct("_new") + F.max(F.when(F.col("_new").isNull(), 1).otherwise(0))).alias("_versions"))
+    both = told.join(old, F.col(key) == F.col("_k"), "left")
+    same = F.col("_old").eqNullSafe(F.col("_new"))
+    return both.select(key, F.when(F.col("_versions") > 1, "CONFLICT").when(F.col("_there").isNull(), "INSERT").when(same, "VERIFIED").otherwise("CONFLICT").alias("action"))
 
 
 def encrypt(text: Column, table: str, column: str, key: Column, secret: Column, iv: Column) -> Column:
@@ -82,8 +91,11 @@ def publish(pointers: DataFrame, proposals: DataFrame, reports: DataFrame) -> Da
 
 
 def new_snapshots(stored: DataFrame, committed: DataFrame) -> DataFrame:
-    """Committed snapshots to append: those of sessions and ends that have none."""
-    return committed.join(stored.select("session", "covered_event_end"), ["session", "covered_event_end"], "left_anti")
+    """Committed snapshots to append: those of sessions and ends that have none. Of several for one end in a batch the first by id is added."""
+    key = ["session", "covered_event_end"]
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("snapshot_id"))
+    once = committed.withColumn("_n", first).filter("_n = 1").drop("_n")
+    return once.join(stored.select(*key), key, "left_anti").select(*committed.columns)
 
 
 def pending_migrations(known: DataFrame, applied: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import mutations, prefix
+from ..operators import prefix
 from .scratch import shared_dir
 
 #: Rows of one session that a task writes.
@@ -100,7 +100,7 @@ class StoredJournal:
 
         A batch has the columns of an event but sequence, and ``arrival``. Stored and repeated keys add nothing, so a batch can be sent again.
         """
-        key = mutations.KEY
+        key = ["session", "source_hook", "idempotency_key"]
         names = [c.split()[0] for c in self.SCHEMA.split(", ")]
         seen = self.table.join(F.broadcast(batch.select("session").distinct()), "session", "left_semi") if self._small(batch) else self.table
         first = F.min_by(F.struct("arrival", *[c for c in names if c not in ("sequence", *key)]), F.struct("arrival", "event_id"))

@@ -58,6 +58,25 @@ def test_capture_is_idempotent(spark):
     assert mutations.replay_conflicts(s.journal.unionByName(s.journal), mutations.KEY, ["content"]).isEmpty()
 
 
+def test_a_batch_that_repeats_itself(spark):
+    """Replays and conflicts within one batch, as if its rows came one by one."""
+    M = "artifact_kind string, artifact_id string, profile string, token_count long"
+    stored = spark.createDataFrame([("E", "s", "p", 3), ("E", "n", "p", None)], M)
+    new = spark.createDataFrame([("E", "a", "p", 1), ("E", "a", "p", 1), ("E", "b", "p", 1), ("E", "b", "p", 2), ("E", "s", "p", 3), ("E", "s", "p", 4), ("E", "n", "p", None)], M)
+    fresh, bad = mutations.put_metrics(stored, new)
+    assert [tuple(r) for r in fresh.collect()] == [("E", "a", "p", 1)]
+    assert sorted((r.artifact_id, r.token_count) for r in bad.collect()) == [("b", 1), ("b", 2), ("s", 4)]
+    seen = spark.createDataFrame([("E", "x", "p", None, 1), ("E", "x", "p", None, 1), ("E", "y", "p", 5, 1), ("E", "y", "p", 5, 1), ("E", "z", "p", None, 1)], M + ", session long")
+    counted, intents = mutations.observations(seen, stored.filter("false").unionByName(spark.createDataFrame([("E", "z", "p", None)], M)))
+    assert [tuple(r) for r in counted.collect()] == [("E", "y", "p", 5)] and [r.artifact_id for r in intents.collect()] == ["x"]
+    C = "id string, body string"
+    told = mutations.insert_or_verify(spark.createDataFrame([("v", "1"), ("c", "1"), ("w", "1")], C), spark.createDataFrame([("v", "1"), ("v", "1"), ("c", "2"), ("w", "1"), ("w", "2"), ("i", "1"), ("i", "1"), ("j", "1"), ("j", "2")], C), "id", F.col("body"))
+    assert {r.id: r.action for r in told.collect()} == {"v": "VERIFIED", "c": "CONFLICT", "w": "CONFLICT", "i": "INSERT", "j": "CONFLICT"} and told.count() == 5
+    S = "session long, covered_event_end long, snapshot_id string"
+    added = mutations.new_snapshots(spark.createDataFrame([(1, 5, "a")], S), spark.createDataFrame([(1, 5, "b"), (1, 6, "d"), (1, 6, "c"), (2, 5, "e"), (2, 5, "e")], S))
+    assert sorted(map(tuple, added.collect())) == [(1, 6, "c"), (2, 5, "e")]
+
+
 def test_pointer_swap_has_one_winner(tmp_path, spark):
     p, q = jobs.Pointers(str(tmp_path)), jobs.Pointers(str(tmp_path))
     assert p.read("s") == (0, None)
