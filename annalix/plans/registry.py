@@ -39,6 +39,7 @@ def _load() -> None:
         scalar_queries,
         scan_queries,
         streaming_queries,
+        version_queries,
         window_queries,
     )
 
