@@ -14,13 +14,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ._shared import arrow_batches, share, tidy
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
 PIECE = 1 << 19  # characters looked at together
+_SPREAD, _SPACE = np.uint32(0x9E3779B1), np.array([32], np.uint32)
 UNKNOWN = "und"
 
 
@@ -30,37 +31,53 @@ def _letters() -> np.ndarray:
 
 
 def _pieces(text: str) -> Iterator[np.ndarray]:
-    """Lower-cased code points; every run of other characters is one space. Pieces share no n-gram."""
-    for at in range(0, len(text), PIECE):
-        yield np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _squeezed(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    known = letters[codes]
-    keep = known.copy()
-    keep[1:] |= known[:-1]
-    return np.where(known, codes, 32)[keep].astype(np.uint32)
+    """Lower-cased code points. No cut stands beside a sigma, whose lower case depends on its neighbours."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and "Σ" in text[end - 1 : end + 1]:
+            end += 1
+        yield np.frombuffer(text[at:end].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = end
+
+
+def _add(counts: np.ndarray, tail: np.ndarray, new: np.ndarray) -> None:
+    """Counts the n-grams that end in ``new``, which follows ``tail``."""
+    x = np.concatenate([tail, new])
+    grown = np.zeros(len(x), np.uint32)
+    for n in range(1, min(max(ORDERS), len(x)) + 1):
+        grown = (grown[: len(x) - n + 1] + x[n - 1 :]) * _SPREAD
+        grown ^= grown >> np.uint32(15)
+        if n in ORDERS:
+            counts += np.bincount(grown[max(0, len(tail) - n + 1) :] % np.uint32(BUCKETS), minlength=BUCKETS)
 
 
 def features(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, buckets, counts) of every text with letters: a sparse row of n-gram counts."""
+    """(row, buckets, counts) of every text with letters: a sparse row of n-gram counts.
+
+    Every run of other characters is one space, and a space stands before the first letter and behind the last. The last
+    code points of a piece are carried over to the next, so no n-gram is lost between them.
+    """
     letters = _letters()
-    spread = np.uint32(0x9E3779B1)
     for row, text in enumerate(texts):
-        total = None
+        total, tail, before = None, np.zeros(0, np.uint32), False
         for codes in _pieces(text or ""):
-            if not letters[codes].any():
+            known = letters[codes]
+            keep = known.copy()
+            keep[1:] |= known[:-1]
+            keep[0] |= before
+            before = bool(known[-1])
+            new = np.where(known, codes, 32)[keep].astype(np.uint32)
+            if not len(new):
                 continue
-            x = np.concatenate([[np.uint32(32)], _squeezed(codes, letters), [np.uint32(32)]]).astype(np.uint32)
-            grown = np.zeros(len(x), np.uint32)
-            counts = np.zeros(BUCKETS, np.int64) if total is None else total
-            for n in range(1, max(ORDERS) + 1):
-                grown = (grown[: len(x) - n + 1] + x[n - 1 :]) * spread
-                grown ^= grown >> np.uint32(15)
-                if n in ORDERS and len(grown):
-                    counts += np.bincount(grown % np.uint32(BUCKETS), minlength=BUCKETS)
-            total = counts
+            if total is None:
+                total, tail = np.zeros(BUCKETS, np.int64), _SPACE[:0]
+                new = np.concatenate([_SPACE, new])
+            _add(total, tail, new)
+            tail = np.concatenate([tail, new])[1 - max(ORDERS) :]
         if total is not None:
+            if before:
+                _add(total, tail, _SPACE)
             at = np.flatnonzero(total)
             yield row, at, total[at]
 
@@ -102,25 +119,20 @@ class Model:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One sparse count vector a language and task."""
     totals: dict[str, np.ndarray] = {}
-    docs: dict[str, int] = {}
     for b in batches:
         langs = b.column("lang").to_pylist()
         for row, at, n in features(b.column("text").to_pylist()):
-            if langs[row] not in totals:
-                totals[langs[row]] = np.zeros(BUCKETS, np.int64)
-            totals[langs[row]][at] += n
-            docs[langs[row]] = docs.get(langs[row], 0) + 1
+            totals.setdefault(langs[row], np.zeros(BUCKETS, np.int64))[at] += n
     for lang, t in totals.items():
         at = np.flatnonzero(t)
-        yield pa.record_batch(
-            {"lang": pa.array([lang] * (len(at) + 1)), "bucket": pa.array([*at, -1], pa.int32()), "n": pa.array([*t[at], docs[lang]], pa.int64())}
-        )
+        yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(t[at], pa.int64())})
 
 
 def fit(docs: DataFrame, usable: Column, per_lang: int = 1500, model_bytes: int = 512 << 20, alpha: float = 0.3) -> Model:
     """Learns from the rows that are ``usable`` and have a lang and a text.
 
-    The sample is bounded: about ``per_lang`` rows of each language, taken by a hash of text. The model
+    The sample is bounded: at most ``per_lang`` different texts of each language, those with the least hashes,
+    however often each is repeated. Equal texts of a language count once; only the prior counts rows. The model
     has 4 * BUCKETS bytes a language, which is checked before any is learned.
     """
     arrow_batches(docs.sparkSession)
@@ -131,16 +143,18 @@ def fit(docs: DataFrame, usable: Column, per_lang: int = 1500, model_bytes: int
         raise ValueError(f"lang has more than {most} values, beyond model_bytes")
     if not sizes:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_lang / r["count"])) for r in sizes], "lang string, share double")
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = known.join(F.broadcast(shares), "lang").filter(drawn < F.col("share")).select("lang", "text")  # at most ``most`` rows are broadcast
-    got = sample.mapInArrow(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    hashed = known.select("lang", "text", F.xxhash64("text").alias("h"))
+    least = Window.partitionBy("lang").orderBy("h")
+    drawn = hashed.select("lang", "h").distinct().withColumn("k", F.row_number().over(least)).filter(F.col("k") <= per_lang)
+    cuts = drawn.groupBy("lang").agg(F.max("h").alias("cut"))  # at most ``most`` rows
+    sample = hashed.join(F.broadcast(cuts), "lang").filter("h <= cut").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got = sample.select("lang", "text").mapInArrow(tidy(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = {r["lang"]: r["count"] for r in sizes}
     langs = tuple(sorted(got["lang"].unique()))
     counts, prior = np.full((BUCKETS, len(langs)), alpha), np.zeros(len(langs))
     for k, lang in enumerate(langs):
         own = got[got["lang"] == lang]
-        prior[k] = own.loc[own["bucket"] < 0, "n"].sum()
-        own = own[own["bucket"] >= 0]
+        prior[k] = rows[lang]
         counts[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
     if not langs:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))

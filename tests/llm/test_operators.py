@@ -55,36 +55,68 @@ def test_op1_held_out_accuracy(spark):
     assert got["score"].between(0, 1).all()
 
 
+def ngrams(text):
+    """Hashed n-grams of a text, counted in a dictionary."""
+    run = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    padded, counts = f" {' '.join(run)} ", Counter()
+    for n in (1, 2, 3) if run else ():
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for c in padded[i : i + n]:
+                h = ((h + ord(c)) * 0x9E3779B1) & 0xFFFFFFFF
+                h ^= h >> 15
+            counts[h % language_id.BUCKETS] += 1
+    return counts
+
+
 def test_op1_scores_are_naive_bayes_of_counted_ngrams(spark, docs):
-    """Every prediction against counts in dictionaries, and more languages than any table of them would list."""
+    """The model against counts of the learned rows in dictionaries, and every prediction against the model."""
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in table(spark, SMALL, "documents").filter(~held_out()).collect()]
     model = language_id.fit(table(spark, SMALL, "documents"), ~held_out())
+    assert model.langs == tuple(sorted({r[2] for r in rows}))
+    for k, lang in enumerate(model.langs):
+        counts = np.full(language_id.BUCKETS, 0.3)
+        for text in {r[1] for r in rows if r[2] == lang}:
+            for bucket, n in ngrams(text).items():
+                counts[bucket] += n
+        assert model.log_prob[:, k] == pytest.approx(np.log(counts / counts.sum()), rel=1e-5)
+        assert model.prior[k] == pytest.approx(np.log(sum(r[2] == lang for r in rows) / len(rows)))
     log_prob, prior = model.log_prob.astype(float), model.prior
-    for text in [*list(docs.values())[:60], "a", "Ünïcödé ñandú 日本語", "", None, "123 !?", "a1b2 c3"]:
-        counts = Counter()
-        run = "".join(c if c.isalpha() else " " for c in (text or "").lower())
-        if any(c.isalpha() for c in run):
-            padded = f" {' '.join(run.split())} "
-            padded = re.sub(" +", " ", padded) if run[:1] != " " else "  " + padded.lstrip()
-            for n in (1, 2, 3):
-                for i in range(len(padded) - n + 1):
-                    h = 0
-                    for c in padded[i : i + n]:
-                        h = ((h + ord(c)) * 0x9E3779B1) & 0xFFFFFFFF
-                        h ^= h >> 15
-                    counts[h % language_id.BUCKETS] += 1
-        found = list(language_id.features([text]))
-        assert [dict(zip(at.tolist(), n.tolist())) for _, at, n in found] == ([dict(counts)] if counts else []) or run[:1] == " " or run[-1:] == " "
+    for text in [*list(docs.values())[:60], "a", "Ünïcödé ñandú 日本語", "", None, "123 !?", "a1b2 c3", " . a. ", "ends here.\n"]:
+        counts, found = ngrams(text), list(language_id.features([text]))
+        assert [dict(zip(at.tolist(), n.tolist())) for _, at, n in found] == ([dict(counts)] if counts else [])
         names, scores = model.predict([text])
         if not found:
             assert names == ["und"] and scores[0] == 0
             continue
-        _, at, n = found[0]
-        joint = [prior[k] + sum(c * log_prob[b, k] for b, c in zip(at, n)) for k in range(len(model.langs))]
+        joint = [prior[k] + sum(c * log_prob[b, k] for b, c in counts.items()) for k in range(len(model.langs))]
         top = max(joint)
         assert joint[model.langs.index(names[0])] >= top - 1e-6 * abs(top)
         assert scores[0] == pytest.approx(1 / sum(np.exp(max(j - top, -700)) for j in joint), rel=1e-3, abs=1e-6)
 
 
+def test_op1_pieces_lose_no_ngram(monkeypatch):
+    texts = ["one two.  three ΟΔΟΣ ΟΔΟΣ, four" * 3, "...a", "a...", ". . b . .", "abc", "Σ" * 9]
+    for size in (1, 2, 3, 5, 8):
+        monkeypatch.setattr(language_id, "PIECE", size)
+        for text in texts:
+            [(_, at, n)] = language_id.features([text])
+            assert dict(zip(at.tolist(), n.tolist())) == dict(ngrams(text)), (size, text)
+
+
+def test_op1_learns_from_different_texts_however_often_they_come(spark):
+    """Six languages of one text 30,000 times each, and one language with a hot text and a thousand others."""
+    words = {f"l{k}": " ".join(chr(0x4E00 + 50 * k + j) * 2 for j in range(9)) for k in range(6)}
+    hot = spark.range(180_000).select("id", F.element_at(F.array(*map(F.lit, sorted(words))), (F.col("id") % 6 + 1).cast("int")).alias("lang"))
+    text = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in words.items()])
+    model = language_id.fit(hot.withColumn("text", text), F.lit(True))
+    assert model.langs == tuple(sorted(words))
+    assert model.predict(list(words.values()))[0] == list(words)
+    mixed = hot.select(F.lit("aa").alias("lang"), F.when(F.col("id") < 1000, F.concat(F.lit("other "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))).otherwise("hot text").alias("text"))
+    once = mixed.dropDuplicates(["text"])
+    assert (language_id.fit(mixed, F.lit(True), per_lang=100).log_prob == language_id.fit(once, F.lit(True), per_lang=100).log_prob).all()
+
+
 def test_op1_learns_every_language_and_breaks_ties_by_name(spark):
     rows = [(k, "".join(chr(0x4E00 + 7 * k + j % 7) for j in range(30)), f"l{k:03}") for k in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
