@@ -205,27 +205,46 @@ def _rewritten(kind: int, span: str, draw: random.Random) -> tuple[str, str]:
     return good, draw.choice([f"{draw.randint(1900, 2030)}-{draw.randint(10, 12)}-{draw.randint(10, 28)}", f"{draw.randint(1, 999)},{digits[:3]},{digits[3:6]}", digits[:8], f"{local[:2]}:{local[2:4]}:{local[4:6]}"])
 
 
+#: Candidates judged at a time.
+JUDGED = 1 << 14
+
+
 @dataclass(frozen=True)
 class Model:
     trees: boosting.Boosted | None
     cut: tuple[float, float, float, float]
 
     def added(self, texts: list[str], base: list[list[tuple[int, str, int]]]) -> list[list[tuple[int, str, int]]]:
-        """Chosen spans that overlap no base span of their text."""
-        where, rows = [], []
-        if self.trees is not None:
-            for i, (text, own) in enumerate(zip(texts, base)):
-                for a, b, k in candidates(text):
-                    if not any(a < end and start < b for start, _, end in own):
-                        where.append((i, a, b, k))
-                        rows.append(features(text, a, b, k))
+        """Chosen spans that overlap no base span of their text, the likeliest first. A text's characters are marked once they are taken."""
         out: list[list[tuple[int, str, int]]] = [[] for _ in texts]
-        if rows:
-            p = self.trees.predict(np.array(rows))
-            for j in np.argsort(-p, kind="stable"):
-                i, a, b, k = where[j]
-                if p[j] >= self.cut[k] and not any(a < end and start < b for start, _, end in out[i]):
-                    out[i].append((a, KINDS[k], b))
+        if self.trees is None:
+            return out
+        where, rows, likely = [], [], []
+        taken: list[bytearray | None] = [None] * len(texts)
+
+        def judge() -> None:
+            if rows:
+                likely.append(self.trees.predict(np.array(rows)))
+                rows.clear()
+
+        for i, (text, own) in enumerate(zip(texts, base)):
+            for a, b, k in candidates(text):
+                if taken[i] is None:
+                    taken[i] = bytearray(len(text))
+                    for start, _, end in own:
+                        taken[i][start:end] = b"\1" * (end - start)
+                if taken[i].find(1, a, b) < 0:
+                    where.append((i, a, b, k))
+                    rows.append(features(text, a, b, k))
+                    if len(rows) >= JUDGED:
+                        judge()
+        judge()
+        p = np.concatenate([np.zeros(0), *likely])
+        for j in np.argsort(-p, kind="stable").tolist():
+            i, a, b, k = where[j]
+            if p[j] >= self.cut[k] and taken[i].find(1, a, b) < 0:
+                out[i].append((a, KINDS[k], b))
+                taken[i][a:b] = b"\1" * (b - a)
         return out
 
 
@@ -271,12 +290,12 @@ def train(texts: list[str], precision: float = 0.98, rewrites: int = 8, seed: in
 
 
 def fit(docs: DataFrame, most_texts: int = 3000, most_bytes: int = 20_000) -> Model:
-    """On at most ``most_texts`` distinct texts with a digit or an @, of at most ``most_bytes``: those with the least hashes."""
-    some = docs.filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= most_bytes)).select("text", F.pmod(F.xxhash64("text"), F.lit(1_000_003)).alias("h"))
-    n = some.count()
-    if n > 2 * most_texts:  # a part that leaves enough, so that few texts are compared
-        some = some.filter(F.col("h") < F.lit(int(1_000_003 * 2 * most_texts / n)))
-    rows = some.dropDuplicates(["h", "text"]).orderBy("h", "text").limit(most_texts).collect()
+    """On at most ``most_texts`` distinct texts with a digit or an @, of at most ``most_bytes``: those with the least hashes, however often each is repeated."""
+    some = docs.filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= most_bytes)).select("text", F.xxhash64("text").alias("h"))
+    least = [r["h"] for r in some.select("h").distinct().orderBy("h").limit(most_texts).collect()]
+    if not least:
+        return train([])
+    rows = some.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(most_texts).collect()
     return train([r["text"] for r in rows])
 
 

@@ -104,6 +104,53 @@ def test_op7_sample_is_bounded_and_distinct(spark):
     assert seen[0] == seen[1] and len(set(seen[0])) == len(seen[0]) <= 25
 
 
+def test_op7_sample_does_not_depend_on_copies(spark):
+    texts = [f"call +1 (415) 555-{k:04} now" for k in range(300)]
+    once = spark.createDataFrame([(t,) for t in texts], "text string")
+    often = once.unionByName(spark.range(100_000).select(F.lit(texts[7]).alias("text")))
+    seen = []
+    old, pii.train = pii.train, lambda texts: seen.append(texts) or pii.Model(None, (1.1,) * 4)
+    try:
+        for d in (once, often):
+            pii.fit(d, most_texts=200)
+        pii.fit(once.limit(0))
+    finally:
+        pii.train = old
+    assert seen[0] == seen[1] and len(seen[0]) == 200 and seen[2] == []
+
+
+def test_op7_added_spans_against_every_candidate(pii_model):
+    """Candidates one by one, each against all base and all chosen spans."""
+    texts = ["mail me: jo dot doe (at) mail (dot) example (dot) org or +1 415 555 0199, 10 . 0 . 0 . 7", "4111.1111.1111.1111 and 4111 1111 1111 1111, joe[at]ex[dot]com", "", "nothing"]
+    base = [pii.base_spans(t) for t in texts]
+    want = []
+    for text, own in zip(texts, base):
+        some = [(a, b, k) for a, b, k in pii.candidates(text) if not any(a < e and s < b for s, _, e in own)]
+        p = pii_model.trees.predict(np.array([pii.features(text, *c) for c in some])) if some else np.zeros(0)
+        chosen = []
+        for j in np.argsort(-p, kind="stable"):
+            a, b, k = some[j]
+            if p[j] >= pii_model.cut[k] and not any(a < e and s < b for s, _, e in chosen):
+                chosen.append((a, pii.KINDS[k], b))
+        want.append(chosen)
+    assert pii_model.added(texts, base) == want and any(want)
+
+
+def test_op7_many_spans_in_one_text(pii_model):
+    """Work grows with the spans, not with their pairs."""
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        text = " ".join(f"+1 (415) 555-{k % 10_000:04} x" for k in range(n))
+        base = pii.base_spans(text)
+        began = time.perf_counter()
+        pii_model.added([text], [base])
+        took.append(time.perf_counter() - began)
+        assert len(base) == n
+    assert took[1] < 8 * 3 * took[0] + 1
+
+
 def test_op7_query(spark):
     docs = {r["doc_id"]: r["text"] for r in table(spark, SMALL, "documents").collect()}
     for r in queries.op7_pii(spark, SMALL).collect():
