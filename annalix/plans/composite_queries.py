@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import aggregates, audit, checks, mutations, windows
+from ..operators import aggregates, audit, checks, compiler, mutations, windows
 from ..sources import Store, read
 from ..sources.prelude import EVENT_TYPES, OPEN_STATES
 from .join_queries import _MISSING, missing, owned_metrics
@@ -131,6 +131,14 @@ def comp_02(spark, sf_dir):
     return quoted.groupBy("capsule_id").agg(F.count("*").alias("quotes"))
 
 
+@query("comp_02_table", "SELECT 'cap-' || session || '-' || segment AS capsule_id, count(*) AS quotes, min(sequence) AS first, max(sequence) AS last FROM items WHERE kind = 'anchor' GROUP BY session, segment")
+def comp_02_table(spark, sf_dir):
+    """The same by a table function over each session's spans in order."""
+    s = Store(spark, sf_dir)
+    spans = s.items.filter("kind = 'anchor'").select("session", "sequence", "capsule_id", "text").join(s.journal.select("session", "sequence", "content"), ["session", "sequence"])
+    return compiler.compile_spans(spans).filter("quotes > 0").select("capsule_id", "quotes", "first", "last")
+
+
 def _compiled(s: Store):
     """Capsules from the segments of what is not covered, with a claim for each event, and whether each is whole."""
     cut = windows.segment_sessions(s.delta, windows.Caps(3, 4096))
@@ -140,9 +148,9 @@ def _compiled(s: Store):
     return made.withColumn("capsule_id", scalars.stable_id("cap:", *parts, digits=24)).withColumn("complete", F.col("claims") == F.col("end") - F.col("start") + 1)
 
 
-def _validated(s: Store):
+def _validated(s: Store, made=None):
     """(session, passed, capsules, first, last): segments are whole, leave no gap, and reach from the mark to the end of the delta."""
-    made = _compiled(s)
+    made = _compiled(s) if made is None else made
     ranges = made.groupBy("session").agg(F.bool_and("complete").alias("whole"), F.count("*").alias("capsules"), F.min("start").alias("first"), F.max("end").alias("last"), F.sum("claims").alias("claims"))
     marks = s.marks.select("session", "high_water", "covered")
     passed = F.col("whole") & (F.col("first") == F.col("covered") + 1) & (F.col("last") == F.col("high_water")) & (F.col("claims") == F.col("last") - F.col("first") + 1)
@@ -245,3 +253,12 @@ def host_01(spark, sf_dir):
     return rows.select("session", "event_id", (F.col("rank") * 1000 + F.col("sequence")).alias("place"))
 
 
+@query("comp_01_faults", "SELECT session, session % 5 NOT IN (1, 2, 3) AS passed FROM marks")
+def comp_01_faults(spark, sf_dir):
+    """Candidates of which three fifths are faulty: the first segment is lost, a claim is cited twice, or the last segment ends too early."""
+    s = Store(spark, sf_dir)
+    n = F.col("session") % 5
+    made = _compiled(s).join(s.marks.select("session", "high_water"), "session").filter(~((n == 1) & (F.col("segment") == 0)))
+    made = made.withColumn("claims", F.col("claims") + F.when((n == 2) & (F.col("segment") == 0), 1).otherwise(0))
+    made = made.withColumn("end", F.col("end") - F.when((n == 3) & (F.col("end") == F.col("high_water")), 1).otherwise(0))
+    return s.marks.select("session").join(_validated(s, made), "session", "left").select("session", F.coalesce("passed", F.lit(False)).alias("passed"))
