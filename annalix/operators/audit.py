@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.scratch import materialise
 from .checks import any_of
 
 #: Failure codes in order.
@@ -103,19 +104,24 @@ def _anchors(c: Candidates) -> DataFrame:
 
 
 def validate(c: Candidates) -> DataFrame:
-    """(session, passed, failure_codes, source_coverage, anchor_recall, coverage_gap, unsupported_critical_claims)."""
+    """(session, passed, failure_codes, source_coverage, anchor_recall, coverage_gap, unsupported_critical_claims).
+
+    Written down part by part, and whole: inputs that are stored by session need no shuffle, so all sorts and aggregates of an audit, and of
+    what reads its report, would else be held by one task at a time, each with a page of memory at least.
+    """
     ordered = lambda k: F.transform(F.array_sort(F.collect_list(F.struct("ordinal", k))), lambda x: x[k])
-    caps = c.capsules.join(c.heads.select("session", "snapshot_session", "target"), "session").groupBy("session").agg(
-        ordered("capsule_id").alias("own_capsules"), F.bool_or((F.col("end") > F.col("target")) | (F.col("start") > F.col("end"))).alias("bad_range"),
-        F.bool_or(F.col("capsule_session") != F.col("snapshot_session")).alias("other_session"), F.bool_and("mechanical_passed").alias("all_mechanical"), F.min("source_coverage").alias("declared_coverage"),
+    caps = c.capsules.groupBy("session").agg(
+        ordered("capsule_id").alias("own_capsules"), F.bool_or(F.col("start") > F.col("end")).alias("bad_order"), F.max("end").alias("last_end"),
+        F.min("capsule_session").alias("least_session"), F.max("capsule_session").alias("largest_session"), F.bool_and("mechanical_passed").alias("all_mechanical"), F.min("source_coverage").alias("declared_coverage"),
         F.min("anchor_recall").alias("declared_recall"), F.sum("unsupported").alias("declared_unsupported"), F.sum("gap").alias("declared_gap"), F.sum("token_cost").alias("capsule_cost"),
     )
     seen = c.events.groupBy("session").agg(F.min("sequence").alias("first"), F.max("sequence").alias("last"), F.count("*").alias("n"), F.count_distinct("sequence").alias("n_seq"), F.count_distinct("event_id").alias("n_ids"))
 
     r = c.heads
-    for part in (caps, seen, _provenance(c), _anchors(c)):
-        r = r.join(part, "session", "left")
+    for name, part in (("capsules", caps), ("seen", seen), ("provenance", _provenance(c)), ("anchors", _anchors(c))):
+        r = r.join(materialise(part, f"audit-{name}"), "session", "left")
     n = lambda k, d=0: F.coalesce(k, F.lit(d))
+    other = lambda k: n(k != F.col("snapshot_session"), False)
     strings = F.array().cast("array<string>")
     want = F.col("target") - F.col("base_coverage")
     whole = (want > 0) & (n("n") == want) & (n("n_seq") == want) & (n("n_ids") == want) & (F.col("first") == F.col("base_coverage") + 1) & (F.col("last") == F.col("target"))
@@ -126,13 +132,13 @@ def validate(c: Candidates) -> DataFrame:
     critical, gap = F.greatest(n("unsupported"), n("declared_unsupported")), F.greatest(missing, n("declared_gap"))
     tests: dict[str, Column] = {
         "EMPTY_COMPILER_OUTPUT": F.col("own_capsules").isNull(),
-        "SESSION_KEY_MISMATCH": n("other_session", False),
+        "SESSION_KEY_MISMATCH": other(F.col("least_session")) | other(F.col("largest_session")),
         "BASE_SNAPSHOT_MISMATCH": ~F.col("base_snapshot_id").eqNullSafe(F.col("expected_base")),
         "TARGET_MISMATCH": (F.col("covered_event_end") != F.col("target")) | (F.col("source_high_water_mark") != F.col("target")),
         "COVERAGE_GAP": ~F.coalesce(whole, F.lit(False)),
         "CAPSULE_MEMBERSHIP_MISMATCH": F.col("capsule_ids") != F.coalesce("own_capsules", strings),
         "SNAPSHOT_ANCHOR_MISMATCH": F.col("anchor_ids") != F.coalesce("own_anchors", strings),
-        "INVALID_CAPSULE_COVERAGE": n("bad_range", False),
+        "INVALID_CAPSULE_COVERAGE": n("bad_order", False) | n(F.col("last_end") > F.col("target"), False),
         "UNSUPPORTED_ACTIVE_SEMANTIC": (n("unsupported") > 0) | (n("stray") > 0),
         "MISSING_PRIOR_SEMANTIC": n("lost") > 0,
         "MISSING_REQUIRED_ANCHOR": recall_own < 1,
@@ -144,7 +150,8 @@ def validate(c: Candidates) -> DataFrame:
         "TOKEN_CEILING_EXCEEDED": any_of([F.col("ceiling") < 0, F.col("token_cost") > F.col("ceiling"), n("capsule_cost") > F.col("ceiling")]),
     }
     codes = F.array_compact(F.array(*[F.when(tests[k], k) for k in CODES]))
-    return r.select("session", (F.size(codes) == 0).alias("passed"), codes.alias("failure_codes"), coverage.alias("source_coverage"), recall.alias("anchor_recall"), gap.alias("coverage_gap"), critical.alias("unsupported_critical_claims"))
+    report = r.select("session", (F.size(codes) == 0).alias("passed"), codes.alias("failure_codes"), coverage.alias("source_coverage"), recall.alias("anchor_recall"), gap.alias("coverage_gap"), critical.alias("unsupported_critical_claims"))
+    return materialise(report, "audit")
 
 
 def quality_floor(reports: DataFrame, records: DataFrame) -> DataFrame:

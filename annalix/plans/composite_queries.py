@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import aggregates, audit, checks, compiler, mutations, windows
 from ..sources import Store, read
+from ..sources.journal import items_of
 from ..sources.prelude import EVENT_TYPES, OPEN_STATES
+from ..sources.scratch import materialise
 from .join_queries import _MISSING, missing, owned_metrics
 from .predicate_queries import LEDGER, ledger
 from .registry import query
@@ -18,12 +20,11 @@ def candidates(s: Store) -> audit.Candidates:
     8 an unknown source, 9 a lost claim, 10 a lost anchor, 11 not mechanical, 12 coverage, 13 recall, 14 unsupported, 15 gap, 16 ceiling, 17 session, 18 none.
     """
     fault = F.col("session") % 19
-    sessions = s.marks.filter("covered >= 3").select("session", "covered")
-    sourced = s.covered.groupBy("capsule_id", "session", "segment").agg(  # each event is the source of an item
+    sessions = s.audited.groupBy("session").agg(F.max("covered").alias("covered"))
+    caps = s.audited.groupBy("capsule_id", "session", "segment").agg(  # each event is the source of an item
         F.min("sequence").alias("covered_event_start"), F.max("sequence").alias("covered_event_end"), F.sum("token_count").alias("token_cost"), F.array_sort(F.collect_set("event_id")).alias("sources")
     )
-    caps = sourced.join(sessions.drop("covered"), "session", "left_semi")
-    items = s.items.join(sessions, "session", "left_semi").withColumn("sources", F.array("source")).withColumnRenamed("sequence", "ordinal")
+    items = items_of(s.audited).withColumn("sources", F.array("source")).withColumnRenamed("sequence", "ordinal")
     prior_items = items.filter("segment = 0")
     now = items.filter((fault != 1) & ~((fault == 9) & (F.col("segment") == 0) & (F.col("kind") != "anchor")) & ~((fault == 10) & (F.col("kind") == "anchor") & (F.col("segment") == 0)))
     now = now.withColumn("sources", F.when((fault == 8) & (F.col("segment") == 1), F.array(F.lit("nowhere"))).otherwise(F.col("sources")))
@@ -44,8 +45,8 @@ def candidates(s: Store) -> audit.Candidates:
         F.concat(F.coalesce("capsule_ids", none), extra(5)).alias("capsule_ids"), F.concat(F.coalesce("anchor_ids", none), extra(6)).alias("anchor_ids"), F.lit(True).alias("mechanical_passed"),
         F.coalesce("token_cost", F.lit(0)).alias("token_cost"), F.when(fault == 16, 1).otherwise(10_000_000).alias("ceiling"),
     )
-    events = s.covered.filter("sequence > 2").join(sessions, "session", "left_semi").filter(~((fault == 4) & (F.col("sequence") == 3))).select("session", "event_id", "sequence")
-    return audit.Candidates(heads, made, now, caps.filter("segment = 0").select("session", "sources"), prior_items, events)
+    events = s.audited.filter("sequence > 2").filter(~((fault == 4) & (F.col("sequence") == 3))).select("session", "event_id", "sequence")
+    return audit.Candidates(materialise(heads, "heads"), made, now, caps.filter("segment = 0").select("session", "sources"), prior_items, events)
 
 
 _CODES = """CASE session % 19 WHEN 1 THEN 'EMPTY_COMPILER_OUTPUT,MISSING_PRIOR_SEMANTIC,MISSING_REQUIRED_ANCHOR,SOURCE_COVERAGE_NOT_FULL,ANCHOR_RECALL_NOT_FULL' WHEN 2 THEN 'BASE_SNAPSHOT_MISMATCH' WHEN 3 THEN 'TARGET_MISMATCH'

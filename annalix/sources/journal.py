@@ -63,6 +63,31 @@ def numbered(events: DataFrame, order: list[str]) -> DataFrame:
     return rows.withColumn("sequence", F.col("sequence").cast("long")).drop(*order)
 
 
+def in_capsules(covered: DataFrame) -> DataFrame:
+    """Covered events with the segment and capsule that hold them."""
+    segment = F.floor((F.col("sequence") - 1) / 2)
+    return covered.withColumn("segment", segment).withColumn("capsule_id", F.concat(F.lit("cap-"), "session", F.lit("-"), segment))
+
+
+def items_of(covered: DataFrame) -> DataFrame:
+    """Capsule items in long form, one row an item, from one pass over the covered events."""
+    n = F.col("sequence")
+
+    def item(when: Column, kind: Column, prefix: str, text: Column, status: Column = F.lit("active"), importance: Column = F.lit(1.0)) -> Column:
+        made = F.struct(kind.alias("kind"), F.concat(F.lit(prefix), "event_id").alias("item_id"), text.alias("text"), status.alias("status"), importance.alias("importance"))
+        return F.when(when, made)
+
+    rows = F.array(
+        item(F.lit(True), of(CLAIM_KINDS, (n + F.col("session")) % 6), "claim-", F.col("content"), F.when(n % 5 == 0, "superseded").otherwise("active")),
+        item(n % 2 == 1, F.lit("anchor"), "anchor-", F.left("content", F.lit(40)), importance=F.when(n % 4 == 1, 1.0).otherwise(0.5)),
+        item(n % 3 == 1, F.lit("decision"), "dec-", F.left("content", F.lit(60))),
+        item(n % 4 == 2, F.lit("entity"), "ent-", F.left("content", F.lit(12))),
+        item((F.col("segment") >= 1) & (n % 2 == 1), F.lit("dependency"), "dep-", F.concat(F.lit("cap-"), "session", F.lit("-"), F.col("segment") - 1)),
+    )
+    long = covered.select("session", "capsule_id", "segment", "sequence", F.col("event_id").alias("source"), F.explode(F.array_compact(rows)).alias("i"))
+    return long.select("session", "capsule_id", "segment", "i.*", "source", "sequence")
+
+
 @dataclass(frozen=True)
 class Store:
     """All tables of one data folder."""
@@ -111,11 +136,12 @@ class Store:
 
     @cached_property
     def covered(self) -> DataFrame:
-        segment = F.floor((F.col("sequence") - 1) / 2)
-        return (
-            self._marked.filter("sequence <= covered").drop("high_water", "covered")
-            .withColumn("segment", segment).withColumn("capsule_id", F.concat(F.lit("cap-"), "session", F.lit("-"), segment))
-        )
+        return in_capsules(self._marked.filter("sequence <= covered").drop("high_water", "covered"))
+
+    @cached_property
+    def audited(self) -> DataFrame:
+        """Covered events of the sessions that have three or more, with their number (``covered``): stored beside the journal's buckets, as an audit reads them for each of its inputs."""
+        return self._kept("audited", "conversations", lambda: in_capsules(self._marked.filter("sequence <= covered AND covered >= 3").drop("high_water")))
 
     @cached_property
     def capsules(self) -> DataFrame:
@@ -129,22 +155,7 @@ class Store:
 
     @cached_property
     def items(self) -> DataFrame:
-        """Capsule items in long form, one row an item, from one pass over the covered events."""
-        n = F.col("sequence")
-
-        def item(when: Column, kind: Column, prefix: str, text: Column, status: Column = F.lit("active"), importance: Column = F.lit(1.0)) -> Column:
-            made = F.struct(kind.alias("kind"), F.concat(F.lit(prefix), "event_id").alias("item_id"), text.alias("text"), status.alias("status"), importance.alias("importance"))
-            return F.when(when, made)
-
-        rows = F.array(
-            item(F.lit(True), of(CLAIM_KINDS, (n + F.col("session")) % 6), "claim-", F.col("content"), F.when(n % 5 == 0, "superseded").otherwise("active")),
-            item(n % 2 == 1, F.lit("anchor"), "anchor-", F.left("content", F.lit(40)), importance=F.when(n % 4 == 1, 1.0).otherwise(0.5)),
-            item(n % 3 == 1, F.lit("decision"), "dec-", F.left("content", F.lit(60))),
-            item(n % 4 == 2, F.lit("entity"), "ent-", F.left("content", F.lit(12))),
-            item((F.col("segment") >= 1) & (n % 2 == 1), F.lit("dependency"), "dep-", F.concat(F.lit("cap-"), "session", F.lit("-"), F.col("segment") - 1)),
-        )
-        long = self.covered.select("session", "capsule_id", "segment", "sequence", F.col("event_id").alias("source"), F.explode(F.array_compact(rows)).alias("i"))
-        return long.select("session", "capsule_id", "segment", "i.*", "source", "sequence")
+        return items_of(self.covered)
 
     @cached_property
     def delta(self) -> DataFrame:
