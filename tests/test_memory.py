@@ -34,6 +34,6 @@ def peak_mb(spark, name: str) -> float:
     return max(peaks)
 
 
-@pytest.mark.parametrize("name", ["aud_03"])
+@pytest.mark.parametrize("name", ["aud_03", "aud_05"])
 def test_no_task_holds_a_whole_audit(spark, name):
     assert peak_mb(spark, name) < MOST
