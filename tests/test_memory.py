@@ -34,6 +34,6 @@ def peak_mb(spark, name: str) -> float:
     return max(peaks)
 
 
-@pytest.mark.parametrize("name", ["aud_03", "aud_05", "sink_15", "aud_01", "aud_01_first", "scan_03_asof", "sink_15_versions"])
+@pytest.mark.parametrize("name", ["aud_03", "aud_05", "sink_15", "aud_01", "aud_01_first", "scan_03_asof", "sink_15_versions", "aud_04"])
 def test_no_task_holds_a_whole_audit(spark, name):
     assert peak_mb(spark, name) < MOST
